@@ -5,39 +5,21 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: str | None = None
+from ..storage import root, table
+
+__all__ = ["MOST_IDS", "posix_folder", "put", "root", "small_batches", "table", "without"]
 
 
 def _drop(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
-def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder of our own."""
-    global _own
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="lattica-")
-        atexit.register(_drop, _own)
-    return _own
-
-
-def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: lineage ends there."""
-    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def posix_folder(spark: SparkSession, name: str) -> str:
     """A new folder for files that workers map into memory.
 
