@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,7 +85,7 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
 def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and each row's first word (rows + 1 entries)."""
     n = len(data)
-    inside = table[data]
+    inside = np.take(table, data)
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     before[offsets[:-1][offsets[:-1] < n]] = False
@@ -98,13 +98,13 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     """64-bit hashes of the words; equal words have equal hashes in every process."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _series(_P, n), dtype=np.uint64, out=sums[1:])
+    np.cumsum(np.take(_VALUES, data) * _series(_P, n), dtype=np.uint64, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _series(_P_INV, n + 1)[starts])
 
 
 def words(block: Block, table: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of a block, and each row's first word."""
-    data = LOWER[block.raw]
+    data = np.take(LOWER, block.raw)
     starts, ends, first = spans(data, block.offsets, table)
     return hashes(data, starts, ends), first
 
@@ -131,6 +131,17 @@ def merge_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[at], np.add.reduceat(counts, at)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, a place of each, and the distinct key at every place."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], back
+
+
 def planes(values: np.ndarray) -> bytes:
     """An array's bytes by significance: sorted integers compress well that way."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()

@@ -147,7 +147,7 @@ def _mapped(path: str, dtype: type) -> np.ndarray:
     if path not in _maps:
         with open(path, "rb") as f:
             empty = not f.read(1)
-        _maps[path] = np.zeros(0, dtype) if empty else np.memmap(path, dtype, "r")
+        _maps[path] = np.zeros(0, dtype) if empty else np.asarray(np.memmap(path, dtype, "r"))
     return _maps[path]
 
 

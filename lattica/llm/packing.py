@@ -20,8 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from . import shared
-from .tokenize import encoder
+from . import pieces, shared
 
 BUCKETS, BUDGET, SHARD_BATCHES = 16, 65_536, 64
 
@@ -32,11 +31,12 @@ def lengths(docs: DataFrame, keep: list[str], tokenizer: str, text: str = "text"
     rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
+    table = pieces.build(docs, tokenizer, text)
+
     def run(batches):
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            for block in bs.blocks(column):
-                n = [len(x) // 4 + 1 for x in encoder(tokenizer).encode(column.slice(block.first, block.rows).to_pylist())]
+            for block in bs.blocks(batch.column(batch.num_columns - 1)):
+                n = table.count(block) + 1
                 yield pa.RecordBatch.from_arrays([*(c.slice(block.first, block.rows) for c in batch.columns[:-1]), pa.array(n, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
 
     return rows.mapInArrow(run, f"{schema}, n_tokens long")

@@ -4,8 +4,8 @@ A rolling hash over the ids cuts each document's stream into chunks; every disti
 once under its digest, a document is a recipe of digests, and Merkle manifests over the recipes let
 a reader prove that what it rebuilt is what was written.
 
-Files below the store's folder: ``chunks`` (digest, n, ids as little-endian unsigned integers of 16
-or 32 bits), ``recipes`` (doc_id, n_tokens, start, digests; ascending ids, in files by ranges of ids)
+Files below the store's folder: ``encoded`` (rows of kind 'chunk': digests, the chunk's one, and ids as
+little-endian unsigned integers of 16 bits, or of 32 behind a zero byte), ``recipes`` (doc_id, n_tokens, start, digests; ascending ids, in files by ranges of ids)
 and ``manifest`` (a Merkle root for each file of recipes and one over all).
 
 Edge cases: a null or empty text is the end id alone; rows that share an id are separate documents
@@ -26,32 +26,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from . import shared
-from .tokenize import encoder
+from . import pieces, shared
 
 DIGEST = 16
 LEAST, MEAN, MOST, REACH = 64, 256, 1024, 16
 _GEAR = np.random.default_rng(11).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one stream: where a hash of the last 16 ids is a multiple of the mean, within bounds."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind which a hash of the last 16 ids is a multiple of the mean."""
     n = len(ids)
-    if n <= LEAST:
-        return np.array([n])
+    if n < REACH:
+        return np.zeros(0, np.int64)
     power, inverse = bs._series(bs._P, n + 1), bs._series(bs._P_INV, n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_GEAR[ids & 0xFFFF] * power[:n], dtype=np.uint64)])
-    end = np.arange(REACH, n + 1)
-    marks = end[bs.mix((sums[end] - sums[end - REACH]) * inverse[end - REACH]) % np.uint64(MEAN) == 0].tolist()
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(np.take(_GEAR, ids & 0xFFFF) * power[:n], dtype=np.uint64, out=sums[1:])
+    return REACH + np.flatnonzero(bs.mix((sums[REACH:] - sums[:-REACH]) * inverse[: n + 1 - REACH]) % np.uint64(MEAN) == 0)
+
+
+def cuts(n: int, marked: list[int]) -> list[int]:
+    """Ends of the chunks of n ids: at marks, no chunk but the last shorter than the least nor any longer than the most."""
     out, last = [], 0
-    for at in [*marks, n]:
+    for at in [*marked, n]:
         while at - last > MOST:
             last += MOST
             out.append(last)
         if at > last and (at - last >= LEAST or at == n):
             out.append(at)
             last = at
-    return np.array(out)
+    return out
+
+
+def chunks_of(ids: np.ndarray, starts: np.ndarray):
+    """(row, ids) of the chunks of the streams ids[starts[r]:starts[r + 1]] in order. A mark depends on its stream
+    alone: windows that reach into the stream before are left out."""
+    at = marks(ids)
+    row = np.searchsorted(starts[1:], at, "left")
+    keep = at - starts[row] >= REACH
+    at, row = at[keep], row[keep]
+    first = np.searchsorted(row, np.arange(len(starts)))
+    own = (at - starts[row]).tolist()
+    for r, (a, z) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+        last = 0
+        for cut in cuts(z - a, own[first[r] : first[r + 1]]):
+            yield r, ids[a + last : a + cut]
+            last = cut
 
 
 def _digest(data: bytes) -> bytes:
@@ -66,68 +85,56 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _streams(batches, path: str, end_id: int):
-    """id, and the stream of a text with the end id, in runs of a few rows."""
-    end = np.array([end_id], "<u4").tobytes()
-    for batch in batches:
-        column = batch.column(1)
-        for block in bs.blocks(column):
-            ids = batch.column(0).slice(block.first, block.rows).to_pylist()
-            yield zip(ids, (x + end for x in encoder(path).encode(column.slice(block.first, block.rows).to_pylist())), strict=True)
-
-
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
     """Encode every row and write the store's files. ``folder`` is a path that Spark can write."""
     spark = docs.sparkSession
     shared.small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    table = pieces.build(rows, tokenizer)
 
-    def chunks(batches):
+    def encode(batches):
+        """Chunks (by digest) that this task has not sent before, and recipes (by id), in one pass."""
         seen: set[bytes] = set()
-        for run in _streams(batches, tokenizer, end_id):
-            keys, data = [], []
-            for _, stream in run:
-                ids = np.frombuffer(stream, "<u4")
-                at = 0
-                for z in cuts(ids):
-                    d = _digest(stream[4 * at : 4 * z])
+        for batch in batches:
+            for block in bs.blocks(batch.column(1)):
+                stream, starts = table.streams(block, end_id)
+                keys, data = [], []
+                of: list[list[bytes]] = [[] for _ in range(block.rows)]
+                for r, ids in chunks_of(stream, starts):
+                    d = _digest(ids.tobytes())
+                    of[r].append(d)
                     if d not in seen:
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(d)
-                        part = ids[at:z]
                         keys.append(d)
-                        data.append(part.astype("<u2").tobytes() if part.max() < 65536 else b"\x00" + part.tobytes())
-                    at = int(z)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["digest", "ids"])
+                        data.append(ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\x00" + ids.tobytes())
+                rows, size = batch.column(0).slice(block.first, block.rows), len(keys)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(["chunk"] * size + ["recipe"] * block.rows), pa.concat_arrays([pa.nulls(size, pa.int64()), rows]), pa.array([None] * size + np.diff(starts).tolist(), pa.int64()),
+                        pa.array(keys + [b"".join(x) for x in of], pa.binary()), pa.array(data + [None] * block.rows, pa.binary()),
+                    ],
+                    ["kind", "doc_id", "n_tokens", "digests", "ids"],
+                )
 
     def once(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            keys = batch.column(0).to_pylist()
             new = []
-            for r, k in enumerate(keys):
-                if k not in seen:
-                    seen.add(k)
+            for r, (kind, k) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("digests").to_pylist(), strict=True)):
+                if kind == "recipe" or k not in seen:
+                    if kind == "chunk":
+                        seen.add(k)
                     new.append(r)
             yield batch.take(pa.array(new, pa.int64()))
 
-    rows.mapInArrow(chunks, "digest binary, ids binary").repartition("digest").mapInArrow(once, "digest binary, ids binary").write.option("compression", "zstd").parquet(f"{folder}/chunks")
-
-    def recipes(batches):
-        for run in _streams(batches, tokenizer, end_id):
-            out = []
-            for key, stream in run:
-                at, digests, sizes = 0, [], []
-                for z in cuts(np.frombuffer(stream, "<u4")):
-                    digests.append(_digest(stream[4 * at : 4 * z]))
-                    sizes.append(int(z) - at)
-                    at = int(z)
-                out.append((key, at, b"".join(digests), np.array(sizes, "<u2").tobytes()))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "n_tokens", "digests", "sizes"])
-
-    plain = shared.table(spark, rows.mapInArrow(recipes, "doc_id long, n_tokens long, digests binary, sizes binary"), "recipes")
+    schema = "kind string, doc_id long, n_tokens long, digests binary, ids binary"
+    # Recipes go by id, so that the copies of a text are not one group.
+    dealt = rows.mapInArrow(encode, schema).repartition(F.when(F.col("kind") == "chunk", F.xxhash64("digests")).otherwise(F.xxhash64("doc_id")))
+    dealt.mapInArrow(once, schema).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(f"{folder}/encoded")
+    encoded = spark.read.schema(schema).parquet(f"{folder}/encoded")
+    plain = encoded.filter("kind = 'recipe'").select("doc_id", "n_tokens", "digests")
     placed = shared.table(spark, plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "digests").withColumn("part", F.spark_partition_id()), "placed")
     totals = {r.part: r.n for r in placed.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each range
     before, at = {}, 0
@@ -149,7 +156,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: st
 
     # A range is a Spark partition again: it is sorted, and split no further.
     ranged = placed.repartition("part").sortWithinPartitions("part", "doc_id", "digests")
-    numbered = ranged.mapInArrow(number, "doc_id long, n_tokens long, digests binary, sizes binary, part int, start long")
+    numbered = ranged.mapInArrow(number, "doc_id long, n_tokens long, digests binary, part int, start long")
     numbered.write.parquet(f"{folder}/recipes")
 
     def roots(batches):
@@ -171,26 +178,21 @@ def _leaf(key: int | None, n: int, start: int, digests: bytes) -> bytes:
 
 
 @lru_cache(maxsize=4096)
-def _shift(n_bytes: int) -> np.ndarray:
-    """32 columns of the matrix that moves a CRC-32 past so many bytes."""
+def _shift(n_bytes: int) -> list[list[int]]:
+    """What each value of each byte of a CRC-32 becomes past so many zero bytes."""
     zeros = b"\x00" * n_bytes
     base = zlib.crc32(zeros, 0)
-    return np.array([zlib.crc32(zeros, 1 << k) ^ base for k in range(32)], np.uint32)
+    bits = np.array([zlib.crc32(zeros, 1 << k) ^ base for k in range(32)], np.uint32).reshape(4, 8)
+    on = (np.arange(256)[:, None] >> np.arange(8)) & 1 == 1
+    return [np.bitwise_xor.reduce(np.where(on, row, np.uint32(0)), axis=1).tolist() for row in bits]
 
 
 def joined_crc(crcs: list[int], sizes: list[int]) -> int:
     """CRC-32 of a concatenation from those of its parts and their lengths in bytes."""
     out = 0
     for crc, size in zip(crcs, sizes, strict=True):
-        columns = _shift(size)
-        moved = 0
-        k = 0
-        while out:
-            if out & 1:
-                moved ^= int(columns[k])
-            out >>= 1
-            k += 1
-        out = moved ^ crc
+        a, b, c, d = _shift(size)
+        out = a[out & 255] ^ b[out >> 8 & 255] ^ c[out >> 16 & 255] ^ d[out >> 24] ^ crc
     return out
 
 
@@ -202,6 +204,10 @@ def chunk_ids(digest: bytes, data: bytes) -> np.ndarray:
     return ids
 
 
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/encoded").filter("kind = 'chunk'").select(F.col("digests").alias("digest"), "ids")
+
+
 def verify(spark: SparkSession, folder: str) -> bool:
     """Whether the recipes give the Merkle roots of the manifest."""
     said = {r.part: bytes(r.root) for r in spark.read.parquet(f"{folder}/manifest").collect()}
@@ -215,7 +221,7 @@ def verify(spark: SparkSession, folder: str) -> bool:
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start and ids of every document, rebuilt from its chunks."""
     recipes = spark.read.parquet(f"{folder}/recipes")
-    chunks = spark.read.parquet(f"{folder}/chunks")
+    chunks = _chunks(spark, folder)
     # Every document has a token, so that its start is a key.
     parts = recipes.select("doc_id", "start", F.posexplode(F.expr(f"transform(sequence(0, length(digests) div {DIGEST} - 1), i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")).alias("nr", "digest"))
 
@@ -241,18 +247,20 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
             ids = [chunk_ids(k, x) for k, x in zip(keys, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([len(x) for x in ids], pa.int64())], ["digest", "crc", "n"])
 
-    chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "ids").mapInArrow(check, "digest binary, crc long, n long")
+    chunks = _chunks(spark, folder).mapInArrow(check, "digest binary, crc long, n long")
     recipes = spark.read.parquet(f"{folder}/recipes")
     parts = recipes.select("start", F.posexplode(F.expr(f"transform(sequence(0, length(digests) div {DIGEST} - 1), i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")).alias("nr", "digest"))
     whole = parts.join(chunks, "digest").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("nr", "crc", "n"))).alias("parts"))
 
     def combine(batches):
         for batch in batches:
-            out = []
-            for parts, n in zip(batch.column("parts").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
-                if sum(p["n"] for p in parts) != n:
-                    raise ValueError("a recipe doesn't give its document's length")
-                out.append(joined_crc([p["crc"] for p in parts], [4 * p["n"] for p in parts]))
+            parts = batch.column("parts")
+            flat = parts.flatten()
+            crcs, sizes = (flat.field(name).to_numpy().tolist() for name in ("crc", "n"))
+            at = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())]).tolist()
+            if [sum(sizes[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)] != batch.column("n_tokens").to_pylist():
+                raise ValueError("a recipe doesn't give its document's length")
+            out = [joined_crc(crcs[a:z], [4 * k for k in sizes[a:z]]) for a, z in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return recipes.join(whole, "start").select("doc_id", "start", "n_tokens", "parts").mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long")

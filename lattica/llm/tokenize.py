@@ -1,48 +1,23 @@
-"""Public tokenizers over whole texts, fast for texts that repeat words.
-
-The byte-level pre-tokenizer never joins what stands before and behind a blank that follows a
-non-blank, so such pieces are encoded once and looked up afterwards; texts with a blank behind white
-space are encoded whole. Both give the ids of encoding the text in one call.
-"""
+"""A public tokenizer of the tokenizers library, once in each worker."""
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 
-_AFTER_SPACE = re.compile(r"\s ")
-MOST_PIECES = 400_000
-
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, from a tokenizers file."""
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}  # of pieces with a blank before them
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        split = [None if _AFTER_SPACE.search(t) else t.split(" ") for t in texts]
-        whole = iter(self._direct([t for t, s in zip(texts, split, strict=True) if s is None]))
-        heads = iter(self._direct([s[0] for s in split if s is not None]))
-        if len(self.known) > MOST_PIECES:
-            self.known.clear()
-        new = set().union(*(s[1:] for s in split if s is not None)).difference(self.known)
-        if new:
-            new = list(new)
-            self.known.update(zip(new, self._direct([" " + p for p in new]), strict=True))
-        get = self.known.__getitem__
-        return [next(whole) if s is None else next(heads) + b"".join(map(get, s[1:])) for s in split]
+
+    def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; no special tokens are added."""
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=4)
