@@ -234,3 +234,31 @@ def test_config(tmp_path, monkeypatch):
     assert got == {"data": {"path": "/x/y", "n": 3}} and len(warnings) == 2
     with pytest.raises(ValueError):
         sources.read_config(str(tmp_path / "c.yaml"), {"data": {"path": None}, "more": {"k": None}}, (("more", "k"),))
+
+
+def test_ontology_file(spark, tmp_path):
+    from lattica.sources import owl
+
+    (tmp_path / "o.owl").write_text("""<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#">
+<owl:Class rdf:about="http://x/1"><rdfs:label xml:lang="en">One</rdfs:label></owl:Class>
+<owl:Class rdf:about="http://x/2"><rdfs:label>Two</rdfs:label><rdfs:subClassOf rdf:resource="http://x/1"/>
+<owl:equivalentClass><owl:Class><owl:intersectionOf rdf:parseType="Collection"><rdf:Description rdf:about="http://x/3"/>
+<owl:Restriction><owl:onProperty rdf:resource="http://x/p"/><owl:someValuesFrom rdf:resource="http://x/1"/></owl:Restriction></owl:intersectionOf></owl:Class></owl:equivalentClass></owl:Class></rdf:RDF>""")
+    concepts, edges, properties = owl.cache(spark, str(tmp_path / "o.owl"), str(tmp_path / "cache"))
+    assert [(r.child, r.parent, r.parent_pos) for r in edges.orderBy("parent_pos").collect()] == [("2", "1", 0), ("2", "3", 1)]
+    p = properties.first()
+    assert (p.concept_id, p.property_type, p.labels) == ("2", "and", {"p": "One"})
+    assert O.describe(concepts, O.closure(edges), properties).filter("id = '2'").first().description.startswith("Medical concept: Two.")
+
+
+def test_command_line(capsys):
+    from lattica.__main__ import main
+
+    main(["shards", "10", "--size", "4"])
+    assert capsys.readouterr().out.split("\n")[2] == "8 10"
+
+
+def test_annotation(spark):
+    df = spark.createDataFrame([(1, "Has high Blood pressure, fever."), (2, None)], "id int, t string")
+    terms = spark.createDataFrame([("blood pressure", "c1"), ("fever", "c2"), ("high", "c3")], "term string, concept_id string")
+    assert sorted((r.concept_id, r.start) for r in G.annotate(df, "t", terms, "id").collect()) == [("c1", 2), ("c2", 4), ("c3", 1)]
