@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import choice
+from ..functions.text import choice, let
 
 
 def valid_choice_question(df: DataFrame, question: str = "question", options: tuple[str, ...] = ("opa", "opb", "opc", "opd")) -> DataFrame:
@@ -80,17 +80,20 @@ def run_first(df: DataFrame, group: str, order: str, category: str, index: str,
 
 
 def split_sentence(sentences: Column, key: Column) -> Column:
-    """Struct (sentence, before, after) around a sentence chosen by a stable hash, never the last; empty for fewer than two."""
-    n = F.size(sentences)
-    at = choice(key, F.greatest(n - 1, F.lit(1))).cast("int")
-    few = n < 2
-    part = lambda c: F.when(few, F.lit("")).otherwise(c)
-    return F.struct(
-        part(F.get(sentences, at)).alias("sentence"), part(F.array_join(F.slice(sentences, 1, at), " ")).alias("before"),
-        part(F.array_join(F.slice(sentences, at + 2, F.greatest(n - at - 1, F.lit(0))), " ")).alias("after"))
+    """Struct (sentence, before, after, n_sentences) around a sentence chosen by a stable hash, never the last; empty for fewer than two."""
+
+    def around(s: Column) -> Column:
+        n = F.size(s)
+        at = choice(key, F.greatest(n - 1, F.lit(1))).cast("int")
+        part = lambda c: F.when(n < 2, F.lit("")).otherwise(c)
+        return F.struct(
+            part(F.get(s, at)).alias("sentence"), part(F.array_join(F.slice(s, 1, at), " ")).alias("before"),
+            part(F.array_join(F.slice(s, at + 2, F.greatest(n - at - 1, F.lit(0))), " ")).alias("after"), n.alias("n_sentences"))
+
+    return let(sentences, around)
 
 
 def long_sentence(sentences: Column, key: Column, least: int = 100) -> Column:
     """A sentence of more than ``least`` characters chosen by a stable hash; null if there is none."""
-    some = F.filter(sentences, lambda s: F.length(s) > least)
-    return F.get(some, choice(key, F.greatest(F.size(some), F.lit(1))).cast("int"))
+    pick = lambda some: F.get(some, choice(key, F.greatest(F.size(some), F.lit(1))).cast("int"))
+    return let(F.filter(sentences, lambda s: F.length(s) > least), pick)

@@ -279,5 +279,4 @@ def swapped_values(spark, d):
 
 @query()
 def sentence_around(spark, d):
-    s = T.sentences(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", P.split_sentence(s, F.col("doc_id")).alias("s"), F.size(s).alias("n_sentences")).select("doc_id", "n_sentences", "s.*")
+    return table(spark, d, "documents").select("doc_id", P.split_sentence(T.sentences(F.col("text")), F.col("doc_id")).alias("s")).select("doc_id", "s.*")
