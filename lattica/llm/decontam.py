@@ -59,7 +59,7 @@ def _places(items: DataFrame, frequencies: DataFrame, key: str, text: str, windo
     window), near (the item's words from ``window - 1`` before the place to as many behind it).
     """
     of = items.select(F.col(key).alias("item"), words(F.col(text)).alias("words")).filter(F.size("words") > 0)
-    of = of.withColumn("nr", F.monotonically_increasing_id())
+    of = shared.table(items.sparkSession, of.withColumn("nr", F.monotonically_increasing_id()), "items")  # read twice below
     placed = of.select("nr", F.posexplode("words").alias("off", "term")).join(frequencies, "term", "left").select("nr", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term").alias("t"))
     ranked = placed.groupBy("nr").agg(F.sort_array(F.collect_list(F.struct(F.col("t.off"), F.col("t.df"), F.col("t.term")))).alias("terms"))
     size = F.least(F.lit(window), F.size("words"))
