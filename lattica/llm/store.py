@@ -159,16 +159,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: st
     numbered = ranged.mapInArrow(number, "doc_id long, n_tokens long, digests binary, part int, start long")
     numbered.write.parquet(f"{folder}/recipes")
 
-    def roots(batches):
-        leaves: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for part, key, n, start, digests in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "start", "digests")), strict=True):
-                leaves.setdefault(part, []).append(_leaf(key, n, start, digests))
-        yield pa.RecordBatch.from_arrays([pa.array(list(leaves), pa.int32()), pa.array([merkle(x) for x in leaves.values()], pa.binary())], ["part", "root"])
-
-    stored = spark.read.parquet(f"{folder}/recipes").repartition("part").sortWithinPartitions("part", "doc_id", "digests")
-    got = stored.mapInArrow(roots, "part int, root binary").orderBy("part").collect()  # a row for each range
-    lines = [(r.part, bytes(r.root)) for r in got] + [(-1, merkle([bytes(r.root) for r in got]))]
+    lines = list(_roots(_leaves(spark, folder)).items())
     spark.createDataFrame(lines, "part int, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
 
 
@@ -177,6 +168,36 @@ def _leaf(key: int | None, n: int, start: int, digests: bytes) -> bytes:
     return _digest(b"\x00" + repr((key, n, start)).encode() + own)
 
 
+def _leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """part, start and Merkle leaf of every stored recipe."""
+
+    def run(batches):
+        for batch in batches:
+            got = [_leaf(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "start", "digests")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("start"), pa.array(got, pa.binary())], ["part", "start", "leaf"])
+
+    return spark.read.parquet(f"{folder}/recipes").select("part", "start", "doc_id", "n_tokens", "digests").mapInArrow(run, "part int, start long, leaf binary")
+
+
+def _roots(leaves: DataFrame) -> dict[int, bytes]:
+    """The Merkle root of each range, in the order of its starts, and under -1 the one over all; leaves stay on the executors."""
+
+    def run(batches):
+        own: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, leaf in zip(batch.column("part").to_pylist(), batch.column("leaf").to_pylist(), strict=True):
+                own.setdefault(part, []).append(leaf)
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([merkle(x) for x in own.values()], pa.binary())], ["part", "root"])
+
+    dealt = leaves.select("part", "start", "leaf").repartition("part").sortWithinPartitions("part", "start")
+    got = {r.part: bytes(r.root) for r in dealt.mapInArrow(run, "part int, root binary").collect()}  # a row for each range
+    return got | {-1: merkle([got[p] for p in sorted(got)])}
+
+
+def _manifest(spark: SparkSession, folder: str) -> dict[int, bytes]:
+    return {r.part: bytes(r.root) for r in spark.read.parquet(f"{folder}/manifest").collect()}
+
+
 @lru_cache(maxsize=4096)
 def _shift(n_bytes: int) -> list[list[int]]:
     """What each value of each byte of a CRC-32 becomes past so many zero bytes."""
@@ -210,12 +231,7 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def verify(spark: SparkSession, folder: str) -> bool:
     """Whether the recipes give the Merkle roots of the manifest."""
-    said = {r.part: bytes(r.root) for r in spark.read.parquet(f"{folder}/manifest").collect()}
-    leaves: dict[int, list[bytes]] = {}
-    for r in spark.read.parquet(f"{folder}/recipes").orderBy("part", "doc_id", "digests").toLocalIterator():
-        leaves.setdefault(r.part, []).append(_leaf(r.doc_id, r.n_tokens, r.start, bytes(r.digests)))
-    now = {p: merkle(x) for p, x in leaves.items()}
-    return now | {-1: merkle([now[p] for p in sorted(now)])} == said
+    return _roots(_leaves(spark, folder)) == _manifest(spark, folder)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,7 +254,8 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files.
 
-    Each stored chunk is read and checked once; only its CRC and length travel to the recipes.
+    Each stored chunk is read and checked once; only its CRC and length travel to the recipes. The
+    recipes that the rows are made from must give the Merkle roots of the manifest.
     """
 
     def check(batches):
@@ -261,9 +278,14 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
             if [sum(sizes[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)] != batch.column("n_tokens").to_pylist():
                 raise ValueError("a recipe doesn't give its document's length")
             out = [joined_crc(crcs[a:z], [4 * k for k in sizes[a:z]]) for a, z in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return recipes.join(whole, "start").select("doc_id", "start", "n_tokens", "parts").mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            leaves = [_leaf(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "start", "digests")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(out, pa.int64()), batch.column("part"), pa.array(leaves, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "part", "leaf"])
+
+    rebuilt = recipes.join(whole, "start").select("doc_id", "start", "n_tokens", "digests", "part", "parts")
+    rebuilt = shared.table(spark, rebuilt.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, leaf binary"), "rebuilt")
+    if _roots(rebuilt) != _manifest(spark, folder):
+        raise ValueError("the recipes don't give the roots of the manifest")
+    return rebuilt.drop("part", "leaf")
 
 
 def new_folder(spark: SparkSession) -> str:

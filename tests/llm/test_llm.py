@@ -302,6 +302,35 @@ def test_token_store_round_trip(spark, edge, empty, tmp_path):
         store.chunk_ids(b"0" * 16, b"\x01\x00")
 
 
+@pytest.mark.parametrize("harm", ["swapped digests", "other recipe", "altered start", "lost row"])
+def test_token_store_proves_its_recipes(spark, tmp_path, harm):
+    rng = random.Random(3)
+    made = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(1500))) for i in range(4)]
+    df = spark.createDataFrame([*made, (8, "a b"), (9, "c d")], "doc_id long, text string")
+    store.write(df, f"{tmp_path}/s", TOKENIZER)
+    assert store.digests(spark, f"{tmp_path}/s").count() == 6
+    rows = spark.read.parquet(f"{tmp_path}/s/recipes").toPandas().sort_values("doc_id").reset_index(drop=True)
+    d = [bytes(x) for x in rows.digests]
+    if harm == "swapped digests":
+        assert len(d[0]) > 2 * store.DIGEST
+        d[0] = d[0][store.DIGEST : 2 * store.DIGEST] + d[0][: store.DIGEST] + d[0][2 * store.DIGEST :]
+    elif harm == "other recipe":
+        assert rows.n_tokens[4] == rows.n_tokens[5] and d[4] != d[5]
+        d[4] = d[5]
+    elif harm == "altered start":
+        rows.loc[5, "start"] += 1
+    rows = rows.assign(digests=d).iloc[: 5 if harm == "lost row" else 6]
+    spark.createDataFrame(rows, spark.read.parquet(f"{tmp_path}/s/recipes").schema).write.mode("overwrite").parquet(f"{tmp_path}/made")
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/s/recipes")
+    shutil.move(f"{tmp_path}/made", f"{tmp_path}/s/recipes")
+    spark.catalog.refreshByPath(f"{tmp_path}/s/recipes")
+    assert not store.verify(spark, f"{tmp_path}/s")
+    with pytest.raises(ValueError, match="manifest"):
+        store.digests(spark, f"{tmp_path}/s").count()
+
+
 def test_crc_of_parts():
     data = random.Random(4).randbytes(5000)
     cut = [0, 7, 900, 901, 5000]
