@@ -157,6 +157,7 @@ def report(docs: DataFrame, items: DataFrame, keep: list[str], **names) -> DataF
         (F.col("n_hit") > 0).alias("contaminated"), F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"))
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **names) -> DataFrame:
-    """The documents, with all columns, whose ids have no exact match."""
-    return shared.without(docs, key, report(docs, items, [key], **names).filter("contaminated").select(key).distinct())
+def clean(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
+    """The documents, with all columns, that have no exact match; rows count by themselves, whatever their ids."""
+    rows = shared.numbered(docs)
+    return shared.without(rows, "__nr", report(rows, items, ["__nr"], **names).filter("contaminated").select("__nr")).drop("__nr")

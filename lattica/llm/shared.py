@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import root, table
 
-__all__ = ["MOST_IDS", "posix_folder", "put", "root", "small_batches", "table", "without"]
+__all__ = ["MOST_IDS", "numbered", "posix_folder", "put", "root", "small_batches", "table", "without"]
 
 
 def _drop(path: str) -> None:
@@ -53,6 +53,11 @@ def without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return docs.join(side, docs[key] == side["__id"], "left_anti")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for every row, ``__nr``; written, so that it stays the same."""
+    return table(docs.sparkSession, docs.withColumn("__nr", F.monotonically_increasing_id()), "numbered")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches small enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

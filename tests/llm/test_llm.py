@@ -265,6 +265,24 @@ def test_jaccard_edges(edge, empty):
     assert jaccard.keep_one(edge).filter("doc_id = 6").count() == 1
 
 
+def test_keep_one_counts_rows(spark):
+    made = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    rows = [(1, made["a"]), (1, made["b"]), (1, made["b"]), (2, made["b"] + " x"), (None, made["c"]), (None, made["d"]), (None, made["d"]), (None, made["e"]), (7, made["e"] + " y"), (3, None), (3, None), (3, ""), (4, made["f"]), (5, made["f"]), (None, None), (None, None), (6, made["g"])]
+    want = [(1, made["a"]), (1, made["b"]), (None, made["c"]), (None, made["d"]), (7, made["e"] + " y"), (3, None), (3, ""), (4, made["f"]), (None, None), (None, None), (6, made["g"])]
+    df = spark.createDataFrame(random.Random(6).sample(rows, len(rows)), "doc_id long, text string")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns and Counter(map(tuple, kept.collect())) == Counter(want)
+    alone = [(None, made["a"]), (None, made["b"]), (1, made["c"])]
+    assert Counter(map(tuple, jaccard.keep_one(spark.createDataFrame(alone, "doc_id long, text string")).collect())) == Counter(alone)
+
+
+def test_clean_counts_rows(spark):
+    rows = [(1, "x alpha beta gamma"), (1, "not so"), (None, "alpha beta gamma"), (None, "nor this")]
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    got = decontam.clean(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, "not so"), (None, "nor this")])
+
+
 def test_pieces_match_the_library(tmp_path):
     for kind in ("keys", "checks", "ends", "ids"):
         (tmp_path / f"piece-0.{kind}").write_bytes(b"")
