@@ -55,6 +55,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(documents(spark, sf_dir), items, ["doc_id"]).drop("n_near_items")
 
 
+def op4_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches of every document, exact ones included; op4_decontamination has the columns of its SQL."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.report(documents(spark, sf_dir), items, ["doc_id"]).select("doc_id", "n_near_items", "contaminated")
+
+
 def trained_languages(spark: SparkSession, sf_dir: str) -> langid.Model:
     return langid.train(documents(spark, sf_dir).filter(fold(5) != 0))
 
@@ -117,7 +123,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_scoring, op2_quality, op3_quality_rules, op4_decontamination, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_license_scan, op9_packing, op10_token_counts)
+    own = (op1_lm_scoring, op2_quality, op3_quality_rules, op4_decontamination, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_license_scan, op9_packing, op10_token_counts, op4_near_matches)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 

@@ -190,6 +190,15 @@ def test_proximity(spark):
     assert (r.n_hit, r.n_near_items) == (0, 1)
 
 
+def test_near_matches_are_returned(spark, tmp_path):
+    item = [f"t{i}" for i in range(12)]
+    rows = [(1, " ".join([*item[:6], "x", *item[6:]])), (2, "nothing of it"), (3, " ".join(item)), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.queries()["op4_near_matches"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_near_items, r.contaminated) for r in got] == [(1, 1, False), (2, 0, False), (3, 1, True), (4, 0, False)]
+
+
 def test_language_id(spark, small, texts):
     d = small.replace("0.001", "0.01")
     got = queries.op5_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
