@@ -3,8 +3,8 @@
 The words of all templates are counted over every text, which gives their inverse document
 frequencies. Each template is looked up by its rarest words: where one stands in a text, the
 template is laid at the position that aligns them, its other words are compared at their relative
-positions, and an alignment counts if words of most of the template's weight agree and a mandatory
-key phrase of the license stands there.
+positions, and an alignment counts if words of most of the template's weight agree and the mandatory
+key phrases of the license, its version among them, stand there.
 
 Edge cases: a null text has no words; overlapping places of a phrase all count; equal rows get equal
 results; with no documents there are no rows; extra columns are never read.
@@ -25,18 +25,21 @@ from . import shared
 # Phrases that decide a label alone.
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
-# Notices of public licenses, with the phrases of which one is mandatory.
+# Notices of public licenses, with the phrases that are all mandatory; they tell versions apart.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
     ("mit", "released under the mit license", ("the mit license",)),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("the apache license",)),
-    ("apache-2", "licensed under the apache license version 2 0", ("the apache license",)),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2",)),
+    ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
+    ("apache-2", "licensed under the apache license 2 0", ("apache license 2",)),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license",)),
+    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license", "version 3 of the license")),
+    ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license", "version 2 of the license")),
     ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
     ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2",)),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license version 2 0", ("mozilla public license version 2",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
@@ -134,7 +137,7 @@ def scan(docs: DataFrame, index: Index, keep: list[str], text: str = "text") ->
                 share = float(index.weights[words[a - start : z - start]][agree].sum() / index.weights[words].sum())
                 if share >= LEAST:
                     around = codes[max(lo, start - 2) : min(hi, start + len(words) + 2)]
-                    if any(len(_places(around, np.zeros(len(around), np.int8), key)) for key in index.keys[k]):
+                    if all(len(_places(around, np.zeros(len(around), np.int8), key)) for key in index.keys[k]):
                         label = TEMPLATES[k][0]
                         out[label] = max(out.get(label, 0.0), min(share, 1.0))
         return out

@@ -378,6 +378,20 @@ def test_license_scan(spark, docs, texts, edge, empty):
     assert license.scan(edge, license.build(edge), ["doc_id"]).count() == 9 and license.scan(empty, license.build(empty), ["doc_id"]).count() == 0
 
 
+def test_license_versions(spark, docs):
+    gpl = "under the terms of the GNU {}General Public License as published by the Free Software Foundation; {}version {} of the License"
+    rows = [
+        (gpl.format("", "either ", 3), "gpl-3"), (gpl.format("", "either ", 2), "gpl-2"), (gpl.format("", "", 2), "gpl-2"), (gpl.format("", "", 3), "gpl-3"), (gpl.format("", "either ", 1), ""),
+        (gpl.format("Lesser ", "either ", 3), "lgpl"), (gpl.format("Affero ", "either ", 3), ""),
+        ("Licensed under the Apache License, Version 1.1", ""), ("Licensed under the Apache License, Version 2.0", "apache-2"), ("Licensed under the Apache License 2.0", "apache-2"), ("Licensed under the Apache License 1.1", ""),
+        ("Licensed under the Apache License, Version 1.1 (the License); you may not use this file except in compliance with the License", ""),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1", ""), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = license.scan(df, license.build(docs), ["doc_id"]).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == [want for _, want in rows]
+
+
 def test_packing_is_optimal():
     import itertools
 
