@@ -1,7 +1,6 @@
 """Packing into optimal length buckets.
 
-The lengths of all documents make one histogram (of lengths rounded up to seven significant bits, so
-that its size doesn't grow with the data). Dynamic programming over it finds the bucket boundaries
+The lengths of all documents make one histogram, with a bin for each length that occurs. Dynamic programming over it finds the bucket boundaries
 with the least padding. Inside each bucket documents are dealt by hash to shards of a bounded number
 of rows, and every shard is cut into batches under a token budget.
 
@@ -16,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
@@ -42,14 +41,11 @@ def lengths(docs: DataFrame, keep: list[str], tokenizer: str, text: str = "text"
     return rows.mapInArrow(run, f"{schema}, n_tokens long")
 
 
-def rounded(n: Column) -> Column:
-    """A length rounded up to seven significant bits."""
-    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(n)) - 6, F.lit(0))).cast("long")
-    return (F.ceil(n / unit) * unit).cast("long")
-
-
 def boundaries(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """Ascending upper ends of at most ``buckets`` buckets over ascending sizes: the least sum of padded sizes."""
+    """Ascending upper ends of at most ``buckets`` buckets over ascending sizes: the least sum of padded sizes.
+
+    The best start of the last bucket never falls as its end grows, so each round divides and conquers.
+    """
     n = len(sizes)
     if not n:
         return []
@@ -58,11 +54,16 @@ def boundaries(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) ->
     back = []
     for _ in range(min(buckets, n)):
         cost, come = best.copy(), np.arange(n + 1)
-        for j in range(1, n + 1):
-            here = best[:j] + sizes[j - 1] * (total[j] - total[:j])
-            k = int(np.argmin(here))
-            if here[k] < cost[j]:
-                cost[j], come[j] = here[k], k
+        spans = [(1, n, 0, n - 1)]  # ends from and to, with starts from and to
+        while spans:
+            first, last, lo, hi = spans.pop()
+            j = (first + last) // 2
+            to = min(hi, j - 1) + 1
+            here = best[lo:to] + sizes[j - 1] * (total[j] - total[lo:to])
+            k = lo + int(np.argmin(here))
+            if here[k - lo] < cost[j]:
+                cost[j], come[j] = here[k - lo], k
+            spans += [s for s in ((first, j - 1, lo, k), (j + 1, last, k, hi)) if s[0] <= s[1]]
         best = cost
         back.append(come)
     out, j = [], n
@@ -87,8 +88,9 @@ class Plan:
 
 
 def plan(sized: DataFrame, length: str = "n_tokens", buckets: int = BUCKETS, budget: int = BUDGET) -> Plan:
-    """From the histogram of every row's length; a few thousand bins reach the driver at any size."""
-    found = sized.groupBy(rounded(F.col(length)).alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()
+    """From the histogram of every row's length; the distinct lengths reach the driver, whose number is at most
+    the root of twice the tokens of all documents."""
+    found = sized.groupBy(F.col(length).alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()
     sizes, counts = np.array([r["size"] for r in found], np.int64), np.array([r.n for r in found], np.int64)
     ends = boundaries(sizes, counts, buckets)
     at = np.searchsorted(ends, sizes)

@@ -401,6 +401,20 @@ def test_packing_is_optimal():
     assert cost(packing.boundaries(sizes, counts, 3)) == best and packing.boundaries(sizes[:0], counts[:0]) == []
 
 
+def test_packing_plans_with_true_lengths(spark):
+    lengths = [1025] * 5 + [random.Random(k).randint(129, 4000) for k in range(300)]
+    sized = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n_tokens long")
+    assert packing.plan(sized.filter("doc_id < 5")).ends == [1025]
+    how = packing.plan(sized)
+    sizes, counts = np.unique(lengths, return_counts=True)
+    total = np.concatenate([[0], np.cumsum(counts)])
+    best = [0.0] + [np.inf] * len(sizes)
+    for _ in range(packing.BUCKETS):
+        best = [0.0] + [min(best[j], min(best[k] + sizes[j - 1] * (total[j] - total[k]) for k in range(j))) for j in range(1, len(sizes) + 1)]
+    assert set(how.ends) <= set(lengths) and sum(c * next(e for e in how.ends if e >= s) for s, c in zip(sizes, counts, strict=True)) == best[-1]
+    assert packing.pack(sized, how).agg(F.sum("bucket_size")).first()[0] == best[-1]
+
+
 def test_packing(spark, small, edge, empty):
     got = queries.op9_packing(spark, small).toPandas()
     assert len(got) == 200 and (got.n_tokens + got.padding == got.bucket_size).all() and (got.padding >= 0).all()
