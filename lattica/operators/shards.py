@@ -134,7 +134,7 @@ def annotate(df: DataFrame, text: str, terms: DataFrame, key: str) -> DataFrame:
     every text and joined with them.
     """
     sized = terms.select(F.array_join(F.split(F.lower("term"), r"\W+"), " ").alias("phrase"), F.col("term"), "concept_id").withColumn("n", F.size(F.split("phrase", " ")))
-    sizes = [r.n for r in sized.select("n").distinct().limit(64).collect()]
+    sizes = [r.n for r in sized.select("n").distinct().collect()]  # at most as many as the longest term has words
     words = F.filter(F.split(F.lower(F.col(text)), r"\W+"), lambda w: w != "")
     of = df.select(key, words.alias("w"))
     phrase = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.array_join(F.slice("w", i + 1, n), " ").alias("phrase"), i.alias("start")))

@@ -262,3 +262,10 @@ def test_annotation(spark):
     df = spark.createDataFrame([(1, "Has high Blood pressure, fever."), (2, None)], "id int, t string")
     terms = spark.createDataFrame([("blood pressure", "c1"), ("fever", "c2"), ("high", "c3")], "term string, concept_id string")
     assert sorted((r.concept_id, r.start) for r in G.annotate(df, "t", terms, "id").collect()) == [("c1", 2), ("c2", 4), ("c3", 1)]
+
+
+def test_annotate_terms_of_many_lengths(spark):
+    terms = [" ".join(f"w{i}" for i in range(n)) for n in range(1, 71)]
+    df = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(70)))], "k int, t string")
+    got = G.annotate(df, "t", spark.createDataFrame([(t, t) for t in terms], "term string, concept_id string"), "k").collect()
+    assert {(r.term, r.start) for r in got} == {(t, 0) for t in terms}
