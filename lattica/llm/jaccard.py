@@ -7,9 +7,13 @@ are compared a few at a time, a pair is dropped once the posterior probability t
 reaches the threshold falls below the tolerance, and what remains is verified with the sets
 themselves. Pairs are counted and joined to components where they are found; they never become rows.
 
-Edge cases: a null text, or one without words, has no shingles, belongs to a class of its own and has
-no links; a text of fewer than five words is one shingle; the representative of a class is its least
-id; rows that repeat an id with equal text are one document; extra columns are never read.
+Rows are told apart by their places in files, never by ids. Edge cases: a null text, or one without
+words, has no shingles, belongs to a class of its own and has no links; a text of fewer than five
+words is one shingle; a class is named by its first row, the one with the least id (rows without an id
+come last, equal ids in the order of rows); rows that repeat an id are documents of their own, copies of
+each other if their texts are equal; ids may be of any type with an order; a very long text is one row
+among others, in a block bounded by bytes; an empty table gives no rows; extra columns, whatever their
+names, are never read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, PER_BAND = 32, 4
 HASHES = BANDS * PER_BAND
 STEP, TOLERANCE = 16, 1e-6
-BLOCK, CELL = 2048, 1000
+#: Texts and bytes of sets in a block of a large component and in a group of small ones; rows compared at once.
+BLOCK, CELL, BLOCK_BYTES, STRIPE = 2048, 1000, 16 << 20, 512
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,13 +68,15 @@ def _sets(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[new], np.searchsorted(row[new], np.arange(len(first)))
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, two halves of the set's digest, n (its size) and sig (MinHash values) of every row."""
-    shared.small_batches(docs.sparkSession)
+def signatures(rows: DataFrame) -> DataFrame:
+    """Rows (id, text and their places) with two halves of the set's digest, n (its size) and sig (MinHash values)
+    in place of the text; ``bare`` is a hash of a text without words."""
+    shared.small_batches(rows.sparkSession)
+    kept = [*shared.PLACE, "id", "bare"]
 
     def run(batches):
         for batch in batches:
-            for block in bs.blocks(batch.column(1)):
+            for block in bs.blocks(batch.column(len(kept))):
                 x, first = _sets(*shingles(block))
                 n = np.diff(first)
                 some = np.flatnonzero(n)
@@ -81,21 +88,25 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 digest = [bs.row_sums(bs.mix(x ^ np.uint64(s)), first).view(np.int64) for s in (0x51ED27, 0xA3B195)]
                 offsets = pa.py_buffer((np.arange(block.rows + 1) * HASHES * 4).astype(np.int32))
                 packed = pa.Array.from_buffers(pa.binary(), block.rows, [None, offsets, pa.py_buffer(sig)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), *(pa.array(d) for d in digest), pa.array(n), packed], ["id", "d1", "d2", "n", "sig"])
+                own = [batch.column(c).slice(block.first, block.rows) for c in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(d) for d in digest), pa.array(n), packed], [*kept, "d1", "d2", "n", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, d1 long, d2 long, n long, sig binary")
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    given = rows.select(*shared.PLACE, "id", F.when(wordless, F.xxhash64("text")).alias("bare"), "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    return given.mapInArrow(run, f"{kinds}, d1 long, d2 long, n long, sig binary")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """id and the set as ascending 64-bit hashes of rows (id, text)."""
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """nr and the set as ascending 64-bit hashes of rows (nr, text)."""
 
     def run(batches):
         for batch in batches:
             for block in bs.blocks(batch.column(1)):
                 x, first = _sets(*shingles(block))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array([x[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array([x[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["nr", "items"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, items binary")
+    return rows.select("nr", "text").mapInArrow(run, "nr long, items binary")
 
 
 @lru_cache
@@ -124,9 +135,19 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def linked(sig_a, items_a, sig_b, items_b, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (places in a, places in b) whose sets reach the threshold; with ``same`` only those in order."""
+    """Pairs (places in a, places in b) whose sets reach the threshold; with ``same`` only those in order.
+
+    Some rows of a meet all of b at a time, so that memory doesn't grow with the number of pairs.
+    """
+    found = [_linked(sig_a, items_a, sig_b, items_b, range(lo, min(lo + STRIPE, len(sig_a))), threshold, tolerance, same) for lo in range(0, len(sig_a), STRIPE)]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(i for i, _ in found)]), np.concatenate([none, *(j for _, j in found)])
+
+
+def _linked(sig_a, items_a, sig_b, items_b, own: range, threshold: float, tolerance: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    sig_a, items_a = sig_a[own.start : own.stop], items_a[own.start : own.stop]
     equal = np.zeros((len(sig_a), len(sig_b)), np.uint8)
-    alive = np.triu(np.ones(equal.shape, bool), 1) if same else np.ones(equal.shape, bool)
+    alive = np.triu(np.ones(equal.shape, bool), own.start + 1) if same else np.ones(equal.shape, bool)
     i, j = None, None
     for step, least in enumerate(least_matches(threshold, tolerance)):
         columns = range(step * STEP, (step + 1) * STEP)
@@ -136,7 +157,8 @@ def linked(sig_a, items_a, sig_b, items_b, threshold: float = THRESHOLD, toleran
             i, j = np.nonzero(alive & (equal >= least))
             have = equal[i, j].astype(np.int32)
         else:
-            have = have + sum((sig_a[i, k] == sig_b[j, k]).astype(np.int32) for k in columns)
+            for k in columns:
+                have += sig_a[i, k] == sig_b[j, k]
             keep = have >= least
             i, j, have = i[keep], j[keep], have[keep]
     if not len(i):
@@ -144,7 +166,7 @@ def linked(sig_a, items_a, sig_b, items_b, threshold: float = THRESHOLD, toleran
     both = _intersections(items_a, items_b, i, j)
     size_a, size_b = np.array([len(s) for s in items_a]), np.array([len(s) for s in items_b])
     good = both >= threshold * (size_a[i] + size_b[j] - both) - 1e-9
-    return i[good], j[good]
+    return i[good] + own.start, j[good]
 
 
 def _intersections(items_a, items_b, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -172,12 +194,12 @@ def _intersections(items_a, items_b, i: np.ndarray, j: np.ndarray) -> np.ndarray
 
 
 def _compare(rows, threshold: float, tolerance: float):
-    """Links within one group of candidates: id, root (least id it is tied to here), texts and others linked."""
+    """Links within one group of candidates: nr, root (least nr it is tied to here), texts and others linked."""
     import pandas as pd
 
     out = []
-    rows = rows.sort_values(["comp", "id"], kind="stable")
-    comp, ids, block, copies = (rows[c].to_numpy() for c in ("comp", "id", "block", "copies"))
+    rows = rows.sort_values(["comp", "nr"], kind="stable")
+    comp, ids, block, copies = (rows[c].to_numpy() for c in ("comp", "nr", "block", "copies"))
     sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), HASHES)
     items = [np.frombuffer(x, np.uint64) for x in rows["items"]]
     cuts = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1], [True]]))
@@ -194,66 +216,86 @@ def _compare(rows, threshold: float, tolerance: float):
             texts = np.bincount(at, minlength=z - a) + np.bincount(to, minlength=z - a)
             others = np.bincount(at, copies[a + to], z - a) + np.bincount(to, copies[a + at], z - a)
             some = np.flatnonzero(texts)
-            out.append(pd.DataFrame({"id": ids[a + some], "root": ids[a + root[some]], "texts": texts[some], "others": others[some].astype(np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({k: np.zeros(0, np.int64) for k in ("id", "root", "texts", "others")})
+            out.append(pd.DataFrame({"nr": ids[a + some], "root": ids[a + root[some]], "texts": texts[some], "others": others[some].astype(np.int64)}))
+    return pd.concat(out) if out else pd.DataFrame({k: np.zeros(0, np.int64) for k in ("nr", "root", "texts", "others")})
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per row of ``docs``: id, class_id, copy_id, n_copies, n_text_links, n_links.
+def _first(id_: str, nr: str):
+    """The row that names a group: the one with the least id, rows without an id last."""
+    return F.min(F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), F.col(nr).alias("nr")))
 
-    class_id: least id of the connected texts. copy_id: least id of the texts with the same shingles,
-    n_copies: their number. n_text_links: different shingle sets at the threshold. n_links: other
-    documents at the threshold, copies included.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = shared.table(spark, signatures(texts, "id"), "signatures")
-    full = rows.filter("n > 0")
-    classes = shared.table(spark, full.groupBy("d1", "d2").agg(F.min("id").alias("copy_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = full.join(classes.select(F.col("copy_id").alias("id"), "d1", "d2", "copies"), ["id", "d1", "d2"]).dropDuplicates(["id"])
-    reps = shared.table(spark, reps.select("id", "sig", "copies"), "representatives")
+
+def _join(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """For located rows (id, text): their places, what ``join`` returns, bare, and first: the number of the class's first row."""
+    spark = rows.sparkSession
+    signed = shared.table(spark, signatures(rows).withColumn("nr", F.monotonically_increasing_id()), "signatures")
+    full = signed.filter("n > 0")
+    classes = full.groupBy("d1", "d2").agg(_first("id", "nr").alias("f"), F.count(F.lit(1)).alias("copies"))
+    classes = shared.table(spark, classes.select("d1", "d2", F.col("f.id").alias("copy_id"), F.col("f.nr").alias("copy_nr"), "copies"), "classes")
+    reps = full.join(classes.select(F.col("copy_nr").alias("nr"), "copies"), "nr")
+    reps = shared.table(spark, reps.select("nr", "sig", "copies", "n"), "representatives")
 
     part = lambda b: F.xxhash64(F.lit(b), F.substring("sig", 1 + b * PER_BAND * 4, PER_BAND * 4))
-    bands = reps.select("id", F.explode(F.array(*(part(b) for b in range(BANDS)))).alias("band"))
-    least = bands.groupBy("band").agg(F.min("id").alias("u"), F.max("id").alias("top")).filter("u < top").select("band", "u")
-    edges = bands.join(least, "band").filter("id > u").select("u", F.col("id").alias("v"))
-    found = shared.table(spark, components(edges), "candidates").select(F.col("v").alias("id"), F.col("label").alias("comp"))
-
-    # Blocks of large components meet pairwise; small components share groups.
-    sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    n_cells = max(1, math.ceil(found.count() / CELL))
-    wanted = found.join(sizes, "comp").join(reps, "id")
-    own = texts.join(found.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    wanted = wanted.join(shingle_sets(own), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    bands = reps.select("nr", F.explode(F.array(*(part(b) for b in range(BANDS)))).alias("band"))
+    least = bands.groupBy("band").agg(F.min("nr").alias("u"), F.max("nr").alias("top")).filter("u < top").select("band", "u")
+    edges = bands.join(least, "band").filter("nr > u").select("u", F.col("nr").alias("v"))
+    found = components(edges).select(F.col("v").alias("nr"), F.col("label").alias("comp")).join(reps, "nr")
+    found = shared.table(spark, found, "candidates")
+
+    # Blocks of large components meet pairwise; small components share groups. Both are bounded by texts and by bytes.
+    sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"))
+    sizes = sizes.select("comp", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("items") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    count, items = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_cells = max(1, math.ceil(count / CELL), math.ceil(items * 8 / BLOCK_BYTES))
+    own = shared.picked(rows, signed.join(found.select("nr"), "nr").select(*shared.PLACE, "nr"))
+    wanted = found.join(sizes, "comp").join(shingle_sets(own), "nr").withColumn("block", F.pmod(F.xxhash64("nr"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = wanted.select("*", other).select(
-        "id", "comp", "block", "copies", "sig", "items", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        "nr", "comp", "block", "copies", "sig", "items", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(n_cells))).otherwise(F.xxhash64("comp")).alias("cell"), (F.col("blocks") > 1).alias("large"))
-    links = dealt.groupBy("large", "cell", "lo", "hi").applyInPandas(lambda rows: _compare(rows, threshold, tolerance), "id long, root long, texts long, others long")
+    links = dealt.groupBy("large", "cell", "lo", "hi").applyInPandas(lambda rows: _compare(rows, threshold, tolerance), "nr long, root long, texts long, others long")
     links = shared.table(spark, links, "links")
 
-    labels = components(links.select(F.col("root").alias("u"), F.col("id").alias("v"))).select(F.col("v").alias("copy_id"), F.col("label"))
-    sums = links.groupBy(F.col("id").alias("copy_id")).agg(F.sum("texts").alias("texts"), F.sum("others").alias("others"))
-    of_class = classes.join(labels, "copy_id", "left").join(sums, "copy_id", "left")
-    return rows.select("id", "d1", "d2", "n").join(of_class, (rows.d1 == of_class.d1) & (rows.d2 == of_class.d2) & (rows.n > 0), "left").select(
-        "id", F.coalesce("label", "copy_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"),
-        F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
+    labels = components(links.select(F.col("root").alias("u"), F.col("nr").alias("v"))).select(F.col("v").alias("copy_nr"), F.col("label"))
+    sums = links.groupBy(F.col("nr").alias("copy_nr")).agg(F.sum("texts").alias("texts"), F.sum("others").alias("others"))
+    tied = shared.table(spark, classes.select("copy_nr", "copy_id").join(labels, "copy_nr").join(sums, "copy_nr"), "tied")
+    named = tied.groupBy("label").agg(_first("copy_id", "copy_nr").alias("f")).select("label", F.col("f.id").alias("class_id"), F.col("f.nr").alias("first"), F.lit(True).alias("named"))
+    of_class = classes.join(tied.join(named, "label").drop("copy_id", "label"), "copy_nr", "left").withColumns({
+        "class_id": F.when(F.col("named"), F.col("class_id")).otherwise(F.col("copy_id")), "first": F.coalesce("first", "copy_nr"), "known": F.lit(True)}).drop("named")
+    whole = signed.select(*shared.PLACE, "id", "bare", "nr", "n", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), "d2").join(of_class, ["d1", "d2"], "left")
+    pick = lambda c: F.when(F.col("known"), F.col(c)).otherwise(F.col("id")).alias(c)
+    return whole.select(
+        *shared.PLACE, "id", "bare", "nr", pick("class_id"), pick("copy_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("texts", F.lit(0)).alias("n_text_links"),
+        (F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("first", "nr").alias("first"), (F.col("n") > 0).alias("has_words"))
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return shared.located(docs.select(F.col(key).alias("id"), F.col(text).alias("text")))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **names) -> DataFrame:
-    """The documents, with all columns, that are the least id of their class.
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per row of ``docs``: id, class_id, copy_id, n_copies, n_text_links, n_links, row_nr, class_nr.
 
-    Rows are told apart by numbers, not ids: null ids and ids with several texts lose nothing but near
-    copies, and in a class rows with an id come first. Rows of which id and text both repeat are one document.
+    class_id: least id of the connected texts. copy_id: least id of the texts with the same shingles,
+    n_copies: their number. n_text_links: different shingle sets at the threshold. n_links: other
+    documents at the threshold, copies included. Where ids are null or repeat, class_nr tells classes apart: it is
+    the row_nr of the class's first row.
     """
-    rows = shared.numbered(docs)
-    linked = shared.table(docs.sparkSession, join(rows, "__nr", text, **names).filter("n_links > 0").select(F.col("id").alias("__nr"), "class_id"), "linked")
-    places = linked.join(rows.select("__nr", F.col(key).alias("key")), "__nr")
-    first = places.groupBy("class_id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "__nr")).alias("first")).select("first.__nr")
-    gone = linked.select("__nr").join(first, "__nr", "left_anti")
-    n, different = rows.agg(F.count(key), F.count_distinct(key)).first()
-    if n != different:
-        hashed = rows.filter(F.col(key).isNotNull()).select("__nr", F.col(key).alias("key"), F.sha2(text, 256).alias("hash"))
-        least = hashed.groupBy("key", "hash").agg(F.min("__nr").alias("__nr")).select("__nr")
-        gone = gone.unionByName(hashed.select("__nr").join(least, "__nr", "left_anti")).distinct()
-    return shared.without(rows, "__nr", gone).drop("__nr")
+    got = _join(_rows(docs, key, text), threshold, tolerance)
+    return got.select("id", "class_id", "copy_id", "n_copies", "n_text_links", "n_links", F.col("nr").alias("row_nr"), F.col("first").alias("class_nr"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """The documents, with all columns, that are the first of their class.
+
+    Rows that repeat an id and a text without words are one document; other texts without words all stay, and so
+    does every text that isn't near another, whatever its id.
+    """
+    spark = docs.sparkSession
+    here = shared.located(docs)
+    joined = _join(here.select(*shared.PLACE, F.col(key).alias("id"), F.col(text).alias("text")), threshold, tolerance)
+    joined = shared.table(spark, joined.filter("first <> nr or not has_words").select(*shared.PLACE, "id", "bare", "nr", "has_words"), "later")
+    again = joined.filter("not has_words and id is not null")
+    least = again.groupBy("id", "bare").agg(F.min("nr").alias("nr")).select("nr")
+    gone = joined.filter("has_words").unionByName(again.join(least, "nr", "left_anti"))
+    return shared.without(here, gone)

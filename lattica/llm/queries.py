@@ -51,14 +51,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.report(documents(spark, sf_dir), items, ["doc_id"]).drop("n_near_items")
-
-
-def op4_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proximity matches of every document, exact ones included; op4_decontamination has the columns of its SQL."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.report(documents(spark, sf_dir), items, ["doc_id"]).select("doc_id", "n_near_items", "contaminated")
+    return decontam.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
 
 
 def trained_languages(spark: SparkSession, sf_dir: str) -> langid.Model:
@@ -71,7 +64,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return jaccard.join(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("row_nr", "class_nr")
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_scoring, op2_quality, op3_quality_rules, op4_decontamination, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_license_scan, op9_packing, op10_token_counts, op4_near_matches)
+    own = (op1_lm_scoring, op2_quality, op3_quality_rules, op4_decontamination, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_license_scan, op9_packing, op10_token_counts)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
@@ -158,10 +151,21 @@ dw AS (SELECT doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS x
        FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, sizes WHERE len(ws) >= n)),
 hit AS (SELECT DISTINCT doc_id, item_id, s, n FROM dw JOIN iw USING (n, x)),
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM hit) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM hit) GROUP BY doc_id),
+dp AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d),
+ip AS (SELECT nr, item_id, unnest(ws) AS w, unnest(range(len(ws))) AS off, least(10, len(ws)) AS n, len(ws) AS m FROM (SELECT *, row_number() OVER () AS nr FROM i)),
+often AS (SELECT w, count(*) AS c FROM dp GROUP BY w),
+ranked AS (SELECT ip.*, coalesce(c, 0) AS c FROM ip LEFT JOIN often USING (w)),
+anchor AS (SELECT DISTINCT nr, item_id, off FROM (SELECT a.nr, a.item_id, a.off, row_number() OVER (PARTITION BY a.nr, g.start ORDER BY a.c, a.off) AS r
+           FROM ranked a, LATERAL (SELECT unnest(range(greatest(0, a.off - a.n + 1), least(a.off, a.m - a.n) + 1)) AS start) g) WHERE r = 1),
+around AS (SELECT DISTINCT a.nr, a.off, b.w FROM anchor a JOIN ip b ON a.nr = b.nr AND b.off BETWEEN a.off - 9 AND a.off + 9),
+need AS (SELECT nr, off, ceil(0.8 * count(*) - 1e-9) AS least FROM around GROUP BY ALL),
+aligned AS (SELECT a.nr, a.item_id, a.off, dp.doc_id, dp.p FROM anchor a JOIN ip USING (nr, off) JOIN dp ON dp.w = ip.w),
+met AS (SELECT l.nr, l.item_id, l.off, l.doc_id, l.p, count(DISTINCT b.w) AS c FROM aligned l JOIN around b ON b.nr = l.nr AND b.off = l.off JOIN dp e ON e.doc_id = l.doc_id AND e.w = b.w AND e.p BETWEEN l.p - 9 AND l.p + 9 GROUP BY ALL),
+nears AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM (SELECT doc_id, item_id FROM met JOIN need USING (nr, off) WHERE c >= least UNION ALL SELECT doc_id, item_id FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN places USING (doc_id) LEFT JOIN its USING (doc_id)"""
+  sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nears USING (doc_id)"""
 
 _OP10 = f"""
 WITH c AS (SELECT source, lang, length(coalesce(text, ''))::BIGINT AS n_chars, len(regexp_extract_all(coalesce(text, ''), {_SPACED}))::BIGINT AS spaced,

@@ -1,4 +1,4 @@
-"""Folders and files that the driver and every executor can see."""
+"""Folders and files that the driver and every executor can see, and rows by their places in files."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import root, table
 
-__all__ = ["MOST_IDS", "numbered", "posix_folder", "put", "root", "small_batches", "table", "without"]
+__all__ = ["MOST_ROWS", "PLACE", "located", "picked", "posix_folder", "put", "root", "small_batches", "table", "without"]
 
 
 def _drop(path: str) -> None:
@@ -42,20 +42,46 @@ def put(path: str, data: bytes | memoryview) -> None:
     os.replace(part, path)
 
 
-#: Ids up to which a set of them is sent to every executor; beyond, texts are joined with it by shuffle.
-MOST_IDS = 1_000_000
+#: Where a row is: a hash of its file's path, and its place in the file.
+PLACE = ["__file", "__row"]
+#: Rows up to which a set of places is sent to every executor (two integers each); beyond, texts are joined with it by shuffle.
+MOST_ROWS = 500_000
 
 
-def without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key isn't in the one column of ``ids``; null keys stay."""
-    ids = table(docs.sparkSession, ids.toDF("__id"), "ids")
-    side = F.broadcast(ids) if ids.limit(MOST_IDS + 1).count() <= MOST_IDS else ids
-    return docs.join(side, docs[key] == side["__id"], "left_anti")
+def _scans(docs: DataFrame) -> bool:
+    """Whether ``docs`` is Parquet files with nothing but deterministic filters and projections on top."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
+        node = node.child()
+    if node.nodeName() != "LogicalRelation" or not node.relation().getClass().getName().endswith("HadoopFsRelation"):
+        return False
+    return node.relation().fileFormat().getClass().getName().endswith("ParquetFileFormat")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of its own for every row, ``__nr``; written, so that it stays the same."""
-    return table(docs.sparkSession, docs.withColumn("__nr", F.monotonically_increasing_id()), "numbered")
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ``PLACE``, which tell rows apart however often they are read.
+
+    Rows of Parquet files have a place already; anything else is written once and read back.
+    """
+    if not _scans(docs):
+        docs = table(docs.sparkSession, docs, "located")
+    at = docs.metadataColumn("_metadata")
+    return docs.withColumns({PLACE[0]: F.xxhash64(at["file_path"]), PLACE[1]: at["row_index"]})
+
+
+def _side(places: DataFrame) -> DataFrame:
+    places = table(places.sparkSession, places, "places")
+    return F.broadcast(places) if places.limit(MOST_ROWS + 1).count() <= MOST_ROWS else places
+
+
+def picked(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The ``located`` rows that stand in ``places``, with what else it says of them."""
+    return rows.join(_side(places), PLACE)
+
+
+def without(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The ``located`` rows that don't stand in ``places``, without their places."""
+    return rows.join(_side(places.select(*PLACE)), PLACE, "left_anti").drop(*PLACE)
 
 
 def small_batches(spark: SparkSession) -> None:

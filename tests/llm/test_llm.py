@@ -180,9 +180,26 @@ def test_decontamination_beyond_the_bounds(spark, small, monkeypatch):
     before = sorted(map(tuple, queries.op4_decontamination(spark, small).collect()))
     monkeypatch.setattr(decontam, "MOST_TERMS", 3)
     monkeypatch.setattr(decontam, "MOST_PLACES", 3)
+    monkeypatch.setattr(decontam, "MOST_TEXTS", 3)
+    monkeypatch.setattr(shared, "MOST_ROWS", 3)
     assert sorted(map(tuple, queries.op4_decontamination(spark, small).collect())) == before
 
 
+def test_one_index_answers_two_benchmarks(spark):
+    """Exact hits against brute force for each of two test sets, and no text is read for the second."""
+    rng = random.Random(11)
+    made = [[f"w{int(rng.paretovariate(0.6)) % 60}" for _ in range(rng.randint(0, 80))] for _ in range(60)]
+    cut = lambda n: " ".join((t := rng.choice(made))[(a := rng.randint(0, max(0, len(t) - n))) : a + n])
+    tests = [[(i, cut(rng.choice([1, 2, 9, 10, 11, 25]))) for i in range(12)] for _ in range(2)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(made)], "doc_id long, text string")
+    index = decontam.build(docs, ["doc_id"])
+    assert index.postings(spark).count() == sum(map(len, made)) + len(made)
+    for items in tests:
+        bench = spark.createDataFrame([*items, (None, " ".join(made[0][:12]))], "item_id long, text string")
+        got = decontam.answer(spark, decontam.Index(index.folder), bench).orderBy("doc_id").collect()
+        assert [(r.n_words, r.n_hit, r.n_items) for r in got] == [hits(" ".join(t), [*items, ("", " ".join(made[0][:12]))]) for t in made]
+
+
 def test_proximity(spark):
     item = [f"t{i}" for i in range(12)]
     df = spark.createDataFrame([(1, " ".join([*item[:6], "x", *item[6:]]))], "doc_id long, text string")
@@ -195,7 +212,7 @@ def test_near_matches_are_returned(spark, tmp_path):
     rows = [(1, " ".join([*item[:6], "x", *item[6:]])), (2, "nothing of it"), (3, " ".join(item)), (4, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = queries.queries()["op4_near_matches"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    got = queries.queries()["op4_decontamination"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [(r.doc_id, r.n_near_items, r.contaminated) for r in got] == [(1, 1, False), (2, 0, False), (3, 1, True), (4, 0, False)]
 
 
@@ -285,6 +302,25 @@ def test_keep_one_counts_rows(spark):
     assert Counter(map(tuple, jaccard.keep_one(spark.createDataFrame(alone, "doc_id long, text string")).collect())) == Counter(alone)
 
 
+def test_join_tells_rows_apart_by_place(spark):
+    """Ids that repeat with other texts, null ids and ids that are no numbers lose no link."""
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [("1", a), ("1", b), ("2", b + " x"), ("3", a + " x"), (None, a + " y"), (None, b), ("z", "alone"), (None, None), ("1", b)]
+    got = [{**r.asDict()} for r in jaccard.join(spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)).orderBy("row_nr").collect()]
+    links = brute_links([shingled(t) for _, t in rows])
+    assert [r["n_links"] for r in got] == [len(links[i]) for i in range(len(rows))]
+    assert [{j for j, x in enumerate(got) if x["class_nr"] == r["class_nr"]} for r in got] == [{*_component(i, links)} for i in range(len(rows))]
+    assert [r["class_id"] for r in got] == ["1", "1", "1", "1", "1", "1", "z", None, "1"]
+    assert [r["id"] for r in got] == [k for k, _ in rows]
+    kept = Counter(map(tuple, jaccard.keep_one(spark.createDataFrame(rows, "doc_id string, text string")).collect()))
+    assert kept == Counter([("1", a), ("1", b), ("z", "alone"), (None, None)])
+
+
+def test_stripes_give_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "STRIPE", 3)
+    test_jaccard_join(spark, monkeypatch, 16)
+
+
 def test_clean_counts_rows(spark):
     rows = [(1, "x alpha beta gamma"), (1, "not so"), (None, "alpha beta gamma"), (None, "nor this")]
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
