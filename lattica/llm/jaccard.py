@@ -94,7 +94,7 @@ def signatures(rows: DataFrame) -> DataFrame:
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     given = rows.select(*shared.PLACE, "id", F.when(wordless, F.xxhash64("text")).alias("bare"), "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    return given.mapInArrow(run, f"{kinds}, d1 long, d2 long, n long, sig binary")
+    return given.mapInArrow(shared.tidy(run), f"{kinds}, d1 long, d2 long, n long, sig binary")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 x, first = _sets(*shingles(block))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array([x[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["nr", "items"])
 
-    return rows.select("nr", "text").mapInArrow(run, "nr long, items binary")
+    return rows.select("nr", "text").mapInArrow(shared.tidy(run), "nr long, items binary")
 
 
 @lru_cache

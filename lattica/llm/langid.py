@@ -1,13 +1,15 @@
 """Language ID by mixture inference.
 
 Byte trigrams of words are counted for each language over all labelled rows. A text is a mixture:
-expectation-maximisation finds its languages' proportions with words as units, and languages are
-dropped, the smallest proportion first, as long as the likelihood penalised by the number of
-languages improves.
-
-Edge cases: a null text or one without a letter is ``und`` with score 0; ties go to the language
-first in code-point order; rows with a null language teach nothing; with no language to learn from,
-every text is ``und``.
+expectation-maximisation finds its languages' proportions with words as units, going on until no proportion
+moves, and languages are dropped, the smallest proportion first, as long as the likelihood penalised by the
+number of languages improves; each set of languages is fitted until it converges before it is compared.
+
+The table has 256 kB for each language in every worker, so more than ``MOST_LANGUAGES`` are an error, never left
+out. Edge cases: a null text or one without a letter is ``und`` with score 0; ties go to the language
+first in code-point order; rows with a null language teach nothing; with no language to learn from, and so from
+an empty table, every text is ``und``; repeated rows teach as often as they occur and get equal results; a very
+long text is a block of its own; extra columns, whatever their names, are carried by ``accept`` and never read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from . import bytescan as bs
 from . import shared
 
 BITS = 16
-MOST_LANGUAGES = 500
+MOST_LANGUAGES = 2000
+#: A proportion that moves by less has converged; rounds after which it is an error that one hasn't.
+STILL, MOST_ROUNDS = 1e-3, 10_000
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +48,7 @@ class Model:
     logs: np.ndarray  # language by hashed trigram
     penalty: float = 1.0
 
-    def proportions(self, block: bs.Block, rounds: int = 4) -> np.ndarray:
+    def proportions(self, block: bs.Block) -> np.ndarray:
         """Row by language; zeros for rows without words."""
         grams, _ = _trigrams(block.raw, block.offsets)
         starts, ends, first = bs.spans(block.raw, block.offsets, bs.LETTERS)
@@ -55,32 +59,69 @@ class Model:
         for k in range(size):
             sums = np.concatenate([[0.0], np.cumsum(self.logs[k][grams], dtype=np.float64)])
             like[k] = sums[ends] - sums[starts]
-        top = like.max(axis=0)
-        like = np.exp(like - top)
-
-        def fit(allowed: np.ndarray, share: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
-            share = np.where(allowed, np.maximum(share, 1e-9), 0)
-            share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-12)
-            for _ in range(times):
-                part = like * np.repeat(share.T, n, axis=1)
-                part /= np.maximum(part.sum(axis=0), 1e-300)
-                share = np.stack([bs.row_sums(p, first) for p in part], axis=1) / np.maximum(n, 1)[:, None]
-            whole = np.log(np.maximum((like * np.repeat(share.T, n, axis=1)).sum(axis=0), 1e-300))
-            return share, -2 * bs.row_sums(whole, first) + self.penalty * allowed.sum(axis=1) * np.log(np.maximum(n, 2))
-
-        allowed = np.ones((block.rows, size), bool)
-        share, _ = fit(allowed, np.ones((block.rows, size)), rounds)
-        allowed = (share >= 0.02) | (share == share.max(axis=1, keepdims=True))
-        best, cost = fit(allowed, share, 1)
-        share = best
-        for _ in range(int(allowed.sum(axis=1).max()) - 1):
-            least = np.where(allowed, share, np.inf).argmin(axis=1)
-            more = allowed.sum(axis=1) > 1
-            allowed[np.flatnonzero(more), least[more]] = False
-            share, now = fit(allowed, share, rounds - 1)
-            better = more & (now < cost)
-            best[better], cost[better] = share[better], now[better]
-        return np.where(n[:, None] > 0, best, 0)
+        like = np.exp(like - like.max(axis=0))
+
+        best = np.zeros((block.rows, size))
+        rows = np.flatnonzero(n)
+        best[rows] = fit(like, n[rows], np.full((len(rows), size), 1.0 / size))
+        allowed = (best >= 0.02) | (best == best.max(axis=1, keepdims=True))
+        rows = rows[allowed[rows].sum(axis=1) > 1]
+        # Rows of one language are settled; the others give up languages one by one.
+        if len(rows):
+            like, count, allowed = like[:, _ragged(first, rows)], n[rows], allowed[rows]
+            share = fit(like, count, np.where(allowed, best[rows], 0))
+            found, cost = share.copy(), self.cost(like, count, share, allowed)
+            while (more := allowed.sum(axis=1) > 1).any():
+                least = np.where(allowed, share, np.inf).argmin(axis=1)
+                allowed[np.flatnonzero(more), least[more]] = False
+                share = fit(like, count, np.where(allowed, np.maximum(share, 1e-3), 0))
+                now = self.cost(like, count, share, allowed)
+                better = more & (now < cost)
+                found[better], cost[better] = share[better], now[better]
+            best[rows] = found
+        rest = np.flatnonzero(n)
+        rest = rest[~np.isin(rest, rows)]
+        best[rest] = best[rest] == best[rest].max(axis=1, keepdims=True)
+        top = best.argmax(axis=1)  # of equal ones the first
+        single = np.zeros_like(best)
+        single[np.arange(len(best)), top] = 1.0
+        best[rest] = single[rest]
+        return best
+
+    def cost(self, like: np.ndarray, n: np.ndarray, share: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        """Penalised likelihood of each row's words; the less the better."""
+        first = np.concatenate([[0], np.cumsum(n)])
+        whole = np.log(np.maximum((like * np.repeat(share.T, n, axis=1)).sum(axis=0), 1e-300))
+        return -2 * bs.row_sums(whole, first) + self.penalty * allowed.sum(axis=1) * np.log(np.maximum(n, 2))
+
+
+def _ragged(first: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the words of some rows."""
+    n = np.diff(first)[rows]
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[rows] - (ends - n), n)
+
+
+def fit(like: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Proportions, row by language, at which expectation-maximisation stands still. ``like``: language by word,
+    the words of row after row, ``n`` of each; a language without a share at first gets none."""
+    share = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
+    out = share.copy()
+    active = np.arange(len(n))
+    for _ in range(MOST_ROUNDS):
+        if not len(active):
+            return out
+        first = np.concatenate([[0], np.cumsum(n)])
+        part = like * np.repeat(share.T, n, axis=1)
+        part /= np.maximum(part.sum(axis=0), 1e-300)
+        new = np.stack([bs.row_sums(p, first) for p in part], axis=1) / n[:, None]
+        moves = np.abs(new - share).max(axis=1) >= STILL
+        share = new
+        out[active] = share
+        if moves.sum() <= 0.8 * len(active):  # go on with those that move
+            keep = np.flatnonzero(moves)
+            like, n, share, active = like[:, _ragged(first, keep)], n[keep], share[keep], active[keep]
+    raise ArithmeticError("expectation-maximisation doesn't converge")
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
@@ -106,7 +147,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
 
     counts = np.zeros(size << BITS)
     if size:
-        for r in rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().itertuples():
+        for r in rows.mapInArrow(shared.tidy(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().itertuples():
             counts[r.key] = r.n
     counts = counts.reshape(size, 1 << BITS) + 0.5
     return Model(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
@@ -134,7 +175,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                     [*(c.slice(block.first, block.rows) for c in batch.columns[:-1]), pa.array(names[top], pa.string()), pa.array(np.minimum(best, 1.0)), pa.array((share >= 0.02).sum(axis=1))],
                     [*batch.schema.names[:-1], "lang_pred", "score", "n_languages"])
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, n_languages long")
+    return rows.mapInArrow(shared.tidy(run), f"{schema}, lang_pred string, score double, n_languages long")
 
 
 def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

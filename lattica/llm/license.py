@@ -1,13 +1,16 @@
 """License scan by a positional index of rare words.
 
 The words of all templates are counted over every text, which gives their inverse document
-frequencies. Each template is looked up by its rarest words: where one stands in a text, the
-template is laid at the position that aligns them, its other words are compared at their relative
-positions, and an alignment counts if words of most of the template's weight agree and the mandatory
-key phrases of the license, its version among them, stand there.
-
-Edge cases: a null text has no words; overlapping places of a phrase all count; equal rows get equal
-results; with no documents there are no rows; extra columns are never read.
+frequencies. Each text is looked up by its own license words of highest inverse document frequency: as many
+as are needed so that those left out couldn't make up the least share of any template alone. Each of their
+places, less the word's places in a template, lays the template there; laid templates are compared at all
+relative positions, and one counts if words of most of the template's weight agree and the mandatory key
+phrases of the license, its version among them, stand there.
+
+Edge cases: a null text has no words; overlapping places of a phrase all count; a template may begin before
+a text or end behind it, and what is missing doesn't agree; of equally rare words those first in hash order
+are looked up, which no result depends on; equal rows get equal results; a very long text is a block of its own;
+with no documents there are no rows; extra columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -43,13 +46,21 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("boost-1", "distributed under the boost software license version 1 0", ("boost software license version 1",)),
+    ("epl-2", "made available under the terms of the eclipse public license v 2 0", ("eclipse public license v 2",)),
 )
-RAREST, LEAST = 3, 0.6
+LEAST = 0.6
+#: Words around a laid template in which its key phrases may stand.
+SLACK = 2
 
 
 @dataclass
 class Index:
-    """Template words as codes in hash order, their weights, and postings of each template's rarest ones."""
+    """Template words as codes in hash order, their weights, and the postings of all of them."""
 
     hashes: np.ndarray
     weights: np.ndarray
@@ -57,6 +68,60 @@ class Index:
     postings: dict[int, list[tuple[int, int]]]
     keys: list[list[np.ndarray]]
 
+    def __post_init__(self):
+        self.order = np.argsort(-self.weights, kind="stable")
+        self.totals = np.array([self.weights[t].sum() for t in self.templates])
+        #: What each word, from the rarest, weighs in each template.
+        self.shares = np.array([np.bincount(t, self.weights[t], len(self.weights)) for t in self.templates])[:, self.order] / self.totals[:, None]
+
+    def rarest(self, present: np.ndarray) -> np.ndarray:
+        """Rows by words: the rarest words present, so many that the others weigh less than ``LEAST`` of each template."""
+        ranked = present[:, self.order]
+        need = np.zeros(len(present), np.int64)
+        for share in self.shares:
+            behind = np.cumsum((ranked * share)[:, ::-1], axis=1)[:, ::-1]  # weight of this word and the commoner ones
+            np.maximum(need, (behind >= LEAST - 1e-9).sum(axis=1), out=need)
+        out = np.zeros_like(present)
+        out[:, self.order] = ranked & (np.arange(present.shape[1]) < need[:, None])
+        return out
+
+    def laid(self, codes: np.ndarray, row: np.ndarray, first: np.ndarray) -> dict[int, dict[str, float]]:
+        """By row, the labels of the templates that fit somewhere, with the largest share of weight that agrees."""
+        rows = len(first) - 1
+        at = np.flatnonzero(codes >= 0)
+        present = np.zeros((rows, len(self.weights)), bool)
+        present[row[at], codes[at]] = True
+        at = at[self.rarest(present)[row[at], codes[at]]]
+        own = codes[at]
+        reach = max(map(len, self.templates)) + SLACK
+        starts: list[list[np.ndarray]] = [[] for _ in self.templates]
+        for code in np.unique(own).tolist():
+            here = at[own == code]
+            for k, place in self.postings[code]:
+                starts[k].append(row[here] * (len(codes) + 2 * reach) + here - place + reach)
+        out: dict[int, dict[str, float]] = {}
+        for k, found in enumerate(starts):
+            if not found:
+                continue
+            r, s = np.divmod(np.unique(np.concatenate(found)), len(codes) + 2 * reach)
+            s -= reach
+            lo, hi = first[r], first[r + 1]
+            share = np.zeros(len(r))
+            for j, code in enumerate(self.templates[k].tolist()):
+                inside = (s + j >= lo) & (s + j < hi)
+                share += self.weights[code] * (inside & (codes[np.clip(s + j, 0, len(codes) - 1)] == code))
+            share /= self.totals[k]
+            good = share >= LEAST - 1e-9
+            for key in self.keys[k]:
+                places = _places(codes, row, key)
+                a, z = np.maximum(lo, s - SLACK), np.minimum(hi, s + len(self.templates[k]) + SLACK) - len(key)
+                good &= np.searchsorted(places, a) < np.searchsorted(places, z, "right")
+            label = TEMPLATES[k][0]
+            for x, v in zip(r[good].tolist(), share[good].tolist(), strict=True):
+                had = out.setdefault(x, {})
+                had[label] = max(had.get(label, 0.0), min(v, 1.0))
+        return out
+
 
 def _vocabulary() -> list[str]:
     texts = [*BASE.values(), *(t for _, t, _ in TEMPLATES), *(k for _, _, ks in TEMPLATES for k in ks)]
@@ -88,7 +153,7 @@ def build(docs: DataFrame, text: str = "text") -> Index:
                 total[-1] += block.rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["code", "n"])
 
-    found = {r.code: r.n for r in docs.select(text).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()}  # a row a word
+    found = {r.code: r.n for r in docs.select(text).mapInArrow(shared.tidy(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()}  # a row a word
     rows = found.get(len(names), 0)
     weights = np.log((rows + 1) / np.array([found.get(k, 0) + 0.5 for k in range(len(names))])) + 1e-3
     code = {w: k for k, w in enumerate(names)}
@@ -96,10 +161,10 @@ def build(docs: DataFrame, text: str = "text") -> Index:
     templates = [as_codes(t) for _, t, _ in TEMPLATES]
     postings: dict[int, list[tuple[int, int]]] = {}
     for k, words in enumerate(templates):
-        rare = sorted(set(words.tolist()), key=lambda c: (-weights[c], c))[:RAREST]
         for at, c in enumerate(words.tolist()):
-            if c in rare:
-                postings.setdefault(c, []).append((k, at))
+            postings.setdefault(c, []).append((k, at))
+    for c in range(len(names)):  # words of base phrases alone
+        postings.setdefault(c, [])
     return Index(hashes, weights, templates, postings, [[as_codes(p) for p in ks] for _, _, ks in TEMPLATES])
 
 
@@ -121,30 +186,6 @@ def scan(docs: DataFrame, index: Index, keep: list[str], text: str = "text") ->
     code = {w: k for k, w in enumerate(_vocabulary())}
     base = {label: np.array([code[w] for w in phrase.split()], np.int32) for label, phrase in BASE.items()}
 
-    def laid(codes: np.ndarray, lo: int, hi: int) -> dict[str, float]:
-        """Labels of the templates that fit words lo to hi, with the share of weight that agrees."""
-        out: dict[str, float] = {}
-        tried = set()
-        for at in (lo + np.flatnonzero(anchors[codes[lo:hi]])).tolist():
-            for k, place in index.postings.get(int(codes[at]), ()):
-                start = at - place
-                if (k, start) in tried:
-                    continue
-                tried.add((k, start))
-                words = index.templates[k]
-                a, z = max(start, lo), min(start + len(words), hi)
-                agree = codes[a:z] == words[a - start : z - start]
-                share = float(index.weights[words[a - start : z - start]][agree].sum() / index.weights[words].sum())
-                if share >= LEAST:
-                    around = codes[max(lo, start - 2) : min(hi, start + len(words) + 2)]
-                    if all(len(_places(around, np.zeros(len(around), np.int8), key)) for key in index.keys[k]):
-                        label = TEMPLATES[k][0]
-                        out[label] = max(out.get(label, 0.0), min(share, 1.0))
-        return out
-
-    anchors = np.zeros(len(index.hashes) + 1, bool)  # the last stands for code -1
-    anchors[list(index.postings)] = True
-
     def run(batches):
         for batch in batches:
             for block in bs.blocks(batch.column(batch.num_columns - 1)):
@@ -161,9 +202,8 @@ def scan(docs: DataFrame, index: Index, keep: list[str], text: str = "text") ->
                     np.maximum.at(high, own, at - first[own])
                     for r in np.unique(own):
                         of_base[r].add(label)
-                method: list[dict[str, float]] = [{} for _ in range(block.rows)]
-                for r in np.unique(row[anchors[codes]]):
-                    method[r] = laid(codes, int(first[r]), int(first[r + 1]))
+                found = index.laid(codes, row, first)
+                method = [found.get(r, {}) for r in range(block.rows)]
                 none = n_base == 0
                 score = [1.0 if b else max(m.values(), default=0.0) for b, m in zip(of_base, method, strict=True)]
                 cols = {
@@ -172,4 +212,4 @@ def scan(docs: DataFrame, index: Index, keep: list[str], text: str = "text") ->
                 }
                 yield pa.RecordBatch.from_arrays([*(c.slice(block.first, block.rows) for c in batch.columns[:-1]), *cols.values()], [*batch.schema.names[:-1], *cols])
 
-    return rows.mapInArrow(run, f"{schema}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return rows.mapInArrow(shared.tidy(run), f"{schema}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

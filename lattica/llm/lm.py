@@ -5,8 +5,11 @@ the workers that score. No table of words or bigrams passes through the driver:
 totals for each file. Frequent first words are dealt out over several files, so none grows with
 one word's share.
 
+Counts are exact at any size; word ids have 32 bits, and more distinct words than these are an error.
+
 Edge cases: a null or empty text has one token, its end; a model of no documents knows no token and
-gives every token the probability 1; repeated rows count as often as they occur; extra columns are
+gives every token the probability 1; repeated rows count as often as they occur; a very long text is a
+block of its own; words with equal 64-bit hashes are one word; extra columns, whatever their names, are
 never read.
 """
 
@@ -27,6 +30,7 @@ from . import shared
 
 END = bs.word_hash(" end ")  # has spaces, so no word equals it
 UNKNOWN, START = 0xFFFFFFFF, 0xFFFFFFFE
+MANY = 0xFFFFFFFF  # pairs that occur so often or more have their counts in a file of their own
 FLUSH = 3_000_000
 PACKED = "bucket int, keys binary, counts binary"
 
@@ -184,7 +188,12 @@ class Model:
             own = _mapped(f"{self.words.folder}/pair-{b}.keys", np.uint64)
             if len(own):
                 at = np.minimum(np.searchsorted(own, distinct[rows]), len(own) - 1)
-                out[rows] = np.where(own[at] == distinct[rows], _mapped(f"{self.words.folder}/pair-{b}.counts", np.uint32)[at], 0)
+                found = np.where(own[at] == distinct[rows], _mapped(f"{self.words.folder}/pair-{b}.counts", np.uint32)[at], 0).astype(float)
+                if (found >= MANY).any():
+                    many, counts = _mapped(f"{self.words.folder}/pair-{b}.many", np.uint64).reshape(2, -1)
+                    big = found >= MANY
+                    found[big] = counts[np.searchsorted(many, distinct[rows][big])]
+                out[rows] = found
         return out
 
     def score(self, block: bs.Block) -> dict[str, np.ndarray]:
@@ -236,7 +245,7 @@ def _count_words(spark: SparkSession, texts: DataFrame, folder: str, n: int, thr
         often = np.flatnonzero(counts > threshold)
         return pd.DataFrame({"bucket": [b], "size": [len(keys)], "total": [int(counts.sum())], "often": [often.astype(np.int64).tolist()], "counts": [counts[often].astype(np.int64).tolist()]})
 
-    done = texts.mapInArrow(count, PACKED).groupBy("bucket").applyInPandas(store, "bucket int, size long, total long, often array<long>, counts array<long>").collect()
+    done = texts.mapInArrow(shared.tidy(count), PACKED).groupBy("bucket").applyInPandas(store, "bucket int, size long, total long, often array<long>, counts array<long>").collect()
     sizes = np.zeros(n, np.int64)
     for r in done:
         sizes[r.bucket] = r.size
@@ -269,7 +278,8 @@ def _count_pairs(spark: SparkSession, texts: DataFrame, words: Vocabulary, n: in
         b = int(rows["bucket"].iloc[0])
         keys, counts = _merged(rows)
         shared.put(f"{folder}/pair-{b}.keys", keys.tobytes())
-        shared.put(f"{folder}/pair-{b}.counts", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes())
+        shared.put(f"{folder}/pair-{b}.counts", np.minimum(counts, MANY).astype(np.uint32).tobytes())
+        shared.put(f"{folder}/pair-{b}.many", np.stack([keys[counts >= MANY], counts[counts >= MANY]]).astype(np.uint64).tobytes())
         out = [{"range": -1, "kind": "n", "ids": b"", "data": np.array([*(np.sum(counts == k) for k in (1, 2, 3, 4)), len(keys)], np.float64).tobytes()}]
         left = keys >> np.uint64(32)
         at = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
@@ -279,13 +289,13 @@ def _count_pairs(spark: SparkSession, texts: DataFrame, words: Vocabulary, n: in
             out.append({"range": -1, "kind": "start", "ids": b"", "data": sums[:, -1].tobytes()})
             own, sums = own[:-1], sums[:, :-1]
         right, followed = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-        for kind, ids, data in (("left", own, sums.astype(np.float32)), ("right", right, followed.astype(np.uint32)[None])):
+        for kind, ids, data in (("left", own, sums), ("right", right, followed.astype(np.uint32)[None])):
             cuts = np.flatnonzero(np.concatenate([[True], ids[1:] // span != ids[:-1] // span, [True]])) if len(ids) else []
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 out.append({"range": int(ids[a]) // span, "kind": kind, "ids": bs.planes(ids[a:z].astype(np.uint32)), "data": bs.planes(np.ascontiguousarray(data[:, a:z]).reshape(-1))})
         return pd.DataFrame(out)
 
-    done = texts.mapInArrow(count, PACKED).groupBy("bucket").applyInPandas(store, "range int, kind string, ids binary, data binary")
+    done = texts.mapInArrow(shared.tidy(count), PACKED).groupBy("bucket").applyInPandas(store, "range int, kind string, ids binary, data binary")
     return shared.table(spark, done, "pair-totals")
 
 
@@ -300,7 +310,7 @@ def _word_totals(words: Vocabulary, totals: DataFrame, discounts: np.ndarray, sp
                 own = held.setdefault(r, [np.zeros((4, size)), np.zeros(size, np.uint32)])
                 ids = bs.unplanes(ids, np.uint32).astype(np.int64) - r * span
                 if kind == "left":
-                    own[0][:, ids] += bs.unplanes(data, np.float32).reshape(4, -1)
+                    own[0][:, ids] += bs.unplanes(data, np.float64).reshape(4, -1)
                 else:
                     own[1][ids] += bs.unplanes(data, np.uint32)
         for r, (sums, followed) in held.items():
@@ -350,7 +360,7 @@ def train(texts: DataFrame, text: str = "text", file_bytes: int = 32 << 20, span
     few = {r.kind: np.sum([np.frombuffer(x, np.float64) for x in r.data], axis=0) for r in few}  # one short row for each file
     of_pairs, start = few.get("n", np.zeros(5)), few.get("start", np.zeros(4))
     for b in range(n):
-        for kind in ("keys", "counts"):
+        for kind in ("keys", "counts", "many"):
             if not os.path.exists(f"{folder}/pair-{b}.{kind}"):
                 shared.put(f"{folder}/pair-{b}.{kind}", b"")
     d = _discounts(list(of_pairs[:4]))
@@ -374,7 +384,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(block.first, block.rows) for c in batch.columns[:-1]), *(pa.array(x) for x in got.values())], [*batch.schema.names[:-1], *got])
 
-    return rows.mapInArrow(run, f"{schema}, n_tokens long, n_known long, base_score double, score double")
+    return rows.mapInArrow(shared.tidy(run), f"{schema}, n_tokens long, n_known long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ with the least padding. Inside each bucket documents are dealt by hash to shards
 of rows, and every shard is cut into batches under a token budget.
 
 Edge cases: a null or empty text has length 1, its end id; a document longer than the budget is a
-batch of its own; equal ids are told apart by nothing and may swap places; an empty table gives no
-rows; extra columns stay untouched.
+batch of its own; equal ids, null ones too, are told apart by nothing and may swap places; an empty table
+gives no rows; extra columns stay untouched, but one that has the name of a column added here gives way to it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from . import bytescan as bs
 from . import pieces, shared
 
 BUCKETS, BUDGET, SHARD_BATCHES = 16, 65_536, 64
+ADDED = ("bucket", "bucket_size", "batch_id", "place", "padding")
 
 
 def lengths(docs: DataFrame, keep: list[str], tokenizer: str, text: str = "text") -> DataFrame:
@@ -38,7 +39,7 @@ def lengths(docs: DataFrame, keep: list[str], tokenizer: str, text: str = "text"
                 n = table.count(block) + 1
                 yield pa.RecordBatch.from_arrays([*(c.slice(block.first, block.rows) for c in batch.columns[:-1]), pa.array(n, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
 
-    return rows.mapInArrow(run, f"{schema}, n_tokens long")
+    return rows.mapInArrow(shared.tidy(run), f"{schema}, n_tokens long")
 
 
 def boundaries(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -99,6 +100,7 @@ def plan(sized: DataFrame, length: str = "n_tokens", buckets: int = BUCKETS, bud
 
 def pack(sized: DataFrame, how: Plan, key: str = "doc_id", length: str = "n_tokens") -> DataFrame:
     """Adds bucket, bucket_size, batch_id, place (in the batch) and padding to every row."""
+    sized = sized.drop(*(c for c in sized.columns if c.lower() in ADDED and c not in (key, length)))
     if not how.ends:
         return sized.select("*", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_size"), F.lit("").alias("batch_id"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("padding"))
     n = F.col(length)

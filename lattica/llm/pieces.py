@@ -9,7 +9,7 @@ may have the text of an added token, is encoded directly. The ids are those of e
 one call.
 
 Edge cases: a null or empty text has no ids; a table of no texts is empty; repeated rows cost
-nothing; extra columns are never read.
+nothing; a very long text is a block of its own; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -234,8 +234,8 @@ def build(docs: DataFrame, tokenizer: str, text: str = "text") -> Table:
         pieces = b" ".join(rows["pieces"]).split(b" ")
         keys, index = np.unique(keys, return_index=True)
         ends, ids = [np.zeros(1, np.int64)], []
-        for lo in range(0, len(index), 50_000):
-            part = index[lo : lo + 50_000].tolist()
+        for lo in range(0, len(index), 10_000):
+            part = index[lo : lo + 10_000].tolist()
             got = encoder(tokenizer).tokenizer.encode_batch_fast([("" if bares[i] else " ") + pieces[i].decode() for i in part], add_special_tokens=False)
             lists = [e.ids for e in got]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -243,10 +243,11 @@ def build(docs: DataFrame, tokenizer: str, text: str = "text") -> Table:
             ends.append(ends[-1][-1] + np.cumsum(sizes))
         for kind, data in (("keys", keys), ("checks", checks[index]), ("ends", np.concatenate(ends).astype(np.uint32)), ("ids", np.concatenate(ids) if ids else np.zeros(0, dtype))):
             shared.put(f"{folder}/piece-{b}.{kind}", data.tobytes())
+        shared.give_back()
         return pd.DataFrame({"bucket": [b]})
 
     dtype = "<u2" if encoder(tokenizer).tokenizer.get_vocab_size() <= 65536 else "<u4"
-    made = texts.mapInArrow(collect, "bucket int, keys binary, checks binary, bares binary, pieces binary").groupBy("bucket").applyInPandas(store, "bucket int")
+    made = texts.mapInArrow(shared.tidy(collect), "bucket int, keys binary, checks binary, bares binary, pieces binary").groupBy("bucket").applyInPandas(store, "bucket int")
     have = {r.bucket for r in made.collect()}  # a row for each file
     for b in {*range(n)} - have:
         for kind in ("keys", "checks", "ends", "ids"):

@@ -8,7 +8,9 @@ non-negative unbiased risk under that prior. Labels of bad quality are not used
 
 Edge cases: a null or empty text has zero counts and gets a score like any other; a label row
 without a text, or with a null quality, is not used; several labels of one id count as positive if
-any is 1; without positives the score is 0.5 for every row.
+any is 1; without positives, and so with an empty table, the score is 0.5 for every row; repeated rows
+get equal scores; a very long text is a block of its own; extra columns, whatever their names, are carried
+by ``accept`` and never read.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 at = pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32())
                 yield pa.RecordBatch.from_arrays([*(c.slice(block.first, block.rows) for c in batch.columns[:-1]), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], [*batch.schema.names[:-1], "x"])
 
-    return rows.mapInArrow(run, f"{schema}, x array<float>")
+    return rows.mapInArrow(shared.tidy(run), f"{schema}, x array<float>")
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -126,6 +128,24 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.0
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
 
+def risk(z: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, float]:
+    """The positive part and the negative part of the unbiased risk with the sigmoid loss l(z) = sigmoid(-z): the
+    non-negative risk is the first and what the second is above 0."""
+    s = _sigmoid(z)
+    return prior * float((1 - s[is_p]).mean()), float(s[~is_p].mean() - prior * s[is_p].mean())
+
+
+def risk_slope(z: np.ndarray, is_p: np.ndarray, prior: float) -> np.ndarray:
+    """By each margin, what to descend along: the slope of both parts; where the negative part is below 0 (an overfit), it alone is climbed."""
+    s = _sigmoid(z)
+    d = s * (1 - s)
+    n, m = int(is_p.sum()), int((~is_p).sum())
+    of_negative = np.where(is_p, -prior * d / n, d / m)
+    if risk(z, is_p, prior)[1] < 0:
+        return -of_negative
+    return of_negative + np.where(is_p, -prior * d / n, 0)
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, hidden: int = 12, steps: int = 400, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled]) if len(positive) else unlabelled
@@ -148,22 +168,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, hidden: int = 12, steps: i
         margin[fold == k] = other.margin(both[fold == k])
     prior = class_prior(margin[is_p], margin[~is_p])
 
-    def slope(z: np.ndarray) -> np.ndarray:
-        """Of the non-negative risk with the sigmoid loss l(z) = sigmoid(-z)."""
-        s = _sigmoid(z)
-        d = s * (1 - s)
-        negative = s[~is_p].mean() - prior * s[is_p].mean()
-        of_negative = np.where(is_p, -prior * d / n, d / m)
-        if negative < 0:  # overfitted: climb back
-            return -of_negative
-        return of_negative + np.where(is_p, -prior * d / n, 0)
-
     model.layers = fresh()
     model.prior = prior
     _descend(model, both, lambda z: weight * (_sigmoid(z) - is_p), 60, 0.03)
     shift = np.log(max(prior, 1e-3) / (1 - prior + 1e-3))
     model.layers[3] = model.layers[3] + shift
-    _descend(model, both, slope, steps, 0.02)
+    _descend(model, both, lambda z: risk_slope(z, is_p, prior), steps, 0.02)
     return model
 
 

@@ -84,28 +84,31 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates are inserted, revised by exact counts (a batch sent twice), a second tokenizer's counts
-    inserted, and documents without words deleted again."""
+    """Estimates by characters are inserted, revised by a tokenizer's exact counts (a batch sent twice), counts by
+    words inserted as a second version, and what texts without a word counted deleted again; the batches are folded
+    into one in between."""
     text = F.coalesce("text", F.lit(""))
-    counted = documents(spark, sf_dir).select(
-        "source", "lang", F.char_length(text).cast("long").alias("n_chars"),
-        F.size(F.array_remove(F.split(text, rules.SPACE + "+"), "")).cast("long").alias("spaced"), F.size(decontam.words(F.col("text"))).cast("long").alias("alnum"))
-    counted = shared.table(spark, counted, "counted")
+    docs = documents(spark, sf_dir).select(
+        "text", "source", "lang", F.char_length(text).cast("long").alias("n_chars"),
+        F.size(F.array_remove(F.split(text, rules.SPACE + "+"), "")).cast("long").alias("spaced"))
+    counted = shared.table(spark, packing.lengths(docs, ["source", "lang", "n_chars", "spaced"], tokenizer_path()), "counted")
+    counted = counted.withColumn("exact", F.col("n_tokens") - 1).drop("n_tokens")  # without an end
     folder = f"{shared.root(spark)}/rollup-{uuid.uuid4().hex}"
-    guess = F.ceil(F.col("n_chars") / 5).cast("long")
     none = F.lit(0).cast("long")
 
     def changes(op: str, tokenizer: str, new: Column, old: Column = none, old_chars: Column = none, rows: DataFrame = counted) -> DataFrame:
         return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), new.alias("n_tokens"), old.alias("old_tokens"), F.col("n_chars"), old_chars.alias("old_chars"))
 
-    chars, first, second = F.col("n_chars"), F.col("spaced"), F.col("alnum")
-    revised = changes("revise", "spaced-1", first, guess, chars)
-    rollup.commit(spark, folder, "insert spaced-1", changes("insert", "spaced-1", guess))
-    rollup.commit(spark, folder, "revise spaced-1", revised)
-    rollup.commit(spark, folder, "revise spaced-1", revised)
-    rollup.commit(spark, folder, "insert alnum-1", changes("insert", "alnum-1", second))
-    empty = changes("delete", "spaced-1", none, first, chars, counted.filter("spaced = 0")).unionByName(changes("delete", "alnum-1", none, second, chars, counted.filter("spaced = 0")))
-    rollup.commit(spark, folder, "delete empty", empty)
+    chars, exact, words = F.col("n_chars"), F.col("exact"), F.col("spaced")
+    version, guess = TOKENIZER.removesuffix(".json"), F.ceil(F.col("n_chars") / 4).cast("long")
+    revised = changes("revise", version, exact, guess, chars)
+    rollup.commit(spark, folder, f"insert {version}", changes("insert", version, guess))
+    rollup.commit(spark, folder, f"revise {version}", revised)
+    rollup.compact(spark, folder)
+    rollup.commit(spark, folder, f"revise {version}", revised)
+    rollup.commit(spark, folder, "insert words-1", changes("insert", "words-1", words))
+    bare = counted.filter("spaced = 0")
+    rollup.commit(spark, folder, "delete bare", changes("delete", version, none, exact, chars, bare).unionByName(changes("delete", "words-1", none, words, chars, bare)))
     return rollup.totals(spark, folder)
 
 
@@ -135,7 +138,7 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''
       FROM w LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, greatest(n_words, 1) AS n, greatest(word_chars, 1) AS c FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (NOT base_failed AND word_chars / n >= 2 AND word_chars / n <= 15 AND n_symbols / n <= 0.1 AND shouts / n <= 0.3 AND stop_words >= 2
+  (NOT base_failed AND word_chars / n >= 2 AND word_chars / n <= 15 AND n_symbols / n <= 0.1 AND shouts / n <= 0.3 AND stop_words / n >= 0.06
    AND n_dup_lines / greatest(n_lines, 1) <= 0.3 AND upper / c <= 0.4) AS kept
 FROM b"""
 
@@ -167,16 +170,8 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
   sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nears USING (doc_id)"""
 
-_OP10 = f"""
-WITH c AS (SELECT source, lang, length(coalesce(text, ''))::BIGINT AS n_chars, len(regexp_extract_all(coalesce(text, ''), {_SPACED}))::BIGINT AS spaced,
-             len(regexp_extract_all({_LOW}, {_ALNUM}))::BIGINT AS alnum FROM documents)
-SELECT source, lang, 'spaced-1' AS tokenizer, count(*)::BIGINT AS n_docs, sum(spaced)::BIGINT AS n_tokens, sum(n_chars)::BIGINT AS n_chars FROM c WHERE spaced > 0 GROUP BY ALL
-UNION ALL
-SELECT source, lang, 'alnum-1', count(*)::BIGINT, sum(alnum)::BIGINT, sum(n_chars)::BIGINT FROM c WHERE spaced > 0 GROUP BY ALL"""
-
-
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op3_quality_rules": _OP3, "op4_decontamination": _OP4, "op10_token_counts": _OP10}
+    found = {"op3_quality_rules": _OP3, "op4_decontamination": _OP4}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

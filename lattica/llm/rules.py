@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one Spark projection, without user functions.
 
 Edge cases: a null text has no words and fails the base rule; a text without lines or windows has
-none repeated; rows with equal texts get equal verdicts; extra columns are never read.
+none repeated; rows with equal texts get equal verdicts; a value at a threshold keeps its row; a very long text is
+read whole; an empty table gives no rows; extra columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ TABLE = (
     Rule("mean_word_chars", 2.0, 15.0),
     Rule("symbol_ratio", most=0.1),
     Rule("shout_ratio", most=0.3),
-    Rule("stop_words", least=2),
+    Rule("stop_word_ratio", least=0.06),
     Rule("dup_line_ratio", most=0.3),
     Rule("upper_ratio", most=0.4),
 )
@@ -96,7 +97,7 @@ def metrics(text: Column) -> Column:
             p["w"]["n_words"].alias("n_words"), p["w"]["word_chars"].alias("word_chars"), p["s"].alias("n_symbols"),
             p["l"]["n_dup_lines"].alias("n_dup_lines"), p["w"]["n_repeat_words"].alias("n_repeat_words"), p["w"]["stop_words"].alias("stop_words"),
             (p["w"]["word_chars"] / n).alias("mean_word_chars"), (p["s"] / n).alias("symbol_ratio"), (p["e"] / n).alias("shout_ratio"),
-            (p["l"]["n_dup_lines"] / F.greatest(p["l"]["n_lines"], F.lit(1))).alias("dup_line_ratio"), (p["u"] / chars).alias("upper_ratio"),
+            (p["w"]["stop_words"] / n).alias("stop_word_ratio"), (p["l"]["n_dup_lines"] / F.greatest(p["l"]["n_lines"], F.lit(1))).alias("dup_line_ratio"), (p["u"] / chars).alias("upper_ratio"),
         )
 
     return let(parts, ratios)

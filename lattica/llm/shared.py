@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
 import shutil
 import uuid
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..storage import root, table
 
-__all__ = ["MOST_ROWS", "PLACE", "located", "picked", "posix_folder", "put", "root", "small_batches", "table", "without"]
+__all__ = ["MOST_ROWS", "PLACE", "located", "picked", "give_back", "posix_folder", "put", "root", "small_batches", "table", "tidy", "without"]
 
 
 def _drop(path: str) -> None:
@@ -85,5 +87,29 @@ def without(rows: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Arrow batches small enough for long texts; the session keeps the setting, as its queries run later."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def tidy(run):
+    """``run`` over a partition, after which the worker gives back memory that its allocators hold."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

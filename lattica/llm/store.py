@@ -8,8 +8,9 @@ Files below the store's folder: ``encoded`` (rows of kind 'chunk': digests, the
 little-endian unsigned integers of 16 bits, or of 32 behind a zero byte), ``recipes`` (doc_id, n_tokens, start, digests; ascending ids, in files by ranges of ids)
 and ``manifest`` (a Merkle root for each file of recipes and one over all).
 
-Edge cases: a null or empty text is the end id alone; rows that share an id are separate documents
-next to each other, equal ones in any order; an empty table is an empty store; extra columns are
+Edge cases: a null or empty text is the end id alone; ids may be of any type with an order, null ones come
+first; rows that share an id are separate documents next to each other, equal ones in any order; a very long
+text is a recipe of many chunks; an empty table is an empty store; extra columns, whatever their names, are
 never read.
 """
 
@@ -89,7 +90,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: st
     """Encode every row and write the store's files. ``folder`` is a path that Spark can write."""
     spark = docs.sparkSession
     shared.small_batches(spark)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
     table = pieces.build(rows, tokenizer)
 
     def encode(batches):
@@ -112,7 +114,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: st
                 rows, size = batch.column(0).slice(block.first, block.rows), len(keys)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(["chunk"] * size + ["recipe"] * block.rows), pa.concat_arrays([pa.nulls(size, pa.int64()), rows]), pa.array([None] * size + np.diff(starts).tolist(), pa.int64()),
+                        pa.array(["chunk"] * size + ["recipe"] * block.rows), pa.concat_arrays([pa.nulls(size, rows.type), rows]), pa.array([None] * size + np.diff(starts).tolist(), pa.int64()),
                         pa.array(keys + [b"".join(x) for x in of], pa.binary()), pa.array(data + [None] * block.rows, pa.binary()),
                     ],
                     ["kind", "doc_id", "n_tokens", "digests", "ids"],
@@ -129,10 +131,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: st
                     new.append(r)
             yield batch.take(pa.array(new, pa.int64()))
 
-    schema = "kind string, doc_id long, n_tokens long, digests binary, ids binary"
+    schema = f"kind string, doc_id {id_type}, n_tokens long, digests binary, ids binary"
     # Recipes go by id, so that the copies of a text are not one group.
-    dealt = rows.mapInArrow(encode, schema).repartition(F.when(F.col("kind") == "chunk", F.xxhash64("digests")).otherwise(F.xxhash64("doc_id")))
-    dealt.mapInArrow(once, schema).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(f"{folder}/encoded")
+    dealt = rows.mapInArrow(shared.tidy(encode), schema).repartition(F.when(F.col("kind") == "chunk", F.xxhash64("digests")).otherwise(F.xxhash64("doc_id")))
+    dealt.mapInArrow(shared.tidy(once), schema).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(f"{folder}/encoded")
     encoded = spark.read.schema(schema).parquet(f"{folder}/encoded")
     plain = encoded.filter("kind = 'recipe'").select("doc_id", "n_tokens", "digests")
     placed = shared.table(spark, plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "digests").withColumn("part", F.spark_partition_id()), "placed")
@@ -156,7 +158,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: st
 
     # A range is a Spark partition again: it is sorted, and split no further.
     ranged = placed.repartition("part").sortWithinPartitions("part", "doc_id", "digests")
-    numbered = ranged.mapInArrow(number, "doc_id long, n_tokens long, digests binary, part int, start long")
+    numbered = ranged.mapInArrow(shared.tidy(number), f"doc_id {id_type}, n_tokens long, digests binary, part int, start long")
     numbered.write.parquet(f"{folder}/recipes")
 
     lines = list(_roots(_leaves(spark, folder)).items())
@@ -176,7 +178,7 @@ def _leaves(spark: SparkSession, folder: str) -> DataFrame:
             got = [_leaf(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "start", "digests")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("start"), pa.array(got, pa.binary())], ["part", "start", "leaf"])
 
-    return spark.read.parquet(f"{folder}/recipes").select("part", "start", "doc_id", "n_tokens", "digests").mapInArrow(run, "part int, start long, leaf binary")
+    return spark.read.parquet(f"{folder}/recipes").select("part", "start", "doc_id", "n_tokens", "digests").mapInArrow(shared.tidy(run), "part int, start long, leaf binary")
 
 
 def _roots(leaves: DataFrame) -> dict[int, bytes]:
@@ -190,7 +192,7 @@ def _roots(leaves: DataFrame) -> dict[int, bytes]:
         yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([merkle(x) for x in own.values()], pa.binary())], ["part", "root"])
 
     dealt = leaves.select("part", "start", "leaf").repartition("part").sortWithinPartitions("part", "start")
-    got = {r.part: bytes(r.root) for r in dealt.mapInArrow(run, "part int, root binary").collect()}  # a row for each range
+    got = {r.part: bytes(r.root) for r in dealt.mapInArrow(shared.tidy(run), "part int, root binary").collect()}  # a row for each range
     return got | {-1: merkle([got[p] for p in sorted(got)])}
 
 
@@ -248,7 +250,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
         ids = np.concatenate([chunk_ids(bytes(d), bytes(x)) for d, x in zip(rows["digest"], rows["ids"], strict=True)])
         return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "start": [rows["start"].iloc[0]], "ids": [ids.astype(np.int64).tolist()]})
 
-    return parts.join(chunks, "digest").groupBy("start").applyInPandas(build, "doc_id long, start long, ids array<long>")
+    return parts.join(chunks, "digest").groupBy("start").applyInPandas(build, f"doc_id {recipes.schema['doc_id'].dataType.simpleString()}, start long, ids array<long>")
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -264,7 +266,7 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
             ids = [chunk_ids(k, x) for k, x in zip(keys, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([len(x) for x in ids], pa.int64())], ["digest", "crc", "n"])
 
-    chunks = _chunks(spark, folder).mapInArrow(check, "digest binary, crc long, n long")
+    chunks = _chunks(spark, folder).mapInArrow(shared.tidy(check), "digest binary, crc long, n long")
     recipes = spark.read.parquet(f"{folder}/recipes")
     parts = recipes.select("start", F.posexplode(F.expr(f"transform(sequence(0, length(digests) div {DIGEST} - 1), i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")).alias("nr", "digest"))
     whole = parts.join(chunks, "digest").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("nr", "crc", "n"))).alias("parts"))
@@ -282,7 +284,7 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(out, pa.int64()), batch.column("part"), pa.array(leaves, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "part", "leaf"])
 
     rebuilt = recipes.join(whole, "start").select("doc_id", "start", "n_tokens", "digests", "part", "parts")
-    rebuilt = shared.table(spark, rebuilt.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, leaf binary"), "rebuilt")
+    rebuilt = shared.table(spark, rebuilt.mapInArrow(shared.tidy(combine), f"doc_id {recipes.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long, part int, leaf binary"), "rebuilt")
     if _roots(rebuilt) != _manifest(spark, folder):
         raise ValueError("the recipes don't give the roots of the manifest")
     return rebuilt.drop("part", "leaf")

@@ -94,6 +94,47 @@ def _start(model, w):
     return math.log10(max(c - model.pair_discounts[int(min(c, 3))], 0) / model.start_total + model.start_weight * p_word)
 
 
+def test_language_model_by_brute_force(kneser):
+    """Interpolated modified Kneser-Ney with dictionaries, token by token."""
+    df, model = kneser
+    rows = [[*words(t), None] for t in df.toPandas().text]
+    pair = Counter((a, b) for ws in rows for a, b in zip(["<s>", *ws[:-1]], ws, strict=True))
+    left = defaultdict(list)
+    for (a, _), c in pair.items():
+        left[a].append(c)
+    before = Counter(b for _, b in pair)
+    v = len({w for ws in rows for w in ws})
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+        if min(n) == 0:
+            return [0.0, 0.5, 1.0, 1.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0.0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), k) for k in (1, 2, 3))]
+
+    d, e = discounts(pair.values()), discounts(before.values())
+    spare = sum(e[min(c, 3)] for c in before.values()) / len(pair)
+
+    def p(a, b):
+        low = max(before[b] - e[min(before[b], 3)], 0) / len(pair) + spare / (v + 1)
+        if not left[a]:
+            return low
+        return max(pair[a, b] - d[min(pair[a, b], 3)], 0) / sum(left[a]) + sum(d[min(c, 3)] for c in left[a]) / sum(left[a]) * low
+
+    for text in ["a b a b c", "b", "", "never seen a", "d a b c c never", None]:
+        ws = [*words(text), None]
+        want = sum(math.log10(p(a, b)) for a, b in zip(["<s>", *ws[:-1]], ws, strict=True))
+        assert model.score(next(bs.blocks(pa.array([text], pa.string()))))["score"][0] == pytest.approx(want, abs=1e-6)
+
+
+def test_language_model_counts_of_any_size(spark, monkeypatch):
+    """Counts beyond those that fit their array are kept in full; here the array is taken to hold up to 4."""
+    monkeypatch.setattr(lm, "MANY", 4)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "a b c", "b c"] * 4)], "doc_id long, text string")
+    counts = sorted(lm.train(df, file_bytes=8).pair_counts(np.unique(np.concatenate([(x << np.uint64(32) | y) for x, y, _ in [lm.train(df, file_bytes=8).words.sequence(b) for b in bs.blocks(pa.array(["a b", "a b c", "b c"]))]]))).tolist())
+    assert counts == [4.0, 4.0, 8.0, 8.0, 8.0, 8.0]
+
+
 def test_language_model_base(spark, docs, texts, small):
     got = queries.op1_lm_scoring(spark, small).toPandas().set_index("doc_id")
     fold = [zlib.crc32(str(i).encode()) % 5 for i in texts.doc_id]
@@ -136,6 +177,35 @@ def test_quality_prior_and_edges(spark, edge, empty):
     assert quality.accept(empty, unsure).columns == empty.columns
 
 
+def test_quality_risk_and_slope():
+    """The non-negative risk by its definition, and its slope by differences of it."""
+    rng = np.random.default_rng(2)
+    l = lambda z: 1 / (1 + np.exp(z))  # noqa: E731, E741
+    for shift in (0.0, 3.0, -3.0):
+        is_p = np.arange(30) < 12
+        z = rng.normal(0, 1, 30) + np.where(is_p, shift, 0)
+        positive, negative = quality.risk(z, is_p, 0.4)
+        assert positive == pytest.approx(0.4 * l(z[is_p]).mean())
+        assert negative == pytest.approx(l(-z[~is_p]).mean() - 0.4 * l(-z[is_p]).mean())
+        slope = quality.risk_slope(z, is_p, 0.4)
+        for i in range(30):
+            up, down = z.copy(), z.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            a, b = quality.risk(up, is_p, 0.4), quality.risk(down, is_p, 0.4)
+            want = -(a[1] - b[1]) if negative < 0 else (sum(a) - sum(b))
+            assert slope[i] == pytest.approx(want / 2e-5, abs=1e-6)
+
+
+def test_quality_prior_is_recovered():
+    """Positives are the right-hand cloud; the prior is the share of it among the unlabelled."""
+    rng = np.random.default_rng(3)
+    cloud = lambda at, n: rng.normal(at, 1, (n, len(quality.NAMES)))
+    model = quality.fit(cloud(1, 3000), np.concatenate([cloud(1, 2100), cloud(-1, 900)]))
+    assert model.prior == pytest.approx(0.7, abs=0.1)
+    assert (model.score(cloud(1, 500)) > 0.5).mean() > 0.95 and (model.score(cloud(-1, 500)) < 0.5).mean() > 0.95
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(name, spark, small, duck, compared):
     assert compared(queries.queries()[name](spark, small).toPandas()) == compared(duck.sql(queries.oracle_sql()[name]).df())
@@ -230,6 +300,50 @@ def test_language_mixture(docs, texts):
     assert at["en"] == pytest.approx(0.67, abs=0.12) and at["fr"] == pytest.approx(0.33, abs=0.12)
 
 
+def test_language_mixture_by_brute_force(docs, texts):
+    """Converged proportions and the best penalised set, against fits of one text at a time with all steps written out."""
+    model = langid.train(docs)
+    made = [t[:400] for t in texts.text[:40] if t] + [a[:120] + " " + b[:60] for a, b in zip(texts.text[:20], texts.text[20:40], strict=True) if a and b]
+    for block in bs.blocks(pa.array(made)):
+        got = model.proportions(block)
+        grams, _ = langid._trigrams(block.raw, block.offsets)
+        starts, ends, first = bs.spans(block.raw, block.offsets, bs.LETTERS)
+        for r in range(block.rows):
+            like = np.array([[sum(float(x) for x in model.logs[k][grams[a:z]]) for a, z in zip(starts[first[r] : first[r + 1]], ends[first[r] : first[r + 1]], strict=True)] for k in range(len(model.languages))])
+            if not like.size:
+                assert not got[r].any()
+                continue
+            like = np.exp(like - like.max(axis=0))
+
+            def fitted(allowed, like=like):
+                p = allowed / allowed.sum()
+                for _ in range(3000):
+                    q = like * p[:, None]
+                    p = (q / q.sum(axis=0)).mean(axis=1)
+                return p, -2 * np.log((like * p[:, None]).sum(axis=0)).sum() + allowed.sum() * math.log(max(like.shape[1], 2))
+
+            p, _ = fitted(np.ones(len(like)))
+            allowed = (p >= 0.02).astype(float)
+            fits = []
+            while allowed.any():
+                p, cost = fitted(allowed)
+                fits.append((cost, p))
+                allowed[np.where(allowed > 0, p, np.inf).argmin()] = 0
+            best = min(fits, key=lambda x: x[0])
+            close = [x for x in fits if x[0] < best[0] + 1]
+            assert any(np.abs(got[r] - p).max() < 0.05 for _, p in close), (r, got[r], fits)
+
+
+def test_language_fit_stands_still(docs, texts):
+    rng = np.random.default_rng(4)
+    n = np.array([3, 50, 400, 1])
+    like = rng.random((4, n.sum())) ** 4
+    share = langid.fit(like, n, np.full((4, 4), 0.25))
+    assert share.sum(axis=1) == pytest.approx(1)
+    again = langid.fit(like, n, share)
+    assert np.abs(again - share).max() < 2 * langid.STILL
+
+
 def test_language_edges(edge, empty, docs):
     got = langid.predict(edge, langid.train(docs), ["doc_id"]).toPandas()
     assert set(got[got.doc_id.isin([1, 2, 3, 4])].lang_pred) == {"und"} and (got[got.lang_pred == "und"].score == 0).all()
@@ -357,6 +471,8 @@ def test_token_store_round_trip(spark, edge, empty, tmp_path):
     got = {r.doc_id: r.ids for r in store.read_ids(spark, folder).collect()}
     assert got[1] == got[2] == [0] and encoder(TOKENIZER).tokenizer.decode(got[7][:-1]) == LONG
     assert store.digests(spark, folder).count() == 9
+    store.write(edge.withColumn("doc_id", F.concat(F.lit("k"), "doc_id")), f"{tmp_path}/named", TOKENIZER)
+    assert [r.doc_id for r in store.digests(spark, f"{tmp_path}/named").orderBy("start").collect()] == [None, "k1", "k2", "k3", "k4", "k5", "k6", "k6", "k7"]
     chunks = spark.read.parquet(f"{folder}/encoded").filter("kind = 'chunk'")
     assert chunks.count() == chunks.select("digests").distinct().count()
     store.write(empty, f"{tmp_path}/none", TOKENIZER)
@@ -428,6 +544,40 @@ def test_license_versions(spark, docs):
     assert [r.labels for r in got] == [want for _, want in rows]
 
 
+def brute_license(ws, index):
+    """Labels of every template laid at every place."""
+    names = license._vocabulary()
+    out = set()
+    for (label, text, keys), weights in zip(license.TEMPLATES, index.templates, strict=True):
+        t, total = text.split(), index.weights[weights].sum()
+        assert [names[c] for c in weights] == t
+        for s in range(-len(t), len(ws)):
+            share = sum(index.weights[c] for j, c in enumerate(weights) if 0 <= s + j < len(ws) and ws[s + j] == t[j]) / total
+            around = ws[max(0, s - 2) : max(0, s + len(t) + 2)]
+            has = lambda key: any(around[i : i + len(key)] == key for i in range(len(around)))
+            if share >= license.LEAST - 1e-9 and all(has(k.split()) for k in keys):
+                out.add(label)
+    return out
+
+
+def test_license_labels_by_brute_force(spark, docs, texts):
+    rng = random.Random(8)
+    made = [t for t in texts.text if t and len(t) < 1500][:40]
+    vocabulary = license._vocabulary()
+    for _ in range(160):
+        t = rng.choice(license.TEMPLATES)[1].split()
+        a = rng.choice([0, 0, 0, 1, 3])
+        t = t[a : len(t) - rng.choice([0, 0, 0, 1, 4])]
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            t[rng.randrange(len(t))] = rng.choice(vocabulary)
+        made.append(" ".join([rng.choice(vocabulary) for _ in range(rng.randint(0, 6))] + t + ["x"] * rng.randint(0, 3) + rng.choice(license.TEMPLATES)[1].split()))
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for index in (license.build(docs), license.build(df)):
+        got = license.scan(df, index, ["doc_id"]).orderBy("doc_id").collect()
+        for t, r in zip(made, got, strict=True):
+            assert set(filter(None, r.labels.split(","))) == brute_license(words(t, ALNUM), index) | set(filter(None, r.base_labels.split(","))), t
+
+
 def test_packing_is_optimal():
     import itertools
 
@@ -458,6 +608,8 @@ def test_packing(spark, small, edge, empty):
     assert sized.places.all() and ((sized.n * sized["size"] <= packing.BUDGET) | (sized.n == 1)).all()
     lengths = packing.lengths(edge, ["doc_id"], TOKENIZER)
     assert packing.pack(lengths, packing.plan(lengths)).count() == 9 and lengths.filter("doc_id = 1").first().n_tokens == 1
+    named = packing.pack(lengths.withColumns({"bucket": F.lit("x"), "Padding": F.lit("y"), "other": F.lit("z")}), packing.plan(lengths))
+    assert sorted(named.columns) == sorted(["doc_id", "n_tokens", "other", *packing.ADDED]) and named.agg(F.max("bucket")).first()[0] >= 0
     none = packing.lengths(empty, ["doc_id"], TOKENIZER)
     assert packing.pack(none, packing.plan(none)).count() == 0
 
@@ -473,6 +625,53 @@ def test_rollups(spark, tmp_path):
     assert [tuple(r) for r in rollup.totals(spark, folder).collect()] == [("s", "en", "t1", 2, 22, 100)]
 
 
+def test_rollups_show_what_is_left(spark, tmp_path):
+    schema = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long, n_chars long, old_chars long"
+    change = lambda *rows: spark.createDataFrame(list(rows), schema)
+    folder = f"{tmp_path}/r"
+    rollup.commit(spark, folder, "a", change(("insert", "s", "en", "t", 10, None, 50, None)))
+    rollup.commit(spark, folder, "b", change(("delete", "s", "en", "t", None, 4, None, 50)))
+    assert [tuple(r) for r in rollup.totals(spark, folder).collect()] == [("s", "en", "t", 0, 6, 0)]
+    for op in ("upsert", None):
+        with pytest.raises(Exception, match="no such change"):
+            rollup.commit(spark, folder, "c", change((op, "s", "en", "t", 10, 4, 50, 50)))
+    assert rollup.totals(spark, folder).count() == 1
+
+
+def test_rollups_fold(spark, tmp_path):
+    schema = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long, n_chars long, old_chars long"
+    one = lambda n: spark.createDataFrame([("insert", "s", "en", "t", n, None, 1, None)], schema)
+    folder = f"{tmp_path}/r"
+    rollup.compact(spark, folder)
+    for n, name in ((1, "a"), (2, "b")):
+        rollup.commit(spark, folder, name, one(n))
+    rollup.compact(spark, folder)
+    assert not rollup.commit(spark, folder, "a", one(1)) and rollup.commit(spark, folder, "c", one(4))
+    rollup.compact(spark, folder)
+    assert not any(rollup.commit(spark, folder, name, one(9)) for name in "abc")
+    assert [tuple(r) for r in rollup.totals(spark, folder).collect()] == [("s", "en", "t", 3, 7, 3)]
+    # A fold that died before it removed what it had folded counts nothing twice.
+    rollup.commit(spark, folder, "d", one(8))
+    name = rollup._name("d")
+    kept = spark.read.parquet(f"{folder}/{name}").toPandas()
+    rollup.compact(spark, folder)
+    spark.createDataFrame(kept, rollup.SCHEMA).write.parquet(f"{folder}/{name}")
+    assert [tuple(r) for r in rollup.totals(spark, folder).collect()] == [("s", "en", "t", 4, 15, 4)]
+
+
+def test_token_counts_by_brute_force(spark, small, docs):
+    want = defaultdict(lambda: [0, 0, 0])
+    for r in docs.collect():
+        ws = words(r.text)
+        if ws:
+            n = len(encoder(TOKENIZER).tokenizer.encode(r.text, add_special_tokens=False).ids)
+            for tokenizer, k in (("byte_bpe_50k", n), ("words-1", len(ws))):
+                for place, x in enumerate((1, k, len(r.text))):
+                    want[r.source, r.lang, tokenizer][place] += x
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens, r.n_chars] for r in queries.op10_token_counts(spark, small).collect()}
+    assert got == {k: v for k, v in want.items() if any(v)}
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
