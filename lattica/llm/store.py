@@ -5,7 +5,7 @@ once under its digest, a document is a recipe of digests, and Merkle manifests o
 a reader prove that what it rebuilt is what was written.
 
 Files below the store's folder: ``encoded`` (rows of kind 'chunk': digests, the chunk's one, and ids as
-little-endian unsigned integers of 16 bits, or of 32 behind a zero byte), ``recipes`` (doc_id, n_tokens, start, digests; ascending ids, in files by ranges of ids)
+little-endian unsigned integers of 16 bits, or of 32 behind a zero byte), ``recipes`` (doc_id, n_tokens, start, digests, Merkle leaf; ascending ids, in files by ranges of ids)
 and ``manifest`` (a Merkle root for each file of recipes and one over all).
 
 Edge cases: a null or empty text is the end id alone; ids may be of any type with an order, null ones come
@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def cuts(n: int, marked: list[int]) -> list[int]:
 
 
 def chunks_of(ids: np.ndarray, starts: np.ndarray):
-    """(row, ids) of the chunks of the streams ids[starts[r]:starts[r + 1]] in order. A mark depends on its stream
+    """(row, start, end) of the chunks of the streams ids[starts[r]:starts[r + 1]] in order. A mark depends on its stream
     alone: windows that reach into the stream before are left out."""
     at = marks(ids)
     row = np.searchsorted(starts[1:], at, "left")
@@ -70,7 +71,7 @@ def chunks_of(ids: np.ndarray, starts: np.ndarray):
     for r, (a, z) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
         last = 0
         for cut in cuts(z - a, own[first[r] : first[r + 1]]):
-            yield r, ids[a + last : a + cut]
+            yield r, a + last, a + cut
             last = cut
 
 
@@ -78,6 +79,10 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
+def _stored(ids: np.ndarray) -> bytes:
+    return ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\x00" + ids.astype("<u4").tobytes()
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root of a list of digests; an odd one out goes up as it is, no leaves give the digest of nothing."""
     level = leaves or [_digest(b"")]
@@ -102,15 +107,17 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: st
                 stream, starts = table.streams(block, end_id)
                 keys, data = [], []
                 of: list[list[bytes]] = [[] for _ in range(block.rows)]
-                for r, ids in chunks_of(stream, starts):
-                    d = _digest(ids.tobytes())
+                whole = stream.astype("<u4", copy=False).tobytes()
+                short = stream.astype("<u2").tobytes() if stream.max(initial=0) < 65536 else None
+                for r, a, z in chunks_of(stream, starts):
+                    d = _digest(whole[4 * a : 4 * z])
                     of[r].append(d)
                     if d not in seen:
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(d)
                         keys.append(d)
-                        data.append(ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\x00" + ids.tobytes())
+                        data.append(short[2 * a : 2 * z] if short is not None else _stored(stream[a:z]))
                 rows, size = batch.column(0).slice(block.first, block.rows), len(keys)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -123,13 +130,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: st
     def once(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            new = []
-            for r, (kind, k) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("digests").to_pylist(), strict=True)):
-                if kind == "recipe" or k not in seen:
-                    if kind == "chunk":
-                        seen.add(k)
-                    new.append(r)
-            yield batch.take(pa.array(new, pa.int64()))
+            chunk = np.array(pc.equal(batch.column("kind"), "chunk"))
+            at = np.flatnonzero(chunk)
+            for r, k in zip(at.tolist(), batch.column("digests").take(pa.array(at)).to_pylist(), strict=True):
+                if k in seen:
+                    chunk[r] = False
+                else:
+                    seen.add(k)
+            chunk[np.setdiff1d(np.arange(len(chunk)), at)] = True  # recipes
+            yield batch.filter(pa.array(chunk))
 
     schema = f"kind string, doc_id {id_type}, n_tokens long, digests binary, ids binary"
     # Recipes go by id, so that the copies of a text are not one group.
@@ -154,14 +163,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: st
                 sums = np.cumsum(n[own])
                 start[own] = before[int(p)] + done.get(int(p), 0) + sums - n[own]
                 done[int(p)] = done.get(int(p), 0) + int(sums[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start)], [*batch.schema.names, "start"])
+            leaves = [_leaf(*x) for x in zip(batch.column("doc_id").to_pylist(), n.tolist(), start.tolist(), batch.column("digests").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start), pa.array(leaves, pa.binary())], [*batch.schema.names, "start", "leaf"])
 
     # A range is a Spark partition again: it is sorted, and split no further.
     ranged = placed.repartition("part").sortWithinPartitions("part", "doc_id", "digests")
-    numbered = ranged.mapInArrow(shared.tidy(number), f"doc_id {id_type}, n_tokens long, digests binary, part int, start long")
+    numbered = ranged.mapInArrow(shared.tidy(number), f"doc_id {id_type}, n_tokens long, digests binary, part int, start long, leaf binary")
     numbered.write.parquet(f"{folder}/recipes")
 
-    lines = list(_roots(_leaves(spark, folder)).items())
+    lines = list(_roots(spark.read.parquet(f"{folder}/recipes")).items())
     spark.createDataFrame(lines, "part int, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
 
 
@@ -267,7 +277,7 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([len(x) for x in ids], pa.int64())], ["digest", "crc", "n"])
 
     chunks = _chunks(spark, folder).mapInArrow(shared.tidy(check), "digest binary, crc long, n long")
-    recipes = spark.read.parquet(f"{folder}/recipes")
+    recipes = spark.read.parquet(f"{folder}/recipes").drop("leaf")  # made anew below
     parts = recipes.select("start", F.posexplode(F.expr(f"transform(sequence(0, length(digests) div {DIGEST} - 1), i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")).alias("nr", "digest"))
     whole = parts.join(chunks, "digest").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("nr", "crc", "n"))).alias("parts"))
 
