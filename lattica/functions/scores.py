@@ -5,33 +5,108 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"[a-z0-9]+")
-_VOWELS = re.compile(r"[aeiouy]")
+# The suffix rules of Porter's algorithm (1980) by step, longest first where they share an end.
+_STEP_2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+           ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"), ("logi", "log"))
+_STEP_3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+_STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+# Words with a stem of their own.
+_IRREGULAR = {"sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
 
 
+def _kinds(word: str) -> str:
+    """v for a vowel, c for a consonant; y is a vowel behind a consonant."""
+    out = ""
+    for i, x in enumerate(word):
+        out += "v" if x in "aeiou" or (x == "y" and i > 0 and out[-1] == "c") else "c"
+    return out
+
+
+def _measure(root: str) -> int:
+    """How often a vowel is followed by a consonant."""
+    return _kinds(root).count("vc")
+
+
+def _short_end(root: str) -> bool:
+    """Consonant, vowel, consonant other than w, x and y; or a word of vowel and consonant."""
+    kinds = _kinds(root)
+    return (kinds[-3:] == "cvc" and root[-1] not in "wxy") or kinds == "vc"
+
+
+def _plural(word: str) -> str:
+    if word.endswith("ies") and len(word) == 4:
+        return word[:-1]
+    for suffix, put in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
+        if word.endswith(suffix):
+            return word[: len(word) - len(suffix)] + put
+    return word
+
+
+def _past(word: str) -> str:
+    if word.endswith("ied"):
+        return word[:-3] + ("ie" if len(word) == 4 else "i")
+    if word.endswith("eed"):
+        return word[:-1] if _measure(word[:-3]) > 0 else word
+    for suffix in ("ed", "ing"):
+        root = word[: len(word) - len(suffix)]
+        if word.endswith(suffix):
+            if "v" not in _kinds(root):
+                return word
+            if root.endswith(("at", "bl", "iz")):
+                return root + "e"
+            if len(root) > 1 and root[-1] == root[-2] and _kinds(root)[-1] == "c":
+                return root if root[-1] in "lsz" else root[:-1]
+            return root + "e" if _measure(root) == 1 and _short_end(root) else root
+    return word
+
+
+def _mapped(word: str, rules: tuple[tuple[str, str], ...]) -> str:
+    """The first rule whose suffix fits decides; its root needs a measure above 0."""
+    for suffix, put in rules:
+        if word.endswith(suffix):
+            root = word[: len(word) - len(suffix)]
+            if suffix == "logi":
+                return root + "log" if _measure(root + "l") > 0 else word
+            return root + put if _measure(root) > 0 else word
+    return word
+
+
+@lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
-    """A light suffix stripper for English: plurals, -ed, -ing, -ly and a few derivations, by length and vowels."""
-    if len(word) <= 3:
+    """Porter's stem with the usual amendments (irregular words, y after a consonant, -ies and -ied of four letters)."""
+    if word in _IRREGULAR:
+        return _IRREGULAR[word]
+    if len(word) <= 2:
         return word
-    for suffix, put in (("sses", "ss"), ("ies", "i"), ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ement", ""), ("ment", ""), ("ness", ""), ("ing", ""), ("edly", ""), ("ed", ""), ("ly", ""), ("s", "")):
-        if word.endswith(suffix) and not word.endswith("ss" if suffix == "s" else "\0"):
+    word = _past(_plural(word))
+    if word.endswith("y") and len(word) > 2 and _kinds(word[:-1])[-1] == "c":
+        word = word[:-1] + "i"
+    if word.endswith("alli") and _measure(word[:-4]) > 0:
+        word = word[:-2]
+    word = _mapped(_mapped(word, _STEP_2), _STEP_3)
+    for suffix in sorted((*_STEP_4, "ion"), key=len, reverse=True):
+        if word.endswith(suffix):
             root = word[: len(word) - len(suffix)]
-            if len(root) + len(put) >= 3 and _VOWELS.search(root):
-                root += put
-                if suffix in ("ing", "ed") and len(root) > 3 and root[-1] == root[-2] and root[-1] not in "lsz":
-                    root = root[:-1]
-                return root
-    return word
+            if _measure(root) > 1 and (suffix != "ion" or root[-1:] in ("s", "t")):
+                word = root
+            break
+    if word.endswith("e"):
+        root = word[:-1]
+        if _measure(root) > 1 or (_measure(root) == 1 and not _short_end(root)):
+            word = root
+    return word[:-1] if word.endswith("ll") and _measure(word[:-1]) > 1 else word
 
 
 def _grams(text: str, n: int, stemmed: bool) -> Counter:
     words = _TOKEN.findall(text.lower())
-    words = [stem(w) for w in words] if stemmed else words
+    words = [stem(w) if len(w) > 3 else w for w in words] if stemmed else words
     return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
 
 
@@ -79,6 +154,17 @@ def bleu(reference: Column, made: Column) -> Column:
     return run(reference, made)
 
 
+def text_scores(reference: Column, made: Column) -> Column:
+    """ROUGE-1 F, ROUGE-2 F and BLEU of a pair, in one pass over it."""
+
+    @F.pandas_udf("struct<rouge1:double,rouge2:double,bleu:double>")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if x is None or y is None else (rouge_of(x, y, 1)[2], rouge_of(x, y, 2)[2], bleu_of(x, y)) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame(rows, columns=["rouge1", "rouge2", "bleu"], dtype="float64")
+
+    return run(reference, made)
+
+
 def bigrams(c: Column) -> Column:
     """Array of 'a b' of the lower-cased ASCII words of a text."""
     words = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
@@ -86,6 +172,18 @@ def bigrams(c: Column) -> Column:
     return pair[0]
 
 
+def bigram_share(reference: Column, made: Column) -> Column:
+    """Of the bigrams of a text, repeats included, the share that the reference has as often; null if it has none."""
+
+    def share(a: Column, b: Column) -> Column:
+        often = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+        both = F.aggregate(F.array_distinct(b), F.lit(0), lambda acc, x: acc + F.least(often(a, x), often(b, x)))
+        return F.try_divide(both.cast("double"), F.size(b).cast("double"))
+
+    pair = F.transform(F.array(F.struct(bigrams(reference).alias("a"), bigrams(made).alias("b"))), lambda p: share(p["a"], p["b"]))
+    return pair[0]
+
+
 def bigram_overlap(reference: Column, made: Column) -> Column:
     """Shared distinct bigrams over the distinct bigrams of the reference; null if it has none."""
     a, b = bigrams(reference), bigrams(made)

@@ -52,9 +52,33 @@ def swap_gender(factual: Column, other: Column) -> Column:
     return F.when(male & other_male, F.regexp_replace(other, MALE.replace("(?i)", ""), " female")).when(~male & ~other_male, F.regexp_replace(other, FEMALE.replace("(?i)", ""), " male")).otherwise(other)
 
 
-def mask_domains(c: Column, domains: list[str]) -> Column:
+def mask_domains(c: Column, domains: list[str], ignore_case: bool = False) -> Column:
     """Domain names replaced by 'clinical'; of names that start alike, the first listed wins."""
-    return F.regexp_replace(c, "|".join(f"\\Q{d}\\E" for d in domains), "clinical")
+    return F.regexp_replace(c, ("(?iu)" if ignore_case else "") + "|".join(f"\\Q{d}\\E" for d in domains), "clinical")
+
+
+def differs(c: Column, value) -> Column:
+    """Not equal to a value; a null differs from it."""
+    return ~c.eqNullSafe(F.lit(value))
+
+
+def without_text(c: Column, part: Column | str) -> Column:
+    """Every place of another text taken out."""
+    return F.replace(c, part if isinstance(part, Column) else F.lit(part), F.lit(""))
+
+
+def unique_id(*parts: Column) -> Column:
+    """A stable id from what makes a row unique; null and empty parts differ."""
+    return F.md5(F.concat_ws("\u0001", *(F.coalesce(p.cast("string"), F.lit("\u0002")) for p in parts)))
+
+
+def stored_map(c: Column) -> Column:
+    """A stored extraction as a map: a JSON object, the first of a list of them, or nothing at all where it can't be read."""
+    kind = "map<string,string>"
+    options = {"mode": "PERMISSIVE"}
+    own, listed = F.from_json(c, kind, options), F.get(F.from_json(c, f"array<{kind}>", options), F.lit(0))
+    none = F.create_map().cast(kind)
+    return F.coalesce(F.when(F.ltrim(c).startswith("["), listed).when(F.ltrim(c).startswith("{"), own), none)
 
 
 def normalize_answer(c: Column) -> Column:
@@ -73,7 +97,7 @@ def slug(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Sentences as an array: they end in . ! or ? (with closing quotes or brackets) before white space and a
     capital, digit or opening mark, unless the word before is a known abbreviation or one capital."""
-    shield = r"(?i)\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|[A-Z])\.(?=\s)"
+    shield = r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|[A-Z])\.(?=\s)"
     marked = F.regexp_replace(F.regexp_replace(utrim(c), shield, "$1\u0001"), r"([.!?][\"')\]]*)\s+(?=[\"'(\[]?[\p{Lu}\d])", "$1\u0002")
     return F.filter(F.transform(F.split(marked, "\u0002"), lambda s: utrim(F.translate(s, "\u0001", "."))), lambda s: s != "")
 

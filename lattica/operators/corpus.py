@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.text import choice, section
 
-GroupFilter = tuple[list[Column], Callable[[], Column]]
+#: A condition on a group, from its aggregates; ``filter_groups`` takes any number of them.
+GroupFilter = Callable[[], Column]
 
 
 def exactly_one(df: DataFrame, group: str, cond: Column) -> DataFrame:
@@ -82,17 +84,57 @@ def mix(df: DataFrame, source: str, order: list[str], fractions: dict[str, float
     """The first floor(fraction * n) rows of every source named; a negative fraction is an error."""
     if any(f < 0 for f in fractions.values()):
         raise ValueError("fractions must not be negative")
-    sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("__n"))
+    if not fractions:
+        return df.limit(0)
     share = F.create_map(*(F.lit(x) for kv in fractions.items() for x in kv))
-    ranked = df.join(F.broadcast(sizes), source).withColumn("__nr", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
-    return ranked.filter(F.col("__nr") <= F.floor(F.try_element_at(share, F.col(source)) * F.col("__n"))).drop("__n", "__nr")
+    ranked = numbered_by(df.filter(F.col(source).isin(*fractions)), source, order)
+    return ranked.filter(F.col("__nr") < F.floor(F.element_at(share, F.col(source)) * F.col("__n"))).drop("__n", "__nr")
+
+
+def mixed(train: DataFrame, val: DataFrame, source: str, order: list[str], fractions: dict[str, float], seed: int = 42) -> DataFrame:
+    """A mix of the training rows by fractions and all validation rows of the same sources, under ``split``, with the place of each in
+    a seeded order of its split."""
+    both = mix(train, source, order, fractions).withColumn("split", F.lit("train")).unionByName(val.filter(F.col(source).isin(*fractions)).withColumn("split", F.lit("val")))
+    ranked = numbered_by(shuffled(both, ["split", *order], seed), "split", ["shuffle_key", *order])
+    return ranked.withColumn("place", F.col("__nr")).drop("__n", "__nr", "shuffle_key")
+
+
+def numbered_by(df: DataFrame, by: str, order: list[str], parts: int = 64) -> DataFrame:
+    """Adds ``__nr``, the place from 0 of a row among those of its category in an order, and ``__n``, their number.
+
+    Each category is cut into ranges of the order and these are numbered apart, so that a hot category isn't one task's.
+    """
+    key = F.struct(by, *order)
+    cuts = storage.table(df.sparkSession, df.repartitionByRange(parts, by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = cuts.groupBy(by, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(by)
+    starts = sizes.select(F.col(by).alias("__by"), F.col("__part").alias("__p"), (F.sum("__c").over(w.orderBy("__part")) - F.col("__c")).alias("__start"), F.sum("__c").over(w).alias("__n"))
+    placed = cuts.withColumn("__in", F.row_number().over(Window.partitionBy(by, "__part").orderBy(key)) - 1)
+    joined = placed.join(starts, placed[by].eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__p")))
+    return joined.withColumn("__nr", F.col("__start") + F.col("__in")).drop("__part", "__by", "__p", "__start", "__in")
 
 
 def balanced(df: DataFrame, task: str, order: list[str | Column]) -> DataFrame:
     """As many rows of every task as the rarest one has, the first in an order."""
-    sizes = df.groupBy(task).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("__least"))
-    ranked = df.withColumn("__nr", F.row_number().over(Window.partitionBy(task).orderBy(*order)))
-    return ranked.join(F.broadcast(sizes)).filter(F.col("__nr") <= F.col("__least")).drop("__nr", "__least")
+    ranked = numbered_by(df, task, order)
+    least = ranked.agg(F.min("__n").alias("__least"))  # one row
+    return ranked.join(F.broadcast(least)).filter(F.col("__nr") < F.col("__least")).drop("__nr", "__n", "__least")
+
+
+def sliced(df: DataFrame, start: int, end: int, pos: str = "_pos") -> DataFrame:
+    """Rows by place from ``start`` up to ``end``."""
+    return df.filter((F.col(pos) >= start) & (F.col(pos) < end))
+
+
+def counted(df: DataFrame, where: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that meet a condition, and one row with how many were given, kept and dropped; null doesn't meet it."""
+    said = F.coalesce(where, F.lit(False))
+    return df.filter(said), df.agg(F.count(F.lit(1)).alias("given"), F.count_if(said).alias("kept"), F.count_if(~said).alias("dropped"))
+
+
+def updated(df: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """Columns merged into rows: new ones are added, ones that are there are replaced; all see the row as it was."""
+    return df.withColumns(more)
 
 
 def random_row(df: DataFrame, key: str, where: Column | None = None, seed: str = "42") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ontology import branch_filter
+from .corpus import first_k, sections
+from .ontology import branch_filter, labels
 
 # Roots of the branches that are left out.
 EXCLUDED_ROOTS = ("362981000", "444677008", "419891008", "276339004", "106237007", "900000000000441003")
@@ -59,5 +62,36 @@ def concepts(freqs: DataFrame) -> DataFrame:
     return freqs.select("concept_id").distinct()
 
 
+def domain_concepts(mentions: DataFrame, up: DataFrame, roots: list[str], allowed: DataFrame, by: str = "note_id") -> DataFrame:
+    """by, concept_id: the ancestors of what a text mentions that are outside the excluded branches and in a set; each once."""
+    pairs = mentions.select(by, "concept_id").distinct().join(up, F.col("concept_id") == F.col("id")).select(by, F.col("ancestor").alias("concept_id")).distinct()
+    kept = branch_filter(pairs, "concept_id", up, roots)
+    return kept.join(allowed.select(F.col("id").alias("concept_id")).distinct(), "concept_id", "left_semi").select(by, "concept_id")
+
+
+def capped_frequencies(notes: DataFrame, mentions: DataFrame, up: DataFrame, note: str, order: list[str], notes_each: int, k: int, roots: list[str], by: str = "domain") -> DataFrame:
+    """Frequencies of every domain from its first notes, less their mean over the domains. notes: (by, note, order columns); mentions: (note, concept_id, _pos)."""
+    first = first_k(notes, by, order, notes_each)
+    own = mentions.join(first.select(note, by), note)
+    n = notes.select(by).distinct().count()
+    return normalise(domain_frequencies(own, up, k, roots, by), n, by)
+
+
+def section_frequencies(notes: DataFrame, text: str, annotate: Callable[[DataFrame, str], DataFrame], up: DataFrame, key: str, order: list[str], limit: int, k: int, roots: list[str], domain: str = "BHC") -> DataFrame:
+    """Frequencies in the sections of the first notes, as one domain; notes without a section count for nothing. annotate: gives
+    mentions (key, concept_id, start) of (key, text)."""
+    first = sections(notes.orderBy(*order).limit(limit), text, F.lit(True), "__section").filter(F.col("__section").isNotNull())
+    found = annotate(first.select(key, F.col("__section").alias("text")), "text")
+    mentions = found.select(F.lit(domain).alias("domain"), "concept_id", F.struct(key, "start").alias("_pos"))
+    return domain_frequencies(mentions, up, k, roots)
+
+
+def rings(freqs: DataFrame, concepts: DataFrame, k: int, by: str = "domain") -> DataFrame:
+    """The top concepts of each domain for a nested chart: id 'domain-concept', label, and the share of its ring."""
+    best = labels(top(freqs, [by], k), concepts, "concept_id", "label")
+    n = best.agg(F.count(F.lit(1)).alias("__n"), F.count_distinct(by).alias("__d"))  # one row
+    return best.join(F.broadcast(n)).select(by, "rank", F.concat_ws("-", by, "concept_id").alias("id"), "label", (1 / (F.col("__n") * F.col("__d"))).alias("share"))
+
+
 def replace_domain(freqs: DataFrame, new: DataFrame, domain: str, by: str = "domain") -> DataFrame:
     return freqs.filter(F.col(by) != domain).unionByName(new)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Patterns of decisions.
@@ -67,6 +67,39 @@ def method_pairs(long: DataFrame, keys: list[str], different_only: bool = False)
     return pairs.filter(F.col("a_result") != F.col("b_result")) if different_only else pairs
 
 
+def dataset_pairs(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Answers of two datasets to the same keys, each way round; keys that only one has are left out."""
+    x, y = left.select(*keys, F.col("value").alias("x")), right.select(*keys, F.col("value").alias("y"))
+    row = lambda m, n, p, q: F.struct(F.lit(m).alias("a"), F.lit(n).alias("b"), F.col(p).alias("a_result"), F.col(q).alias("b_result"))
+    return x.join(y, keys).select(*keys, F.explode(F.array(row(a, b, "x", "y"), row(b, a, "y", "x"))).alias("e")).select(*keys, "e.*")
+
+
+def config_pairs(long: DataFrame, keys: list[str], baseline: str | None = None) -> DataFrame:
+    """Rows (keys, method, value) of configurations as ordered pairs of them over all keys that one of the two has, 'N/A' for the other;
+    with a baseline only pairs with it, both ways round. Empty concepts (the last key) are left out."""
+    rows = long.filter(F.col(keys[-1]) != "")
+    names = rows.select(F.col("method").alias("a")).distinct()
+    pairs = names.crossJoin(names.withColumnRenamed("a", "b")).filter("a <> b")  # of configurations, which are few
+    if baseline is not None:
+        pairs = pairs.filter((F.col("a") == baseline) | (F.col("b") == baseline))
+    both = pairs.select("a", "b", F.explode(F.array(F.col("a"), F.col("b"))).alias("method"))
+    got = rows.join(F.broadcast(both), "method").groupBy(*keys, "a", "b").agg(
+        F.max(F.when(F.col("method") == F.col("a"), F.col("value"))).alias("a_result"), F.max(F.when(F.col("method") == F.col("b"), F.col("value"))).alias("b_result"))
+    return got.fillna("N/A", ["a_result", "b_result"])
+
+
+def matrix_cells(matrix: DataFrame, effective: bool = True) -> DataFrame:
+    """Cells of a square of methods: rate, wins by it and base of every pair, 0 for a method against itself; rows in the order of
+    opponents beaten, most first, then by name."""
+    rate, base = ("effective_win_rate", "effective") if effective else ("win_rate", "total")
+    beaten = matrix.groupBy("method").agg(F.count_if(F.col(rate) > 50).alias("beaten"))
+    names = beaten.select("method", "beaten", F.row_number().over(Window.orderBy(F.desc("beaten"), "method")).alias("place"))  # few rows
+    square = names.crossJoin(names.select(F.col("method").alias("opponent"), F.col("place").alias("opponent_place")))
+    cells = square.join(matrix.select("method", "opponent", F.col(rate).alias("rate"), F.col(base).alias("base")), ["method", "opponent"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return cells.select("method", "opponent", "place", "opponent_place", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.coalesce(F.round(F.col("rate") * F.col("base") / 100).cast("long"), F.lit(0)).alias("wins"), zero("base"))
+
+
 def outer_pairs(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Answers of two configurations by key, 'N/A' where one has none; empty concepts are left out."""
     x, y = left.withColumnRenamed("value", "a_result"), right.withColumnRenamed("value", "b_result")

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..functions.scores import bigram_share
 
 
-def closure(edges: DataFrame, most_levels: int = 1000) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """id, ancestor, depth, bfs_pos of every ancestor.
 
     depth is the least number of steps; bfs_pos (from 1) is the place at which a breadth-first walk
     that takes parents in order meets the ancestor. Only new pairs go on to the next level, so shared
-    parents do not multiply and cycles end; a node is its own ancestor only on a cycle.
+    parents do not multiply and cycles end; a node is its own ancestor only on a cycle. The loop ends when a
+    level brings nothing new, and the finished pairs are written once, so that any use of them is one scan.
     """
     spark = edges.sparkSession
     step = edges.select(F.col("child").alias("__c"), F.col("parent").alias("__p"), F.col("parent_pos").cast("int").alias("__o"))
     level = edges.groupBy(F.col("child").alias("id"), F.col("parent").alias("ancestor")).agg(F.min(F.array(F.col("parent_pos").cast("int"))).alias("path"))
     level = storage.table(spark, level.withColumn("depth", F.lit(1)), "closure")
     levels, depth = [level], 1
-    while not level.isEmpty() and depth < most_levels:
+    while not level.isEmpty():
         depth += 1
         seen = levels[0]
         for other in levels[1:]:
@@ -32,13 +36,7 @@ def closure(edges: DataFrame, most_levels: int = 1000) -> DataFrame:
     for other in levels[1:]:
         whole = whole.unionByName(other)
     place = F.row_number().over(Window.partitionBy("id").orderBy("depth", "path"))
-    return whole.select("id", "ancestor", "depth", place.alias("bfs_pos"))
-
-
-def closure_sql(edges_view: str) -> str:
-    """The pairs of a small acyclic ontology by a recursive query."""
-    return f"""WITH RECURSIVE up(id, ancestor) AS (SELECT child, parent FROM {edges_view}
-      UNION ALL SELECT up.id, e.parent FROM up JOIN {edges_view} e ON e.child = up.ancestor) SELECT DISTINCT id, ancestor FROM up"""
+    return storage.table(spark, whole.select("id", "ancestor", "depth", place.alias("bfs_pos")), "closure")
 
 
 def parents(edges: DataFrame, of: str) -> DataFrame:
@@ -53,20 +51,21 @@ def children_count(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("parent").alias("id")).agg(F.count_distinct("child").alias("n_children"))
 
 
-def paths(edges: DataFrame, of: str, most_levels: int = 50) -> DataFrame:
-    """Every path from a node to a node without parents, as an array of ids."""
+def paths(edges: DataFrame, of: str) -> DataFrame:
+    """Every path from a node to a node without parents, as an array of ids; a path ends where a cycle would begin again."""
     spark = edges.sparkSession
     step = edges.select(F.col("child").alias("__c"), F.col("parent").alias("__p"))
     now = spark.createDataFrame([([of],)], "path array<string>")
-    done = now.limit(0)
-    for _ in range(most_levels):
+    done = []
+    while not now.isEmpty():
         last = F.element_at("path", -1)
-        joined = now.join(step, (last == F.col("__c")) & ~F.array_contains("path", F.col("__p")), "left")
-        done = done.unionByName(joined.filter("__p is null").select("path"))
-        now = storage.table(spark, joined.filter("__p is not null").select(F.concat("path", F.array("__p")).alias("path")), "paths")
-        if now.isEmpty():
-            break
-    return done
+        joined = storage.table(spark, now.join(step, (last == F.col("__c")) & ~F.array_contains("path", F.col("__p")), "left"), "paths")
+        done.append(joined.filter("__p is null").select("path"))
+        now = joined.filter("__p is not null").select(F.concat("path", F.array("__p")).alias("path"))
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.unionByName(more)
+    return whole
 
 
 def labels(df: DataFrame, concepts: DataFrame, key: str, into: str) -> DataFrame:
@@ -104,11 +103,28 @@ def prune(extractions: DataFrame, up: DataFrame, allowed: DataFrame, edges: Data
     return kept.join(gone, (F.col("row_id") == F.col("__r")) & (F.col("concept_id") == F.col("__a")) & F.col("value").eqNullSafe(F.col("__v")), "left_anti")
 
 
-def hierarchy_score(df: DataFrame, up: DataFrame, base: str, other: str) -> DataFrame:
-    """Adds ``h``: 1 if the other concept is the base or lies below it, else 0 (unknown and null ones, too)."""
-    pairs = up.select(F.col("id").alias("__i"), F.col("ancestor").alias("__a")).withColumn("__hit", F.lit(1))
-    joined = df.join(pairs, (df[other] == F.col("__i")) & (df[base] == F.col("__a")), "left")
-    return joined.withColumn("h", F.when(F.col(other) == F.col(base), 1).otherwise(F.coalesce("__hit", F.lit(0)))).drop("__i", "__a", "__hit")
+def hierarchy_score(df: DataFrame, up: DataFrame, base: str, other: str, known: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``h``: 0 for a concept that isn't among the ``known`` ids, 1 for the base itself, 0 below an excluded branch,
+    else 1 if the concept lies below the base and 0 if not; null concepts get 0."""
+    ids = known.select(F.col("id").alias("__k")).distinct().withColumn("__known", F.lit(True))
+    pairs = up.select(F.col("id").alias("__i"), F.col("ancestor").alias("__a")).withColumn("__hit", F.lit(True))
+    out = up.filter(F.col("ancestor").isin(*excluded)).select(F.col("id").alias("__o")).distinct().withColumn("__out", F.lit(True))
+    joined = df.join(ids, df[other] == F.col("__k"), "left").join(pairs, (df[other] == F.col("__i")) & (df[base] == F.col("__a")), "left").join(out, df[other] == F.col("__o"), "left")
+    h = F.when(F.col("__known").isNull(), 0).when(F.col(other) == F.col(base), 1).when(F.col("__out"), 0).otherwise(F.when(F.col("__hit"), 1).otherwise(0))
+    return joined.withColumn("h", h).drop("__k", "__known", "__i", "__a", "__hit", "__o", "__out")
+
+
+def members(df: DataFrame, key: str, concepts: DataFrame) -> DataFrame:
+    """Adds ``known``: whether the ontology has the concept."""
+    ids = concepts.select(F.col("id").alias("__id")).distinct()
+    return df.join(ids, df[key] == F.col("__id"), "left").withColumn("known", F.col("__id").isNotNull()).drop("__id")
+
+
+def composed(df: DataFrame, key: str, filters: list[Callable[[DataFrame, str], DataFrame]]) -> DataFrame:
+    """Filters of concepts (frame, key) one after the other."""
+    for f in filters:
+        df = f(df, key)
+    return df
 
 
 def property_value(prop_type: Column, values: Column) -> Column:
@@ -117,17 +133,41 @@ def property_value(prop_type: Column, values: Column) -> Column:
     return F.when(prop_type == "or", F.array_join(items, " or ")).otherwise(F.array_join(items, " "))
 
 
-def property_score(matches: Column, precision: Column) -> Column:
-    """Half the sum of 1/length over the lengths of matched properties and the bigram precision."""
-    return (F.aggregate(matches, F.lit(0.0), lambda acc, n: acc + F.try_divide(F.lit(1.0), n.cast("double"))) + precision) / 2
+def property_scores(df: DataFrame, properties: DataFrame, up: DataFrame, keys: list[str], base: str, other: str, context: str | None = None) -> DataFrame:
+    """keys and ``p``: how far the properties of the base concept speak of another concept.
+
+    Each entry of a property adds 1 / entries if one of its ends is the concept, and again if its value lies above the
+    concept. With a ``context``, the share of the properties' bigrams that the context has is added, and the
+    sum halved. A base without properties gets 0.
+    """
+    entry = F.explode(F.map_entries("ids")).alias("e")
+    entries = properties.select(F.col("concept_id").alias("__b"), F.size("ids").alias("__n"), entry).select("__b", "__n", F.col("e.key").alias("__k"), F.col("e.value").alias("__v"))
+    above = up.select(F.col("id").alias("__i"), F.col("ancestor").alias("__a")).distinct().withColumn("__up", F.lit(1))
+    pairs = df.select(*keys, F.col(base).alias("__base"), F.col(other).alias("__other")).join(entries, F.col("__base") == F.col("__b"))
+    pairs = pairs.join(above, (F.col("__i") == F.col("__other")) & (F.col("__a") == F.col("__v")), "left")
+    direct = ((F.col("__k") == F.col("__other")) | (F.col("__v") == F.col("__other"))).cast("int")
+    sums = pairs.groupBy(*keys).agg(F.sum((direct + F.coalesce("__up", F.lit(0))) / F.col("__n")).alias("__s"))
+    scored = df.join(sums, keys, "left").withColumn("__s", F.coalesce("__s", F.lit(0.0)))
+    if context is None:
+        return scored.select(*keys, F.col("__s").alias("p"))
+    said = property_texts(properties).select(F.col("id").alias("__b"), F.array_join("texts", " ").alias("__t"))
+    scored = scored.join(said, F.col(base) == F.col("__b"), "left")
+    return scored.select(*keys, F.when(F.col("__t").isNull(), 0.0).otherwise((F.col("__s") + F.coalesce(bigram_share(F.col(context), F.col("__t")), F.lit(0.0))) / 2).alias("p"))
+
+
+def property_texts(properties: DataFrame) -> DataFrame:
+    """id and the values of a concept's properties in order."""
+    value = F.struct("prop_pos", property_value(F.col("property_type"), F.col("labels")).alias("v"))
+    return properties.groupBy(F.col("concept_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(value)), lambda x: x["v"]).alias("texts"))
 
 
 def describe(concepts: DataFrame, up: DataFrame, properties: DataFrame) -> DataFrame:
     """id, description: name, definitions, synonyms but the first, the chain of ancestors but the last, properties."""
     chain = labels(up, concepts, "ancestor", "__label").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bfs_pos", "__label"))), lambda x: x["__label"]).alias("__chain"))
-    props = properties.groupBy(F.col("concept_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("prop_pos", property_value(F.col("property_type"), F.col("labels")).alias("v")))), lambda x: x["v"]).alias("__props"))
+    props = property_texts(properties).withColumnRenamed("texts", "__props")
     df = concepts.join(chain, "id", "left").join(props, "id", "left")
     more = F.when(F.size("__chain") > 2, F.concat(F.lit(", which is a type of "), F.array_join(F.slice("__chain", 2, F.greatest(F.size("__chain") - 2, F.lit(0))), ", which is a type of "))).otherwise("")
+    # The words that join the parts.
     text = F.concat(
         F.lit("Medical concept: "), "label", F.lit(".\n"),
         F.when(F.size("definition") > 0, F.concat(F.lit("Definitions: "), F.array_join("definition", ". "), F.lit(".\n"))).otherwise(""),

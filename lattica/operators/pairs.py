@@ -60,7 +60,7 @@ def swapped_value(df: DataFrame, concept: str, value: str, order: list[str | Col
     """Adds ``other_value``: a value of the same concept chosen by a stable hash, by how often it occurs; null where
     the concept has no other row. Rows are numbered by concept in parts, so no concept is collected."""
     parts = 64
-    spread = df.withColumn("__part", F.pmod(F.xxhash64(F.to_json(F.struct(*order))), F.lit(parts)))
+    spread = df.withColumn("__part", choice(F.concat_ws("|", *order), parts))
     sizes = spread.groupBy(concept, "__part").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select(concept, "__part", (F.sum("n").over(Window.partitionBy(concept).orderBy("__part")) - F.col("n")).alias("__start"), F.sum("n").over(Window.partitionBy(concept)).alias("__n"))
     placed = spread.join(starts, [concept, "__part"]).withColumn("__at", F.col("__start") + F.row_number().over(Window.partitionBy(concept, "__part").orderBy(*order)) - 1)
@@ -71,6 +71,40 @@ def swapped_value(df: DataFrame, concept: str, value: str, order: list[str | Col
     return got.drop("__part", "__start", "__n", "__at", "__want", "__c", "__a")
 
 
+def with_corrupted(df: DataFrame, concept: str, value: str, order: list[str], key: Column) -> DataFrame:
+    """Every row as true, and once more as false with another value of its concept in ``corrupted_value`` (null for true rows, and where
+    the concept has no other value)."""
+    swapped = swapped_value(df, concept, value, order, key)
+    true = df.withColumns({"factual": F.lit(True), "corrupted_value": F.lit(None).cast("string")})
+    return true.unionByName(swapped.withColumn("factual", F.lit(False)).withColumnRenamed("other_value", "corrupted_value"))
+
+
+def scatter(leaves: DataFrame, group: str, concepts: list[str], lists: list[str]) -> DataFrame:
+    """Leaves (group, pos, path, value) of JSON trees as concept rows: category, concept, value and concept_reference.
+
+    The first step of a path is the category, the last the concept; unknown concepts and 'None' are left out. In a category that is a list, an
+    element is named by the first value kept of it in a run of rows of that element; other categories have the reference 'None'.
+    """
+    rows = leaves.select("*", F.lower(F.get("path", F.lit(0))).alias("category"), F.lower(F.element_at("path", -1)).alias("concept"))
+    rows = rows.filter(F.col("concept").isin(*concepts) & F.col("value").isNotNull() & (F.col("value") != "None"))
+    rows = rows.withColumn("__list", F.col("category").isin(*lists)).withColumn("__index", F.when(F.col("__list"), F.get("path", F.lit(1))))
+    named = run_first(rows, group, "pos", "category", "__index", "value", "__name")
+    return named.withColumn("concept_reference", F.when(F.col("__list"), F.col("__name")).otherwise("None")).drop("__list", "__index", "__name")
+
+
+def rows_of_maps(df: DataFrame, keys: list[str], methods: dict[str, str]) -> DataFrame:
+    """Maps from concept to value in columns as rows (keys, concept_id, value, method); ``methods`` names the method of each column."""
+    each = F.array(*(F.struct(F.lit(m).alias("method"), F.col(c).alias("map")) for c, m in methods.items()))
+    rows = df.select(*keys, F.explode(each).alias("e")).select(*keys, "e.method", F.explode("e.map").alias("concept_id", "value"))
+    return rows.select(*keys, "concept_id", "value", "method")
+
+
+def maps_of_rows(df: DataFrame, note: str, concept: str, value: str, order: str) -> DataFrame:
+    """A map from concept to value for each note; of a concept's values the last in order counts."""
+    last = df.groupBy(note, concept).agg(F.max_by(value, order).alias("__v"))
+    return last.groupBy(note).agg(F.map_from_entries(F.collect_list(F.struct(concept, "__v"))).alias("extraction"))
+
+
 def run_first(df: DataFrame, group: str, order: str, category: str, index: str, value: str, into: str) -> DataFrame:
     """The first value of every run of rows with equal category and index."""
     w = Window.partitionBy(group).orderBy(order)

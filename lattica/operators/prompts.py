@@ -4,14 +4,27 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WITH_CONTEXT = "Context:\n{context}\n\nStatement: {statement}\n\nIs the statement factual?"
 WITHOUT_CONTEXT = "Statement: {statement}\n\nIs the statement factual?"
 ANSWERED = "\n### Factual: {label}\n### Explanation: {explanation}"
 JUDGE = "Instruction: {instruction}\nResponse A: {a}\nResponse B: {b}\nRubric: {rubric}\nSay which response is better, ending in [RESULT] A or B."
-CLAIM = "<context>\n{context}\n</context>\n\n<claims>\n{claim}\n</claims>"
+CLAIM = "<context>\n{context}\n</context>\n\n<claims>\n{claim}\n</claims>"  # fixed value: the classifier's format
+CONCEPT = "{note}\n\nWhat does the note say about {label}?{properties}"
+PROPERTIES = "\n{label} has these properties:\n- {list}\n"
+VALID_VALUE = "Note:\n{note}\n\nIs it right that {label} : {value}? Answer yes or no."
+PRESENT = "Note:\n{note}\n\nDoes the note speak of {label}? Answer yes or no."
+ENTAILS = "Premise: {premise}\nHypothesis: {hypothesis}\n\nDoes the hypothesis follow from the premise? Answer yes or no."
+SUMMARISE = "Summarise the user's note in at most 250 words and write nothing else."
+#: Prompts for validators of generated rows, by data set.
+VALIDATORS = {
+    "notes": "Note: {note}\nExtraction: {output}\n\nIs the extraction factual? Answer YES or NO only.",
+    "choices": "Question: {question}\nAnswer: {answer}\nStatement: {output}\n\nDoes the statement say what the answer says? Answer YES or NO only.",
+    "cases": "Context: {context}\nQuestion: {question}\nAnswer: {answer}\nStatement: {output}\n\nDoes the statement say what the answer says? Answer YES or NO only.",
+    "papers": "First: {sentence}\nSecond: {output}\n\nDo the sentences contradict each other? Answer YES or NO only.",
+}
 RUBRICS = ("factuality", "relevance")
 
 
@@ -31,16 +44,18 @@ def numbered(texts: Column, title: str = "### Clinical note ", between: str = "\
 
 def group_texts(df: DataFrame, group: list[str], order: str, text: str, into: str = "prompt", template: str = "{notes}", most: int | None = None) -> DataFrame:
     """The texts of every group in order, numbered, in a template. ``most`` caps the texts of a group, the first in order."""
+    df = df.filter(F.col(text).isNotNull())
+    if most:  # before they are collected
+        df = df.withColumn("__nr", F.row_number().over(Window.partitionBy(*group).orderBy(order, text))).filter(F.col("__nr") <= most)
     texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"])
-    texts = F.slice(texts, 1, most) if most else texts
-    return df.filter(F.col(text).isNotNull()).groupBy(*group).agg(render(template, notes=numbered(texts)).alias(into))
+    return df.groupBy(*group).agg(render(template, notes=numbered(texts)).alias(into))
 
 
-def group_entries(df: DataFrame, group: str, note: str, order: str, label: str, value: str, distinct: bool = False, bullet: str = "", into: str = "prompt") -> DataFrame:
+def group_entries(df: DataFrame, group: str, note: str, order: str, label: str, value: str, distinct: bool = False, bullet: str = "", into: str = "prompt", structure: str | None = None) -> DataFrame:
     """Entries (label, value) of the notes of every group as numbered text; 'N/A' for a group without any.
 
     Values 'N/A' are left out; with ``distinct`` so are values that a note had before, whatever their
-    case and outer white space.
+    case and outer white space. ``structure`` adds a column of that name with a map from label to value for each note.
     """
     kept = df.filter(F.col(value).isNotNull() & (F.col(value) != "N/A"))
     if distinct:
@@ -49,9 +64,12 @@ def group_entries(df: DataFrame, group: str, note: str, order: str, label: str,
 
         kept = first_seen(kept.withColumn("__norm", F.lower(utrim(F.col(value)))), [group, note, "__norm"], [order])
     line = F.concat(F.lit(bullet), F.col(label), F.lit(" : "), F.col(value), F.lit("\n"))
-    notes = kept.groupBy(group, note).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))), lambda x: x["t"]), "").alias("__text"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(note).alias("o"), F.col("__text").alias("t")))), lambda x: x["t"])
-    made = notes.groupBy(group).agg(numbered(texts, between="\n").alias(into))
+    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t"), F.col(label).alias("k"), F.col(value).alias("v"))))
+    notes = kept.groupBy(group, note).agg(lines.alias("__l")).select(
+        group, note, F.array_join(F.transform("__l", lambda x: x["t"]), "").alias("__text"), F.map_from_entries(F.transform("__l", lambda x: F.struct(x["k"], x["v"]))).alias("__map"))
+    inner = F.array_sort(F.collect_list(F.struct(F.col(note).alias("o"), F.col("__text").alias("t"), F.to_json("__map").alias("m"))))
+    made = notes.groupBy(group).agg(inner.alias("__n"))
+    made = made.select(group, numbered(F.transform("__n", lambda x: x["t"]), between="\n").alias(into), *([F.transform("__n", lambda x: F.from_json(x["m"], "map<string,string>")).alias(structure)] if structure else []))
     return df.select(group).distinct().join(made, group, "left").withColumn(into, F.coalesce(into, F.lit("N/A")))
 
 
@@ -93,3 +111,49 @@ def judge(instruction: Column, a: Column, b: Column, rubric: str) -> Column:
     if rubric not in RUBRICS:
         raise ValueError(f"rubric must be one of {RUBRICS}")
     return render(JUDGE, instruction=instruction, a=a, b=b, rubric=rubric)
+
+
+def properties_block(label: Column, texts: Column) -> Column:
+    """The properties of a concept as a list under its label; empty without any."""
+    return F.when(F.coalesce(F.trim(F.array_join(texts, "")), F.lit("")) == "", F.lit("")).otherwise(render(PROPERTIES, label=label, list=F.array_join(texts, "\n- ")))
+
+
+def concept_question(note: Column, label: Column, texts: Column) -> Column:
+    return render(CONCEPT, note=note, label=label, properties=properties_block(label, texts))
+
+
+def claim_check(context: Column, claim: Column) -> Column:
+    """For the classifier of claims."""
+    return render(CLAIM, context=context, claim=claim)
+
+
+def claim_generator(context: Column, request: Column, answer: Column) -> Column:
+    """For the generator of claims: numbered sentences of context and answer around the request."""
+    from ..functions.text import annotate, sentences, utrim
+
+    # The generator's marks.
+    return F.concat(F.lit("<|context|>"), annotate(sentences(context), "s"), F.lit("<end||context><|request|><"), utrim(request), F.lit("><end||request><|response|>"), annotate(sentences(answer), "r"), F.lit("<end||response>"))
+
+
+def validation(kind: str, **slots: Column) -> Column:
+    """A validator's prompt for a data set; papers are compared in lower case."""
+    if kind == "papers":
+        slots = {k: F.lower(v) for k, v in slots.items()}
+    return render(VALIDATORS[kind], **slots)
+
+
+def entailment_judge(premise: Column, hypothesis: Column, rubric: str = "factuality") -> Column:
+    """A judge's prompt on whether a premise entails a hypothesis, with the answers Yes and No to choose from."""
+    return judge(render(ENTAILS, premise=premise, hypothesis=hypothesis), F.lit("Yes"), F.lit("No"), rubric)
+
+
+def one_shot_chats(df: DataFrame, examples: DataFrame, concept: str, system: str, asked: Column, into: str = "chat") -> DataFrame:
+    """A chat for each row with the example (concept, user, assistant) of its concept; a concept without one gets nulls in its place."""
+    named = examples.select(F.lower("concept").alias("__c"), F.col("user").alias("__u"), F.col("assistant").alias("__a"))
+    joined = df.join(named, F.lower(F.col(concept)) == F.col("__c"), "left")
+    return joined.withColumn(into, chat(F.lit(system), F.col("__u"), F.col("__a"), asked)).drop("__c", "__u", "__a")
+
+
+def summary_chat(note: Column) -> Column:
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    return F.array(message("system", F.lit(SUMMARISE)), message("user", note))

@@ -66,6 +66,23 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "_pos") -> DataFrame:
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
 
 
+def clear(results: DataFrame, where: Column) -> DataFrame:
+    """Results without those that meet a condition: their work is to be done again."""
+    return results.filter(~F.coalesce(where, F.lit(False)))
+
+
+def report(state: DataFrame) -> DataFrame:
+    """A line of text for every shard's progress."""
+    line = F.format_string("shard %d: %d of %d (%.1f %%)", F.col("shard_id"), F.col("done"), F.col("total"), F.col("percent"))
+    return state.select("shard_id", line.alias("line"))
+
+
+def repair(work: DataFrame, results: DataFrame, broken: list[int], size: int, key: str = "_pos") -> tuple[DataFrame, DataFrame]:
+    """Results without those of broken shards, and the work that is left then."""
+    kept = results.filter(~shard_id(F.col(key), size).isin(*broken))
+    return kept, unprocessed(work, kept, key)
+
+
 def resume_index(df: DataFrame, output: str, key: str = "_pos") -> DataFrame:
     """resume_at: the first place without an output; the number of rows if all have one."""
     return df.agg(F.coalesce(F.min(F.when(F.col(output).isNull(), F.col(key))), F.count(F.lit(1))).alias("resume_at"))
@@ -77,6 +94,20 @@ class Provider(Protocol):
     def __call__(self, prompts: list[str]) -> list[str | None]: ...
 
 
+class Annotator(Protocol):
+    """Finds concepts: from rows (key, text) to mentions (key, concept_id, start)."""
+
+    def __call__(self, df: DataFrame, text: str) -> DataFrame: ...
+
+
+class Builder(Protocol):
+    """Makes a data set: its rows, and the prompts that are answered to complete them."""
+
+    def load(self) -> DataFrame: ...
+
+    def prompts(self, df: DataFrame) -> DataFrame: ...
+
+
 def retrying(provider: Provider, retries: int = 2, wait: float = 1.0) -> Provider:
     """Tries a batch again with growing waits; after that its answers are null."""
 
@@ -92,6 +123,74 @@ def retrying(provider: Provider, retries: int = 2, wait: float = 1.0) -> Provide
     return call
 
 
+def aborting(provider: Provider, retries: int = 2, wait: float = 1.0) -> Provider:
+    """As ``retrying``, but after the first batch that fails for good nothing more is asked: all other answers are null."""
+    dead = False
+
+    def call(prompts: list[str]) -> list[str | None]:
+        nonlocal dead
+        if dead:
+            return [None] * len(prompts)
+
+        dead = True
+
+        def noting(batch: list[str]) -> list[str | None]:
+            nonlocal dead
+            got = provider(batch)
+            dead = False
+            return got
+
+        return retrying(noting, retries, wait)(prompts)
+
+    return call
+
+
+def blocking(one: Callable[[str], str | None]) -> Provider:
+    """A provider from a plain function for one prompt; a failure is a null."""
+
+    def call(prompts: list[str]) -> list[str | None]:
+        out: list[str | None] = []
+        for p in prompts:
+            try:
+                out.append(one(p))
+            except Exception:  # noqa: BLE001  whatever a provider raises
+                out.append(None)
+        return out
+
+    return call
+
+
+def chatting(ask: Callable[[list[dict]], str | None], system: str | None = None) -> Provider:
+    """A provider from a function of messages: each prompt becomes a chat."""
+    lead = [{"role": "system", "content": system}] if system else []
+    return blocking(lambda p: ask([*lead, {"role": "user", "content": p}]))
+
+
+def classify(df: DataFrame, text: str, model_factory: Callable[[], Callable[[list[str]], list[list[float]]]], names: list[str], batch: int = 16, into: str = "probabilities") -> DataFrame:
+    """Adds a map from label to probability by a model that is made once in each task; null for null texts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = model_factory()
+        for frame in frames:
+            out: list[dict | None] = [None] * len(frame)
+            places = frame[text].notna().to_numpy().nonzero()[0].tolist()
+            for k in range(0, len(places), batch):
+                part = places[k : k + batch]
+                for place, row in zip(part, model([frame[text].iloc[p] for p in part]), strict=True):
+                    out[place] = dict(zip(names, map(float, row), strict=True))
+            yield frame.assign(**{into: out})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{schema}, `{into}` map<string,double>")
+
+
+def infer_shards(work: DataFrame, results: DataFrame, prompt: str, provider_factory: Callable[[], Provider], shards: list[int], size: int, key: str = "_pos", **more) -> DataFrame:
+    """Results with the answers for what is unprocessed in some shards put over them."""
+    todo = unprocessed(work.filter(shard_id(F.col(key), size).isin(*shards)), results, key)
+    new = infer(todo, prompt, provider_factory, output="result", **more).filter(F.col("result").isNotNull()).select(key, "result")
+    return upsert(results.select(key, "result"), new, key)
+
+
 def concurrent(one: Callable[[str], object]) -> Provider:
     """A provider from an async function for one prompt: a batch runs at once, a failure is a null."""
 

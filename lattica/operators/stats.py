@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.text import word_count
 
 
 def shares(df: DataFrame, category: str) -> DataFrame:
     """n and share of every category."""
     got = df.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    return got.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    total = got.agg(F.sum("n").alias("__total"))  # one row
+    return got.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("__total")).drop("__total")
 
 
 def at_least(df: DataFrame, category: str, k: int) -> DataFrame:
@@ -19,12 +21,18 @@ def at_least(df: DataFrame, category: str, k: int) -> DataFrame:
     return df.join(df.groupBy(category).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k).select(category), category, "left_semi")
 
 
-def collapse_rare(df: DataFrame, category: str, k: int) -> DataFrame:
-    """Categories with fewer than k rows under one name that lists them."""
-    counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("__n"))
-    rare = counts.filter(F.col("__n") < k).agg(F.array_join(F.array_sort(F.collect_list(category)), ", ").alias("__rare"))
-    joined = df.join(F.broadcast(counts), category).join(F.broadcast(rare))
-    return joined.withColumn(category, F.when(F.col("__n") < k, F.concat(F.lit("Others ("), "__rare", F.lit(")"))).otherwise(F.col(category))).drop("__n", "__rare")
+def collapse_rare(df: DataFrame, category: str, k: int, columns: list[str] | None = None, between: str = ", ") -> DataFrame:
+    """Categories with fewer than k rows under one name that lists them, as every row that has one of them then has it.
+
+    ``columns``: all columns in which values that are rare categories are replaced; the category alone by default. Null is no
+    category. The rare names and their list are joined by name, without a broadcast: they may be many.
+    """
+    rare = df.filter(F.col(category).isNotNull()).groupBy(category).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") < k).select(F.col(category).alias("__r"))
+    named = rare.agg(F.concat(F.lit("Others ("), F.array_join(F.array_sort(F.collect_list("__r")), between), F.lit(")")).alias("__others"))
+    labelled = storage.table(df.sparkSession, rare.join(named), "rare")
+    for c in columns or [category]:
+        df = df.join(labelled, df[c] == F.col("__r"), "left").withColumn(c, F.coalesce("__others", c)).drop("__r", "__others")
+    return df
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, by: list[str] | None = None) -> DataFrame:

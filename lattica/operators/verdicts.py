@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import bleu, rouge
-from ..functions.text import utrim
+from ..functions.scores import text_scores
+from ..functions.text import mask_domains, utrim
 
 # Patterns of verdicts, applied to lower-cased text.
 STRICT = r"(?i)Factual(?::)?(?:\n| |\*)*(YES|NO)"
@@ -69,8 +71,15 @@ def accuracy_by(df: DataFrame, category: str, label: Column, prediction: Column)
 def explanation_scores(df: DataFrame, reference: str = "explanation", made: str = "explanation_gen") -> DataFrame:
     """Mean ROUGE-1, ROUGE-2 and BLEU of the explanations of false statements found false."""
     kept = df.filter((F.col("label") == F.col("prediction")) & ~F.col("label"))
-    a, b = F.col(reference), F.col(made)
-    return kept.agg(F.avg(rouge(a, b, 1)["f"]).alias("rouge1"), F.avg(rouge(a, b, 2)["f"]).alias("rouge2"), F.avg(bleu(a, b)).alias("bleu"))
+    scored = kept.select(text_scores(F.col(reference), F.col(made)).alias("t")).select("t.*")
+    return scored.agg(*(F.avg(c).alias(c) for c in ("rouge1", "rouge2", "bleu")))
+
+
+def metrics(df: DataFrame, reference: str = "explanation", made: str = "explanation_gen") -> DataFrame:
+    """One row: the confusion figures of the valid rows, the means of the explanations' scores, and how many rows were not valid."""
+    valid = df.filter("valid")
+    dropped = df.agg(F.count_if(~F.col("valid")).alias("n_invalid"))
+    return confusion(valid, F.col("label"), F.col("prediction")).join(explanation_scores(valid, reference, made)).join(dropped)
 
 
 def entailment(df: DataFrame, note: str, score: str) -> DataFrame:
@@ -82,8 +91,27 @@ def macro_mean(df: DataFrame, group: str, score: str) -> DataFrame:
     return df.groupBy(group).agg(F.avg(score).alias("m")).agg(F.avg("m").alias("macro_mean"))
 
 
-def rerank(h: Column, p: Column, s: Column, beam: Column, weights: tuple[float, float, float, float], peers: Column) -> Column:
-    """Beam score mixed with the softmax of boosts among peers (an array): log(w0 e^beam + w1 boost share)."""
-    boost = weights[1] * h + weights[2] * p + weights[3] * s
-    total = F.aggregate(F.transform(peers, lambda x: F.exp(x)), F.lit(0.0), lambda acc, x: acc + x)
-    return F.log(weights[0] * F.exp(beam) + (1 - weights[0]) * F.exp(boost) / total)
+def boost(h: Column, p: Column, s: Column, factors: tuple[float, float, float]) -> Column:
+    """Hierarchy, property and groundedness scores in one."""
+    return factors[0] * h + factors[1] * p + factors[2] * s
+
+
+def rerank(df: DataFrame, group: str, beam: str, boosts: str, weights: tuple[float, float], into: str = "mixed") -> DataFrame:
+    """Adds log(w0 e^beam + w1 (softmax of the boosts in the group, less its least)): the least boosted beam of a group gains nothing."""
+    w = Window.partitionBy(group)
+    soft = F.exp(F.col(boosts)) / F.sum(F.exp(F.col(boosts))).over(w)
+    rows = df.withColumn("__soft", soft)
+    share = F.col("__soft") - F.min("__soft").over(w)
+    return rows.withColumn(into, F.log(weights[0] * F.exp(F.col(beam)) + weights[1] * share)).drop("__soft")
+
+
+def domain_fit(df: DataFrame, text: str, domain: str, classify: Callable[[Column], Column], names: list[str], labels: dict[str, str]) -> DataFrame:
+    """Mean probability of the expected label of each domain, its texts' domain names masked, and the mean over domains under 'average'.
+
+    classify: gives a text's map from label to probability. labels: the label expected of each domain.
+    """
+    rows = df.filter(F.col(text).isNotNull() & F.col(domain).isNotNull())
+    wanted = F.try_element_at(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)), F.col(domain))
+    scored = rows.select(F.col(domain).alias("domain"), F.try_element_at(classify(mask_domains(F.col(text), names, ignore_case=True)), wanted).alias("score"))
+    by = scored.groupBy("domain").agg(F.avg("score").alias("score"))
+    return by.unionByName(by.agg(F.lit("average").alias("domain"), F.avg("score").alias("score")))

@@ -26,8 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sql_over(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """Spark SQL over some of the tables."""
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(f"lattica_{name}")
+        for word in ("FROM", "JOIN"):
+            sql = sql.replace(f"{word} {name}", f"{word} lattica_{name}")
+    return spark.sql(sql)
+
+
+#: DuckDB's form of ``functions.text.choice`` before the remainder is taken.
+CHOICE = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import corpus, evaluation, ontology, work  # noqa: F401
+    from . import corpus, evaluation, files, flows, ontology, texts, values, work  # noqa: F401
 
     return dict(_queries)
 

@@ -11,7 +11,7 @@ from ..operators import corpus as C
 from ..operators import pairs as P
 from ..operators import prompts as M
 from ..operators import stats as S
-from . import query, table
+from . import CHOICE, query, table
 
 _ONE_SYSTEM = "SELECT conv_id FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (role = 'system') = 1"
 _FORMATTED = f"""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS note_order, role, text, length(text)::BIGINT AS n_chars
@@ -51,11 +51,11 @@ _HEADED = "CASE WHEN doc_id % 3 = 0 THEN concat('Name: x\nHOSPITAL COURSE: ', te
 
 @query(rf"""WITH h AS (SELECT doc_id, source, {_HEADED} AS body FROM documents),
  m AS (SELECT doc_id, source, regexp_matches(body, '(?i)(history of present illness|history|hospital course|present illness):') AS found,
-   regexp_extract(body, '(?i)(history of present illness|history|hospital course|present illness):\s*([^\n]*(?:\n[^\n]+)*(?:\n\z)?)', 2) AS s FROM h WHERE source <> 'src3')
- SELECT doc_id, CASE WHEN found THEN length(s)::BIGINT END AS section_chars, CASE WHEN found THEN md5(s) END AS section_md5 FROM m""")
+   regexp_extract(body, '(?i)(history of present illness|history|hospital course|present illness):\s*([^\n]*(?:\n[^\n]+)*(?:\n\z)?)', 2) AS s FROM h)
+ SELECT doc_id, CASE WHEN found AND source IS DISTINCT FROM 'src3' THEN length(s)::BIGINT END AS section_chars, CASE WHEN found AND source IS DISTINCT FROM 'src3' THEN md5(s) END AS section_md5 FROM m""")
 def section_extract(spark, d):
-    df = table(spark, d, "documents").withColumn("body", F.expr(_HEADED.replace("\n", "\\n"))).filter("source <> 'src3'")
-    return C.sections(df, "body", F.lit(True)).select("doc_id", F.length("BHC").cast("long").alias("section_chars"), F.md5("BHC").alias("section_md5"))
+    df = table(spark, d, "documents").withColumn("body", F.expr(_HEADED.replace("\n", "\\n")))
+    return C.sections(df, "body", T.differs(F.col("source"), "src3")).select("doc_id", F.length("BHC").cast("long").alias("section_chars"), F.md5("BHC").alias("section_md5"))
 
 
 @query("SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5")
@@ -212,7 +212,7 @@ def chat_struct(spark, d):
     return table(spark, d, "events").select("event_id", M.chat_text(messages).alias("chat"))
 
 
-_ENTRIES = "SELECT user_id, event_id % 3 AS note, event_id, event_type AS label, CASE WHEN event_id % 5 = 0 THEN 'N/A' WHEN event_id % 2 = 0 THEN concat(' V', event_id % 4) ELSE concat('v', event_id % 4) END AS value FROM events WHERE event_id < 2000"
+_ENTRIES = "SELECT user_id, event_id % 3 AS note, event_id, event_type AS label, CASE WHEN event_id % 5 = 0 THEN 'N/A' WHEN event_id % 2 = 0 THEN concat(' V', event_id % 4) ELSE concat('v', event_id % 4) END AS value FROM events"
 
 
 @query(f"""WITH e AS ({_ENTRIES}), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, note, lower(trim(value)) ORDER BY event_id) AS r FROM e WHERE value <> 'N/A'),
@@ -262,9 +262,11 @@ def answer_normalise(spark, d):
     return table(spark, d, "events").select("event_id", T.normalize_answer(t).alias("answer"))
 
 
-@query("""WITH r AS (SELECT event_id, replace(replace(replace('Nursing/Other and ECG of Nursing', 'Nursing', 'clinical'), 'ECG', 'clinical'), 'zz', '') AS t FROM events) SELECT event_id, t AS masked, lower(translate(event_type || ' A/b', ' /', '__')) AS slug FROM r JOIN events USING (event_id)""")
+@query("""WITH r AS (SELECT event_id, replace(replace(concat(CASE event_id % 4 WHEN 0 THEN 'Nursing' WHEN 1 THEN 'ECG' WHEN 2 THEN 'Nursing/Other' ELSE event_type END, ' and ', props, ' of Nursing'), 'Nursing', 'clinical'), 'ECG', 'clinical') AS t FROM events) SELECT event_id, t AS masked, lower(translate(event_type || ' A/b', ' /', '__')) AS slug FROM r JOIN events USING (event_id)""")
 def mask_and_slug(spark, d):
-    return table(spark, d, "events").select("event_id", T.mask_domains(F.lit("Nursing/Other and ECG of Nursing"), ["Nursing", "ECG", "Nursing/Other"]).alias("masked"), T.slug(F.concat("event_type", F.lit(" A/b"))).alias("slug"))
+    k = F.col("event_id") % 4
+    said = F.concat(F.when(k == 0, "Nursing").when(k == 1, "ECG").when(k == 2, "Nursing/Other").otherwise(F.col("event_type")), F.lit(" and "), "props", F.lit(" of Nursing"))
+    return table(spark, d, "events").select("event_id", T.mask_domains(said, ["Nursing", "ECG", "Nursing/Other"]).alias("masked"), T.slug(F.concat("event_type", F.lit(" A/b"))).alias("slug"))
 
 
 @query("SELECT event_id, f.factual, event_type FROM events, (VALUES (true), (false)) f(factual)")
@@ -272,11 +274,18 @@ def label_both_ways(spark, d):
     return P.both_ways(table(spark, d, "events")).select("event_id", "factual", "event_type")
 
 
-@query()
+@query(f"""WITH p AS (SELECT *, {CHOICE.format("event_id::VARCHAR")} AS h FROM events),
+ a AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY h % 64, event_id) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM p),
+ w AS (SELECT *, CASE WHEN n > 1 THEN (place + h % greatest(n - 1, 1) + 1) % n END AS want FROM a)
+ SELECT w.event_id, w.event_type, w.props, b.props AS other_value FROM w LEFT JOIN a b ON b.event_type = w.event_type AND b.place = w.want""")
 def swapped_values(spark, d):
     return P.swapped_value(table(spark, d, "events"), "event_type", "props", ["event_id"], F.col("event_id")).select("event_id", "event_type", "props", "other_value")
 
 
-@query()
+@query(rf"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '(?i)(^|[^\p{{L}}\p{{N}}_])(dr|mr|mrs|ms|prof|st|vs|etc|e\.g|i\.e|fig|no|approx|[A-Z])\.(\s)', '\1\2' || chr(1) || '\3', 'g'), '(?i)(^|[^\p{{L}}\p{{N}}_])(dr|mr|mrs|ms|prof|st|vs|etc|e\.g|i\.e|fig|no|approx|[A-Z])\.(\s)', '\1\2' || chr(1) || '\3', 'g'),
+   '([.!?]["'')\]]*)\s+(["''(\[]?[\p{{Lu}}\d])', '\1' || chr(2) || '\2', 'g') AS t FROM documents),
+ s AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(2)), lambda x: regexp_replace(replace(x, chr(1), '.'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM m),
+ c AS (SELECT doc_id, s, len(s) AS n, {CHOICE.format("doc_id::VARCHAR")} % greatest(len(s) - 1, 1) AS k FROM s)
+ SELECT doc_id, CASE WHEN n < 2 THEN '' ELSE s[k + 1] END AS sentence, CASE WHEN n < 2 THEN '' ELSE array_to_string(s[1:k], ' ') END AS before, CASE WHEN n < 2 THEN '' ELSE array_to_string(s[k + 2:], ' ') END AS after, n::INT AS n_sentences FROM c""")
 def sentence_around(spark, d):
     return table(spark, d, "documents").select("doc_id", P.split_sentence(T.sentences(F.col("text")), F.col("doc_id")).alias("s")).select("doc_id", "s.*")

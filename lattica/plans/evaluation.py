@@ -18,6 +18,7 @@ def _sql(spark, d, sql, *names):
     return spark.sql(sql)
 
 
+# The patterns of operators/verdicts.py in the form that DuckDB reads.
 _OUTPUTS = """SELECT event_id, event_type, value > 50 AS label, CASE CAST(event_id % 9 AS INT) WHEN 0 THEN 'Factual: YES' WHEN 1 THEN 'factual: **no ### Explanation because' WHEN 2 THEN 'I say yes indeed'
  WHEN 3 THEN ' no ' WHEN 4 THEN 'it is: yes and no' WHEN 5 THEN NULL WHEN 6 THEN '' WHEN 7 THEN 'Factual not sure' ELSE 'unclear' END AS output FROM events"""
 _PARSED = rf"""o AS ({_OUTPUTS}), l AS (SELECT *, lower(output) AS t FROM o),
@@ -69,6 +70,7 @@ _JUDGED = """SELECT event_id, concat('m', event_id % 4) AS a, concat('m', (event
  CASE WHEN event_id % 19 = 0 THEN NULL ELSE concat('x', event_id % 6) END AS a_result, concat('X', event_id % 5) AS b_result,
  CASE CAST(event_id % 10 AS INT) WHEN 0 THEN 'Feedback. [RESULT] A' WHEN 1 THEN '[RESULT] B' WHEN 2 THEN 'Result: N/A' WHEN 3 THEN '[RESULT] A or B' WHEN 4 THEN 'result: b' WHEN 5 THEN NULL WHEN 6 THEN 'no tag'
   WHEN 7 THEN '[RESULT] (A)' WHEN 8 THEN 'a good result as such' ELSE concat('[RESULT] ', CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END) END AS result FROM events"""
+# The pattern of operators/judge.py.
 _DECISION = r"(?i)(?:\[?Result\]?:?)\s*(N/A|A|B)\s*(or|and)?\s*(A|B)?"
 _DECIDED = f"""j AS ({_JUDGED}), d AS (SELECT *, CASE WHEN result IS NULL OR NOT regexp_matches(result, '{_DECISION}') THEN 'parsing_error' WHEN regexp_extract(result, '{_DECISION}', 1) = 'N/A' THEN 'tie'
  ELSE lower(regexp_extract(result, '{_DECISION}', 1)) END AS decision FROM j)"""
@@ -153,7 +155,7 @@ def bigram_overlap(spark, d):
 
 @query()
 def explanation_scores(spark, d):
-    df = _parsed(spark, d).withColumn("explanation", F.lit("because it says so"))
+    df = _parsed(spark, d).withColumn("explanation", F.concat_ws(" ", F.lit("because the"), "event_type", (F.col("event_id") % 7).cast("string"), F.lit("says no indeed")))
     return V.explanation_scores(df)
 
 

@@ -50,11 +50,11 @@ def model_answers(spark, d):
     return G.infer(_work(spark, d).select("_pos", "event_type"), "event_type", echo, most_length=6).select("_pos", "output")
 
 
-@query("""WITH w AS (SELECT p_partkey, list_filter(string_split_regex(lower(p_name), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM part), t AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS term FROM part WHERE p_partkey <= 50)
+@query("""WITH w AS (SELECT p_partkey, list_filter(string_split_regex(lower(p_name), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM part), t AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS term FROM part)
  SELECT p_partkey, term, (i - 1)::INT AS start FROM (SELECT p_partkey, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w) JOIN t ON word = term""")
 def annotate_terms(spark, d):
     part = table(spark, d, "part")
-    terms = part.filter("p_partkey <= 50").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("term")).distinct().withColumn("concept_id", F.col("term"))
+    terms = part.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("term")).distinct().withColumn("concept_id", F.col("term"))
     return G.annotate(part, "p_name", terms, "p_partkey").select("p_partkey", "term", "start")
 
 

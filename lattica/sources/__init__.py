@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from .. import storage
 from ..contracts import drop_unnamed, normalize_na
 
 
@@ -19,7 +20,7 @@ def with_pos(df: DataFrame, order: list[str]) -> DataFrame:
     sees all rows.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
-    ranged = ranged.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else ranged.persist()
+    ranged = storage.table(df.sparkSession, ranged, "placed")  # places stay, whatever executors are lost
     parts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_in").alias("first")).orderBy("_part").collect()
     starts, at = [], 0
     for r in parts:
@@ -99,6 +100,24 @@ def write_without(df: DataFrame, path: str, wide: str = "clinical_note") -> None
     df.drop(wide).write.mode("overwrite").parquet(path)
 
 
+def write_factual(df: DataFrame, path: str, label: str = "factual") -> None:
+    """Rows that are true and rows that are false in folders of their own; rows without a label are in neither."""
+    for name, side in (("positive", F.col(label)), ("negative", ~F.col(label))):
+        df.filter(side).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def from_columns(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A table from lists by column; lists of unequal length are an error."""
+    if len({len(v) for v in columns.values()}) > 1:
+        raise ValueError("columns of unequal length")
+    return spark.createDataFrame(list(zip(*columns.values(), strict=True)), schema)
+
+
+def from_pandas(spark: SparkSession, frame, schema: str | None = None) -> DataFrame:
+    """A table from a pandas frame; NaN in columns of texts becomes null."""
+    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None), schema)
+
+
 def expand(value):
     """Environment variables in strings, at any depth."""
     if isinstance(value, dict):
@@ -109,11 +128,16 @@ def expand(value):
 
 
 def read_config(path: str, defaults: dict[str, dict], required: tuple[tuple[str, str], ...] = ()) -> tuple[dict[str, dict], list[str]]:
-    """A YAML (or JSON) file of sections over defaults, and warnings about what it has beyond them.
+    """``parse_config`` of a file."""
+    with open(path, encoding="utf-8") as f:
+        return parse_config(f.read(), defaults, required)
+
+
+def parse_config(text: str, defaults: dict[str, dict], required: tuple[tuple[str, str], ...] = ()) -> tuple[dict[str, dict], list[str]]:
+    """Sections in YAML (or JSON) over defaults, and warnings about what there is beyond them.
 
     A required key that stays None is an error.
     """
-    text = open(path, encoding="utf-8").read()
     try:
         import yaml
 

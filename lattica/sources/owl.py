@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import xml.etree.ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +31,14 @@ def _restriction(node) -> tuple[str | None, str | None]:
     return resource(prop), resource(value)
 
 
-def parse(path: str, lang: str = "en") -> tuple[list, list, list, list]:
-    """Rows of concepts, edges and properties, and what was not understood.
+def parse(file, lang: str = "en") -> tuple[list, list, list, list]:
+    """From a path or an open file, rows of concepts, edges and properties, and what was not understood.
 
     A named superclass is an edge; the parts of an intersection or union are edges or restrictions in
     turn, and their type is kept; a restriction to a class is simple.
     """
     concepts, edges, properties, unknown = [], [], [], []
-    for node in ET.parse(path).getroot().findall(f"{_OWL}Class"):
+    for node in ET.parse(file).getroot().findall(f"{_OWL}Class"):
         own = _id(node.get(f"{_RDF}about"))
         if own is None:
             continue
@@ -70,9 +71,9 @@ def parse(path: str, lang: str = "en") -> tuple[list, list, list, list]:
     return concepts, edges, properties, unknown
 
 
-def load(spark: SparkSession, path: str, lang: str = "en") -> tuple[DataFrame, DataFrame, DataFrame]:
+def load(spark: SparkSession, file, lang: str = "en") -> tuple[DataFrame, DataFrame, DataFrame]:
     """The concept, edge and property relations of an ontology file."""
-    concepts, edges, properties, _ = parse(path, lang)
+    concepts, edges, properties, _ = parse(file, lang)
     labels = {c[0]: c[1] for c in concepts}
     named = [(c, n, kind, ids, {labels.get(k, k): labels.get(v, v) for k, v in ids.items()}) for c, n, kind, ids in properties]
     return (
@@ -82,8 +83,13 @@ def load(spark: SparkSession, path: str, lang: str = "en") -> tuple[DataFrame, D
     )
 
 
-def cache(spark: SparkSession, path: str, folder: str, rebuild: bool = False) -> tuple[DataFrame, ...]:
-    """The relations from Parquet, converted first where they are not there."""
+def cache_text(spark: SparkSession, text: str, folder: str, rebuild: bool = False) -> tuple[DataFrame, ...]:
+    """As ``cache``, from the text of a file, wherever it was read."""
+    return cache(spark, io.StringIO(text), folder, rebuild)
+
+
+def cache(spark: SparkSession, path, folder: str, rebuild: bool = False) -> tuple[DataFrame, ...]:
+    """The relations from Parquet, converted first where they are not there. The file is read by the driver: an ontology's size doesn't grow with the data."""
     names = ("concept", "edge", "property")
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/property/_SUCCESS")
     if rebuild or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):

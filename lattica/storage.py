@@ -6,18 +6,28 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_made: set[str] = set()
+
+
+def _remove() -> None:
+    """What this driver wrote, where it sees the folder; other stores need a rule of their own for old files."""
+    for path in _made:
+        shutil.rmtree(urlparse(path).path, ignore_errors=True)
 
 
 def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder of our own."""
+    """``spark.checkpoint.dir`` of the session; where it is unset and all is on this machine (tests), a folder of our own."""
     global _own
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="lattica-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
@@ -25,7 +35,11 @@ def root(spark: SparkSession) -> str:
 
 
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as Parquet below the shared folder and read it back: lineage ends there. The files go when the driver ends."""
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    if urlparse(path).scheme in ("", "file"):
+        if not _made:
+            atexit.register(_remove)
+        _made.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
