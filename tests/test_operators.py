@@ -256,6 +256,35 @@ def test_command_line(capsys):
 
     main(["shards", "10", "--size", "4"])
     assert capsys.readouterr().out.split("\n")[2] == "8 10"
+    main(["list"])
+    assert "win_matrix" in capsys.readouterr().out.split("\n")
+
+
+def test_commands(spark, tmp_path, capsys):
+    from lattica.__main__ import main
+
+    put = lambda df, name: df.write.parquet(f"{tmp_path}/{name}") or f"{tmp_path}/{name}"
+    edges = put(spark.createDataFrame(EDGES, "child string, parent string, parent_pos int"), "ontology/edge").removesuffix("/edge")
+    mentions = put(spark.createDataFrame([("X", "d", 0), ("X", "b", 1)], "domain string, concept_id string, _pos long"), "mentions")
+    main(["frequencies", mentions, edges, f"{tmp_path}/freq"])
+    assert {r.concept_id for r in spark.read.parquet(f"{tmp_path}/freq").collect()} == {"b", "c"}
+    x = put(spark.createDataFrame([(1, "e", "v"), (1, "z", "v")], "row_id int, concept_id string, value string"), "x")
+    main(["prune", x, put(spark.createDataFrame([("d",)], "id string"), "ok"), edges, f"{tmp_path}/pruned", "--alpha", "1", "2"])
+    assert {(r.concept_id, r.config_name) for r in spark.read.parquet(f"{tmp_path}/pruned").collect()} == {("e", "alpha-1"), ("e", "alpha-2")}
+    work = put(spark.createDataFrame([(i, f"p{i}") for i in range(5)], "_pos long, p string"), "work")
+    done = put(spark.createDataFrame([(0, "r"), (1, "r")], "_pos long, result string"), "done")
+    main(["progress", work, done, "--size", "2"])
+    assert "shard 0: 2 of 2 (100.0 %)" in capsys.readouterr().out
+    main(["next", work, done, "--size", "2", "--count", "1", "--out", f"{tmp_path}/next"])
+    assert [r.shard_id for r in spark.read.parquet(f"{tmp_path}/next").collect()] == [1]
+    main(["merge", work, done, "--out", f"{tmp_path}/merged"])
+    assert spark.read.parquet(f"{tmp_path}/merged").filter("result is null").count() == 3
+    main(["split", work, f"{tmp_path}/split", "_pos"])
+    assert spark.read.parquet(f"{tmp_path}/split").count() == 5
+    main(["verdicts", put(spark.createDataFrame([(True, "Factual: YES", "e"), (False, "unclear", "e")], "label boolean, output string, explanation string"), "verdicts")])
+    assert "n_invalid" in capsys.readouterr().out
+    main(["winners", put(spark.createDataFrame([("m", "n", "[RESULT] A")], "a string, b string, result string"), "judged"), "--baseline", "n"])
+    assert "head_to_head" in capsys.readouterr().out
 
 
 def test_annotation(spark):
@@ -269,3 +298,100 @@ def test_annotate_terms_of_many_lengths(spark):
     df = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(70)))], "k int, t string")
     got = G.annotate(df, "t", spark.createDataFrame([(t, t) for t in terms], "term string, concept_id string"), "k").collect()
     assert {(r.term, r.start) for r in got} == {(t, 0) for t in terms}
+
+
+def chain(spark, n):
+    return spark.createDataFrame([(f"n{i}", f"n{i + 1}", 0) for i in range(n)], "child string, parent string, parent_pos int")
+
+
+def test_long_chains_of_ancestors(spark):
+    edges = chain(spark, 55)
+    assert [len(r.path) for r in O.paths(edges, "n0").collect()] == [56]
+    assert O.closure(edges).count() == 55 * 56 // 2
+
+
+def test_hierarchy_score(spark):
+    edges = spark.createDataFrame(EDGES, "child string, parent string, parent_pos int")
+    rows = [("a", "a", 1), ("a", "e", 1), ("b", "e", 0), ("e", "a", 0), ("x", "x", 0), ("a", None, 0), (None, "a", 0), ("c", "d", 1), ("c", "e", 0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, base string, other string, want int")
+    known = spark.createDataFrame([(x,) for x in "abcde"], "id string")
+    up = O.closure(edges)
+    plain = {r.i: r.h for r in O.hierarchy_score(df, up, "base", "other", known).collect()}
+    assert [plain[i] for i in (0, 1, 3, 4, 5, 6, 7)] == [1, 1, 0, 0, 0, 0, 1] and plain[2] == 1
+    cut = {r.i: r.h for r in O.hierarchy_score(df, up, "base", "other", known, ("d",)).collect()}
+    assert cut[0] == 1 and cut[1] == 0 and cut[7] == 1 and cut[8] == 0
+
+
+def test_stems():
+    # Examples published with the algorithm.
+    want = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "motoring": "motor", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi",
+            "relational": "relat", "vietnamization": "vietnam", "sensibiliti": "sensibl", "triplicate": "triplic", "goodness": "good", "adjustable": "adjust", "adoption": "adopt", "cease": "ceas", "controll": "control", "roll": "roll"}
+    assert {w: scores.stem(w) for w in want} == want
+
+
+def test_numbered_by_hot_categories(spark):
+    rows = [(i, "hot" if i % 3 else None if i % 2 else "cold") for i in random.Random(2).sample(range(200), 200)]
+    got = C.numbered_by(spark.createDataFrame(rows, "i int, c string"), "c", ["i"], parts=7).collect()
+    by = {}
+    for i, c in sorted(rows, key=lambda r: r[0]):
+        by.setdefault(c, []).append(i)
+    assert {(r.i, r["__nr"], r["__n"]) for r in got} == {(i, k, len(v)) for v in by.values() for k, i in enumerate(v)}
+    with pytest.raises(ValueError):
+        C.mix(spark.createDataFrame(rows, "i int, c string"), "c", ["i"], {"hot": -0.1})
+    assert C.mix(spark.createDataFrame(rows, "i int, c string"), "c", ["i"], {}).count() == 0
+
+
+def test_flows_keep_rows_without_anything(spark):
+    from lattica.operators import extraction as X
+
+    notes = spark.createDataFrame([(1, "x"), (2, "y")], "note_id long, text string")
+    up = O.closure(spark.createDataFrame(EDGES, "child string, parent string, parent_pos int"))
+    mentions = spark.createDataFrame([(1, "e", 0)], "note_id long, concept_id string, _pos long")
+    names = spark.createDataFrame([(c, f"L{c}") for c in "abcde"], "id string, label string")
+    none = spark.createDataFrame([], "concept_id string, prop_pos int, property_type string, ids map<string,string>, labels map<string,string>")
+    got = X.by_note(X.answered(X.guided(notes, mentions, up, names, none, 2, []), lambda: G.blocking(lambda p: p[:1]))).collect()
+    assert {r.note_id: len(r.extraction) for r in got} == {1: 2, 2: 0}
+    with pytest.raises(ValueError):
+        X.configs(spark, ["other"])
+    with pytest.raises(ValueError):
+        X.evaluator_rows(notes, notes, "note_id", "text", ["nowhere"], ["note_id"], F.lit(1), 0)
+
+
+def test_aborting_provider():
+    asked = []
+
+    def answer(prompts):
+        asked.append(prompts)
+        if "bad" in prompts:
+            raise RuntimeError("down")
+        return [p.upper() for p in prompts]
+
+    provider = G.aborting(answer, retries=1, wait=0.0)
+    assert [provider([p]) for p in ("a", "bad", "c")] == [["A"], [None], [None]] and len(asked) == 3
+
+
+def test_streams_merge_by_key(spark, tmp_path):
+    from lattica import streaming
+
+    for rows in ([(1, 1, "a"), (2, 1, "b"), (1, 2, "c")], [(1, 1, "late"), (2, 5, "d"), (3, 1, "e")]):
+        spark.createDataFrame(rows, "k int, at int, v string").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("k int, at int, v string").parquet(f"{tmp_path}/in")
+        for _ in range(2):
+            streaming.merging(stream, f"{tmp_path}/out", f"{tmp_path}/check", "k", "at").awaitTermination()
+    assert sorted(tuple(r) for r in streaming.newest(spark, f"{tmp_path}/out").collect()) == [(1, 2, "c"), (2, 5, "d"), (3, 1, "e")]
+
+
+def test_explanation_scores_of_one_pair(spark):
+    df = spark.createDataFrame([(False, False, "the cats ran home", "the cat ran"), (True, True, "x", "y")], "label boolean, prediction boolean, explanation string, explanation_gen string")
+    r = V.explanation_scores(df).first()
+    assert (r.rouge1, r.rouge2, r.bleu) == (pytest.approx(6 / 7), pytest.approx(4 / 5), 0.0)
+
+
+def test_shared_folder_is_asked_for_on_clusters(monkeypatch):
+    from types import SimpleNamespace
+
+    from lattica import storage
+
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn")))
