@@ -144,15 +144,21 @@ class Vocabulary:
         return out.astype(np.int64)
 
 
+#: Files that a worker keeps mapped; those used longest ago are given up, as a process has a bounded number of maps.
+MOST_MAPS = 16_384
 _maps: dict[str, np.ndarray] = {}
 
 
 def _mapped(path: str, dtype: type) -> np.ndarray:
-    if path not in _maps:
+    found = _maps.pop(path, None)
+    if found is None:
         with open(path, "rb") as f:
             empty = not f.read(1)
-        _maps[path] = np.zeros(0, dtype) if empty else np.asarray(np.memmap(path, dtype, "r"))
-    return _maps[path]
+        found = np.zeros(0, dtype) if empty else np.asarray(np.memmap(path, dtype, "r"))
+        if len(_maps) >= MOST_MAPS:
+            del _maps[next(iter(_maps))]
+    _maps[path] = found  # the last used is the last
+    return found
 
 
 def _discounts(n: list[float]) -> np.ndarray:
