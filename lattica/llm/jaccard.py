@@ -245,10 +245,12 @@ def _join(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     # Blocks of large components meet pairwise; small components share groups. Both are bounded by texts and by bytes.
     sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"))
     sizes = sizes.select("comp", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("items") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    large = shared.table(spark, sizes.filter("blocks > 1"), "large")  # by far fewer than texts, so that these needn't be dealt out by component
+    large = F.broadcast(large) if large.limit(shared.MOST_ROWS + 1).count() <= shared.MOST_ROWS else large
     count, items = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_cells = max(1, math.ceil(count / CELL), math.ceil(items * 8 / BLOCK_BYTES))
     own = shared.picked(rows, signed.join(found.select("nr"), "nr").select(*shared.PLACE, "nr"))
-    wanted = found.join(sizes, "comp").join(shingle_sets(own), "nr").withColumn("block", F.pmod(F.xxhash64("nr"), F.col("blocks")).cast("int"))
+    wanted = found.join(large, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(shingle_sets(own), "nr").withColumn("block", F.pmod(F.xxhash64("nr"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = wanted.select("*", other).select(
         "nr", "comp", "block", "copies", "sig", "items", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
