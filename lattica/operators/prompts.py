@@ -55,7 +55,8 @@ def group_entries(df: DataFrame, group: str, note: str, order: str, label: str,
     """Entries (label, value) of the notes of every group as numbered text; 'N/A' for a group without any.
 
     Values 'N/A' are left out; with ``distinct`` so are values that a note had before, whatever their
-    case and outer white space. ``structure`` adds a column of that name with a map from label to value for each note.
+    case and outer white space. ``structure`` adds a column of that name with a map from label to value for each note;
+    of a label's values the last in order counts, and an entry without a label is in neither text nor map.
     """
     kept = df.filter(F.col(value).isNotNull() & (F.col(value) != "N/A"))
     if distinct:
@@ -64,10 +65,16 @@ def group_entries(df: DataFrame, group: str, note: str, order: str, label: str,
 
         kept = first_seen(kept.withColumn("__norm", F.lower(utrim(F.col(value)))), [group, note, "__norm"], [order])
     line = F.concat(F.lit(bullet), F.col(label), F.lit(" : "), F.col(value), F.lit("\n"))
-    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t"), F.col(label).alias("k"), F.col(value).alias("v"))))
-    notes = kept.groupBy(group, note).agg(lines.alias("__l")).select(
-        group, note, F.array_join(F.transform("__l", lambda x: x["t"]), "").alias("__text"), F.map_from_entries(F.transform("__l", lambda x: F.struct(x["k"], x["v"]))).alias("__map"))
-    inner = F.array_sort(F.collect_list(F.struct(F.col(note).alias("o"), F.col("__text").alias("t"), F.to_json("__map").alias("m"))))
+    entry = F.struct(F.col(order).alias("o"), line.alias("t"))
+    joined = lambda entries: F.array_join(F.transform(F.array_sort(entries), lambda x: x["t"]), "")
+    if structure:
+        values = kept.groupBy(group, note, label).agg(F.collect_list(entry).alias("__l"), F.min(order).alias("__o"), F.max_by(value, F.struct(order, value)).alias("__v"))
+        pairs = F.array_sort(F.collect_list(F.when(F.col(label).isNotNull(), F.struct(F.col("__o").alias("o"), F.col(label).alias("k"), F.col("__v").alias("v")))))
+        map_ = F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["k"], x["v"])))
+        notes = values.groupBy(group, note).agg(joined(F.flatten(F.collect_list("__l"))).alias("__text"), F.to_json(map_).alias("__map"))
+    else:
+        notes = kept.groupBy(group, note).agg(joined(F.collect_list(entry)).alias("__text")).withColumn("__map", F.lit(None).cast("string"))
+    inner = F.array_sort(F.collect_list(F.struct(F.col(note).alias("o"), F.col("__text").alias("t"), F.col("__map").alias("m"))))
     made = notes.groupBy(group).agg(inner.alias("__n"))
     made = made.select(group, numbered(F.transform("__n", lambda x: x["t"]), between="\n").alias(into), *([F.transform("__n", lambda x: F.from_json(x["m"], "map<string,string>")).alias(structure)] if structure else []))
     return df.select(group).distinct().join(made, group, "left").withColumn(into, F.coalesce(into, F.lit("N/A")))

@@ -149,12 +149,12 @@ def smart_prune(spark, d):
 _BASES = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN 'unknown' ELSE concat('p', l_partkey) END AS other, CASE WHEN l_linenumber = 5 THEN 'unknown' WHEN l_linenumber % 3 = 0 THEN 'brands' WHEN l_linenumber % 3 = 1 THEN 'size1' ELSE concat('p', l_partkey) END AS base FROM lineitem"
 
 
-@query(f"""WITH RECURSIVE {_UP}, q AS ({_BASES}), k AS (SELECT child AS id FROM e UNION SELECT parent FROM e), bad AS (SELECT DISTINCT id FROM up WHERE ancestor = 'size2')
+@query(f"""WITH RECURSIVE {_UP}, q AS ({_BASES}), k AS (SELECT child AS id FROM e UNION SELECT parent FROM e), bad AS (SELECT DISTINCT id FROM up WHERE ancestor = 't:ECONOMY')
  SELECT q.l_orderkey, q.l_linenumber, CASE WHEN other NOT IN (SELECT id FROM k) THEN 0 WHEN base = other THEN 1 WHEN other IN (SELECT id FROM bad) THEN 0 WHEN up.id IS NOT NULL THEN 1 ELSE 0 END AS h FROM q LEFT JOIN up ON up.id = q.other AND up.ancestor = q.base""")
 def hierarchy_score(spark, d):
     e, up = ontology(spark, d)
     known = e.select(F.col("child").alias("id")).union(e.select("parent"))
-    return O.hierarchy_score(sql_over(spark, d, _BASES, "lineitem"), up, "base", "other", known, ("size2",)).select("l_orderkey", "l_linenumber", "h")
+    return O.hierarchy_score(sql_over(spark, d, _BASES, "lineitem"), up, "base", "other", known, ("t:ECONOMY",)).select("l_orderkey", "l_linenumber", "h")
 
 
 CONCEPTS = f"""SELECT id, 'Label of ' || id AS label, CASE WHEN id LIKE 't:%' THEN array('first', 'alias ' || id, 'also ' || id) ELSE array() END AS alt_label,
@@ -209,12 +209,12 @@ def property_values(spark, d):
     return properties(spark, d).select("concept_id", "prop_pos", O.property_value(F.col("property_type"), F.col("labels")).alias("value"))
 
 
-@query(f"""WITH RECURSIVE {_UP} SELECT DISTINCT concat('p', l_partkey) AS id FROM lineitem WHERE concat('p', l_partkey) NOT IN (SELECT id FROM up WHERE ancestor = 'size2')
+@query(f"""WITH RECURSIVE {_UP} SELECT DISTINCT concat('p', l_partkey) AS id FROM lineitem WHERE concat('p', l_partkey) NOT IN (SELECT id FROM up WHERE ancestor = 't:ECONOMY')
  AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)""")
 def composed_filter(spark, d):
     up, allowed = _up(spark, d), table(spark, d, "part").filter("p_size > 25").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
     ids = table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("id"))
-    return O.composed(ids, "id", [lambda df, k: O.branch_filter(df, k, up, ["size2"]), lambda df, k: O.set_filter(df, k, allowed)])
+    return O.composed(ids, "id", [lambda df, k: O.branch_filter(df, k, up, ["t:ECONOMY"]), lambda df, k: O.set_filter(df, k, allowed)])
 
 
 _SCORED = """SELECT p_partkey, concat('t:', p_type) AS base, CASE WHEN p_partkey % 3 = 0 THEN concat('size', p_size % 3) WHEN p_partkey % 3 = 1 THEN concat('p', p_partkey) ELSE 'kind' END AS other, concat(p_name, ' of size ', p_size % 3, ' root') AS context FROM part"""

@@ -175,6 +175,10 @@ def test_prompts(spark):
     df = spark.createDataFrame([(1, 0, 0, "L", "a "), (1, 0, 1, "M", " A"), (1, 1, 2, "L", "N/A"), (1, 2, 3, "K", "b"), (2, 0, 4, "L", "N/A")], "h int, n int, o int, l string, v string")
     got = {r.h: r.prompt for r in M.group_entries(df, "h", "n", "o", "l", "v", distinct=True).collect()}
     assert got == {1: "### Clinical note 1\nL : a \n\n### Clinical note 2\nK : b\n", 2: "N/A"}
+    rows = [(1, 0, 0, "L", "a"), (1, 0, 1, "K", "b"), (1, 0, 2, "L", "c"), (1, 0, 3, None, "d"), (1, 1, 4, None, "e"), (2, 0, 5, "L", "N/A")]
+    repeated = M.group_entries(spark.createDataFrame(rows, "h int, n int, o int, l string, v string"), "h", "n", "o", "l", "v", structure="s").collect()
+    text = "### Clinical note 1\nL : a\nK : b\nL : c\n\n### Clinical note 2\n"
+    assert {r.h: (r.prompt, r.s) for r in repeated} == {1: (text, [{"L": "c", "K": "b"}, {}]), 2: ("N/A", None)}
     with pytest.raises(ValueError):
         M.judge(F.lit("i"), F.lit("a"), F.lit("b"), "other")
 
