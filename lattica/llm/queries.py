@@ -1,4 +1,4 @@
-"""The ten operators over whole tables, with production parameters, and SQL where it can say the same."""
+"""The operators over whole tables, with production parameters, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, license, lm, packing, quality, rollup, rules, shared, store
+from . import decontam, jaccard, kmeans, langid, license, lm, packing, quality, rollup, rules, shared, store, trie
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -112,6 +112,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals(spark, folder)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation c begins with the first turns of c - c % 5, as many as the CRC of its number says."""
+    c = F.col("c")
+    heads = F.crc32(c.cast("string").cast("binary")) % 9
+    return trie.nodes(trie.graft(trie.steps(spark.read.parquet(f"{sf_dir}/conversations.parquet")), c - c % 5, heads, 8))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.sha2(F.concat(F.lit("3:"), F.col("id").cast("string")), 256)
+    assigned, centroids = kmeans.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 8, 10, rank)
+    return kmeans.report(assigned, centroids).withColumnRenamed("id", "vec_id").drop("spent")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -119,7 +132,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_scoring, op2_quality, op3_quality_rules, op4_decontamination, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_license_scan, op9_packing, op10_token_counts)
+    own = (op1_lm_scoring, op2_quality, op3_quality_rules, op4_decontamination, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_license_scan, op9_packing, op10_token_counts, op11_conversation_trie, op12_centroid_clustering)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
@@ -170,8 +183,43 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
   sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nears USING (doc_id)"""
 
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT)"
+_OP11 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, text, sha256(strlen(role)::VARCHAR || ':' || role || text) AS g FROM t),
+o AS (SELECT conv_id, text, g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS i FROM k),
+n AS (SELECT conv_id, max(i) AS n FROM o GROUP BY conv_id),
+a AS (SELECT n.conv_id, n.n, n.conv_id - n.conv_id % 5 AS base, {_CRC} % 9 AS h FROM n),
+b AS (SELECT a.*, least(h, coalesce(m.n, 0)) AS taken FROM a LEFT JOIN n m ON m.conv_id = a.base),
+r AS (SELECT b.conv_id AS c, i AS d, g, text FROM b JOIN o ON o.conv_id = b.base AND i <= h UNION ALL SELECT b.conv_id, taken + i - h, g, text FROM b JOIN o ON o.conv_id = b.conv_id AND i > h),
+p AS (SELECT c, d, strlen(text) AS size, string_agg(g, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS x, max(d) OVER (PARTITION BY c) = d AS last FROM r
+      UNION ALL SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT c FROM r) FROM b),
+v AS MATERIALIZED (SELECT x, any_value(d) AS depth, any_value(size) AS size, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '') AS ends FROM p GROUP BY x),
+e AS (SELECT u.x, count(w.x) AS n_children FROM v u LEFT JOIN v w ON w.depth = u.depth + 1 AND left(w.x, 64 * u.depth::INT) = u.x GROUP BY u.x),
+s AS (SELECT x, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT DISTINCT q.x, w.x AS below, (e.n_children = 0)::INT AS leaf, (w.n_convs - 1) * w.size AS saved
+      FROM p q JOIN p z ON z.c = q.c AND z.d >= q.d JOIN v w ON w.x = z.x JOIN e ON e.x = w.x) GROUP BY x)
+SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN e USING (x) JOIN s USING (x) LEFT JOIN v u ON v.depth > 0 AND u.x = left(v.x, 64 * (v.depth - 1)::INT)"""
+
+
+def _op12(k: int = 8, rounds: int = 10, width: int = 64) -> str:
+    """A pair of tables for each round: the vectors with their clusters (a), and the centroids that follow (c)."""
+    made = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+      WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width})""",
+            f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY r) - 1 AS j, e FROM (SELECT e, sha256('3:' || vec_id::VARCHAR) AS r FROM v ORDER BY r NULLS LAST LIMIT {k}))"]
+    far = "list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    for r in range(rounds + 1):
+        made.append(f"a{r} AS MATERIALIZED (SELECT nr, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT nr, j, {far} AS d FROM v, c{r} c) GROUP BY nr)")
+        if r < rounds:
+            made.append(f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(n.e, c{r}.e) AS e FROM c{r} LEFT JOIN (SELECT j, list(m ORDER BY i) AS e FROM (
+      SELECT j, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m FROM (SELECT a.j, unnest(v.e) AS x, unnest(range({width})) AS i FROM a{r} a JOIN v USING (nr)) GROUP BY j, i) GROUP BY j) n USING (j))""")
+    return "WITH " + ",\n".join(made) + f"""
+SELECT vec_id, j::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (nr) JOIN c{rounds} c USING (j)"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op3_quality_rules": _OP3, "op4_decontamination": _OP4}
+    found = {"op3_quality_rules": _OP3, "op4_decontamination": _OP4, "op11_conversation_trie": _OP11, "op12_centroid_clustering": _op12()}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..storage import root, table
 
-__all__ = ["MOST_ROWS", "PLACE", "located", "picked", "give_back", "posix_folder", "put", "root", "small_batches", "table", "tidy", "without"]
+__all__ = ["MOST_ROWS", "PLACE", "located", "picked", "give_back", "posix_folder", "put", "release", "root", "small_batches", "table", "tidy", "without"]
 
 
 def _drop(path: str) -> None:
@@ -86,6 +86,14 @@ def without(rows: DataFrame, places: DataFrame) -> DataFrame:
     return rows.join(_side(places.select(*PLACE)), PLACE, "left_anti").drop(*PLACE)
 
 
+def release(written: DataFrame) -> None:
+    """Remove the files of a ``table`` that nothing reads any more."""
+    spark = written.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches small enough for long texts; the session keeps the setting, as its queries run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
