@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, kmeans, langid, license, lm, packing, quality, rollup, rules, shared, store, trie
+from . import debruijn, decontam, jaccard, kmeans, langid, license, lm, packing, quality, rollup, rules, shared, store, trie
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -125,6 +125,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.report(assigned, centroids).withColumnRenamed("id", "vec_id").drop("spent")
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -132,7 +136,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_scoring, op2_quality, op3_quality_rules, op4_decontamination, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_license_scan, op9_packing, op10_token_counts, op11_conversation_trie, op12_centroid_clustering)
+    own = (op1_lm_scoring, op2_quality, op3_quality_rules, op4_decontamination, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_license_scan, op9_packing, op10_token_counts, op11_conversation_trie, op12_centroid_clustering, op13_substring_dedup)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
@@ -218,8 +222,17 @@ SELECT vec_id, j::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY j)::B
 FROM a{rounds} JOIN v USING (nr) JOIN c{rounds} c USING (j)"""
 
 
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS ws FROM documents),
+w AS (SELECT nr, s, array_to_string(ws[s:s + 34], ' ') AS x FROM (SELECT nr, ws, unnest(range(1, len(ws) - 33)) AS s FROM d WHERE len(ws) >= 35)),
+g AS (SELECT nr, list(DISTINCT p) AS ps FROM (SELECT nr, unnest(range(s, s + 35)) AS p FROM (SELECT nr, s, count(*) OVER (PARTITION BY x) AS c FROM w) WHERE c > 1) GROUP BY nr)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: NOT list_contains(ps, z[2])), lambda z: z[1]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (nr)"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op3_quality_rules": _OP3, "op4_decontamination": _OP4, "op11_conversation_trie": _OP11, "op12_centroid_clustering": _op12()}
+    found = {"op3_quality_rules": _OP3, "op4_decontamination": _OP4, "op11_conversation_trie": _OP11, "op12_centroid_clustering": _op12(), "op13_substring_dedup": _OP13}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
