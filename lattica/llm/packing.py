@@ -5,7 +5,7 @@ with the least padding. Inside each bucket documents are dealt by hash to shards
 of rows, and every shard is cut into batches under a token budget.
 
 Edge cases: a null or empty text has length 1, its end id; a document longer than the budget is a
-batch of its own; equal ids, null ones too, are told apart by nothing and may swap places; an empty table
+batch of its own; equal ids, null ones too, are spread over shards by their places in files; an empty table
 gives no rows; extra columns stay untouched, but one that has the name of a column added here gives way to it.
 """
 
@@ -103,13 +103,15 @@ def pack(sized: DataFrame, how: Plan, key: str = "doc_id", length: str = "n_toke
     sized = sized.drop(*(c for c in sized.columns if c.lower() in ADDED and c not in (key, length)))
     if not how.ends:
         return sized.select("*", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_size"), F.lit("").alias("batch_id"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("padding"))
-    n = F.col(length)
+    plain = shared.renamed(sized)
+    id_, n = (F.col(plain.columns[sized.columns.index(c)]) for c in (key, length))
     pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("bucket") + 1)
     bucket = sum((F.when(n > e, 1).otherwise(0) for e in how.ends[:-1]), F.lit(0))
     k = range(len(how.ends))
-    rows = sized.withColumn("bucket", bucket.cast("int"))
-    rows = rows.withColumns({"bucket_size": pick(how.ends).cast("long"), "__cap": pick([how.capacity(i) for i in k]), "__shard": F.pmod(F.xxhash64(F.lit(3), F.col(key)), pick([how.shards(i) for i in k]))})
-    order = Window.partitionBy("bucket", "__shard").orderBy(F.xxhash64(F.lit(4), F.col(key)), key)
+    # Dealt out by id and place in the file: null or equal ids are spread like others.
+    rows = shared.located(plain).withColumns({"bucket": bucket.cast("int"), "__deal": F.xxhash64(F.lit(3), id_, F.col("__row"))})
+    rows = rows.withColumns({"bucket_size": pick(how.ends).cast("long"), "__cap": pick([how.capacity(i) for i in k]), "__shard": F.pmod("__deal", pick([how.shards(i) for i in k]))})
+    order = Window.partitionBy("bucket", "__shard").orderBy(F.xxhash64(F.lit(4), F.col("__deal")), id_, n, "__file")
     rows = rows.withColumn("__nr", F.row_number().over(order) - 1)
     rows = rows.withColumns({"batch_id": F.concat_ws("-", "bucket", "__shard", F.floor(F.col("__nr") / F.col("__cap")).cast("string")), "place": F.pmod(F.col("__nr"), F.col("__cap")), "padding": F.col("bucket_size") - n})
-    return rows.drop("__cap", "__shard", "__nr")
+    return rows.select(*plain.columns, *ADDED).toDF(*sized.columns, *ADDED)
