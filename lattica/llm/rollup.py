@@ -3,7 +3,8 @@
 A change inserts, deletes or revises a document's count; what a batch adds to the totals by source,
 language and tokenizer version is summed before anything is shuffled widely, and committed as one
 Parquet folder named by the batch. A folder counts once Spark has marked it complete, and a batch
-that was committed is not committed again, so a job can repeat any batch safely. Totals are sums.
+that was committed is not committed again, so a job can repeat any batch safely; other changes under a name that is
+taken are an error, told by a digest of what the batch adds. Totals are sums.
 ``compact`` folds all complete batches into one base, which lists them, so they stay committed.
 
 Edge cases: null sources or languages are groups of their own; a change with a null count adds 0
@@ -19,6 +20,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
+
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_chars"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
@@ -56,21 +59,48 @@ def _base(names: list[str]) -> str | None:
 
 
 def _folded(spark: SparkSession, folder: str, base: str | None) -> DataFrame:
-    """batch: names of the batches that a base holds."""
-    return spark.read.schema("batch string").parquet(f"{folder}/{base}-list") if base else spark.createDataFrame([], "batch string")
+    """batch, digest: the batches that a base holds."""
+    return spark.read.schema("batch string, digest string").parquet(f"{folder}/{base}-list") if base else spark.createDataFrame([], "batch string, digest string")
+
+
+def _digest(added: DataFrame) -> str:
+    """Of what a batch adds, in any order."""
+    n, total = added.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*KEYS, *SUMS).cast("decimal(38,0)")), F.lit(0))).first()
+    return f"{n}-{int(total)}"
+
+
+def _digests(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Of batches that no base holds yet, from the names of empty folders."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.digest.*")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return dict(s.getPath().getName().split(".digest.") for s in found or [])
 
 
-def _is_committed(spark: SparkSession, folder: str, name: str) -> bool:
+def _committed(spark: SparkSession, folder: str, name: str) -> tuple[bool, str | None]:
+    """Whether a batch is, and its digest where it is known."""
     names = _complete(spark, folder)
-    return name in names or not _folded(spark, folder, _base(names)).filter(F.col("batch") == name).isEmpty()
+    folded = _folded(spark, folder, _base(names)).filter(F.col("batch") == name).first()
+    if folded:
+        return True, folded.digest
+    return name in names, _digests(spark, folder).get(name) if name in names else None
 
 
 def commit(spark: SparkSession, folder: str, batch: str, changes: DataFrame) -> bool:
-    """Commit a batch; False if it was committed before. What a failed attempt left is overwritten."""
+    """Commit a batch; False if it was committed before, an error if that was with other changes. What a failed attempt left is overwritten."""
     name = _name(batch)
-    if _is_committed(spark, folder, name):
+    added = shared.table(spark, deltas(changes), "deltas")  # a row for each group
+    digest = _digest(added)
+    done, had = _committed(spark, folder, name)
+    if done:
+        if had not in (None, digest):
+            raise ValueError(f"batch {batch!r} was committed with other changes")
         return False
-    deltas(changes).write.mode("overwrite").parquet(f"{folder}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in fs.globStatus(path(f"{folder}/{name}.digest.*")) or []:
+        fs.delete(old.getPath(), True)
+    fs.mkdirs(path(f"{folder}/{name}.digest.{digest}"))  # before the batch counts
+    added.write.mode("overwrite").parquet(f"{folder}/{name}")
     return True
 
 
@@ -79,7 +109,7 @@ def _rows(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str], str |
     names = _complete(spark, folder)
     base = _base(names)
     batches = [n for n in names if n.startswith("batch-")]
-    held = spark.createDataFrame([(n,) for n in batches], "batch string").join(_folded(spark, folder, base), "batch", "left_anti") if batches and base else None
+    held = spark.createDataFrame([(n,) for n in batches], "batch string").join(_folded(spark, folder, base).select("batch"), "batch", "left_anti") if batches and base else None
     fresh = sorted(r.batch for r in held.collect()) if held is not None else batches  # as many as batches since the base
     paths = [f"{folder}/{n}" for n in ([base] if base else []) + fresh]
     return spark.read.schema(SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], SCHEMA), fresh, base
@@ -95,14 +125,16 @@ def totals(spark: SparkSession, folder: str) -> DataFrame:
 def compact(spark: SparkSession, folder: str) -> None:
     """Fold all complete batches into a new base and remove them. The base counts once it and its list are
     complete; until then the old folders do, and batches that it lists are left out where they are still there."""
+    had = [n for n in _complete(spark, folder) if n.startswith("batch-")]  # those that aren't fresh were left by a fold that died
     rows, fresh, base = _rows(spark, folder)
     if not fresh:
         return
     new = f"base-{int(base.split('-')[1]) + 1 if base else 0:09d}"
-    listed = _folded(spark, folder, base).unionByName(spark.createDataFrame([(n,) for n in fresh], "batch string"))
+    digests = _digests(spark, folder)
+    listed = _folded(spark, folder, base).unionByName(spark.createDataFrame([(n, digests.get(n)) for n in fresh], "batch string, digest string"))
     listed.write.mode("overwrite").parquet(f"{folder}/{new}-list")
     rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).write.mode("overwrite").parquet(f"{folder}/{new}")
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    for name in [*fresh, *([base, f"{base}-list"] if base else [])]:
+    for name in [*{*fresh, *had}, *(f"{n}.digest.{digests[n]}" for n in fresh if n in digests), *([base, f"{base}-list"] if base else [])]:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
