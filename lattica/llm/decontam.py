@@ -188,8 +188,11 @@ def report(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **names) -> DataFrame:
-    """The documents, with all columns, that have no exact match; rows count by themselves, whatever their ids."""
-    rows = shared.located(docs)
-    index = build(rows.select(*shared.PLACE, F.col(text).alias("text")), shared.PLACE)
-    found = search(docs.sparkSession, index, items, **names).filter("exact").select("nr").distinct()
-    return shared.without(rows, index.rows(docs.sparkSession).join(found, "nr", "left_semi"))
+    """The documents, with all columns, that have no exact match; rows count by themselves, whatever their ids.
+
+    Proximity matches aren't asked for, so that only places with all words of a neighbourhood are looked for besides exact ones.
+    """
+    rows = shared.located(shared.renamed(docs))
+    index = build(rows.select(*shared.PLACE, F.col(f"__{docs.columns.index(text)}").alias("text")), shared.PLACE)
+    found = search(docs.sparkSession, index, items, **({"near": 1.0} | names)).filter("exact").select("nr").distinct()
+    return shared.without(rows, index.rows(docs.sparkSession).join(found, "nr", "left_semi")).toDF(*docs.columns)

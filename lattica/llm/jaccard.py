@@ -294,10 +294,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     does every text that isn't near another, whatever its id.
     """
     spark = docs.sparkSession
-    here = shared.located(docs)
-    joined = _join(here.select(*shared.PLACE, F.col(key).alias("id"), F.col(text).alias("text")), threshold, tolerance)
+    here = shared.located(shared.renamed(docs))
+    named = lambda c: F.col(f"__{docs.columns.index(c)}")
+    joined = _join(here.select(*shared.PLACE, named(key).alias("id"), named(text).alias("text")), threshold, tolerance)
     joined = shared.table(spark, joined.filter("first <> nr or not has_words").select(*shared.PLACE, "id", "bare", "nr", "has_words"), "later")
     again = joined.filter("not has_words and id is not null")
     least = again.groupBy("id", "bare").agg(F.min("nr").alias("nr")).select("nr")
     gone = joined.filter("has_words").unionByName(again.join(least, "nr", "left_anti"))
-    return shared.without(here, gone)
+    return shared.without(here, gone).toDF(*docs.columns)

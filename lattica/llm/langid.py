@@ -26,7 +26,7 @@ from . import shared
 
 BITS = 16
 MOST_LANGUAGES = 2000
-#: A proportion that moves by less has converged; rounds after which it is an error that one hasn't.
+#: A proportion that moves by less has converged; rounds after which the last proportions count, whether they have or not.
 STILL, MOST_ROUNDS = 1e-3, 10_000
 
 
@@ -104,7 +104,8 @@ def _ragged(first: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def fit(like: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Proportions, row by language, at which expectation-maximisation stands still. ``like``: language by word,
-    the words of row after row, ``n`` of each; a language without a share at first gets none."""
+    the words of row after row, ``n`` of each; a language without a share at first gets none. Rows that still move
+    after ``MOST_ROUNDS`` keep their last proportions: each round only raises the likelihood."""
     share = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
     out = share.copy()
     active = np.arange(len(n))
@@ -121,7 +122,7 @@ def fit(like: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
         if moves.sum() <= 0.8 * len(active):  # go on with those that move
             keep = np.flatnonzero(moves)
             like, n, share, active = like[:, _ragged(first, keep)], n[keep], share[keep], active[keep]
-    raise ArithmeticError("expectation-maximisation doesn't converge")
+    return out
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
@@ -183,7 +184,6 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     Rows go through the workers whole, so no join is needed and repeated ids do no harm.
     """
-    got = predict(docs.select("*", F.col("text").alias("__copy")), model, docs.columns, "__copy")
-    first = len(docs.columns)
-    names = [f"__{i}" for i in range(first)] + ["__lang", "__score", "__n"]
-    return got.toDF(*names).filter((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)))
+    plain = shared.renamed(docs)
+    got = predict(plain, model, plain.columns, plain.columns[docs.columns.index("text")])
+    return got.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*plain.columns).toDF(*docs.columns)

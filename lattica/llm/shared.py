@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..storage import root, table
 
-__all__ = ["MOST_ROWS", "PLACE", "located", "picked", "give_back", "posix_folder", "put", "release", "root", "small_batches", "table", "tidy", "without"]
+__all__ = ["MOST_ROWS", "PLACE", "located", "picked", "give_back", "posix_folder", "put", "release", "renamed", "root", "small_batches", "table", "tidy", "without"]
 
 
 def _drop(path: str) -> None:
@@ -71,6 +71,11 @@ def located(docs: DataFrame) -> DataFrame:
     return docs.withColumns({PLACE[0]: F.xxhash64(at["file_path"]), PLACE[1]: at["row_index"]})
 
 
+def renamed(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named by their places, __0, __1, ..., so that no name of theirs clashes with one of an operator's; ``toDF`` names them back."""
+    return docs.toDF(*(f"__{i}" for i in range(len(docs.columns))))
+
+
 def _side(places: DataFrame) -> DataFrame:
     places = table(places.sparkSession, places, "places")
     return F.broadcast(places) if places.limit(MOST_ROWS + 1).count() <= MOST_ROWS else places

@@ -648,7 +648,10 @@ def test_rollups_fold(spark, tmp_path):
     rollup.compact(spark, folder)
     assert not rollup.commit(spark, folder, "a", one(1)) and rollup.commit(spark, folder, "c", one(4))
     rollup.compact(spark, folder)
-    assert not any(rollup.commit(spark, folder, name, one(9)) for name in "abc")
+    assert not any(rollup.commit(spark, folder, name, one(n)) for n, name in ((1, "a"), (2, "b"), (4, "c")))
+    for name in "abc":  # folded or not, other changes under a committed name are an error
+        with pytest.raises(ValueError, match="other changes"):
+            rollup.commit(spark, folder, name, one(9))
     assert [tuple(r) for r in rollup.totals(spark, folder).collect()] == [("s", "en", "t", 3, 7, 3)]
     # A fold that died before it removed what it had folded counts nothing twice.
     rollup.commit(spark, folder, "d", one(8))
@@ -657,6 +660,12 @@ def test_rollups_fold(spark, tmp_path):
     rollup.compact(spark, folder)
     spark.createDataFrame(kept, rollup.SCHEMA).write.parquet(f"{folder}/{name}")
     assert [tuple(r) for r in rollup.totals(spark, folder).collect()] == [("s", "en", "t", 4, 15, 4)]
+    rollup.commit(spark, folder, "e", one(1))
+    with pytest.raises(ValueError, match="other changes"):
+        rollup.commit(spark, folder, "e", one(2))
+    rollup.compact(spark, folder)  # and removes what the fold that died left
+    assert [n for n in rollup._complete(spark, folder) if n.startswith("batch-")] == []
+    assert [tuple(r) for r in rollup.totals(spark, folder).collect()] == [("s", "en", "t", 5, 16, 5)]
 
 
 def test_token_counts_by_brute_force(spark, small, docs):
@@ -711,3 +720,39 @@ def test_pipeline_stages_on_edges(spark, edge, small):
         assert stage(spark, odd, small).count() > 0
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), small).count() == 0
+
+
+CLASHES = ["score", "lang_pred", "n_languages", "__file", "__row", "__copy", "a.b", "__0", "id", "nr", "bare", "d1", "predicted", "x", "bucket", "h", "pos"]
+
+
+def test_stages_keep_columns_of_any_name(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    odd = docs.select("*", *(F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")).alias(name) for name in CLASHES))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, small)
+        assert got.columns == odd.columns, name
+        rows = got.toDF(*(f"c{i}" for i in range(len(odd.columns)))).toPandas()
+        assert 0 < len(rows) and set(rows["c0"]) == {r.doc_id for r in stage(spark, docs, small).select("doc_id").collect()}, name
+        for i, clash in enumerate(CLASHES, len(docs.columns)):
+            assert (rows[f"c{i}"] == clash + " " + rows["c0"].astype(str)).all(), (name, clash)
+    assert corpus_pipeline.packed(spark, odd, small).count() == docs.count()
+
+
+def test_packing_spreads_null_and_equal_ids(spark):
+    for key in ("cast(null as long)", "7L"):
+        sized = spark.range(200_000).selectExpr(f"{key} as doc_id", "100L as n_tokens")
+        how = packing.plan(sized)
+        got = packing.pack(sized, how)
+        assert how.shards(0) > 3
+        shards = got.groupBy(F.substring_index("batch_id", "-", 2).alias("s")).count().collect()
+        assert len(shards) == how.shards(0) and max(r["count"] for r in shards) < 1.2 * 200_000 / how.shards(0)
+        assert got.groupBy("batch_id").count().agg(F.max("count")).first()[0] <= how.capacity(0)
+
+
+def test_proportions_that_never_rest(monkeypatch):
+    monkeypatch.setattr(langid, "MOST_ROUNDS", 2)
+    like = np.array([[1.0, 0.9], [0.9, 1.0]])
+    share = langid.fit(like, np.array([2]), np.array([[0.9, 0.1]]))
+    assert share.sum() == pytest.approx(1) and 0.5 < share[0, 0] < 0.9
