@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import mentions
+
 
 def bounds(n: int, size: int | None = None, count: int | None = None, most: int | None = None, legacy: bool = False) -> list[tuple[int, int]]:
     """[start, end) of the shards of n rows, by size or by count.
@@ -226,16 +228,8 @@ def infer(df: DataFrame, prompt: str, provider_factory: Callable[[], Provider],
     return rows.mapInPandas(run, rows.schema)
 
 
-def annotate(df: DataFrame, text: str, terms: DataFrame, key: str) -> DataFrame:
-    """Mentions (key, concept_id, term, start) of terms (term, concept_id) in lower-cased texts, at word bounds.
-
-    Words are matched by equality: the phrases of each length that occur among the terms are made from
-    every text and joined with them.
-    """
-    sized = terms.select(F.array_join(F.split(F.lower("term"), r"\W+"), " ").alias("phrase"), F.col("term"), "concept_id").withColumn("n", F.size(F.split("phrase", " ")))
-    sizes = [r.n for r in sized.select("n").distinct().collect()]  # at most as many as the longest term has words
-    words = F.filter(F.split(F.lower(F.col(text)), r"\W+"), lambda w: w != "")
-    of = df.select(key, words.alias("w"))
-    phrase = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.array_join(F.slice("w", i + 1, n), " ").alias("phrase"), i.alias("start")))
-    every = F.concat(*(F.when(F.size("w") >= n, phrase(n)).otherwise(F.array()) for n in sizes)) if sizes else F.array().cast("array<struct<phrase:string,start:int>>")
-    return of.select(key, F.explode(every).alias("e")).select(key, "e.*").join(sized, "phrase").select(key, "concept_id", "term", "start")
+def annotate(df: DataFrame, text: str, terms: DataFrame, key: str, overlapping: bool = True) -> DataFrame:
+    """Mentions (key, concept_id, term, start in words, n_words, start_char, end_char) of terms (term, concept_id) in texts, whole words in any case;
+    all of them, or of overlapping ones the leftmost and longest. ``key`` tells texts apart."""
+    found = mentions.find(df, text, terms, [key])
+    return found if overlapping else mentions.leftmost_longest(found, [key])

@@ -58,7 +58,32 @@ def annotate_terms(spark, d):
     return G.annotate(part, "p_name", terms, "p_partkey").select("p_partkey", "term", "start")
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts::TIMESTAMP) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+_W = r"[\p{L}\p{M}\p{N}_]"
+_TERMS = rf"""SELECT doc_id, k, CASE k WHEN 0 THEN '(' || w[1] || ' ' || w[2] || ')' WHEN 1 THEN upper(w[2]) || '-' || w[3] || ', ' || w[4] ELSE w[1] || ' "' || w[2] || '" ' || w[3] || '.' END AS term
+ FROM (SELECT doc_id, regexp_extract_all(text, '{_W}+') AS w FROM documents WHERE text IS NOT NULL), (SELECT unnest([0, 1, 2]) AS k) WHERE len(w) >= 4"""
+
+
+@query(rf"""WITH RECURSIVE g AS ({_TERMS}), t AS (SELECT min(doc_id) AS concept_id, term, array_to_string(list_transform(regexp_extract_all(term, '{_W}+'), lambda x: lower(x)), ' ') AS phrase FROM g GROUP BY term),
+ p AS (SELECT doc_id, regexp_extract_all(text, '{_W}+|[^{_W[1:]}+') AS ps FROM documents), q AS (SELECT doc_id, list_transform(ps, lambda x: length(x)) AS sizes, list_filter(range(1, len(ps) + 1), lambda i: regexp_matches(ps[i], '^{_W}')) AS own, ps FROM p),
+ d AS (SELECT doc_id, sizes, own, list_transform(own, lambda i: lower(ps[i])) AS w FROM q),
+ a AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT unnest([2, 3]) AS n) WHERE len(w) >= n)),
+ h AS (SELECT doc_id, s, max(n) AS n FROM a WHERE phrase IN (SELECT phrase FROM t) GROUP BY 1, 2),
+ o AS (SELECT h.doc_id, h.s, h.n, z.s AS nxt FROM h ASOF LEFT JOIN (SELECT doc_id, s FROM h) z ON h.doc_id = z.doc_id AND h.s + h.n <= z.s),
+ r(doc_id, s, n, nxt) AS (SELECT * FROM o WHERE (doc_id, s) IN (SELECT (doc_id, min(s)) FROM o GROUP BY doc_id) UNION ALL SELECT o.doc_id, o.s, o.n, o.nxt FROM r JOIN o ON o.doc_id = r.doc_id AND o.s = r.nxt)
+ SELECT r.doc_id, t.concept_id, t.term, (r.s - 1)::INT AS start, r.n::INT AS n_words, coalesce(list_sum(sizes[1:own[r.s] - 1]), 0)::INT AS start_char, list_sum(sizes[1:own[r.s + r.n - 1]])::INT AS end_char
+ FROM r JOIN d USING (doc_id) JOIN a ON a.doc_id = r.doc_id AND a.s = r.s AND a.n = r.n JOIN t ON t.phrase = a.phrase""")
+def text_mentions(spark, d):
+    """The openings of all documents as terms with punctuation, overlapping each other, looked for in all documents."""
+    docs = table(spark, d, "documents")
+    w = F.regexp_extract_all("text", F.lit(f"{_W}+"), F.lit(0))
+    at = lambda i: F.get("w", F.lit(i - 1))
+    made = F.array(F.concat(F.lit("("), at(1), F.lit(" "), at(2), F.lit(")")), F.concat(F.upper(at(2)), F.lit("-"), at(3), F.lit(", "), at(4)), F.concat(at(1), F.lit(' "'), at(2), F.lit('" '), at(3), F.lit(".")))
+    terms = docs.filter("text is not null").select("doc_id", w.alias("w")).filter(F.size("w") >= 4).select("doc_id", F.explode(made).alias("term"))
+    terms = terms.groupBy("term").agg(F.min("doc_id").alias("concept_id"))
+    return G.annotate(docs, "text", terms, "doc_id", overlapping=False)
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour\', ts::TIMESTAMP) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def event_hours(spark, d):
     got = event_windows(table(spark, d, "events"), "ts", "1 hour", "10 minutes", ["event_type"])
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

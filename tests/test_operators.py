@@ -297,6 +297,49 @@ def test_annotation(spark):
     assert sorted((r.concept_id, r.start) for r in G.annotate(df, "t", terms, "id").collect()) == [("c1", 2), ("c2", 4), ("c3", 1)]
 
 
+def brute_mentions(texts, terms, longest):
+    import regex
+
+    word = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
+    split = lambda t: [m.group().lower() for m in word.finditer(t)]
+    own = {}
+    for term, concept in terms:
+        if term and split(term):
+            own.setdefault(tuple(split(term)), set()).add((concept, term))
+    out = []
+    for key, text in texts:
+        places = [m.span() for m in word.finditer(text or "")]
+        ws = split(text or "")
+        spans = [(i, n) for i in range(len(ws)) for n in range(max(map(len, own), default=0), 0, -1) if tuple(ws[i : i + n]) in own and i + n <= len(ws)]
+        end = 0
+        for i, n in spans:
+            if not longest or i >= end:
+                end = i + n
+                out += [(key, c, t, i, n, places[i][0], places[i + n - 1][1]) for c, t in own[tuple(ws[i : i + n])]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [4_000_000, 7])
+def test_mentions_by_brute_force(spark, monkeypatch, most):
+    """Terms of several words, with accents and punctuation and in other scripts, that overlap and contain each other; also in slices."""
+    import random
+
+    from lattica.operators import mentions
+
+    monkeypatch.setattr(mentions, "MOST_PREFIXES", most)
+    rng = random.Random(4)
+    some = ["heart", "attack", "été", "caf", "café", "covid", "19", "中文", "ÉTÉ", "e\u0301t", "a_b", "x"]
+    terms = [(rng.choice(["", "(", "«"]) + rng.choice([" ", "-", ", "]).join(rng.choice(some) for _ in range(rng.randint(1, 4))) + rng.choice(["", ".", ")"]), f"c{i % 23}") for i in range(40)]
+    terms += [(".", "no word"), ("", "empty"), (None, "null"), ("covid-19.", "c1"), ("(abc)", "c2"), *[(" ".join(["x"] * n), f"x{n}") for n in (1, 3, 9)], ("x", "again")]
+    texts = [(i, "".join(rng.choice(some) + rng.choice([" ", "  ", "-", ".\n", "’"]) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    texts += [(100, None), (101, ""), (102, " .. "), (103, "(ABC) and Covid 19; cafés caf\u00e9"), (104, "x " * 5000)]
+    df, given = spark.createDataFrame(texts, "k int, t string"), spark.createDataFrame(terms, "term string, concept_id string")
+    for longest in (False, True):
+        got = G.annotate(df, "t", given, "k", overlapping=not longest).select("k", "concept_id", "term", "start", "n_words", "start_char", "end_char").collect()
+        assert sorted(tuple(r) for r in got) == brute_mentions(texts, terms, longest)
+    assert G.annotate(df, "t", given.limit(0), "k").count() == 0 and G.annotate(df.limit(0), "t", given, "k", overlapping=False).count() == 0
+
+
 def test_annotate_terms_of_many_lengths(spark):
     terms = [" ".join(f"w{i}" for i in range(n)) for n in range(1, 71)]
     df = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(70)))], "k int, t string")
