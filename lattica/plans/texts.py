@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as T
 from ..functions import trees
 from ..operators import prompts as M
+from ..operators import sentences as S
 from . import CHOICE, query, sql_over, table
 
 
@@ -173,3 +175,63 @@ def entry_structure(spark, d):
     got = M.group_entries(_rows(spark, d, _PRUNED, "events"), "user_id", "note", "event_id", "label", "value", distinct=True, bullet="- ", structure="structure")
     line = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
     return got.select("user_id", F.array_join(F.transform(F.coalesce("structure", F.array().cast("array<map<string,string>>")), line), "|").alias("structure"))
+
+
+_TOK, _SPACED_TOK, _FORM, _NUMBER = r"[^\x09-\x0D\x20]+", r"[^\x09-\x0D\x20]+[\x09-\x0D\x20]*", r"(?s)^[^\p{L}\p{N}]*(.*?)[^\p{L}\p{N}.!?]*$", r"^[0-9]+(?:[.,:-][0-9]+)*$"
+_ENDS = """[.!?]["'')\\]]*$"""
+
+
+def _form(t):
+    return f"lower(regexp_extract({t}, '{_FORM}', 1))"
+
+
+def _kind(t):
+    bare = rf"regexp_replace({_form(t)}, '\.$', '')"
+    return f"CASE WHEN regexp_matches({bare}, '{_NUMBER}') THEN '##' ELSE {bare} END"
+
+
+def _together(p, n, m):
+    term = lambda n, p: f"CASE WHEN {n} = 0 THEN 0.0 ELSE ({n}) * ln({p}) END"
+    return f"CASE WHEN ({p}) <= 0 OR ({p}) >= 1 OR ({p}) IS NULL THEN 0.0 ELSE {term(n, p)} + {term(m, f'1 - {p}')} END"
+
+
+def _ratio(rest="total - a - b + ab"):
+    p, p1, p2 = "(b / total::DOUBLE)", "(ab / a::DOUBLE)", "((b - ab) / nullif(total - a, 0)::DOUBLE)"
+    return f"-2 * (({_together(p, 'ab', 'a - ab')}) + ({_together(p, 'b - ab', rest)}) - ({_together(p1, 'ab', 'a - ab')}) - ({_together(p2, 'b - ab', rest)}))"
+
+
+_LEARNT = rf"""w AS (SELECT coalesce(lang, '') AS lang, regexp_extract_all(text, '{_TOK}') AS w FROM documents), p AS (SELECT lang, w[i] AS token, w[i + 1] AS following FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+ r AS (SELECT lang, {_kind("token")} AS word, {_form("token")} AS f, regexp_matches(token, '{_ENDS}') AS ends, {_kind("following")} AS next FROM p WHERE {_form("token")} <> ''),
+ c AS (SELECT lang, word, count(*) AS n, count(*) FILTER (f LIKE '%.') AS k FROM r GROUP BY 1, 2), t AS (SELECT lang, sum(n) AS total, sum(k) AS periods FROM c GROUP BY 1),
+ short AS (SELECT * FROM (SELECT lang, word, k, -2 * ((k * ln(periods / total::DOUBLE) + CASE WHEN n = k THEN 0 ELSE (n - k) * ln(1 - periods / total::DOUBLE) END) - (k * ln(0.99::DOUBLE) + (n - k) * ln(1 - 0.99::DOUBLE)))
+  * exp(-length(replace(word, '.', ''))::DOUBLE) * (length(word) - length(replace(word, '.', '')) + 1) * pow(length(replace(word, '.', ''))::DOUBLE, -(n - k)::DOUBLE) AS score
+  FROM c JOIN t USING (lang) WHERE k > 0 AND periods < total AND regexp_matches(word, '\p{{L}}')) WHERE score >= 0.3),
+ f AS (SELECT r.lang, r.word, f LIKE '%.' AS period, next, f LIKE '%.' AND s.word IS NOT NULL AS short, count(*) AS ab FROM r LEFT JOIN short s ON s.lang = r.lang AND s.word = r.word WHERE ends AND next <> '' GROUP BY ALL),
+ sure AS (SELECT lang, next, sum(ab) AS ab FROM f WHERE NOT short GROUP BY 1, 2), nb AS (SELECT lang, sum(ab) AS a FROM sure GROUP BY 1),
+ starters AS (SELECT * FROM (SELECT *, {_ratio()} AS score FROM (SELECT s.lang, s.next, s.ab, nb.a, c.n AS b, total FROM sure s JOIN nb USING (lang) JOIN t USING (lang) JOIN c ON c.lang = s.lang AND c.word = s.next WHERE regexp_matches(s.next, '^\p{{L}}'))) WHERE score >= 30 AND total / a::DOUBLE > b / ab::DOUBLE),
+ tied AS (SELECT * FROM (SELECT *, {_ratio()} AS score FROM (SELECT f.lang, f.word, f.next, f.ab, o.k AS a, c.n AS b, total FROM f JOIN t USING (lang) JOIN c o ON o.lang = f.lang AND o.word = f.word JOIN c ON c.lang = f.lang AND c.word = f.next
+  WHERE period AND ab > 1 AND (short OR f.word = '##' OR length(f.word) = 1))) WHERE score >= 7.88 AND total / a::DOUBLE > b / ab::DOUBLE)"""
+
+
+@query(f"""WITH {_LEARNT} SELECT lang, 'abbreviation' AS kind, word AS item, k::BIGINT AS n, round(score, 6) AS score FROM short UNION ALL SELECT lang, 'starter', next, ab::BIGINT, round(score, 6) FROM starters
+ UNION ALL SELECT lang, 'collocation', word || ' ' || next, ab::BIGINT, round(score, 6) FROM tied""")
+def sentence_model(spark, d):
+    return S.learn(table(spark, d, "documents")).withColumn("score", F.round("score", 6))
+
+
+_WORD, _NEXT = _kind("x"), _kind("y")
+
+
+@query(rf"""WITH {_LEARNT}, m AS (SELECT lang, list(word) AS short FROM short GROUP BY 1), n AS (SELECT lang, list(next) AS starters FROM starters GROUP BY 1), o AS (SELECT lang, list(word || ' ' || next) AS tied FROM tied GROUP BY 1),
+ q AS (SELECT row_number() OVER () AS nr, doc_id, coalesce(lang, '') AS lang, regexp_extract_all(text, '{_SPACED_TOK}') AS ps FROM documents),
+ u AS (SELECT nr, lang, i, ps[i] AS part, regexp_extract(ps[i], '^{_TOK}') AS x, regexp_extract(ps[i + 1], '^{_TOK}') AS y FROM (SELECT nr, lang, ps, unnest(range(1, len(ps) + 1)) AS i FROM q)),
+ k AS (SELECT nr, i, part, regexp_matches(x, '{_ENDS}') AND y IS NOT NULL AND CASE WHEN {_form("x")} LIKE '%.' THEN CASE WHEN NOT (coalesce(list_contains(short, {_WORD}), false) OR {_WORD} = '##' OR length({_WORD}) = 1) THEN true
+   WHEN coalesce(list_contains(tied, {_WORD} || ' ' || {_NEXT}), false) THEN false WHEN {_WORD} = '##' THEN NOT regexp_matches(y, '^[^\p{{L}}\p{{N}}]*\p{{Ll}}') ELSE regexp_matches(y, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') AND coalesce(list_contains(starters, {_NEXT}), false) END ELSE true END AS ends
+  FROM u LEFT JOIN m USING (lang) LEFT JOIN n USING (lang) LEFT JOIN o USING (lang)),
+ g AS (SELECT nr, part, i, count(*) FILTER (ends) OVER (PARTITION BY nr ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM k),
+ z AS (SELECT nr, s, regexp_replace(string_agg(part, '' ORDER BY i), '[\x09-\x0D\x20]+$', '') AS sentence FROM g GROUP BY 1, 2)
+ SELECT doc_id, s::INT AS pos, sentence FROM z JOIN q USING (nr) WHERE sentence <> ''""")
+def learnt_sentences(spark, d):
+    docs = table(spark, d, "documents")
+    model = storage.table(spark, S.learn(docs), "sentence-model")
+    return S.split(docs, model).select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))

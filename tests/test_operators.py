@@ -297,6 +297,25 @@ def test_annotation(spark):
     assert sorted((r.concept_id, r.start) for r in G.annotate(df, "t", terms, "id").collect()) == [("c1", 2), ("c2", 4), ("c3", 1)]
 
 
+def test_learnt_sentences(spark):
+    """An abbreviation, a starter and a pair that stays together, which no list names, and the same word in a language where it ends sentences."""
+    import random
+
+    from lattica.operators import sentences as S
+
+    rng = random.Random(8)
+    plain = lambda: " ".join(rng.choice("abel bodo cana dela ewok fumo gral".split()) for _ in range(rng.randint(4, 9)))
+    lines = [f"{plain()} qz. Meyer {plain()}. Then {plain()}." for _ in range(300)]
+    docs = spark.createDataFrame([(i, "x", t) for i, t in enumerate(lines)] + [(1000 + i, None, f"Then {plain()} qz and {plain()} qz. {plain().capitalize()}. Then qz was.") for i in range(300)] + [(2000, "x", None), (2001, "y", "")], "k int, lang string, text string")
+    model = S.learn(docs)
+    got = {(r.lang, r.kind, r["item"]) for r in model.collect()}
+    assert ("x", "abbreviation", "qz") in got and ("", "abbreviation", "qz") not in got and ("x", "collocation", "qz meyer") in got and ("", "starter", "then") in got
+    rows = [(1, "x", "Then he saw qz. Meyer (qz. 3) and qz. Then left! why? \u201cOk. \n 3. x"), (2, None, "It was qz. Meyer knew."), (3, "other", "One qz. Two."), (4, "x", None), (5, "x", " ")]
+    out = {r.k: r.sentences for r in S.split(spark.createDataFrame(rows, "k int, lang string, text string"), model).collect()}
+    assert out == {1: ["Then he saw qz. Meyer (qz. 3) and qz.", "Then left!", "why?", "\u201cOk.", "3. x"], 2: ["It was qz.", "Meyer knew."], 3: ["One qz.", "Two."], 4: None, 5: []}
+    assert S.learn(docs.limit(0)).count() == 0 and S.split(docs.limit(2), model.limit(0)).filter("size(sentences) > 1").count() == 2
+
+
 def brute_mentions(texts, terms, longest):
     import regex
 
