@@ -114,25 +114,31 @@ def dict_table(spark, d):
 
 
 _HEAD = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:skos="http://www.w3.org/2004/02/skos/core#">'
+_HAS = """'<owl:Restriction><owl:onProperty rdf:resource="http://x/has"/><owl:someValuesFrom rdf:resource="http://x/p', k - 1, '"/></owl:Restriction>'"""
+_ELEMENT = f"""concat('<owl:Class rdf:about="http://x/p', k, '"><rdfs:label xml:lang="en">', p_name, '</rdfs:label><rdfs:subClassOf rdf:resource="http://x/b', p_size % 7, '"/>', CASE k % 4
+ WHEN 0 THEN concat('<owl:equivalentClass><owl:Class><owl:intersectionOf rdf:parseType="Collection"><rdf:Description rdf:about="http://x/s', p_size, '"/>', {_HAS}, '</owl:intersectionOf></owl:Class></owl:equivalentClass>')
+ WHEN 1 THEN concat('<owl:equivalentClass><owl:Class><owl:unionOf rdf:parseType="Collection"><owl:Class rdf:about="http://x/s', p_size, '"/>', {_HAS}, '</owl:unionOf></owl:Class></owl:equivalentClass>')
+ WHEN 2 THEN concat('<rdfs:subClassOf><owl:Restriction><owl:onProperty rdf:resource="http://x/g"/><owl:someValuesFrom>', {_HAS}, '</owl:someValuesFrom></owl:Restriction></rdfs:subClassOf>')
+ ELSE '<!-- <owl:Class rdf:about="http://x/none"> --><owl:equivalentClass><owl:Class><owl:intersectionOf/></owl:Class></owl:equivalentClass>' END, '</owl:Class>')"""
 
 
-@query("""SELECT 'concept' AS relation, 'n' || n_nationkey AS id, n_name AS text, '' AS target FROM nation UNION ALL SELECT 'concept', 'r' || r_regionkey, r_name, '' FROM region
- UNION ALL SELECT 'edge', 'n' || n_nationkey, '0', 'r' || n_regionkey FROM nation UNION ALL SELECT 'simple', 'r' || r_regionkey, 'has', 'n' || r_regionkey FROM region""")
+@query("""WITH p AS (SELECT p_partkey AS k, p_name, p_size FROM part) SELECT 'concept' AS relation, 'p' || k AS id, p_name AS text, '' AS target FROM p UNION ALL SELECT 'edge', 'p' || k, '0', 'b' || p_size % 7 FROM p UNION ALL SELECT 'edge', 'p' || k, '1', 's' || p_size FROM p WHERE k % 4 < 2
+ UNION ALL SELECT CASE k % 4 WHEN 0 THEN 'and' WHEN 1 THEN 'or' ELSE 'res_simple' END, 'p' || k, 'has', coalesce(q.p_name, 'p' || (k - 1)) FROM p LEFT JOIN part q ON q.p_partkey = k - 1 WHERE k % 4 < 3 UNION ALL SELECT 'unknown', 'p' || k, 'intersectionOf', '' FROM p WHERE k % 4 = 3""")
 def ontology_cache(spark, d):
-    """An ontology file made from the nations and regions, whose numbers don't grow, converted once and read twice."""
-    item = lambda key, name, inner: f'<owl:Class rdf:about="http://x/{key}"><rdfs:label xml:lang="en">{name}</rdfs:label>{inner}</owl:Class>'
-    up = '<rdfs:subClassOf rdf:resource="http://x/r{}"/>'
-    own = '<rdfs:subClassOf><owl:Restriction><owl:onProperty rdf:resource="http://x/has"/><owl:someValuesFrom rdf:resource="http://x/n{}"/></owl:Restriction></rdfs:subClassOf>'
-    lines = [item(f"n{r.n_nationkey}", r.n_name, up.format(r.n_regionkey)) for r in table(spark, d, "nation").collect()] + [item(f"r{r.r_regionkey}", r.r_name, own.format(r.r_regionkey)) for r in table(spark, d, "region").collect()]
+    """An ontology file made from the parts, converted once from ranges of 100,000 bytes and read twice."""
     path = _folder(spark, "owl")
-    spark.createDataFrame([(_HEAD + "".join(lines) + "</rdf:RDF>",)], "value string").coalesce(1).write.text(path)
-    text = spark.read.text(path, wholetext=True).first().value
+    parts = table(spark, d, "part").selectExpr("p_partkey AS k", "p_name", "p_size").selectExpr("k", f"{_ELEMENT} AS value")
+    ends = spark.createDataFrame([(-1, _HEAD), (1 << 62, "</rdf:RDF>")], "k long, value string")
+    parts.unionByName(ends).repartition(1).sortWithinPartitions("k").select("value").write.text(path)  # an ontology is one file
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")
+    file = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)[0].getPath().toString()
     for _ in range(2):
-        concepts, edges, properties = owl.cache_text(spark, text, f"{path}-cache")
-    row = lambda kind, a, b, c: F.struct(F.lit(kind).alias("relation"), a.alias("id"), b.cast("string").alias("text"), c.alias("target"))
-    got = concepts.select(row("concept", F.col("id"), F.col("label"), F.lit("")).alias("r")).unionByName(edges.select(row("edge", F.col("child"), F.col("parent_pos"), F.col("parent")).alias("r")))
-    entry = F.map_entries("ids")[0]
-    return got.unionByName(properties.select(F.struct(F.col("property_type").alias("relation"), F.col("concept_id").alias("id"), entry["key"].alias("text"), entry["value"].alias("target")).alias("r"))).select("r.*")
+        concepts, edges, properties = owl.cache(spark, file, f"{path}-cache", range_bytes=100_000)
+    row = lambda df, kind, a, b, c: df.select(F.lit(kind).alias("relation") if isinstance(kind, str) else kind.alias("relation"), F.col(a).alias("id"), b.cast("string").alias("text"), c.alias("target"))
+    entry = F.map_entries("labels")[0]
+    got = row(concepts, "concept", "id", F.col("label"), F.lit("")).unionByName(row(edges, "edge", "child", F.col("parent_pos"), F.col("parent")))
+    got = got.unionByName(row(properties, F.col("property_type"), "concept_id", entry["key"], entry["value"]))
+    return got.unionByName(row(spark.read.parquet(f"{path}-cache/unknown"), "unknown", "concept_id", F.substring_index("tag", "}", -1), F.lit("")))
 
 
 @query("SELECT * FROM (VALUES ('data', 'path', '/x/y'), ('data', 'n', '3'), ('model', 'name', 'm')) z(section, name, value)")

@@ -255,6 +255,29 @@ def test_ontology_file(spark, tmp_path):
     assert O.describe(concepts, O.closure(edges), properties).filter("id = '2'").first().description.startswith("Medical concept: Two.")
 
 
+@pytest.mark.parametrize("size", [61, 400, 5000, 1 << 20])
+def test_ontology_ranges(spark, tmp_path, size):
+    """Ranges that begin in tags, comments, sections of text and nested classes give what one parse of the file gives."""
+    from lattica.sources import owl
+
+    def element(i):
+        inner = [
+            f'<o:Class r:about="http://x/c{i // 2}"><s:label>nested {i}</s:label></o:Class>', '<o:Class r:about="http://x/c0"/>',
+            f'<o:Restriction><o:onProperty r:resource="http://x/p"/><o:someValuesFrom r:resource="http://x/c{i - 1}"/></o:Restriction>',
+            f'<o:Restriction><o:onProperty r:resource="http://x/p"/><o:someValuesFrom><o:Class><o:unionOf><r:Description r:about="http://x/c{i + 1}"/></o:unionOf></o:Class></o:someValuesFrom></o:Restriction>', "<o:hasValue/>"]
+        body = f"<s:label>Né &amp; <![CDATA[<o:Class> {'x' * (i % 90)}]]></s:label>" + (f"<!-- </o:Class> <o:Class r:about='no'> - {'y ' * (i % 60)}> -->" if i % 3 == 0 else "\n ")
+        body += "".join(f"<s:subClassOf>{x}</s:subClassOf>" if i % 2 else f"<o:equivalentClass><o:Class><o:intersectionOf>{x}{inner[2]}</o:intersectionOf></o:Class></o:equivalentClass>" for j, x in enumerate(inner) if (i + j) % 3)
+        return f'<o:Class r:about="http://x/c{i}"/>' if i % 11 == 5 else f"<o:Class title='a > b' r:about=\"http://x/c{i}\">{body}</o:Class>"
+
+    text = '<?xml version="1.0"?>\n<!DOCTYPE r:RDF [ <!ENTITY x "y"> ]>\n<!-- <o:Class> -->\n<r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:s="http://www.w3.org/2000/01/rdf-schema#" xmlns:o="http://www.w3.org/2002/07/owl#">'
+    text += "".join(element(i) + ("<o:Ontology><o:Class r:about='http://x/deep'/></o:Ontology>" if i % 7 == 0 else "") for i in range(80)) + "<!-- end --></r:RDF>\n"
+    (tmp_path / "o.owl").write_text(text, encoding="utf-8")
+    got = owl.load(spark, str(tmp_path / "o.owl"), range_bytes=size)
+    key = lambda rows: sorted(map(repr, rows))
+    for df, want, columns in zip(got, owl.parse(str(tmp_path / "o.owl")), (None, None, ["concept_id", "prop_pos", "property_type", "ids"], None), strict=True):
+        assert want and key(tuple(r) for r in (df.select(columns) if columns else df).collect()) == key(want)
+
+
 def test_command_line(capsys):
     from lattica.__main__ import main
 
