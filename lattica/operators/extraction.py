@@ -22,12 +22,22 @@ CONFIGS = {
 }
 
 
-def configs(spark, names: list[str] | None = None) -> DataFrame:
-    """The decoding configurations as a table; an unknown name is an error."""
+# What every configuration shares, and the beams and groups by the kind of search.
+SHARED = {"max_length": 2048, "max_new_tokens": 128, "window_size": 5, "kept": 1, "diversity_penalty": 1.0, "model_weight": 0.5, "boost_weight": 0.5}
+BEAMS = {"ontology": (10, 2), "beam": (10, 2), "greedy": (1, 1)}
+
+
+def configs(spark, names: list[str] | None = None, full: bool = False) -> DataFrame:
+    """The decoding configurations as a table; an unknown name is an error. ``full``: with lengths, beams, groups, window and the weights of scores too."""
     if lost := set(names or ()) - set(CONFIGS):
         raise ValueError(f"unknown configurations: {sorted(lost)}")
     rows = [(k, *v) for k, v in CONFIGS.items() if names is None or k in names]
-    return spark.createDataFrame(rows, "config_name string, h double, p double, s double, uses_context boolean, search string")
+    own = spark.createDataFrame(rows, "config_name string, h double, p double, s double, uses_context boolean, search string")
+    if not full:
+        return own
+    beams = F.create_map(*(F.lit(x) for k, (n, _) in BEAMS.items() for x in (k, n)))
+    groups = F.create_map(*(F.lit(x) for k, (_, n) in BEAMS.items() for x in (k, n)))
+    return own.withColumns({"beams": beams[F.col("search")], "beam_groups": groups[F.col("search")], **{k: F.lit(v) for k, v in SHARED.items()}})
 
 
 def _asked(wanted: DataFrame, notes: DataFrame, concepts: DataFrame, properties: DataFrame, note: str, text: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mentions
@@ -35,6 +35,12 @@ def bounds(n: int, size: int | None = None, count: int | None = None, most: int
     return [(a, min(n, a + size)) for a in range(0, n, size)]
 
 
+def bounds_table(spark: SparkSession, n: int, size: int) -> DataFrame:
+    """shard_id, shard_start and shard_end of the shards of n rows, made where they are needed."""
+    k = F.col("id")
+    return spark.range(-(-n // size)).select(k.alias("shard_id"), (k * size).alias("shard_start"), F.least(F.lit(n).cast("long"), (k + 1) * size).alias("shard_end"))
+
+
 def shard_id(pos: Column, size: int) -> Column:
     return F.floor(pos / size).cast("long")
 
@@ -186,9 +192,12 @@ def classify(df: DataFrame, text: str, model_factory: Callable[[], Callable[[lis
     return df.mapInPandas(run, f"{schema}, `{into}` map<string,double>")
 
 
-def infer_shards(work: DataFrame, results: DataFrame, prompt: str, provider_factory: Callable[[], Provider], shards: list[int], size: int, key: str = "_pos", **more) -> DataFrame:
-    """Results with the answers for what is unprocessed in some shards put over them."""
-    todo = unprocessed(work.filter(shard_id(F.col(key), size).isin(*shards)), results, key)
+def infer_shards(work: DataFrame, results: DataFrame, prompt: str, provider_factory: Callable[[], Provider], shards: list[int] | DataFrame, size: int, key: str = "_pos", **more) -> DataFrame:
+    """Results with the answers for what is unprocessed in some shards, a list or a table of shard_id, put over them."""
+    if not isinstance(shards, DataFrame):
+        shards = work.sparkSession.createDataFrame([(s,) for s in shards], "shard_id long")
+    own = work.withColumn("shard_id", shard_id(F.col(key), size)).join(shards.select("shard_id"), "shard_id", "left_semi").select(*work.columns)
+    todo = unprocessed(own, results, key)
     new = infer(todo, prompt, provider_factory, output="result", **more).filter(F.col("result").isNotNull()).select(key, "result")
     return upsert(results.select(key, "result"), new, key)
 

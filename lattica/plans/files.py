@@ -84,10 +84,18 @@ def config_results(spark, d):
     return spark.createDataFrame(rows, "config_name string, attempt int, wrote boolean").join(counts, "config_name")
 
 
-@query("""SELECT * FROM (VALUES ('hps', 1.0, 1.0, 1.0, true, 'ontology'), ('hp', 1.0, 1.0, 0.0, true, 'ontology'), ('hs', 1.0, 0.0, 1.0, true, 'ontology'), ('ps', 0.0, 1.0, 1.0, true, 'ontology'), ('h', 1.0, 0.0, 0.0, true, 'ontology'),
- ('p', 0.0, 1.0, 0.0, true, 'ontology'), ('s', 0.0, 0.0, 1.0, true, 'ontology'), ('pn', 0.0, 1.0, 0.0, false, 'ontology'), ('beam', 0.0, 0.0, 0.0, false, 'beam'), ('normal', 0.0, 0.0, 0.0, false, 'greedy')) z(config_name, h, p, s, uses_context, search)""")
+_CONFIGURED = "(['hps', 'hp', 'hs', 'ps', 'h', 'p', 's', 'pn', 'beam', 'normal'])[event_id % 10 + 1]"
+
+
+@query(f"""WITH e AS (SELECT {_CONFIGURED} AS config_name, count(*) AS n FROM events GROUP BY 1)
+ SELECT config_name, n, (config_name[1] = 'h')::INT::DOUBLE AS h, (config_name IN ('hps', 'hp', 'ps', 'p', 'pn'))::INT::DOUBLE AS p, (config_name IN ('hps', 'hs', 'ps', 's'))::INT::DOUBLE AS s, config_name NOT IN ('pn', 'beam', 'normal') AS uses_context,
+ CASE config_name WHEN 'beam' THEN 'beam' WHEN 'normal' THEN 'greedy' ELSE 'ontology' END AS search, CASE config_name WHEN 'normal' THEN 1 ELSE 10 END AS beams, CASE config_name WHEN 'normal' THEN 1 ELSE 2 END AS beam_groups,
+ 2048 AS max_length, 128 AS max_new_tokens, 5 AS window_size, 1 AS kept, 1.0::DOUBLE AS diversity_penalty, 0.5::DOUBLE AS model_weight, 0.5::DOUBLE AS boost_weight FROM e""")
 def decoding_configs(spark, d):
-    return X.configs(spark)
+    """How many events each configuration decodes, and with what."""
+    names = F.array(*map(F.lit, X.CONFIGS))
+    asked = table(spark, d, "events").groupBy(F.get(names, (F.col("event_id") % 10).cast("int")).alias("config_name")).agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(X.configs(spark, full=True), "config_name")
 
 
 @query("SELECT e.event_type AS concept, t.n AS batch, count(*) AS n FROM events e, (VALUES (1), (2)) t(n) GROUP BY 1, 2")
@@ -105,12 +113,12 @@ def stored_without_text(spark, d):
     return contracts.validate(spark.read.parquet(path), ("doc_id", "lang", "source", "n_chars"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 'c'), (2, 'b', 'c'), (3, NULL, 'p'), (4, 'd', 'p')) z(id, name, kind)")
+@query("SELECT user_id, event_id, event_type FROM events")
 def dict_table(spark, d):
-    import pandas as pd
-
-    own = sources.from_columns(spark, {"id": [1, 2], "name": ["a", "b"]}, "id int, name string").withColumn("kind", F.lit("c"))
-    return own.unionByName(sources.from_pandas(spark, pd.DataFrame({"id": [3, 4], "name": [float("nan"), "d"]}), "id int, name string").withColumn("kind", F.lit("p")))
+    """Rows from one dictionary of lists for each user."""
+    own = F.sort_array(F.collect_list(F.struct("event_id", "event_type")))
+    lists = table(spark, d, "events").groupBy("user_id").agg(own.alias("x")).select("user_id", F.col("x.event_id").alias("event_id"), F.col("x.event_type").alias("event_type"))
+    return sources.from_column_dicts(lists, ["event_id", "event_type"])
 
 
 _HEAD = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:skos="http://www.w3.org/2004/02/skos/core#">'
@@ -141,10 +149,12 @@ def ontology_cache(spark, d):
     return got.unionByName(row(spark.read.parquet(f"{path}-cache/unknown"), "unknown", "concept_id", F.substring_index("tag", "}", -1), F.lit("")))
 
 
-@query("SELECT * FROM (VALUES ('data', 'path', '/x/y'), ('data', 'n', '3'), ('model', 'name', 'm')) z(section, name, value)")
+@query("""WITH c AS (SELECT c_custkey, [('data', 'path', '/x/' || c_custkey), ('data', 'n', CASE WHEN c_custkey % 2 = 0 THEN c_nationkey::VARCHAR ELSE '3' END), ('model', 'name', c_mktsegment)] AS v FROM customer)
+ SELECT c_custkey, z[1] AS section, z[2] AS name, z[3] AS value, (2 + (c_custkey % 3 = 0)::INT)::INT AS n_warnings FROM (SELECT c_custkey, unnest(v) AS z FROM c)""")
 def config_values(spark, d):
-    found, _ = sources.parse_config('{"data": {"path": "/x/y", "odd": 1}, "model": {"name": "m"}, "more": {}}', {"data": {"path": None, "n": 3}, "model": {"name": None}}, (("data", "path"),))
-    return spark.createDataFrame([(s, k, str(v)) for s, own in found.items() for k, v in own.items()], "section string, name string, value string")
+    """A configuration of every customer, with keys and sections that nobody knows, over defaults."""
+    text = F.format_string('{"data": {"path": "/x/%d", "odd": 1%s}, "model": {"name": "%s"%s}, "more": {}}', "c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.format_string(', "n": %d', "c_nationkey")).otherwise(""), "c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, ', "size": 2').otherwise(""))
+    return sources.parsed_configs(table(spark, d, "customer").select("c_custkey", text.alias("text")), "text", {"data": {"path": None, "n": 3}, "model": {"name": None}}, (("data", "path"),))
 
 
 @query("""WITH s AS (SELECT event_id // 300 AS shard_id, count(*) AS total, count(*) FILTER (event_id % 3 <> 0) AS done FROM events GROUP BY 1)

@@ -63,7 +63,7 @@ def judged_shards(spark, d):
     judge = lambda: G.retrying(lambda ps: [["So [RESULT] A", "[RESULT] B", "[RESULT] N/A"][len(p) % 3] for p in ps])
     n = work.count()
     none = work.limit(0).select("_pos", F.col("prompt").alias("result"))
-    done = G.infer_shards(work, none, "prompt", judge, list(range(len(G.bounds(n, size=300)))), 300, batch=24)
+    done = G.infer_shards(work, none, "prompt", judge, G.bounds_table(spark, n, 300), 300, batch=24)
     return done.select("_pos", J.decision(F.col("result")).alias("decision"))
 
 
@@ -118,14 +118,19 @@ def config_pairs(spark, d):
     return tag(J.config_pairs(long, ["user_id", "concept"]), "all").unionByName(tag(J.config_pairs(long, ["user_id", "concept"], "m0"), "baseline"))
 
 
-@query("""SELECT * FROM (SELECT row_number() OVER (ORDER BY len(m) - (m = 'pn')::INT, rate, m) AS place, m AS method, rate FROM (VALUES ('hps', 61.0), ('hp', 40.5), ('h', 70.0), ('pn', 20.0), ('s', 20.5)) z(m, rate))""")
+_METHOD = "CASE event_id % 5 WHEN 0 THEN 'hps' WHEN 1 THEN 'hp' WHEN 2 THEN 'h' WHEN 3 THEN 'pn' ELSE 's' END"
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY len(m) - (m = 'pn')::INT, rate, m) AS place, m AS method, rate FROM (SELECT {_METHOD} AS m, avg(CASE WHEN event_type IN ('click', 'view') THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate FROM events GROUP BY 1)""")
 def method_order(spark, d):
+    """Methods by their number of parameters, then by the rate of their events that count as won."""
     from pyspark.sql import Window
 
     from ..functions.text import method_label, param_count
 
-    rows = spark.createDataFrame([("hps", 61.0), ("hp", 40.5), ("h", 70.0), ("pn", 20.0), ("s", 20.5)], "method string, rate double")
-    by = Window.orderBy(param_count(method_label(F.col("method"))), "rate", "method")
+    won = F.when(F.col("event_type").isin("click", "view"), 100.0).otherwise(0.0)
+    rows = table(spark, d, "events").groupBy(F.expr(_METHOD).alias("method")).agg(F.avg(won).alias("rate"))
+    by = Window.orderBy(param_count(method_label(F.col("method"))), "rate", "method")  # a row for each method
     return rows.select(F.row_number().over(by).alias("place"), "method", "rate")
 
 

@@ -34,8 +34,9 @@ _made: dict[tuple, tuple] = {}
 
 
 def ontology(spark, d):
-    """Edges and their closure, made once for a session and a folder, as an ontology's cache is."""
-    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), d)
+    """Edges and their closure, made once for a session and the files of the tables as they are, as an ontology's cache is."""
+    files = storage.state(spark, *(f"{d}/{name}.parquet" for name in ("part", "customer", "nation")))
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), files)
     if key not in _made:
         e = edges(spark, d)
         _made[key] = (e, O.closure(e))

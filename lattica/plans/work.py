@@ -19,9 +19,7 @@ def _results(spark, d):
 
 @query("""WITH n AS (SELECT count(*) AS n FROM events) SELECT k AS shard_id, k * 300 AS shard_start, least(n, (k + 1) * 300) AS shard_end FROM n, (SELECT unnest(range(0, (SELECT ceil(count(*) / 300.0)::BIGINT FROM events))) AS k)""")
 def shard_bounds(spark, d):
-    n = table(spark, d, "events").count()
-    rows = [(k, a, b) for k, (a, b) in enumerate(G.bounds(n, size=300))]
-    return spark.createDataFrame(rows, "shard_id long, shard_start long, shard_end long")
+    return G.bounds_table(spark, table(spark, d, "events").count(), 300)
 
 
 @query("SELECT event_id // 300 AS shard_id, count(*) AS total, count(*) FILTER (event_id % 3 <> 0) AS done, count(*) FILTER (event_id % 3 = 0) AS pending, count(*) FILTER (event_id % 3 <> 0) * 100.0::DOUBLE / count(*) AS percent FROM events GROUP BY 1")

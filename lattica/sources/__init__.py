@@ -113,6 +113,17 @@ def from_columns(spark: SparkSession, columns: dict[str, list], schema: str) ->
     return spark.createDataFrame(list(zip(*columns.values(), strict=True)), schema)
 
 
+def from_column_dicts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows from rows of columns: each row of ``df`` holds a list for each of ``columns``, whose n-th values make a row with the other fields.
+
+    Lists of unequal length, or a null one beside others, are an error; rows of only null or empty lists give none.
+    """
+    sizes = F.array(*(F.coalesce(F.size(c), F.lit(-1)) for c in columns))
+    equal = F.array_min(sizes) == F.array_max(sizes)
+    zipped = F.when(equal, F.arrays_zip(*columns)).otherwise(F.raise_error("columns of unequal length"))
+    return df.select(*(c for c in df.columns if c not in columns), F.inline(zipped))
+
+
 def from_pandas(spark: SparkSession, frame, schema: str | None = None) -> DataFrame:
     """A table from a pandas frame; NaN in columns of texts becomes null."""
     return spark.createDataFrame(frame.astype(object).where(frame.notna(), None), schema)
@@ -160,3 +171,21 @@ def parse_config(text: str, defaults: dict[str, dict], required: tuple[tuple[str
         if out[section].get(key) is None:
             raise ValueError(f"{section}.{key} is required")
     return out, warnings
+
+
+def parsed_configs(df: DataFrame, text: str, defaults: dict[str, dict], required: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """section, name, value and n_warnings of each value that ``parse_config`` finds in each row's text, with the other fields of the row; a null text has the defaults."""
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                found, warnings = parse_config(row.pop(text) or "{}", defaults, required)
+                out += [row | {"section": s, "name": k, "value": None if v is None else str(v), "n_warnings": len(warnings)} for s, own in found.items() for k, v in own.items()]
+            yield pd.DataFrame(out, columns=names)
+
+    kept = [f for f in df.schema.fields if f.name != text]
+    names = [*(f.name for f in kept), "section", "name", "value", "n_warnings"]
+    return df.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "section string, name string, value string, n_warnings int"]))

@@ -34,6 +34,19 @@ def root(spark: SparkSession) -> str:
     return _own
 
 
+def state(spark: SparkSession, *paths: str) -> tuple:
+    """Names, lengths and times of the files of tables: it changes when one of them does."""
+    found = []
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = fs.listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage ends there. The files go when the driver ends."""
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"

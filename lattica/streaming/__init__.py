@@ -20,7 +20,10 @@ def upserting(stream: DataFrame, path: str, checkpoint: str, transform: Callable
 
 def merging(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
     """Keeps the newest row of every key in ``path``: each micro-batch is merged into a new version of the table, which counts once it is complete;
-    a batch that runs again replaces its own version. ``newest`` reads the table; older versions but the last are removed."""
+    a batch that runs again replaces its own version. ``newest`` reads the table, which is empty at first; older versions but the last are removed."""
+    spark = stream.sparkSession
+    if not _versions(spark, path):
+        transform(spark.createDataFrame([], stream.schema)).write.mode("overwrite").parquet(f"{path}/version=-1")
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession

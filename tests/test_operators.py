@@ -278,6 +278,37 @@ def test_ontology_ranges(spark, tmp_path, size):
         assert want and key(tuple(r) for r in (df.select(columns) if columns else df).collect()) == key(want)
 
 
+def test_closure_follows_its_tables(spark, small, tmp_path):
+    import shutil
+
+    from lattica.plans import queries
+
+    for name in ("part", "customer", "nation"):
+        shutil.copy(f"{small}/{name}.parquet", tmp_path)
+    before = queries()["closure"](spark, str(tmp_path)).count()
+    few = spark.read.parquet(f"{small}/customer.parquet").limit(3).toPandas()
+    few.to_parquet(f"{tmp_path}/customer.parquet")
+    spark.catalog.refreshByPath(str(tmp_path))
+    ups = queries()["closure"](spark, str(tmp_path))
+    assert ups.count() < before and ups.filter("id like 'c%'").select("id").distinct().count() == 3
+
+
+def test_stream_without_batches(spark, tmp_path):
+    from lattica import streaming
+
+    spark.createDataFrame([], "k int, v int").write.parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        streaming.merging(spark.readStream.schema("k int, v int").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", "k", "v").awaitTermination()
+        assert streaming.newest(spark, f"{tmp_path}/out").collect() == [] and streaming.newest(spark, f"{tmp_path}/out").columns == ["k", "v"]
+
+
+def test_column_dicts(spark):
+    df = spark.createDataFrame([(1, [1, 2], ["a", None]), (2, [], []), (3, None, None)], "g int, x array<int>, y array<string>")
+    assert sorted(tuple(r) for r in sources.from_column_dicts(df, ["x", "y"]).collect()) == [(1, 1, "a"), (1, 2, None)]
+    with pytest.raises(Exception, match="unequal"):
+        sources.from_column_dicts(spark.createDataFrame([(1, [1], None)], df.schema), ["x", "y"]).collect()
+
+
 def test_command_line(capsys):
     from lattica.__main__ import main
 
