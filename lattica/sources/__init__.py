@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructType
 
 from .. import storage
 from ..contracts import drop_unnamed, normalize_na
+from . import csv_ranges
 
 
 def with_pos(df: DataFrame, order: list[str]) -> DataFrame:
@@ -30,9 +31,20 @@ def with_pos(df: DataFrame, order: list[str]) -> DataFrame:
     return ranged.join(F.broadcast(shift), "_part").withColumn("_pos", F.col("_in") + F.col("_shift")).drop("_part", "_in", "_shift")
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Quoted, multi-line CSV with every usual text for a missing value read as null."""
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=None, emptyValue="")
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, range_bytes: int = csv_ranges.RANGE) -> DataFrame:
+    """Quoted, multi-line CSV with every usual text for a missing value read as null.
+
+    Plain files in a mounted folder are read in ranges, by several tasks each; compressed files and those of other stores by one task each. Quotes stand only around
+    fields, and doubled inside them; files of one table have the same columns.
+    """
+    options = {"quote": '"', "escape": '"', "emptyValue": ""}
+    found = csv_ranges.files(spark, path)
+    names = csv_ranges.header(found[0][0]) if found else []
+    if names and all(names) and len({n.lower() for n in names}) == len(names):
+        fields = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        df = csv_ranges.records(spark, found, range_bytes).select(F.from_csv("value", fields, options).alias("r")).select("r.*")
+    else:
+        df = spark.read.csv(path, header=True, multiLine=True, nullValue=None, **options)
     df = drop_unnamed(df).select(*(normalize_na(F.col(f"`{c}`")).alias(c) for c in drop_unnamed(df).columns))
     if schema is None:
         return df

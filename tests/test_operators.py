@@ -302,6 +302,31 @@ def test_stream_without_batches(spark, tmp_path):
         assert streaming.newest(spark, f"{tmp_path}/out").collect() == [] and streaming.newest(spark, f"{tmp_path}/out").columns == ["k", "v"]
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 1000, 1 << 20])
+def test_csv_ranges(spark, tmp_path, size):
+    """Any cut of the files gives the rows that one task reads from whole files."""
+    import csv
+    import random
+
+    rng = random.Random(size)
+    cell = lambda: rng.choice(["plain", "", "two\nlines", 'a "quoted" one', '"', '""', "comma, and", "\n", "é中", "N/A", " x ", 'ends "\n', "x" * rng.randint(1, 90)])
+    (tmp_path / "t.csv").mkdir()
+    for part in range(3):
+        with open(tmp_path / "t.csv" / f"part-{part}.csv", "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator=["\n", "\r\n"][part % 2])
+            out.writerow(["id", "a b", 'the "c"'])
+            out.writerows([part * 1000 + i, cell(), cell()] for i in range([0, 40, 25][part]))
+            f.write("\n" if part == 1 else "")
+        if part == 2:
+            with open(tmp_path / "t.csv" / "part-2.csv", "a", newline="") as f:
+                f.write('9999,"no end of line"')
+    whole = spark.read.csv(f"{tmp_path}/t.csv", header=True, multiLine=True, quote='"', escape='"', emptyValue="")
+    whole = whole.select(*(sources.normalize_na(F.col(f"`{c}`")).alias(c) for c in whole.columns))
+    got = sources.read_csv(spark, f"{tmp_path}/t.csv", range_bytes=size)
+    rows = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+    assert got.columns == whole.columns and len(rows(got)) == 66 and rows(got) == rows(whole)
+
+
 def test_column_dicts(spark):
     df = spark.createDataFrame([(1, [1, 2], ["a", None]), (2, [], []), (3, None, None)], "g int, x array<int>, y array<string>")
     assert sorted(tuple(r) for r in sources.from_column_dicts(df, ["x", "y"]).collect()) == [(1, 1, "a"), (1, 2, None)]
