@@ -7,7 +7,9 @@ import re
 from collections import Counter
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,32 +139,96 @@ def bleu_of(reference: str | None, made: str | None) -> float | None:
     return math.exp(total) * (1.0 if len(hyp) > len(ref) else math.exp(1 - len(ref) / len(hyp)))
 
 
+def ascii_words(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
+
+
+def spaced_words(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+
+
+def _coded(reference: pa.Array, made: pa.Array, stemmed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of all references and then of all made texts of a batch, and each text's first word. Only different words are stemmed."""
+    flat = pa.chunked_array([x.flatten().cast(pa.string()) for x in (reference, made)]).combine_chunks().dictionary_encode()
+    codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if stemmed:
+        _, back = np.unique(np.array([stem(w) if len(w) > 3 else w for w in flat.dictionary.to_pylist()], object).astype(str), return_inverse=True)
+        codes = back.astype(np.int64)[codes] if len(codes) else codes
+    sizes = np.concatenate([pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (reference, made)])
+    return codes, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def shared_grams(codes: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of 1 to ``most`` words, by row of ``_coded`` texts: how many both texts share, repeats counted, and how many there are in each text.
+
+    Runs are numbered exactly, and counted and compared as sorted numbers of all rows at once.
+    """
+    rows = (len(first) - 1) // 2
+    text = np.repeat(np.arange(2 * rows), np.diff(first))
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(len(codes))
+    shared, sizes, grams = np.zeros((most, rows), np.int64), np.zeros((most, 2 * rows), np.int64), codes
+    width = int(codes.max()) + 1 if len(codes) else 1
+    for n in range(1, most + 1):
+        if n > 1:
+            _, grams = np.unique(grams[: max(len(codes) - n + 1, 0)] * width + codes[n - 1 :], return_inverse=True)
+        own = np.flatnonzero(left[: len(grams)] >= n)
+        sizes[n - 1] = np.bincount(text[own], minlength=2 * rows)
+        kinds = int(grams.max()) + 1 if len(grams) else 1
+        (a, n_a), (b, n_b) = (np.unique(text[part] % max(rows, 1) * kinds + grams[part], return_counts=True) for part in (own[text[own] < rows], own[text[own] >= rows]))
+        both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        shared[n - 1] = np.bincount(both // kinds, np.minimum(n_a[i], n_b[j]), rows).astype(np.int64)
+    return shared, sizes.reshape(most, 2, rows)
+
+
+def _f_scores(shared: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    r, p = (shared / np.maximum(1, n) for n in sizes)
+    return p, r, np.divide(2 * p * r, p + r, out=np.zeros(len(p)), where=p + r > 0)
+
+
+def _bleu(shared: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ref, hyp = sizes[0]
+    some = (shared > 0).all(axis=0)
+    logs = np.log(np.where(shared > 0, shared, 1) / np.maximum(1, sizes[:, 1])).sum(axis=0) / 4
+    return np.where(some, np.exp(logs) * np.where(hyp > ref, 1.0, np.exp(1 - ref / np.maximum(1, hyp))), 0.0)
+
+
+def _doubles(values: dict[str, np.ndarray], *given: pa.Array) -> pa.Array:
+    """A struct of doubles, null where a text is missing."""
+    missing = np.logical_or.reduce([x.is_null().to_numpy(zero_copy_only=False) for x in given])
+    return pa.StructArray.from_arrays([pa.array(v.astype(np.float64), mask=missing) for v in values.values()], list(values))
+
+
 def rouge(reference: Column, made: Column, n: int, stemmed: bool = True) -> Column:
-    @F.pandas_udf("struct<precision:double,recall:double,f:double>")
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        got = [rouge_of(x, y, n, stemmed) or (None, None, None) for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame(got, columns=["precision", "recall", "f"], dtype="float64")
+    """Struct (precision, recall, f) of shared runs of n words; of nulls if a text is missing."""
+
+    @F.arrow_udf("struct<precision:double,recall:double,f:double>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        shared, sizes = shared_grams(*_coded(a, b, stemmed), n)
+        return _doubles(dict(zip(("precision", "recall", "f"), _f_scores(shared[-1], sizes[-1]), strict=True)), a, b)
 
-    return run(reference, made)
+    return run(ascii_words(reference), ascii_words(made))
 
 
 def bleu(reference: Column, made: Column) -> Column:
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([bleu_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """BLEU-4 on white-space tokens; 0 if an order has no match."""
 
-    return run(reference, made)
+    @F.arrow_udf("struct<bleu:double>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return _doubles({"bleu": _bleu(*shared_grams(*_coded(a, b, False), 4))}, a, b)
 
+    return run(spaced_words(reference), spaced_words(made))["bleu"]
 
-def text_scores(reference: Column, made: Column) -> Column:
-    """ROUGE-1 F, ROUGE-2 F and BLEU of a pair, in one pass over it."""
 
-    @F.pandas_udf("struct<rouge1:double,rouge2:double,bleu:double>")
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [(None, None, None) if x is None or y is None else (rouge_of(x, y, 1)[2], rouge_of(x, y, 2)[2], bleu_of(x, y)) for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame(rows, columns=["rouge1", "rouge2", "bleu"], dtype="float64")
+def text_scores(reference: Column, made: Column, stemmed: bool = True) -> Column:
+    """Struct (rouge1, rouge2, bleu): ROUGE-1 F, ROUGE-2 F and BLEU of a pair, in one pass over it."""
 
-    return run(reference, made)
+    @F.arrow_udf("struct<rouge1:double,rouge2:double,bleu:double>")
+    def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        shared, sizes = shared_grams(*_coded(a, b, stemmed), 2)
+        f = {f"rouge{n + 1}": _f_scores(shared[n], sizes[n])[2] for n in range(2)}
+        return _doubles(f | {"bleu": _bleu(*shared_grams(*_coded(c, d, False), 4))}, a, b)
+
+    return run(ascii_words(reference), ascii_words(made), spaced_words(reference), spaced_words(made))
 
 
 def bigrams(c: Column) -> Column:
@@ -173,15 +239,15 @@ def bigrams(c: Column) -> Column:
 
 
 def bigram_share(reference: Column, made: Column) -> Column:
-    """Of the bigrams of a text, repeats included, the share that the reference has as often; null if it has none."""
+    """Of the bigrams of a text, repeats included, the share that the reference has as often; null if it has none or a text is missing."""
 
-    def share(a: Column, b: Column) -> Column:
-        often = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-        both = F.aggregate(F.array_distinct(b), F.lit(0), lambda acc, x: acc + F.least(often(a, x), often(b, x)))
-        return F.try_divide(both.cast("double"), F.size(b).cast("double"))
+    @F.arrow_udf("struct<both:double,n:double>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        shared, sizes = shared_grams(*_coded(a, b, False), 2)
+        return _doubles({"both": shared[1], "n": sizes[1, 1]}, a, b)
 
-    pair = F.transform(F.array(F.struct(bigrams(reference).alias("a"), bigrams(made).alias("b"))), lambda p: share(p["a"], p["b"]))
-    return pair[0]
+    got = run(ascii_words(reference), ascii_words(made))
+    return F.try_divide(got["both"], got["n"])
 
 
 def bigram_overlap(reference: Column, made: Column) -> Column:

@@ -68,10 +68,10 @@ def accuracy_by(df: DataFrame, category: str, label: Column, prediction: Column)
     return got.withColumn("incorrect_pct", 100 - F.col("correct_pct"))
 
 
-def explanation_scores(df: DataFrame, reference: str = "explanation", made: str = "explanation_gen") -> DataFrame:
-    """Mean ROUGE-1, ROUGE-2 and BLEU of the explanations of false statements found false."""
+def explanation_scores(df: DataFrame, reference: str = "explanation", made: str = "explanation_gen", stemmed: bool = True) -> DataFrame:
+    """Mean ROUGE-1, ROUGE-2 (of stems, or of words as they are) and BLEU of the explanations of false statements found false."""
     kept = df.filter((F.col("label") == F.col("prediction")) & ~F.col("label"))
-    scored = kept.select(text_scores(F.col(reference), F.col(made)).alias("t")).select("t.*")
+    scored = kept.select(text_scores(F.col(reference), F.col(made), stemmed).alias("t")).select("t.*")
     return scored.agg(*(F.avg(c).alias(c) for c in ("rouge1", "rouge2", "bleu")))
 
 

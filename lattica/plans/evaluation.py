@@ -159,6 +159,38 @@ def explanation_scores(spark, d):
     return V.explanation_scores(df)
 
 
+def _grams_sql(words: str, orders: str) -> str:
+    """both, n_ref and n_made of runs of words for each pair (k, a, b) and order n."""
+    runs = f"SELECT k, side, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT k, side, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT k, 'a' AS side, {words.format('a')} AS w FROM pairs UNION ALL SELECT k, 'b', {words.format('b')} FROM pairs), (SELECT unnest({orders}) AS n) WHERE len(w) >= n)"
+    counted = f"SELECT k, n, g, count(*) FILTER (side = 'a') AS x, count(*) FILTER (side = 'b') AS y FROM ({runs}) GROUP BY 1, 2, 3"
+    return f"SELECT k, n, sum(least(x, y)) AS both_, sum(x) AS n_ref, sum(y) AS n_made FROM ({counted}) GROUP BY 1, 2"
+
+
+def _scores_sql() -> str:
+    """rouge1, rouge2 and bleu of pairs (k, a, b)."""
+    rouge, bleu = _grams_sql("regexp_extract_all(lower({0}), '[a-z0-9]+')", "[1, 2]"), _grams_sql(r"list_filter(string_split_regex({0}, '[\x09-\x0D\x20]+'), lambda x: x <> '')", "[1, 2, 3, 4]")
+    return f"""rg AS ({rouge}), bl AS ({bleu}), f AS (SELECT k, n, 2 * both_ / (greatest(n_ref, 1) + greatest(n_made, 1))::DOUBLE AS f FROM rg),
+ q AS (SELECT k, CASE WHEN count(*) FILTER (both_ > 0) = 4 THEN exp(sum(CASE WHEN both_ > 0 THEN ln(both_ / n_made::DOUBLE) END) / 4) * CASE WHEN max(n_made) > max(n_ref) THEN 1 ELSE exp(1 - max(n_ref) / max(n_made)::DOUBLE) END ELSE 0 END AS bleu FROM bl GROUP BY 1),
+ scored AS (SELECT pairs.k, coalesce(f1.f, 0) AS rouge1, coalesce(f2.f, 0) AS rouge2, coalesce(bleu, 0) AS bleu FROM pairs LEFT JOIN f f1 ON f1.k = pairs.k AND f1.n = 1 LEFT JOIN f f2 ON f2.k = pairs.k AND f2.n = 2 LEFT JOIN q ON q.k = pairs.k)"""
+
+
+@query(f"""WITH pairs AS (SELECT a.doc_id AS k, a.text AS a, b.text AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL), {_scores_sql()}
+ SELECT k AS doc_id, round(rouge1, 9) AS rouge1, round(rouge2, 9) AS rouge2, round(bleu, 9) AS bleu FROM scored""")
+def overlap_scores(spark, d):
+    """ROUGE-1, ROUGE-2 (of words as they are) and BLEU of every document and the next one."""
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")), "doc_id")
+    return pairs.select("doc_id", scores.text_scores(F.col("text"), F.col("next"), stemmed=False).alias("t")).select("doc_id", *(F.round(f"t.{c}", 9).alias(c) for c in ("rouge1", "rouge2", "bleu")))
+
+
+@query(f"""WITH {_PARSED}, pairs AS (SELECT event_id AS k, 'because the ' || event_type || ' ' || (event_id % 7) || ' says no indeed' AS a, explanation_gen AS b FROM parsed WHERE NOT label AND NOT prediction), {_scores_sql()}
+ SELECT round(avg(rouge1), 9) AS rouge1, round(avg(rouge2), 9) AS rouge2, round(avg(bleu), 9) AS bleu FROM scored""")
+def plain_explanation_scores(spark, d):
+    """``explanation_scores`` of words as they are."""
+    df = _parsed(spark, d).withColumn("explanation", F.concat_ws(" ", F.lit("because the"), "event_type", (F.col("event_id") % 7).cast("string"), F.lit("says no indeed")))
+    return V.explanation_scores(df, stemmed=False).select(*(F.round(c, 9).alias(c) for c in ("rouge1", "rouge2", "bleu")))
+
+
 @query("SELECT user_id, avg(value) AS mean_score, sum(value) AS sum_score FROM events GROUP BY 1")
 def entailment_mean(spark, d):
     return V.entailment(table(spark, d, "events"), "user_id", "value")

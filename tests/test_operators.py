@@ -327,6 +327,34 @@ def test_csv_ranges(spark, tmp_path, size):
     assert got.columns == whole.columns and len(rows(got)) == 66 and rows(got) == rows(whole)
 
 
+def test_overlap_scores_by_brute_force(spark):
+    """All rows of a batch at once give what each pair gives by itself; long texts take no longer than their words."""
+    import random
+    import time
+
+    rng = random.Random(6)
+    text = lambda: rng.choice([None, "", " \t", *[" ".join(rng.choice(["run", "running", "Cats", "cat", "a", "été", "x-y", "relational"]) for _ in range(rng.randint(1, 25))) for _ in range(9)]])
+    rows = [(i, text(), text()) for i in range(150)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = df.select("i", *(scores.rouge(a, b, n, stemmed).alias(f"r{n}{stemmed}") for n in (1, 2, 3) for stemmed in (True, False)), scores.bleu(a, b).alias("bleu"), scores.bigram_share(a, b).alias("share"), scores.text_scores(a, b).alias("t")).collect()
+    near = lambda x: None if x is None else pytest.approx(x)
+    for r in got:
+        _, x, y = rows[r.i]
+        for n in (1, 2, 3):
+            for stemmed in (True, False):
+                want = scores.rouge_of(x, y, n, stemmed)
+                assert tuple(r[f"r{n}{stemmed}"]) == ((None, None, None) if want is None else near(want))
+        assert r.bleu == near(scores.bleu_of(x, y))
+        want = scores.rouge_of(x, y, 2, False)
+        assert r.share == (None if want is None or not scores._grams(y, 2, False) else pytest.approx(want[0]))
+        assert r.t.rouge1 == (None if x is None or y is None else pytest.approx(scores.rouge_of(x, y, 1)[2]))
+    long = " ".join(f"w{rng.randrange(30_000)}" for _ in range(100_000))
+    began = time.time()
+    one = spark.createDataFrame([(long, long[::-1] + long)], "a string, b string").select(scores.text_scores(a, b).alias("t"), scores.bigram_share(a, b).alias("s")).first()
+    assert 0.4 < one.s < 0.6 and 0.6 < one.t.rouge2 < 0.7 and time.time() - began < 60
+
+
 def test_column_dicts(spark):
     df = spark.createDataFrame([(1, [1, 2], ["a", None]), (2, [], []), (3, None, None)], "g int, x array<int>, y array<string>")
     assert sorted(tuple(r) for r in sources.from_column_dicts(df, ["x", "y"]).collect()) == [(1, 1, "a"), (1, 2, None)]
