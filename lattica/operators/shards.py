@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import asyncio
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from . import mentions
 
 
@@ -202,6 +204,36 @@ def infer_shards(work: DataFrame, results: DataFrame, prompt: str, provider_fact
     return upsert(results.select(key, "result"), new, key)
 
 
+def answers(spark: SparkSession, folder: str, key_type: str = "long", key: str = "_pos") -> DataFrame:
+    """What the waves in a folder have answered so far: key and result."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/wave-*/_SUCCESS")
+    done = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    schema = f"`{key}` {key_type}, result string, asked boolean"
+    rows = spark.read.schema(schema).parquet(*(s.getPath().getParent().toString() for s in done)) if done else spark.createDataFrame([], schema)
+    return rows.filter("result is not null").select(key, "result")
+
+
+def infer_in_waves(work: DataFrame, prompt: str, provider_factory: Callable[[], Provider], folder: str, size: int, per_wave: int, key: str = "_pos", **more) -> bool:
+    """Asks for all that is unprocessed, ``per_wave`` shards at a time, and commits each wave to ``folder``; whether everything was answered.
+
+    After a wave in which a prompt stayed without an answer no other begins, whatever task it was in: ``aborting`` keeps each task of that
+    wave from asking on. What was answered is kept, and another run asks for what is left, the failed prompts first by their places.
+    """
+    spark = work.sparkSession
+    kind = work.schema[key].dataType.simpleString()
+    left = storage.table(spark, unprocessed(work.filter(F.col(prompt).isNotNull()), answers(spark, folder, kind, key), key).withColumn("__shard", shard_id(F.col(key), size)), "unprocessed")
+    pending, last = storage.table(spark, left.select("__shard").distinct(), "pending"), -1
+    while True:
+        wave = [r[0] for r in pending.filter(F.col("__shard") > last).orderBy("__shard").limit(per_wave).collect()]
+        if not wave:
+            return True
+        own = left.filter(F.col("__shard").between(wave[0], wave[-1])).drop("__shard", "result")  # the shards between have nothing left
+        path, last = f"{folder}/wave-{uuid.uuid4().hex}", wave[-1]
+        infer(own, prompt, provider_factory, output="result", **more).select(key, "result", F.lit(True).alias("asked")).write.parquet(path)
+        if not spark.read.parquet(path).filter("result is null").isEmpty():
+            return False
+
+
 def concurrent(one: Callable[[str], object]) -> Provider:
     """A provider from an async function for one prompt: a batch runs at once, a failure is a null."""
 

@@ -67,6 +67,19 @@ def judged_shards(spark, d):
     return done.select("_pos", J.decision(F.col("result")).alias("decision"))
 
 
+@query("SELECT event_id AS _pos, 'said ' || event_id AS result, event_id // 300 < 3 AS at_first FROM events")
+def waves_of_calls(spark, d):
+    """A provider that is down from the fourth shard on stops the whole run after that wave; a later run asks for the rest."""
+    folder = f"{storage.root(spark)}/waves-{uuid.uuid4().hex}"
+    work = table(spark, d, "events").select(F.col("event_id").alias("_pos"), F.col("event_id").cast("string").alias("prompt"))
+    down = lambda: G.blocking(lambda p: None if int(p) >= 900 else f"said {p}")
+    if G.infer_in_waves(work, "prompt", down, folder, 300, 2):
+        raise ValueError("a provider that is down answers nothing")
+    first = storage.table(spark, G.answers(spark, folder), "answered")
+    G.infer_in_waves(work, "prompt", lambda: G.blocking(lambda p: f"said {p}"), folder, 300, 10_000)
+    return G.answers(spark, folder).join(first.select("_pos", F.lit(True).alias("at_first")), "_pos", "left").select("_pos", "result", F.coalesce("at_first", F.lit(False)).alias("at_first"))
+
+
 @query(f"""WITH {plans._PARSED}, v AS (SELECT * FROM parsed WHERE valid), c AS (SELECT count(*) AS n, count(*) FILTER (label AND prediction) AS tp, count(*) FILTER (NOT label AND prediction) AS fp, count(*) FILTER (label AND NOT prediction) AS fn, count(*) FILTER (NOT label AND NOT prediction) AS tn FROM v)
  SELECT n, tp, fp, fn, tn, 2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE AS f1, (SELECT count(*) FROM parsed WHERE NOT valid) AS n_invalid FROM c""")
 def metric_bundle(spark, d):

@@ -355,6 +355,34 @@ def test_overlap_scores_by_brute_force(spark):
     assert 0.4 < one.s < 0.6 and 0.6 < one.t.rouge2 < 0.7 and time.time() - began < 60
 
 
+def test_waves_stop_for_the_whole_job(spark, tmp_path):
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def provider(broken):
+        def ask(prompts):
+            for p in prompts:
+                (log / p).write_text("")
+            if broken & set(prompts):
+                raise RuntimeError("down")
+            return [f"said {p}" for p in prompts]
+
+        return lambda: G.aborting(ask, retries=0)
+
+    work = spark.range(0, 100, 1, 4).select(F.col("id").alias("_pos"), F.when(F.col("id") != 7, F.col("id").cast("string")).alias("prompt"))
+    asked = lambda: {int(f.name) for f in log.iterdir()}
+    folder = f"{tmp_path}/answers"
+    assert not G.infer_in_waves(work, "prompt", provider({"25"}), folder, 10, 2, batch=5)
+    got = {r["_pos"] for r in G.answers(spark, folder).collect()}
+    assert got >= set(range(20)) - {7} and 25 not in got and max(got) < 40 and max(asked()) < 40
+    for f in log.iterdir():
+        f.unlink()
+    assert G.infer_in_waves(work, "prompt", provider(set()), folder, 10, 3, batch=5)
+    assert asked() == set(range(100)) - got - {7}
+    assert sorted((r["_pos"], r.result) for r in G.answers(spark, folder).collect()) == [(i, f"said {i}") for i in range(100) if i != 7]
+    assert G.infer_in_waves(work, "prompt", provider({"1"}), folder, 10, 3) and G.infer_in_waves(work.limit(0), "prompt", provider(set()), f"{tmp_path}/none", 10, 3)
+
+
 def test_column_dicts(spark):
     df = spark.createDataFrame([(1, [1, 2], ["a", None]), (2, [], []), (3, None, None)], "g int, x array<int>, y array<string>")
     assert sorted(tuple(r) for r in sources.from_column_dicts(df, ["x", "y"]).collect()) == [(1, 1, "a"), (1, 2, None)]
