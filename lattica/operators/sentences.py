@@ -18,10 +18,13 @@ from .. import storage
 # The published thresholds, and the patterns of tokens.
 ABBREVIATION, STARTER, COLLOCATION, RATIO = 0.3, 30.0, 7.88, 0.99
 TOKEN = r"[^\x09-\x0D\x20]+"
-SPACED = r"[^\x09-\x0D\x20]+[\x09-\x0D\x20]*"
 FORM = r"(?s)^[^\p{L}\p{N}]*(.*?)[^\p{L}\p{N}.!?]*$"
 NUMBER = r"^[0-9]+(?:[.,:-][0-9]+)*$"
 END = r"""[.!?]["')\]]*$"""
+POSSIBLE = r"""([.!?]["')\]]*[\x09-\x0D\x20]+)"""
+LAST, FIRST = r"(?<![^\x09-\x0D\x20])([^\x09-\x0D\x20]+)[\x09-\x0D\x20]*$", r"^[^\x09-\x0D\x20]+"
+#: Marks between pieces and between sentences: code points that are no characters.
+PIECE, SENTENCE = "\ufdd0", "\ufdd1"
 LOWER, UPPER = r"^[^\p{L}\p{N}]*\p{Ll}", r"^[^\p{L}\p{N}]*\p{Lu}"
 #: Rows of a model that are sent to every executor; a larger one is joined by language.
 MOST_ROWS = 200_000
@@ -66,7 +69,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     given = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)).alias("w"))
     pairs = given.select("lang", "w", F.posexplode("w").alias("i", "token")).select("lang", "token", F.get("w", F.col("i") + 1).alias("following"))
     of = form(F.col("token"))
-    read = pairs.select("lang", kind(of).alias("word"), of.endswith(".").alias("period"), F.col("token").rlike(END).alias("ends"), kind(form(F.col("following"))).alias("next"), of.alias("f")).filter("f <> ''").drop("f")
+    formed = lambda rows: rows.select("*", of.alias("f")).filter("f <> ''").select("lang", kind(F.col("f")).alias("word"), F.col("f").endswith(".").alias("period"), "following")
+    read = formed(pairs)
     counts = storage.table(spark, read.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("period").cast("long")).alias("with_period")), "words")
     total = F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total"), F.sum("with_period").alias("periods")))  # a row for each language
     scored = counts.filter((F.col("with_period") > 0) & F.col("word").rlike(r"\p{L}")).join(total, "lang").filter("periods < total")
@@ -74,7 +78,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     score = period_ratio(*map(F.col, ("n", "with_period", "total", "periods"))) * F.exp(-solid) * (F.length("word") - solid + 1) * F.pow(solid, -(F.col("n") - F.col("with_period")).cast("double"))
     short = scored.select("lang", "word", F.col("with_period").alias("n"), score.alias("score")).filter(F.col("score") >= ABBREVIATION)
 
-    follows = read.filter("ends and next is not null and next <> ''").groupBy("lang", "word", "period", "next").agg(F.count(F.lit(1)).alias("both"))
+    ended = formed(pairs.filter(F.col("token").rlike(END) & F.col("following").isNotNull())).withColumn("next", kind(form(F.col("following")))).filter("next <> ''")
+    follows = ended.groupBy("lang", "word", "period", "next").agg(F.count(F.lit(1)).alias("both"))
     follows = storage.table(spark, follows, "followers").join(short.select("lang", "word", F.lit(True).alias("short")), ["lang", "word"], "left").withColumn("short", F.coalesce("short", F.lit(False)) & F.col("period"))
     sure = follows.filter("not short").groupBy("lang", "next").agg(F.sum("both").alias("both"))
     breaks = F.broadcast(sure.groupBy("lang").agg(F.sum("both").alias("a")))
@@ -93,13 +98,13 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
 
 def breaks(token: Column, following: Column, short: Column, starters: Column, tied: Column) -> Column:
-    """Whether a sentence ends between two tokens, given arrays of a language's abbreviations, starters and collocations."""
+    """Whether a sentence ends between a token with an end mark and the one that follows, given arrays of a language's abbreviations, starters and collocations."""
     word, after = kind(form(token)), kind(form(following))
     number = word == "##"
     special = F.array_contains(short, word) | number | (F.length(word) == 1)
     open_ = F.when(number, ~following.rlike(LOWER)).otherwise(following.rlike(UPPER) & F.array_contains(starters, after))
     at_period = F.when(~special, F.lit(True)).when(F.array_contains(tied, F.concat_ws(" ", word, after)), F.lit(False)).otherwise(open_)
-    return token.rlike(END) & following.isNotNull() & F.when(form(token).endswith("."), at_period).otherwise(F.lit(True))
+    return (following != "") & F.when(form(token).endswith("."), at_period).otherwise(F.lit(True))
 
 
 def split(docs: DataFrame, model: DataFrame, text: str = "text", lang: str = "lang", into: str = "sentences") -> DataFrame:
@@ -110,9 +115,9 @@ def split(docs: DataFrame, model: DataFrame, text: str = "text", lang: str = "la
     none = F.array().cast("array<string>")
     own = [F.coalesce(F.col(f"__{k}"), none) for k in ("abbreviation", "starter", "collocation")]
     rows = docs.withColumn("__own", F.coalesce(F.col(lang).cast("string"), F.lit(""))).join(lists, F.col("__own") == F.col("__lang"), "left")
-    rows = rows.withColumn("__parts", F.regexp_extract_all(F.col(text), F.lit(SPACED), F.lit(0)))
-    bare = lambda c: F.regexp_extract(c, f"^{TOKEN}", 0)
-    following = lambda i: F.get("__parts", i + 1)
-    marked = F.transform("__parts", lambda x, i: F.when(breaks(bare(x), bare(following(i)), *own), F.concat(x, F.lit("\u0002"))).otherwise(x))
-    trimmed = F.transform(F.split(F.array_join(marked, ""), "\u0002"), lambda s: F.regexp_replace(s, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", ""))
+    # Pieces end where a sentence may; only there tokens are looked at.
+    rows = rows.withColumn("__parts", F.split(F.regexp_replace(F.col(text), POSSIBLE, f"$1{PIECE}"), PIECE))
+    following = lambda i: F.coalesce(F.regexp_extract(F.get("__parts", i + 1), FIRST, 0), F.lit(""))
+    marked = F.transform("__parts", lambda x, i: F.when(breaks(F.regexp_extract(x, LAST, 1), following(i), *own), F.concat(x, F.lit(SENTENCE))).otherwise(x))
+    trimmed = F.transform(F.split(F.array_join(marked, ""), SENTENCE), lambda s: F.regexp_replace(s, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", ""))
     return rows.select(*docs.columns, F.filter(trimmed, lambda s: s != "").alias(into))
