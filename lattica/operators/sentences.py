@@ -67,7 +67,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """
     spark = docs.sparkSession
     given = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)).alias("w"))
-    pairs = given.select("lang", "w", F.posexplode("w").alias("i", "token")).select("lang", "token", F.get("w", F.col("i") + 1).alias("following"))
+    pairs = given.select("lang", "w", F.posexplode_outer("w").alias("i", "token")).select("lang", "token", F.get("w", F.col("i") + 1).alias("following"))
     of = form(F.col("token"))
     formed = lambda rows: rows.select("*", of.alias("f")).filter("f <> ''").select("lang", kind(F.col("f")).alias("word"), F.col("f").endswith(".").alias("period"), "following")
     read = formed(pairs)

@@ -234,4 +234,5 @@ _WORD, _NEXT = _kind("x"), _kind("y")
 def learnt_sentences(spark, d):
     docs = table(spark, d, "documents")
     model = storage.table(spark, S.learn(docs), "sentence-model")
-    return S.split(docs, model).select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))
+    # An outer explode: an inner one would have the sentences made again for a filter of its own.
+    return S.split(docs, model).select("doc_id", F.posexplode_outer("sentences").alias("pos", "sentence")).filter("sentence is not null")
