@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..operators import results as R
 from ..operators import shards as G
 from ..streaming import event_windows
 from . import query, table
@@ -85,3 +89,32 @@ def text_mentions(spark, d):
 def event_hours(spark, d):
     got = event_windows(table(spark, d, "events"), "ts", "1 hour", "10 minutes", ["event_type"])
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+def _changed(spark, d):
+    """A results table of all events: first answers, answers put over them, cleared ones, two broken shards and their new answers, compacted on the way."""
+    path = f"{storage.root(spark)}/results-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select(F.col("event_id").alias("_pos"), F.col("event_type").alias("result"), F.create_map(F.lit("user"), "user_id").alias("more"))
+    R.create(spark, path, events.schema, "_pos")
+    R.upsert(events.filter("_pos % 3 <> 0"), path, writer="first", batch=0)
+    R.upsert(events.filter("_pos % 5 = 0").withColumn("result", F.concat("result", F.lit("!"))), path)
+    R.clear(spark, path, F.col("result") == "click")
+    R.compact(spark, path)
+    R.upsert(events.filter("_pos % 3 <> 0"), path, writer="first", batch=0)  # runs again: counts once
+    R.repair(spark, path, spark.range(0, 3, 2).withColumnRenamed("id", "shard_id"), 300)
+    R.upsert(events.filter("_pos < 300 AND _pos % 7 = 0").withColumn("result", F.upper("result")), path)
+    return path
+
+
+_CHANGED = """SELECT event_id AS _pos, CASE WHEN event_id < 300 AND event_id % 7 = 0 THEN upper(event_type) WHEN event_id // 300 IN (0, 2) THEN NULL WHEN event_id % 5 = 0 THEN event_type || '!' WHEN event_id % 3 <> 0 AND event_type <> 'click' THEN event_type END AS result, user_id FROM events"""
+
+
+@query(f"SELECT _pos, result, user_id FROM ({_CHANGED}) WHERE result IS NOT NULL")
+def results_table(spark, d):
+    return R.read(spark, _changed(spark, d)).select("_pos", "result", F.col("more")["user"].alias("user_id"))
+
+
+@query(f"SELECT _pos // 300 AS shard_id, count(*) AS total, count(result) AS done, count(*) - count(result) AS pending, count(result) * 100.0::DOUBLE / count(*) AS percent FROM ({_CHANGED}) GROUP BY 1")
+def results_progress(spark, d):
+    """Progress of the shards of a results table that was changed in place."""
+    return G.progress(_work(spark, d), R.read(spark, _changed(spark, d)), 300)

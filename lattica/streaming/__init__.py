@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import results
+
 
 def upserting(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
     """Writes every micro-batch to a folder of its own number: a batch that runs again replaces itself."""
@@ -19,35 +21,20 @@ def upserting(stream: DataFrame, path: str, checkpoint: str, transform: Callable
 
 
 def merging(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Keeps the newest row of every key in ``path``: each micro-batch is merged into a new version of the table, which counts once it is complete;
-    a batch that runs again replaces its own version. ``newest`` reads the table, which is empty at first; older versions but the last are removed."""
+    """Keeps the newest row of every key in a results table in ``path``: what a micro-batch writes grows with the batch, and one that runs
+    again changes nothing. ``newest`` reads the table, which is empty at first."""
     spark = stream.sparkSession
-    if not _versions(spark, path):
-        transform(spark.createDataFrame([], stream.schema)).write.mode("overwrite").parquet(f"{path}/version=-1")
+    results.create(spark, path, transform(spark.createDataFrame([], stream.schema)).schema, key)
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        had = [n for n in _versions(spark, path) if n < number]
-        new = transform(batch)
-        rows = new if not had else new.unionByName(spark.read.schema(new.schema).parquet(f"{path}/version={had[-1]}"))
-        last = rows.withColumn("__nr", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("__nr = 1").drop("__nr")
-        last.write.mode("overwrite").parquet(f"{path}/version={number}")
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        for n in had[:-1]:
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}"), True)
+        results.upsert(transform(batch), path, order, writer=checkpoint, batch=number)
+        results.compact(batch.sparkSession, path)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions, in order."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
-    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found or [])
-
-
 def newest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}")
+    return results.read(spark, path)
 
 
 def event_windows(events: DataFrame, time: str, width: str, late: str, by: list[str], key: str | None = None) -> DataFrame:

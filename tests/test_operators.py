@@ -596,3 +596,68 @@ def test_shared_folder_is_asked_for_on_clusters(monkeypatch):
     conf = SimpleNamespace(get=lambda k, d=None: None)
     with pytest.raises(ValueError, match="checkpoint"):
         storage.root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn")))
+
+
+def test_results_table(spark, tmp_path):
+    """Random changes in place against a dictionary; bytes written by a commit don't grow with the table; names clash with none."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lattica.operators import results as R
+
+    path, rng, want = f"{tmp_path}/t", random.Random(5), {}
+    schema = "k long, `row` string, `gone` int, `a.b` map<string,int>"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    R.create(spark, path, frame([]).schema, "k")
+    now = lambda: {r[0]: tuple(r)[1:] for r in R.read(spark, path).collect()}
+    assert now() == {} and not R.compact(spark, path)
+    assert not R.upsert(frame([]), path) and R.segments(spark, path) == []
+    for step in range(9):
+        rows = {k: (rng.choice(["x", None, ""]), rng.choice([1, None]), {"n": step}) for k in rng.sample(range(60), 60 if step == 0 else 9)}
+        R.upsert(frame([(k, *v) for k, v in rows.items()]), path)
+        want |= rows
+        assert R.segments(spark, path)[-1]["rows"] == len(rows)
+        if step % 3 == 1:
+            lost = rng.sample(range(80), 12)
+            R.delete(spark.createDataFrame([(k,) for k in [*lost, None, lost[0]]], "k long"), path)
+            want = {k: v for k, v in want.items() if k not in lost}
+        if step % 3 == 2:
+            R.compact(spark, path)
+        assert now() == want
+    low = {r[0]: tuple(r)[1:] for r in R.read_between(spark, path, 10, 20).collect()}
+    assert low == {k: v for k, v in want.items() if 10 <= k <= 20}
+    R.clear(spark, path, F.col("row") == "x")
+    R.repair(spark, path, spark.createDataFrame([(1,), (9,)], "shard_id long"), 20)
+    want = {k: v for k, v in want.items() if v[0] != "x" and k // 20 != 1}
+    assert now() == want and R.compact(spark, path, all_of_them=True) and now() == want
+    assert [s["rows"] for s in R.segments(spark, path)] == [len(want)]
+    assert R.vacuum(spark, path) == 0 and R.vacuum(spark, path, keep=1, seconds=-5) > 0 and now() == want
+    R.create(spark, path, frame([]).schema, "k")
+    with pytest.raises(ValueError):
+        R.create(spark, path, frame([]).drop("gone").schema, "k")
+    with pytest.raises(Exception, match="null key"):
+        R.upsert(frame([(None, "x", 1, {})]), path)
+    assert now() == want
+
+
+def test_results_commits(spark, tmp_path):
+    """Batches count once, rows with less of the order lose, and writers that meet lose nothing."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lattica.operators import results as R
+
+    path = f"{tmp_path}/t"
+    frame = lambda *rows: spark.createDataFrame(rows, "k string, at int, v string")
+    R.create(spark, path, frame(("", 0, "")).schema, "k")
+    now = lambda: sorted(tuple(r) for r in R.read(spark, path).collect())
+    assert R.upsert(frame(("a", 2, "x"), ("a", 1, "y"), ("b", None, "z"), ("b", None, "y")), path, "at", "w", 0)
+    assert now() == [("a", 2, "x"), ("b", None, "z")]
+    assert not R.upsert(frame(("a", 9, "late")), path, "at", "w", 0) and R.upsert(frame(("a", 1, "old"), ("b", 1, "new"), ("c", None, "n")), path, "at", "w", 1)
+    assert now() == [("a", 2, "x"), ("b", 1, "new"), ("c", None, "n")]
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(R.upsert, frame((f"p{i}", i, "p"), ("q", i, "q")), path, "at") for i in range(4)]
+        pool.submit(R.compact, spark, path).result()
+        assert all(j.result() in (True, False) for j in jobs)
+    got = now()
+    assert [r for r in got if r[0] == "q"] == [("q", 3, "q")] and sum(r[0].startswith("p") for r in got) == 4
