@@ -83,12 +83,36 @@ def _stored(ids: np.ndarray) -> bytes:
     return ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\x00" + ids.astype("<u4").tobytes()
 
 
+class Merkle:
+    """Root of a run of digests that come one by one: of whole subtrees only one of each height is kept. An odd one out goes up as it is,
+    no leaves give the digest of nothing."""
+
+    def __init__(self) -> None:
+        self.whole: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height = 0
+        while self.whole and self.whole[-1][0] == height:
+            leaf, height = _digest(b"\x01" + self.whole.pop()[1] + leaf), height + 1
+        self.whole.append((height, leaf))
+
+    def root(self) -> bytes:
+        if not self.whole:
+            return _digest(b"")
+        out = self.whole[-1][1]
+        for _, left in reversed(self.whole[:-1]):
+            out = _digest(b"\x01" + left + out)
+        return out
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root of a list of digests; an odd one out goes up as it is, no leaves give the digest of nothing."""
-    level = leaves or [_digest(b"")]
-    while len(level) > 1:
-        level = [_digest(b"\x01" + b"".join(level[k : k + 2])) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-    return level[0]
+    """Root of a list of digests."""
+    if len(leaves) == 1:
+        return leaves[0]
+    own = Merkle()
+    for leaf in leaves:
+        own.add(leaf)
+    return own.root()
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
@@ -128,21 +152,21 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: st
                 )
 
     def once(batches):
-        seen: set[bytes] = set()
+        """Rows by their digests: of neighbouring chunks with the same one the first, and every recipe."""
+        last = None
         for batch in batches:
-            chunk = np.array(pc.equal(batch.column("kind"), "chunk"))
-            at = np.flatnonzero(chunk)
-            for r, k in zip(at.tolist(), batch.column("digests").take(pa.array(at)).to_pylist(), strict=True):
-                if k in seen:
-                    chunk[r] = False
-                else:
-                    seen.add(k)
-            chunk[np.setdiff1d(np.arange(len(chunk)), at)] = True  # recipes
-            yield batch.filter(pa.array(chunk))
+            if batch.num_rows == 0:
+                continue
+            digest, chunk = batch.column("digests"), np.array(pc.equal(batch.column("kind"), "chunk"))
+            same = np.empty(batch.num_rows, bool)
+            same[0] = digest[0].as_py() == last
+            same[1:] = np.array(pc.equal(digest.slice(1), digest.slice(0, batch.num_rows - 1)))
+            yield batch.filter(pa.array(~(same & chunk)))  # of one digest chunks come before recipes
+            last = digest[batch.num_rows - 1].as_py()
 
     schema = f"kind string, doc_id {id_type}, n_tokens long, digests binary, ids binary"
     # Recipes go by id, so that the copies of a text are not one group.
-    dealt = rows.mapInArrow(shared.tidy(encode), schema).repartition(F.when(F.col("kind") == "chunk", F.xxhash64("digests")).otherwise(F.xxhash64("doc_id")))
+    dealt = rows.mapInArrow(shared.tidy(encode), schema).repartition(F.when(F.col("kind") == "chunk", F.xxhash64("digests")).otherwise(F.xxhash64("doc_id"))).sortWithinPartitions("digests", "kind")
     dealt.mapInArrow(shared.tidy(once), schema).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(f"{folder}/encoded")
     encoded = spark.read.schema(schema).parquet(f"{folder}/encoded")
     plain = encoded.filter("kind = 'recipe'").select("doc_id", "n_tokens", "digests")
@@ -195,11 +219,11 @@ def _roots(leaves: DataFrame) -> dict[int, bytes]:
     """The Merkle root of each range, in the order of its starts, and under -1 the one over all; leaves stay on the executors."""
 
     def run(batches):
-        own: dict[int, list[bytes]] = {}
+        own: dict[int, Merkle] = {}
         for batch in batches:
             for part, leaf in zip(batch.column("part").to_pylist(), batch.column("leaf").to_pylist(), strict=True):
-                own.setdefault(part, []).append(leaf)
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([merkle(x) for x in own.values()], pa.binary())], ["part", "root"])
+                own.setdefault(part, Merkle()).add(leaf)
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([x.root() for x in own.values()], pa.binary())], ["part", "root"])
 
     dealt = leaves.select("part", "start", "leaf").repartition("part").sortWithinPartitions("part", "start")
     got = {r.part: bytes(r.root) for r in dealt.mapInArrow(shared.tidy(run), "part int, root binary").collect()}  # a row for each range

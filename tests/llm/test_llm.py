@@ -455,6 +455,34 @@ def test_pieces_match_the_library(tmp_path):
             assert [x.tolist() for x in table.encode(block)] == want and table.count(block).tolist() == [len(w) for w in want]
 
 
+def test_merkle_roots():
+    """The root of a run is that of the tree built level by level; what is kept of it is logarithmic."""
+
+    def by_level(level):
+        while len(level) > 1:
+            level = [store._digest(b"\x01" + b"".join(level[k : k + 2])) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        return level[0] if level else store._digest(b"")
+
+    for n in [*range(40), 127, 128, 1000]:
+        leaves = [store._digest(str(k).encode()) for k in range(n)]
+        run = store.Merkle()
+        for leaf in leaves:
+            run.add(leaf)
+        assert run.root() == store.merkle(leaves) == by_level(leaves) and len(run.whole) <= n.bit_length()
+
+
+def test_chunks_are_stored_once(spark, tmp_path):
+    """Copies of long texts in many partitions leave one chunk for each digest, and one of a single chunk keeps its recipe."""
+    long = " ".join(f"word{k % 977} and{k % 31}" for k in range(3000))
+    rows = [(k, long if k % 3 else "a short text") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    store.write(df, f"{tmp_path}/s", TOKENIZER)
+    encoded = spark.read.parquet(f"{tmp_path}/s/encoded")
+    chunks = encoded.filter("kind = 'chunk'")
+    assert chunks.count() == chunks.select("digests").distinct().count() > 3 and encoded.filter("kind = 'recipe'").count() == 60
+    assert store.verify(spark, f"{tmp_path}/s") and store.digests(spark, f"{tmp_path}/s").select("ids_crc32").distinct().count() == 2
+
+
 def test_token_store(spark, small, texts, tmp_path):
     got = queries.op7_token_store(spark, small).toPandas().sort_values("doc_id")
     at = 0
