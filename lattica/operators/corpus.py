@@ -87,8 +87,7 @@ def mix(df: DataFrame, source: str, order: list[str], fractions: dict[str, float
     if not fractions:
         return df.limit(0)
     share = F.create_map(*(F.lit(x) for kv in fractions.items() for x in kv))
-    ranked = numbered_by(df.filter(F.col(source).isin(*fractions)), source, order)
-    return ranked.filter(F.col("__nr") < F.floor(F.element_at(share, F.col(source)) * F.col("__n"))).drop("__n", "__nr")
+    return first_by(df.filter(F.col(source).isin(*fractions)), source, order, lambda sizes: sizes.withColumn("__take", F.floor(F.element_at(share, F.col("__category")) * F.col("__n"))))
 
 
 def mixed(train: DataFrame, val: DataFrame, source: str, order: list[str], fractions: dict[str, float], seed: int = 42) -> DataFrame:
@@ -99,7 +98,7 @@ def mixed(train: DataFrame, val: DataFrame, source: str, order: list[str], fract
     return ranked.withColumn("place", F.col("__nr")).drop("__n", "__nr", "shuffle_key")
 
 
-def numbered_by(df: DataFrame, by: str, order: list[str], parts: int = 64) -> DataFrame:
+def numbered_by(df: DataFrame, by: str, order: list[str | Column], parts: int = 64) -> DataFrame:
     """Adds ``__nr``, the place from 0 of a row among those of its category in an order, and ``__n``, their number.
 
     Each category is cut into ranges of the order and these are numbered apart, so that a hot category isn't one task's.
@@ -114,11 +113,31 @@ def numbered_by(df: DataFrame, by: str, order: list[str], parts: int = 64) -> Da
     return joined.withColumn("__nr", F.col("__start") + F.col("__in")).drop("__part", "__by", "__p", "__start", "__in")
 
 
+def first_by(df: DataFrame, by: str, order: list[str | Column], take: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The first rows of every category in an order, as many as ``take`` says: it adds ``__take`` to the sizes of categories (``__category``, ``__n``).
+
+    Places are found on the category and the order alone; then each category has a cut, and one filter keeps what is before it where it
+    lies. Only rows that are equal to a cut in the order, where some but not all of them are wanted, are moved. The rows are read three
+    times, so they must be the same each time. Null is a category.
+    """
+    key = F.struct(*((F.col(o) if isinstance(o, str) else o).alias(f"k{i}") for i, o in enumerate(order)))
+    ranked = numbered_by(df.select(F.col(by).alias("__category"), key.alias("__key")), "__category", ["__key"])
+    sizes = storage.table(df.sparkSession, take(ranked.groupBy("__category").agg(F.count(F.lit(1)).alias("__n"))), "sizes")
+    wanted = sizes.filter("__take > 0").select(F.col("__category").alias("__of"), F.least("__take", "__n").alias("__take"))
+    at = ranked.join(wanted, ranked["__category"].eqNullSafe(F.col("__of")) & (F.col("__nr") == F.col("__take") - 1)).select("__of", "__take", F.col("__key").alias("__cut"))
+    same = ranked.join(at, ranked["__category"].eqNullSafe(F.col("__of")) & (F.col("__key") == F.col("__cut"))).groupBy("__of", "__take", "__cut")
+    cuts = storage.table(df.sparkSession, same.agg((F.col("__take") - F.min("__nr")).alias("__ties"), F.count(F.lit(1)).alias("__same")), "cuts")
+    joined = df.join(cuts, df[by].eqNullSafe(F.col("__of")))
+    out = joined.filter((key < F.col("__cut")) | (key == F.col("__cut")) & (F.col("__ties") == F.col("__same"))).select(*df.columns)
+    if cuts.filter("__ties < __same").isEmpty():
+        return out
+    tied = joined.filter((key == F.col("__cut")) & (F.col("__ties") < F.col("__same"))).select(*df.columns, "__ties")
+    return out.unionByName(numbered_by(tied, by, order).filter("__nr < __ties").select(*df.columns))
+
+
 def balanced(df: DataFrame, task: str, order: list[str | Column]) -> DataFrame:
     """As many rows of every task as the rarest one has, the first in an order."""
-    ranked = numbered_by(df, task, order)
-    least = ranked.agg(F.min("__n").alias("__least"))  # one row
-    return ranked.join(F.broadcast(least)).filter(F.col("__nr") < F.col("__least")).drop("__nr", "__n", "__least")
+    return first_by(df, task, order, lambda sizes: sizes.join(F.broadcast(sizes.agg(F.min("__n").alias("__take")))))
 
 
 def sliced(df: DataFrame, start: int, end: int, pos: str = "_pos") -> DataFrame:

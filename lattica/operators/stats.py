@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions.text import word_count
+from ..sources import with_pos
 
 
 def shares(df: DataFrame, category: str) -> DataFrame:
@@ -21,18 +22,29 @@ def at_least(df: DataFrame, category: str, k: int) -> DataFrame:
     return df.join(df.groupBy(category).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k).select(category), category, "left_semi")
 
 
-def collapse_rare(df: DataFrame, category: str, k: int, columns: list[str] | None = None, between: str = ", ") -> DataFrame:
-    """Categories with fewer than k rows under one name that lists them, as every row that has one of them then has it.
+def coded_rare(df: DataFrame, category: str, k: int, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Categories with fewer than k rows under one label that is stored once, apart from the rows.
 
-    ``columns``: all columns in which values that are rare categories are replaced; the category alone by default. Null is no
-    category. The rare names and their list are joined by name, without a broadcast: they may be many.
+    ``columns``: all columns in which values that are rare categories count; the category alone by default. Null is no category. Each column
+    ``c`` gets ``c_label``: 0, the number of the label, where its value is rare, else null. The label is a table of its own (label_id, nr, name): the rare
+    names in order. Rows grow by a number and the label by its names, however many there are; nothing is broadcast.
     """
-    rare = df.filter(F.col(category).isNotNull()).groupBy(category).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") < k).select(F.col(category).alias("__r"))
-    named = rare.agg(F.concat(F.lit("Others ("), F.array_join(F.array_sort(F.collect_list("__r")), between), F.lit(")")).alias("__others"))
-    labelled = storage.table(df.sparkSession, rare.join(named), "rare")
+    rare = df.filter(F.col(category).isNotNull()).groupBy(category).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") < k).select(F.col(category).alias("name"))
+    names = storage.table(df.sparkSession, with_pos(rare, ["name"]).select(F.lit(0).alias("label_id"), F.col("_pos").alias("nr"), "name"), "rare")
+    for c in columns or [category]:
+        df = df.join(names.select(F.col("name").alias("__r")), df[c] == F.col("__r"), "left").withColumn(f"{c}_label", F.when(F.col("__r").isNotNull(), 0)).drop("__r")
+    return df, names
+
+
+def collapse_rare(df: DataFrame, category: str, k: int, columns: list[str] | None = None, between: str = ", ") -> DataFrame:
+    """As ``coded_rare``, with the label written out in every row that has it, as one text that lists its names: for few rare names."""
+    given = df.columns
+    coded, names = coded_rare(df, category, k, columns)
+    text = F.concat(F.lit("Others ("), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nr", "name"))), lambda x: x["name"]), between), F.lit(")"))
+    label = storage.table(df.sparkSession, names.groupBy("label_id").agg(text.alias("__others")), "label")  # one row, or none
     for c in columns or [category]:
-        df = df.join(labelled, df[c] == F.col("__r"), "left").withColumn(c, F.coalesce("__others", c)).drop("__r", "__others")
-    return df
+        coded = coded.join(label, coded[f"{c}_label"] == F.col("label_id"), "left").withColumn(c, F.coalesce("__others", c)).drop("label_id", "__others")
+    return coded.select(*given)
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, by: list[str] | None = None) -> DataFrame:

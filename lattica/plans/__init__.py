@@ -40,7 +40,7 @@ CHOICE = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import corpus, evaluation, files, flows, ontology, texts, values, work  # noqa: F401
+    from . import corpus, evaluation, files, flows, ontology, tables, texts, values, work  # noqa: F401
 
     return dict(_queries)
 

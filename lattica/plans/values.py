@@ -33,6 +33,27 @@ def rare_everywhere(spark, d):
     return S.collapse_rare(df, "k", events.count() // 97 + 1, ["k", "other"])
 
 
+_RARE = "WITH c AS (SELECT event_id, (event_id % 97)::VARCHAR AS k, (event_id % 89)::VARCHAR AS other FROM events), n AS (SELECT k FROM c GROUP BY 1 HAVING count(*) < (SELECT count(*) // 97 + 1 FROM events))"
+
+
+def _coded(spark, d):
+    events = table(spark, d, "events")
+    df = events.select("event_id", (F.col("event_id") % 97).cast("string").alias("k"), (F.col("event_id") % 89).cast("string").alias("other"))
+    return S.coded_rare(df, "k", events.count() // 97 + 1, ["k", "other"])
+
+
+@query(f"{_RARE} SELECT event_id, k, other, CASE WHEN k IN (SELECT k FROM n) THEN 0 END AS k_label, CASE WHEN other IN (SELECT k FROM n) THEN 0 END AS other_label FROM c")
+def rare_codes(spark, d):
+    """Rare categories by the number of their label, which is stored once."""
+    return _coded(spark, d)[0]
+
+
+@query(f"{_RARE} SELECT 0 AS label_id, row_number() OVER (ORDER BY k) - 1 AS nr, k AS name FROM n")
+def rare_names(spark, d):
+    """The label that ``rare_codes`` refers to."""
+    return _coded(spark, d)[1]
+
+
 _GAPS = "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS category, CASE WHEN event_id % 6 = 0 THEN NULL ELSE props END AS statement FROM events"
 
 

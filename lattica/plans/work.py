@@ -77,12 +77,15 @@ _TERMS = rf"""SELECT doc_id, k, CASE k WHEN 0 THEN '(' || w[1] || ' ' || w[2] ||
 def text_mentions(spark, d):
     """The openings of all documents as terms with punctuation, overlapping each other, looked for in all documents."""
     docs = table(spark, d, "documents")
+    return G.annotate(docs, "text", _openings(docs), "doc_id", overlapping=False)
+
+
+def _openings(docs):
     w = F.regexp_extract_all("text", F.lit(f"{_W}+"), F.lit(0))
     at = lambda i: F.get("w", F.lit(i - 1))
     made = F.array(F.concat(F.lit("("), at(1), F.lit(" "), at(2), F.lit(")")), F.concat(F.upper(at(2)), F.lit("-"), at(3), F.lit(", "), at(4)), F.concat(at(1), F.lit(' "'), at(2), F.lit('" '), at(3), F.lit(".")))
     terms = docs.filter("text is not null").select("doc_id", w.alias("w")).filter(F.size("w") >= 4).select("doc_id", F.explode(made).alias("term"))
-    terms = terms.groupBy("term").agg(F.min("doc_id").alias("concept_id"))
-    return G.annotate(docs, "text", terms, "doc_id", overlapping=False)
+    return terms.groupBy("term").agg(F.min("doc_id").alias("concept_id"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour\', ts::TIMESTAMP) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")

@@ -661,3 +661,63 @@ def test_results_commits(spark, tmp_path):
         assert all(j.result() in (True, False) for j in jobs)
     got = now()
     assert [r for r in got if r[0] == "q"] == [("q", 3, "q")] and sum(r[0].startswith("p") for r in got) == 4
+
+
+def test_first_by_moves_no_wide_row(spark):
+    """Cuts with ties and null categories against sorted lists; the rows that are kept aren't shuffled unless ties are cut."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "cold", None]), rng.choice([None, *range(6)]), f"text {rng.random()}") for _ in range(300)]
+    df = spark.createDataFrame(rows, "c string, i int, wide string")
+    rank = lambda r: (r[1] is not None, r[1] or 0)
+    by = {c: sorted((r for r in rows if r[0] == c), key=rank) for c in ("hot", "cold", None)}
+    for share in (0, 0.3, 1, 2):
+        got = [tuple(r) for r in C.first_by(df, "c", ["i"], lambda sizes, f=share: sizes.withColumn("__take", (f * sizes["__n"]).cast("long"))).collect()]
+        for c, own in by.items():
+            assert Counter(r[1] for r in got if r[0] == c) == Counter(r[1] for r in own[: int(share * len(own))])
+        assert set(got) <= set(rows) and len(set(got)) == len(got)
+    assert Counter(r.c for r in C.balanced(df, "c", ["i"]).collect()) == dict.fromkeys(by, min(map(len, by.values())))
+    whole = C.mix(df, "c", ["wide"], {"hot": 0.5, "cold": 1.0})
+    assert sorted(r.wide for r in whole.collect()) == sorted([*sorted(r[2] for r in by["hot"])[: len(by["hot"]) // 2], *(r[2] for r in by["cold"])])
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Repartition" not in plan  # one join with the cuts and a filter
+
+
+def test_coded_rare(spark):
+    """The label is stored once: a hundred thousand rare names take as many rows and no long text; no category, no label."""
+    many = spark.range(100000).selectExpr("cast(id as string) as c", "'x' as d").unionByName(spark.range(5).selectExpr("'often' as c", "'7' as d"))
+    rows, names = S.coded_rare(many, "c", 2, ["c", "d"])
+    assert rows.filter("c_label = 0").count() == names.count() == 100000 and rows.filter("d_label = 0").count() == 5
+    assert [r.name for r in names.orderBy("nr").limit(3).collect()] == ["0", "1", "10"]
+    rows, names = S.coded_rare(spark.createDataFrame([(None,)], "c string"), "c", 9)
+    assert [tuple(r) for r in rows.collect()] == [(None, None)] and names.count() == 0
+    assert [tuple(r) for r in S.collapse_rare(spark.createDataFrame([(None,)], "c string"), "c", 9).collect()] == [(None,)]
+
+
+def test_table_functions(spark):
+    """Tables of any form, texts that are null or no JSON, missing and clashing columns, and mentions in groups."""
+    from lattica.functions import tables
+
+    tables.register(spark)
+    spark.createDataFrame([(1, None), (2, "no"), (3, '{"a": [1, {"b": null}]}')], "id int, t string").createOrReplaceTempView("texts")
+    got = spark.sql("SELECT id, pos, path, value FROM texts, LATERAL json_leaves(t)").collect()
+    assert [tuple(r) for r in got] == [(3, 0, ["a", "0"], "1"), (3, 1, ["a", "1", "b"], "None")]
+    assert spark.sql("SELECT * FROM texts, LATERAL tagged_claims(t)").count() == 0
+    got = spark.sql("SELECT * FROM with_claims(TABLE(texts), 't') ORDER BY id")
+    assert got.columns == ["id", "t", "claim_id", "claim_string", "subclaims", "citations", "rationale", "supported"] and [r.id for r in got.collect()] == [1, 2, 3]
+    with pytest.raises(Exception, match="no column u"):
+        spark.sql("SELECT * FROM with_claims(TABLE(texts), 'u')").collect()
+    with pytest.raises(Exception, match="named Rationale too"):
+        spark.sql("SELECT * FROM with_claims(TABLE(SELECT t, 1 AS Rationale FROM texts), 't')").collect()
+    rng = random.Random(4)
+    spans = list({(rng.choice("ab"), rng.randrange(30), rng.randrange(1, 5), rng.randrange(2)) for _ in range(60)})
+    spark.createDataFrame(spans, "`a.k` string, start int, n_words int, concept int").repartition(5).createOrReplaceTempView("spans")
+    want = set()
+    for k in "ab":
+        end = 0
+        for s, n in sorted({(s, -n) for g, s, n, _ in spans if g == k}):
+            if s >= end:
+                end = s - n
+                want |= {r for r in spans if r[:3] == (k, s, -n)}
+    assert {tuple(r) for r in spark.sql("SELECT * FROM unlapped(TABLE(spans), 'a.k')").collect()} == want
