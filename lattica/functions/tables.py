@@ -93,7 +93,7 @@ class Unlapped:
 
 def register(spark: SparkSession) -> None:
     """Names the functions to a session."""
-    spark.udtf.register("json_leaves", udtf(JsonLeaves, returnType="pos int, path array<string>, value string", useArrow=True))
-    spark.udtf.register("tagged_claims", udtf(TaggedClaims, returnType="claim_id int, claim_string string, subclaims array<string>, citations array<int>, rationale string, supported boolean", useArrow=True))
-    spark.udtf.register("with_claims", udtf(WithClaims, useArrow=True))
-    spark.udtf.register("unlapped", udtf(Unlapped, useArrow=True))
+    spark.udtf.register("json_leaves", udtf(JsonLeaves, returnType="pos int, path array<string>, value string", useArrow=False))
+    spark.udtf.register("tagged_claims", udtf(TaggedClaims, returnType="claim_id int, claim_string string, subclaims array<string>, citations array<int>, rationale string, supported boolean", useArrow=False))
+    spark.udtf.register("with_claims", udtf(WithClaims, useArrow=False))
+    spark.udtf.register("unlapped", udtf(Unlapped, useArrow=False))
