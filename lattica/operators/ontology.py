@@ -11,29 +11,30 @@ from .. import storage
 from ..functions.scores import bigram_share
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, levels: int | None = None) -> DataFrame:
     """id, ancestor, depth, bfs_pos of every ancestor.
 
     depth is the least number of steps; bfs_pos (from 1) is the place at which a breadth-first walk
     that takes parents in order meets the ancestor. Only new pairs go on to the next level, so shared
     parents do not multiply and cycles end; a node is its own ancestor only on a cycle. The loop ends when a
-    level brings nothing new, and the finished pairs are written once, so that any use of them is one scan.
+    level brings nothing new, and the finished pairs are written once, so that any use of them is one scan. With ``levels``
+    it ends after so many; the first ``levels`` places are right then, since every level before the last one fills one.
     """
     spark = edges.sparkSession
     step = edges.select(F.col("child").alias("__c"), F.col("parent").alias("__p"), F.col("parent_pos").cast("int").alias("__o"))
     level = edges.groupBy(F.col("child").alias("id"), F.col("parent").alias("ancestor")).agg(F.min(F.array(F.col("parent_pos").cast("int"))).alias("path"))
     level = storage.table(spark, level.withColumn("depth", F.lit(1)), "closure")
-    levels, depth = [level], 1
-    while not level.isEmpty():
+    found, depth = [level], 1
+    while (levels is None or depth < levels) and not level.isEmpty():
         depth += 1
-        seen = levels[0]
-        for other in levels[1:]:
+        seen = found[0]
+        for other in found[1:]:
             seen = seen.unionByName(other)
         reached = level.join(step, level["ancestor"] == step["__c"]).groupBy("id", F.col("__p").alias("ancestor")).agg(F.min(F.concat("path", F.array("__o"))).alias("path"))
         level = storage.table(spark, reached.join(seen.select("id", "ancestor"), ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        levels.append(level)
-    whole = levels[0]
-    for other in levels[1:]:
+        found.append(level)
+    whole = found[0]
+    for other in found[1:]:
         whole = whole.unionByName(other)
     place = F.row_number().over(Window.partitionBy("id").orderBy("depth", "path"))
     return storage.table(spark, whole.select("id", "ancestor", "depth", place.alias("bfs_pos")), "closure")

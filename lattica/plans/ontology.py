@@ -8,6 +8,7 @@ from .. import storage
 from ..operators import dcf as D
 from ..operators import extraction as X
 from ..operators import ontology as O
+from ..operators import reach as R
 from ..operators import shards as G
 from . import query, sql_over, table
 
@@ -47,6 +48,16 @@ def _up(spark, d):
     return ontology(spark, d)[1]
 
 
+def _labelled(spark, d):
+    """Edges and labels, made once like the closure."""
+    files = storage.state(spark, *(f"{d}/{name}.parquet" for name in ("part", "customer", "nation")))
+    key = ("labels", spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), files)
+    if key not in _made:
+        e = edges(spark, d)
+        _made[key] = (e, R.labels(e))
+    return _made[key]
+
+
 @query(f"WITH RECURSIVE {_UP} SELECT id, ancestor, depth::INT AS depth, bfs_pos::INT AS bfs_pos FROM up")
 def closure(spark, d):
     return _up(spark, d).select("id", "ancestor", "depth", F.col("bfs_pos").cast("int").alias("bfs_pos"))
@@ -64,6 +75,13 @@ def branch_filter(spark, d):
     return O.branch_filter(ids, "id", up, ["brands", "n3"])
 
 
+@query(f"WITH RECURSIVE {_UP}, ids AS (SELECT DISTINCT child AS id FROM e UNION SELECT DISTINCT parent FROM e) SELECT id FROM ids WHERE id NOT IN ('brands', 'n3') AND id IN (SELECT id FROM up) AND id NOT IN (SELECT id FROM up WHERE ancestor IN ('brands', 'n3'))")
+def labelled_branches(spark, d):
+    e, labels = _labelled(spark, d)
+    ids = e.select(F.col("child").alias("id")).union(e.select("parent")).distinct()
+    return R.branch_filter(ids, "id", labels, ["brands", "n3"])
+
+
 @query("SELECT DISTINCT concat('p', l_partkey) AS id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)")
 def set_filter(spark, d):
     ids = table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("id"))
@@ -84,6 +102,11 @@ def ancestor_multiset(spark, d):
     return D.ancestor_counts(_mentions(spark, d), _up(spark, d), ["domain"]).select("domain", "concept_id", "freq")
 
 
+@query(f"WITH RECURSIVE {_UP}, {_COUNTS} SELECT domain, concept_id, freq FROM freq")
+def labelled_counts(spark, d):
+    return R.ancestor_counts(_mentions(spark, d), _labelled(spark, d)[1], ["domain"])
+
+
 _KEPT = "kept AS (SELECT * FROM freq WHERE concept_id NOT IN ('brands') AND concept_id IN (SELECT id FROM up) AND concept_id NOT IN (SELECT id FROM up WHERE ancestor IN ('brands')))"
 _ADJ = "na AS (SELECT id, count(*) AS n FROM up GROUP BY 1)"
 _DOMAIN = f"""WITH RECURSIVE {_UP}, {_COUNTS}, {_KEPT}, {_ADJ}, t AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY freq DESC, first_pos, concept_id) AS r FROM kept),
@@ -147,6 +170,34 @@ def smart_prune(spark, d):
     return O.prune(x, up, ok, e)
 
 
+@query(f"""WITH RECURSIVE {_UP}, {_PRUNED}, gone AS (SELECT DISTINCT k.row_id, up.ancestor, k.value FROM pruned k JOIN up ON up.id = k.concept_id WHERE k.concept_id IN (SELECT parent FROM e) AND up.ancestor <> k.concept_id)
+ SELECT row_id, concept_id, value FROM pruned p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.row_id = p.row_id AND g.ancestor = p.concept_id AND g.value = p.value)""")
+def labelled_pruning(spark, d):
+    x, ok = _extracted(spark, d)
+    e, labels = _labelled(spark, d)
+    return R.prune(x, labels, ok, e)
+
+
+#: The edges after sizes changed their root, two types lost a size, the second brand of 'brands' went to a size, and suppliers came below their nations.
+_CAME = """SELECT DISTINCT concat('size', p_size % 3) AS child, 'sizes' AS parent, 0 AS parent_pos FROM part
+ UNION ALL SELECT concat('b:', p_brand), 'size2', 1 FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) GROUP BY p_brand
+ UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), 0 FROM supplier WHERE s_nationkey < 3 UNION ALL SELECT 'sizes', 'all', 0"""
+_WENT = """SELECT DISTINCT concat('size', p_size % 3) AS child, 'root' AS parent FROM part UNION ALL SELECT DISTINCT concat('t:', p_type), 'size1' FROM part WHERE p_type <> (SELECT min(p_type) FROM part)
+ UNION ALL SELECT concat('b:', p_brand), 'brands' FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) GROUP BY p_brand"""
+
+
+@query(f"""WITH RECURSIVE came AS ({_CAME}), went AS ({_WENT}), e AS (SELECT child, parent FROM ({_EDGES}) o WHERE NOT EXISTS (SELECT 1 FROM went w WHERE w.child = o.child AND w.parent = o.parent) UNION SELECT child, parent FROM came),
+ u(id, ancestor) AS (SELECT child, parent FROM e UNION SELECT u.id, e.parent FROM u JOIN e ON e.child = u.ancestor), bases(base) AS (VALUES ('root'), ('all'), ('brands'), ('size1'), ('size2'), ('n1'), ('n3')),
+ ids AS (SELECT child AS id FROM e UNION SELECT parent FROM e) SELECT ids.id, base, EXISTS (SELECT 1 FROM u WHERE u.id = ids.id AND u.ancestor = base) AS below FROM ids, bases""")
+def labels_after_changes(spark, d):
+    e, labels = _labelled(spark, d)
+    went, came = sql_over(spark, d, _WENT, "part"), sql_over(spark, d, _CAME, "part", "supplier")
+    labels, after = R.change(labels, e, came, went)
+    ids = after.select(F.col("child").alias("id")).union(after.select("parent")).distinct()
+    asked = ids.select("id", F.explode(F.array(*map(F.lit, ("root", "all", "brands", "size1", "size2", "n1", "n3")))).alias("base"))
+    return R.ancestry(asked, labels, "id", "base", "below")
+
+
 _BASES = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN 'unknown' ELSE concat('p', l_partkey) END AS other, CASE WHEN l_linenumber = 5 THEN 'unknown' WHEN l_linenumber % 3 = 0 THEN 'brands' WHEN l_linenumber % 3 = 1 THEN 'size1' ELSE concat('p', l_partkey) END AS base FROM lineitem"
 
 
