@@ -44,14 +44,35 @@ TEMPLATES = (
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license version 2 0", ("mozilla public license version 2",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0",)),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("boost-1", "distributed under the boost software license version 1 0", ("boost software license version 1",)),
     ("epl-2", "made available under the terms of the eclipse public license v 2 0", ("eclipse public license v 2",)),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("to deal in the software without restriction",)),
+    ("apache-2", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution", ("apache license version 2 0 january 2004",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain the above copyright notice",)),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("neither the name of", "may be used to endorse or promote products derived from this software")),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display the following acknowledgement", ("all advertising materials mentioning features or use of this software",)),
+    ("mpl-2", "mozilla public license version 2 0 1 definitions 1 1 contributor means each individual or legal entity that creates contributes to the creation of or owns covered software", ("mozilla public license version 2 0 1 definitions",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", ("the origin of this software must not be misrepresented",)),
+    ("artistic-1", "the artistic license preamble the intent of this document is to state the conditions under which a package may be copied", ("the artistic license preamble the intent of this document",)),
+    ("artistic-2", "the artistic license 2 0 copyright c 2000 2006 the perl foundation", ("the artistic license 2 0",)),
+    ("artistic-2", "licensed under the artistic license 2 0", ("the artistic license 2 0",)),
+    ("cddl-1", "common development and distribution license cddl version 1 0 1 definitions", ("common development and distribution license cddl version 1",)),
+    ("cddl-1", "subject to the terms of the common development and distribution license version 1 0", ("common development and distribution license version 1",)),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ("sil open font license version 1 1",)),
+    ("epl-1", "made available under the terms of the eclipse public license v 1 0", ("eclipse public license v 1 0",)),
+    ("cc-by-3", "licensed under a creative commons attribution 3 0 unported license", ("creative commons attribution 3 0",)),
+    ("cc-by-sa-3", "licensed under a creative commons attribution sharealike 3 0 unported license", ("creative commons attribution sharealike 3 0",)),
+    ("cc-by-nc-3", "licensed under a creative commons attribution noncommercial 3 0 unported license", ("creative commons attribution noncommercial 3 0",)),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives 4 0",)),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ("creative commons attribution noncommercial sharealike 4 0",)),
+    ("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", ("creative commons attribution noncommercial noderivatives 4 0",)),
 )
 LEAST = 0.6
 #: Words around a laid template in which its key phrases may stand.

@@ -164,6 +164,40 @@ def test_quality(spark, small):
     assert (got.predicted == got.quality).mean() > 0.9
 
 
+def plain_features(text):
+    """The features by their names, character by character and word by word."""
+    raw = (text or "").encode()
+    ws = words(text)
+    n = max(len(ws), 1)
+    kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", None, None, "!", ".,;:?", "\n", "'\"-()"]
+    counts = [sum(chr(b) in k for b in raw) if k else 0 for k in kinds]
+    counts[2] = sum(b >= 0x80 for b in raw)
+    counts[3] = sum(b < 0x80 and not chr(b).isalnum() and chr(b) not in " \t\n\v\f\r.,;:!?'\"-()" for b in raw)
+    pairs = [ws[0:1]] * bool(ws) + [[a, b] for a, b in zip(ws, ws[1:])]
+    rest = [math.log1p(len(ws)), len(raw) / n, max(len(set(ws)), 1) / n, len(set(map(tuple, pairs))) / n, sum(a == b for a, b in zip(ws, ws[1:])) / n]
+    return [math.sqrt(x) for x in [*(c / n for c in counts), *rest]]
+
+
+def test_quality_by_brute_force(spark, docs, texts):
+    """Features against plain loops, and the network in Spark's expressions against matrix products."""
+    small = docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 3000)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n\n"), (-4, "Ä!ß… x x X \u00a0~{}\x7f"), (-5, "one"), (-6, "a a a b a a")], "doc_id long, text string")
+    described = quality.features(small.select("doc_id", "text").unionByName(odd), ["doc_id"])
+    text = {r.doc_id: r.text for r in small.select("doc_id", "text").unionByName(odd).collect()}
+    got = described.collect()
+    assert len(got) == len(text)
+    for r in got:
+        assert r.x == pytest.approx(plain_features(text[r.doc_id]), rel=1e-5, abs=1e-6), text[r.doc_id]
+    rng = np.random.default_rng(4)
+    k = len(quality.NAMES)
+    for ready in (True, False):
+        model = quality.Model(rng.normal(0, 1, k), rng.uniform(0.1, 2, k), [rng.normal(0, 1, (k, 12)), rng.normal(0, 1, 12), rng.normal(0, 1, 12), rng.normal(0, 1, 1)], 0.5, ready)
+        scored = {r.doc_id: (r.score, r.predicted) for r in quality.predict(described, model, ["doc_id"]).collect()}
+        want = model.score(np.array([r.x for r in got], float))
+        for r, w in zip(got, want, strict=True):
+            assert scored[r.doc_id][0] == pytest.approx(w, abs=1e-9) and scored[r.doc_id][1] == int(scored[r.doc_id][0] >= 0.5)
+
+
 def test_quality_prior_and_edges(spark, edge, empty):
     rng = np.random.default_rng(1)
     p, u = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 2400), rng.normal(-2, 1, 1600)])
@@ -572,6 +606,31 @@ def test_license_versions(spark, docs):
     assert [r.labels for r in got] == [want for _, want in rows]
 
 
+def test_license_neighbours(spark, docs):
+    """Bodies and notices of licenses that share most of their words."""
+    cc = "This work is licensed under a Creative Commons Attribution{} {} {} License."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    nor = "Neither the name of the {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    rows = [
+        (cc.format("", "4.0", "International"), "cc-by"), (cc.format("", "3.0", "Unported"), "cc-by-3"), (cc.format("", "2.0", "Generic"), ""),
+        (cc.format("-ShareAlike", "4.0", "International"), "cc-by-sa"), (cc.format("-ShareAlike", "3.0", "Unported"), "cc-by-sa-3"), (cc.format("-ShareAlike", "2.5", "Generic"), ""),
+        (cc.format("-NonCommercial", "4.0", "International"), "cc-by-nc"), (cc.format("-NonCommercial", "3.0", "Unported"), "cc-by-nc-3"),
+        (cc.format("-NonCommercial-ShareAlike", "4.0", "International"), "cc-by-nc-sa"), (cc.format("-NonCommercial-NoDerivatives", "4.0", "International"), "cc-by-nc-nd"), (cc.format("-NoDerivatives", "4.0", "International"), "cc-by-nd"),
+        (bsd, "bsd"), (bsd + nor.format("copyright holder"), "bsd,bsd-3"), (nor.format("University"), "bsd-3"), (nor.format("copyright holder").replace("endorse or", "praise or"), ""),
+        ("All advertising materials mentioning features or use of this software must display the following acknowledgement:", "bsd-4"),
+        ("The Artistic License 2.0", "artistic-2"), ("Licensed under the Artistic License 2.0", "artistic-2"), ("Licensed under the Artistic License 1.0", ""),
+        ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "ofl-1.1"), ("This Font Software is licensed under the SIL Open Font License, Version 1.0.", ""),
+        ("made available under the terms of the Eclipse Public License v1.0", ""), ("made available under the terms of the Eclipse Public License v 1.0", "epl-1"), ("made available under the terms of the Eclipse Public License v 2.0", "epl-2"),
+        ("COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0 1. Definitions.", "cddl-1"), ("COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 2.0 1. Definitions.", ""),
+        ("The origin of this software must not be misrepresented; you must not claim that you wrote the original software.", "zlib"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    index = license.build(docs)
+    got = license.scan(df, index, ["doc_id"]).orderBy("doc_id").collect()
+    assert [set(filter(None, r.labels.split(","))) for r in got] == [brute_license(words(t, ALNUM), index) | set(filter(None, r.base_labels.split(","))) for (t, _), r in zip(rows, got, strict=True)]
+    assert [r.labels for r in got] == [want for _, want in rows]
+
+
 def brute_license(ws, index):
     """Labels of every template laid at every place."""
     names = license._vocabulary()
