@@ -410,3 +410,21 @@ def extraction_variants(spark, d):
     got = X.variants(_flow(spark, d, "guided"), {"normal": _answers, "beam": other("beam"), "hps": other("hps")})
     entries = F.array_sort(F.transform(F.map_entries("extraction"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return got.select("note_id", "config_name", F.md5(F.array_join(entries, "|")).alias("entries_md5"))
+
+
+#: Customers below their nations, and these below the roots of the branches that are left out or below one of two others.
+_ROOTED = f"""SELECT concat('c', c_custkey) AS child, concat('n', c_nationkey) AS parent, 0 AS parent_pos FROM customer
+ UNION ALL SELECT concat('n', n_nationkey), [{", ".join(f"'{r}'" for r in (*D.EXCLUDED_ROOTS, "404684003", "71388002"))}][n_nationkey % 8 + 1], 0 FROM nation
+ UNION ALL SELECT concat('c', c_custkey), concat('m:', c_mktsegment), 1 FROM customer WHERE c_custkey % 5 = 0"""
+
+
+@query(f"""WITH RECURSIVE e AS ({_ROOTED}), u(id, ancestor) AS (SELECT child, parent FROM e UNION SELECT u.id, e.parent FROM u JOIN e ON e.child = u.ancestor),
+ roots(root) AS (VALUES {", ".join(f"('{r}')" for r in D.EXCLUDED_ROOTS)}), asked AS (SELECT o_orderkey, concat('c', o_custkey) AS concept_id FROM orders UNION ALL SELECT o_orderkey, concat('n', o_custkey % 25) FROM orders UNION ALL SELECT o_orderkey, root FROM orders JOIN roots ON o_orderkey % 50 = 0)
+ SELECT o_orderkey, concept_id FROM asked WHERE concept_id NOT IN (SELECT root FROM roots) AND concept_id IN (SELECT id FROM u) AND concept_id NOT IN (SELECT id FROM u WHERE ancestor IN (SELECT root FROM roots))""")
+def excluded_branches(spark, d):
+    """What orders speak of, without the branches that are always left out."""
+    labels = R.labels(sql_over(spark, d, _ROOTED.replace("['", "array('").replace("'][n_nationkey % 8 + 1]", "')[n_nationkey % 8]"), "customer", "nation"))
+    orders = table(spark, d, "orders")
+    concepts = F.array(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("n"), F.col("o_custkey") % 25))
+    named = F.when(F.col("o_orderkey") % 50 == 0, F.concat(concepts, F.array(*map(F.lit, D.EXCLUDED_ROOTS)))).otherwise(concepts)
+    return R.branch_filter(orders.select("o_orderkey", F.explode(named).alias("concept_id")), "concept_id", labels, list(D.EXCLUDED_ROOTS))
