@@ -137,7 +137,7 @@ def ontology_cache(spark, d):
     path = _folder(spark, "owl")
     parts = table(spark, d, "part").selectExpr("p_partkey AS k", "p_name", "p_size").selectExpr("k", f"{_ELEMENT} AS value")
     ends = spark.createDataFrame([(-1, _HEAD), (1 << 62, "</rdf:RDF>")], "k long, value string")
-    parts.unionByName(ends).repartition(1).sortWithinPartitions("k").select("value").write.text(path)  # an ontology is one file
+    parts.unionByName(ends).orderBy("k").select("value").coalesce(1).write.text(path)  # an ontology is one file: sorted by many tasks, put together by one
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")
     file = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)[0].getPath().toString()
     for _ in range(2):

@@ -3,7 +3,7 @@
 A file is cut into byte ranges. A first pass over them counts how far the tags of each range lead down or up, once for each state that the range may begin
 in (outside, in a comment, in a CDATA section); from one row for each range it follows at which depth every range begins. A second
 pass then finds the class elements that begin in its range below the root, and turns each into rows. So no task reads more than its
-range and the rest of its last element, and the driver holds the ranges and the head of the file.
+ranges and the rest of their last elements, and the driver holds the ranges and the head of the file. A task has as many ranges as make up ``RANGE`` bytes.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -48,6 +49,8 @@ RANGE, HEAD, STEP = 32 << 20, 1 << 20, 1 << 16
 _TOKEN = re.compile(rb"""<!--|<!\[CDATA\[|<\?.*?\?>|<!DOCTYPE(?:[^\[>]|\[.*?\]\s*)*>|<(/?)([^\s/>!?]+)(?:[^>"']|"[^"]*"|'[^']*')*?(/?)>""", re.DOTALL)
 _CLOSED_BY = {b"<!--": b"-->", b"<![CDATA[": b"]]>"}
 _STATES = (b"", b"-->", b"]]>")
+#: What doesn't follow the ``<`` of a tag.
+_NO_NAME = (b" ", b"\t", b"\r", b"\n", b"<", b">", b"=")
 _CLASS = "concept string, label string, label_parent string, alt_label array<string>, definition array<string>, edges array<struct<parent:string,parent_pos:int>>, properties array<struct<prop_pos:int,property_type:string,prop:string,value:string>>, unknown array<string>"
 
 
@@ -105,19 +108,20 @@ class _Bytes:
         self.data += got
         return bool(got)
 
-    def find(self, what: bytes, at: int) -> int:
-        """The end of the next ``what``; -1 if there is none."""
-        while (found := self.data.find(what, at)) < 0:
+    def find(self, what: bytes, at: int, stop: int) -> int:
+        """The end of the next ``what`` if it lies at or before ``stop``, else -1; nothing beyond ``stop`` is looked at."""
+        while (found := self.data.find(what, at, stop)) < 0:
             at = max(at, len(self.data) - len(what) + 1)
-            if not self.more():
+            if len(self.data) >= stop or not self.more():
                 return -1
         return found + len(what)
 
 
-def _tokens(source: _Bytes, at: int, stop: int):
+def _tokens(source: _Bytes, at: int, stop: Callable[[], int]):
     """Starts, ends, opening (1), closing (-1) or other (0), and names of the tags from a place on; of those that begin before ``stop``, or all while it is asked for more.
 
-    A comment or CDATA section is yielded with its closing mark as name before its end is looked for.
+    A comment or CDATA section has its closing mark as name, and -1 as end if it doesn't end before ``stop``; it is the last one then. So is a mark that begins no
+    tag, as there are where a range is read in a state that it doesn't begin in.
     """
     while True:
         start = source.data.find(b"<", at)
@@ -129,12 +133,12 @@ def _tokens(source: _Bytes, at: int, stop: int):
             source.more()
         for mark, close in _CLOSED_BY.items():
             if source.data.startswith(mark, start):
-                end = source.find(close, start + len(mark))
+                end = source.find(close, start + len(mark), stop())
                 yield start, end, 0, close
                 break
         else:
             while not (found := _TOKEN.match(source.data, start)):
-                if not source.more():
+                if source.data[start + 1 : start + 2] in _NO_NAME or not source.more():
                     return
             end = found.end()
             kind = 0 if not found.group(2) or found.group(3) else -1 if found.group(1) else 1
@@ -144,9 +148,9 @@ def _tokens(source: _Bytes, at: int, stop: int):
         at = end
 
 
-def _begin(source: _Bytes, state: bytes, at: int) -> int:
-    """Where the tags of a range begin in the state that it begins in; -1 if the state lasts to the file's end."""
-    return at if not state else source.find(state, max(at - len(state) + 1, 0))
+def _begin(source: _Bytes, state: bytes, at: int, end: int) -> int:
+    """Where the tags of a range begin in the state that it begins in; -1 if the state lasts beyond its end."""
+    return at if not state else source.find(state, max(at - len(state) + 1, 0), end)
 
 
 def _scan(path: str, start: int, size: int) -> list[tuple[int, int]]:
@@ -155,12 +159,13 @@ def _scan(path: str, start: int, size: int) -> list[tuple[int, int]]:
     back = min(start, 2)  # a closing mark can lie across the start
     for state in _STATES:
         source = _Bytes(path, start - back, size + back)
-        at, end = _begin(source, state, back), size + back
-        down, after = 0, state if at < 0 or at > end else b""
+        end = size + back
+        at = _begin(source, state, back, end)
+        down, after = 0, state if at < 0 else b""
         if not after:
             for _, e, kind, name in _tokens(source, at, lambda end=end: end):
                 down += kind
-                after = name if name in _STATES[1:] and not kind and (e < 0 or e > end) else b""
+                after = name if e < 0 else b""
         source.file.close()
         out.append((down, _STATES.index(after)))
     return out
@@ -171,8 +176,8 @@ def _classes(path: str, start: int, size: int, state: int, depth: int):
     back = min(start, 2)
     source = _Bytes(path, start - back, size + back)
     end, own, limit = size + back, None, [size + back]
-    at = _begin(source, _STATES[state], back)
-    if 0 <= at <= end:
+    at = _begin(source, _STATES[state], back, end)
+    if at >= 0:
         for s, e, kind, name in _tokens(source, at, lambda: limit[0]):
             local = name.rsplit(b":", 1)[-1]
             if own is None and kind == 1 and depth == 1 and local == b"Class" and s < end:
@@ -200,6 +205,7 @@ def classes(spark: SparkSession, path: str, lang: str = "en", range_bytes: int =
     path = _mounted(path)
     size = os.path.getsize(path)
     n = max(1, -(-size // range_bytes))
+    tasks = min(n, max(-(-size // RANGE), 2 * spark.sparkContext.defaultParallelism))
     with open(path, "rb") as f:
         head = f.read(HEAD)
     root = next((m for m in _TOKEN.finditer(re.sub(rb"<!--.*?-->", lambda c: b" " * len(c.group()), head, flags=re.DOTALL)) if m.group(2)), None)
@@ -213,7 +219,7 @@ def classes(spark: SparkSession, path: str, lang: str = "en", range_bytes: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[x for pair in f for x in pair] for f in found], pa.list_(pa.int64()))], ["id", "found"])
 
     state, depth, begins = 0, 0, []
-    for r in sorted(spark.range(0, n, 1, n).mapInArrow(scan, "id long, found array<bigint>").collect()):  # a row for each range
+    for r in sorted(spark.range(0, n, 1, tasks).mapInArrow(scan, "id long, found array<bigint>").collect()):  # a row for each range
         begins.append((r.id, state, depth))
         down, state = r.found[2 * state : 2 * state + 2]
         depth += down
@@ -242,7 +248,7 @@ def classes(spark: SparkSession, path: str, lang: str = "en", range_bytes: int =
             columns[at] = [[dict(zip((f.name for f in kind), x, strict=True)) for x in own] for own in columns[at]]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    ranges = spark.createDataFrame(begins, "i long, state int, depth long").repartitionByRange(n, "i")
+    ranges = spark.createDataFrame(begins, "i long, state int, depth long").repartitionByRange(tasks, "i")
     return ranges.mapInArrow(read, _CLASS)
 
 

@@ -278,6 +278,29 @@ def test_ontology_ranges(spark, tmp_path, size):
         assert want and key(tuple(r) for r in (df.select(columns) if columns else df).collect()) == key(want)
 
 
+def test_ranges_of_an_ontology_are_read_once_by_few_tasks(spark, tmp_path, monkeypatch):
+    from lattica.sources import owl
+
+    head = '<r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:s="http://www.w3.org/2000/01/rdf-schema#" xmlns:o="http://www.w3.org/2002/07/owl#">'
+    path, size = str(tmp_path / "o.owl"), 1000
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(head + "".join(f'<o:Class r:about="http://x/{i}"><!-- a < b, <c --><s:label>{i}</s:label></o:Class>' for i in range(20_000)) + "</r:RDF>")
+    read = []
+
+    class Counted(owl._Bytes):
+        def __init__(self, *given):
+            super().__init__(*given)
+            read.append(self)
+
+    monkeypatch.setattr(owl, "_Bytes", Counted)
+    for start in (0, 5 * size, 700 * size):  # no state is looked for to the end of the file
+        owl._scan(path, start, size)
+    assert max(len(x.data) for x in read) <= size + 2 + 2 * owl.STEP
+    got = owl.classes(spark, path, range_bytes=size)
+    assert got.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert got.count() == got.select("concept").distinct().count() == 20_000
+
+
 def test_closure_follows_its_tables(spark, small, tmp_path):
     import shutil
 
