@@ -164,7 +164,7 @@ def parse_config(text: str, defaults: dict[str, dict], required: tuple[tuple[str
     try:
         import yaml
 
-        found = yaml.safe_load(text) or {}
+        found = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or {}
     except ImportError:
         import json
 
@@ -186,7 +186,10 @@ def parse_config(text: str, defaults: dict[str, dict], required: tuple[tuple[str
 
 
 def parsed_configs(df: DataFrame, text: str, defaults: dict[str, dict], required: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """section, name, value and n_warnings of each value that ``parse_config`` finds in each row's text, with the other fields of the row; a null text has the defaults."""
+    """section, name, value and n_warnings of each value that ``parse_config`` finds in each row's text, with the other fields of the row; a null text has the defaults.
+
+    A table of texts is small for its work, and often one piece of a file, so rows are dealt to all cores first.
+    """
 
     def run(frames):
         import pandas as pd
@@ -200,4 +203,5 @@ def parsed_configs(df: DataFrame, text: str, defaults: dict[str, dict], required
 
     kept = [f for f in df.schema.fields if f.name != text]
     names = [*(f.name for f in kept), "section", "name", "value", "n_warnings"]
-    return df.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "section string, name string, value string, n_warnings int"]))
+    spread = df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "section string, name string, value string, n_warnings int"]))

@@ -744,3 +744,13 @@ def test_table_functions(spark):
                 end = s - n
                 want |= {r for r in spans if r[:3] == (k, s, -n)}
     assert {tuple(r) for r in spark.sql("SELECT * FROM unlapped(TABLE(spans), 'a.k')").collect()} == want
+
+
+def test_configurations_are_dealt_to_all_cores(spark):
+    from lattica import sources
+
+    rows = spark.createDataFrame([(i, None if i == 3 else f"a: {{x: {i}, y: no}}") for i in range(2000)], "i int, text string").coalesce(1)
+    got = sources.parsed_configs(rows, "text", {"a": {"x": 0, "y": None}})
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    found = {(r.i, r.name): r.value for r in got.collect()}
+    assert len(found) == 4000 and found[7, "x"] == "7" and found[7, "y"] == "False" and found[3, "x"] == "0"
