@@ -15,9 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
+
 WORD = r"[\p{L}\p{M}\p{N}_]"
 #: Entries of 9 bytes in every task.
 MOST_PREFIXES = 4_000_000
+#: Words that a task matches at once; each takes about 150 bytes.
+MOST_WORDS = 500_000
 _CHAINS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _SPANS = "start int, n_words int, start_char int, end_char int"
 
@@ -89,53 +93,108 @@ def _prefixes(hashed: DataFrame) -> DataFrame:
     return hashed.select("w").mapInArrow(run, "h long, first long, whole boolean").groupBy("h").agg(F.min("first").alias("first"), F.max("whole").alias("whole"))
 
 
-def find(df: DataFrame, text: str, terms: DataFrame, keys: list[str]) -> DataFrame:
+def find(df: DataFrame, text: str, terms: DataFrame, keys: list[str], keep: str = "all") -> DataFrame:
     """All mentions, overlapping ones too: ``keys``, concept_id, term, start and n_words (in words), start_char and end_char (in characters).
 
     terms: term, concept_id. A term of several concepts is a mention of each; equal rows of terms count once; null texts
-    and terms without a word have no mentions.
+    and terms without a word have no mentions. keep: as for ``spans``.
+    """
+    hashed = terms_of(terms)
+    return named(spans(df, text, hashed, keys, keep), hashed, keys)
+
+
+def terms_of(terms: DataFrame) -> DataFrame:
+    """The different rows (term, concept_id) with their hashes, made once."""
+    return storage.table(terms.sparkSession, _terms(terms.select("term", "concept_id").distinct()), "terms")
+
+
+def named(found: DataFrame, hashed: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans with the terms and concepts that they stand for."""
+    return found.join(hashed.select("h1", "h2", "term", "concept_id"), ["h1", "h2"]).select(*keys, "concept_id", "term", "start", "n_words", "start_char", "end_char")
+
+
+def spans(df: DataFrame, text: str, hashed: DataFrame, keys: list[str], keep: str = "all") -> DataFrame:
+    """``keys``, h1 and h2 (of what is found), start, n_words, start_char and end_char of what stands for terms in texts, whatever their concepts.
+
+    keep: 'all', 'longest' (of those that start at the same word) or 'apart' (of overlapping ones the one that starts first, of those the longest).
     """
     spark = df.sparkSession
-    hashed = _terms(terms.select("term", "concept_id").distinct())
-    prefixes = _prefixes(hashed)
+    prefixes = storage.table(spark, _prefixes(hashed), "prefixes")
     slices = max(1, -(-prefixes.count() // MOST_PREFIXES))
     # Runs of word characters and others take turns, so that lengths give the places of words.
     parts = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"{WORD}+|[^{WORD[1:]}+"), F.lit(0))
     given = df.select(*keys, parts.alias("parts")).filter(F.size("parts") > 0).withColumn("odd", F.when(F.col("parts")[0].rlike(f"^{WORD}"), 0).otherwise(1))
     given = given.select(*keys, "odd", F.transform("parts", lambda x: F.char_length(x)).alias("sizes"), F.transform(F.filter("parts", lambda x, i: i % 2 == F.col("odd")), lambda x: F.xxhash64(F.lower(x))).alias("w"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(keys)])
+    # What starts at a word is in one slice; what lies beside it may be in another.
+    own_keep = "longest" if keep == "apart" and slices > 1 else keep
     found = None
     for k in range(slices):
         own = prefixes.filter(F.pmod("first", F.lit(slices)) == k).select("h", "whole").toPandas()  # about MOST_PREFIXES of them
         order = np.argsort(own["h"].to_numpy().astype(np.int64).view(np.uint64))
         trie = spark.sparkContext.broadcast((own["h"].to_numpy().astype(np.int64).view(np.uint64)[order], own["whole"].to_numpy().astype(bool)[order]))
-        part = given.mapInArrow(_matcher(trie, len(keys)), f"{kinds}, h1 long, h2 long, {_SPANS}")
+        part = given.mapInArrow(_matcher(trie, len(keys), own_keep), f"{kinds}, h1 long, h2 long, {_SPANS}")
         found = part if found is None else found.unionByName(part)
-    return found.join(hashed.select("h1", "h2", "term", "concept_id"), ["h1", "h2"]).select(*keys, "concept_id", "term", "start", "n_words", "start_char", "end_char")
+    return leftmost_longest(found, keys) if own_keep != keep else found
+
 
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose lists have about ``MOST_WORDS`` items, or one row if that has more."""
+    ends = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_WORDS, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
-def _matcher(trie, n_keys: int):
+
+def _apart(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of some spans with ascending starts begin where none of those that were taken before is."""
+    taken, end = np.zeros(len(starts), bool), 0
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        if a >= end:
+            taken[i], end = True, b
+    return taken
+
+
+def _matcher(trie, n_keys: int, keep: str):
     def run(batches):
         have, whole = trie.value
-        for batch in batches:
-            if not len(have) or not batch.num_rows:
-                continue
-            w, first = _lists(batch.column(n_keys + 2), np.uint64)
-            sizes, part = _lists(batch.column(n_keys + 1), np.int64)
-            ends = np.cumsum(sizes)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            before = (ends - sizes)[part[:-1]]
-            piece = part[row] + 2 * (np.arange(len(w)) - first[row]) + batch.column(n_keys).to_numpy()[row]  # of each word
-            place = lambda h: np.minimum(np.searchsorted(have, h), len(have) - 1)
-            for n, (at, one, two) in enumerate(_walk(w, first, lambda h: have[place(h)] == h), 1):
-                term = whole[place(one)]
-                at, one, two = at[term], one[term], two[term]
+        for given in batches:
+            if len(have):
+                for batch in _pieces(given, n_keys + 2):
+                    yield from matched(batch, have, whole)
+
+    def matched(batch, have, whole):
+        w, first = _lists(batch.column(n_keys + 2), np.uint64)
+        sizes, part = _lists(batch.column(n_keys + 1), np.int64)
+        ends = np.cumsum(sizes)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        before = (ends - sizes)[part[:-1]]
+        piece = part[row] + 2 * (np.arange(len(w)) - first[row]) + batch.column(n_keys).to_numpy()[row]  # of each word
+        place = lambda h: np.minimum(np.searchsorted(have, h), len(have) - 1)
+
+        def made(at, n, one, two):
+            r, last = row[at], piece[at + n - 1]
+            found = (at - first[r], n, (ends - sizes)[piece[at]] - before[r], ends[last] - before[r])
+            return pa.RecordBatch.from_arrays(
+                [*(batch.column(i).take(pa.array(r)) for i in range(n_keys)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in found)],
+                [*batch.schema.names[:n_keys], "h1", "h2", "start", "n_words", "start_char", "end_char"])
+
+        size, hashes = (np.zeros(len(w), np.int64), np.zeros((2, len(w)), np.uint64)) if keep != "all" else (None, None)
+        for n, (at, one, two) in enumerate(_walk(w, first, lambda h: have[place(h)] == h), 1):
+            term = whole[place(one)]
+            at, one, two = at[term], one[term], two[term]
+            if keep == "all":
                 if len(at):
-                    r, last = row[at], piece[at + n - 1]
-                    spans = (at - first[r], np.full(len(at), n), (ends - sizes)[piece[at]] - before[r], ends[last] - before[r])
-                    yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(i).take(pa.array(r)) for i in range(n_keys)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in spans)],
-                        [*batch.schema.names[:n_keys], "h1", "h2", "start", "n_words", "start_char", "end_char"])
+                    yield made(at, np.full(len(at), n), one, two)
+            else:
+                size[at], hashes[0, at], hashes[1, at] = n, one, two  # longer ones come later
+        if keep != "all":
+            at = np.flatnonzero(size)
+            at = at[_apart(at, at + size[at])] if keep == "apart" else at
+            if len(at):
+                yield made(at, size[at], hashes[0, at], hashes[1, at])
 
     return run
 

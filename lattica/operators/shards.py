@@ -272,5 +272,4 @@ def infer(df: DataFrame, prompt: str, provider_factory: Callable[[], Provider],
 def annotate(df: DataFrame, text: str, terms: DataFrame, key: str, overlapping: bool = True) -> DataFrame:
     """Mentions (key, concept_id, term, start in words, n_words, start_char, end_char) of terms (term, concept_id) in texts, whole words in any case;
     all of them, or of overlapping ones the leftmost and longest. ``key`` tells texts apart."""
-    found = mentions.find(df, text, terms, [key])
-    return found if overlapping else mentions.leftmost_longest(found, [key])
+    return mentions.find(df, text, terms, [key], "all" if overlapping else "apart")

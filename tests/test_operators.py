@@ -754,3 +754,19 @@ def test_configurations_are_dealt_to_all_cores(spark):
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     found = {(r.i, r.name): r.value for r in got.collect()}
     assert len(found) == 4000 and found[7, "x"] == "7" and found[7, "y"] == "False" and found[3, "x"] == "0"
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_longest_mentions_and_those_apart(spark, monkeypatch, most):
+    from lattica.operators import mentions as M
+
+    monkeypatch.setattr(M, "MOST_PREFIXES", most)
+    monkeypatch.setattr(M, "MOST_WORDS", 4)  # rows are matched a few at a time
+    terms = spark.createDataFrame([("a b", 1), ("A, b", 2), ("b c d", 3), ("a", 4), ("c", 5), ("d a", 6)], "term string, concept_id int")
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "b-c d a b"), (3, None), (4, "x"), (5, "(a) c")], "k int, text string").coalesce(1)
+    every = M.find(docs, "text", terms, ["k"])
+    apart = M.find(docs, "text", terms, ["k"], "apart")
+    longest = {(r.k, r.start, r.n_words) for r in M.spans(docs, "text", M.terms_of(terms), ["k"], "longest").collect()}
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, M.leftmost_longest(every, ["k"]).collect()))
+    assert longest == {(r.k, r.start, r.n) for r in every.groupBy("k", "start").agg(F.max("n_words").alias("n")).collect()}
+    assert {(r.k, r.start, r.concept_id) for r in apart.collect()} == {(1, 0, 1), (1, 0, 2), (1, 2, 5), (2, 0, 3), (2, 3, 1), (2, 3, 2), (5, 0, 4), (5, 1, 5)}
