@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import tables
-from ..operators import shards as G
+from ..operators import mentions as M
 from . import _sql, corpus, query, sql_over, table, texts, work  # noqa: F401  their SQL is used
 
 
@@ -25,8 +25,9 @@ def table_claims(spark, d):
 
 @query(_sql["text_mentions"])
 def table_mentions(spark, d):
-    """Of all mentions of the openings of documents those that don't overlap, by a table function that Spark deals by document."""
+    """Of the longest mentions of the openings of documents at each word those that don't overlap, by a table function that Spark deals by document; what they mean is joined then."""
     tables.register(spark)
     docs = table(spark, d, "documents")
-    G.annotate(docs, "text", work._openings(docs), "doc_id").createOrReplaceTempView("lattica_mentions")
-    return spark.sql("SELECT doc_id, concept_id, term, start, n_words, start_char, end_char FROM unlapped(TABLE(lattica_mentions), 'doc_id')")
+    terms = M.terms_of(work._openings(docs))
+    M.spans(docs, "text", terms, ["doc_id"], "longest").createOrReplaceTempView("lattica_mentions")
+    return M.named(spark.sql("SELECT * FROM unlapped(TABLE(lattica_mentions), 'doc_id')"), terms, ["doc_id"])
