@@ -19,9 +19,13 @@ def closure(edges: DataFrame, levels: int | None = None) -> DataFrame:
     parents do not multiply and cycles end; a node is its own ancestor only on a cycle. The loop ends when a
     level brings nothing new, and the finished pairs are written once, so that any use of them is one scan. With ``levels``
     it ends after so many; the first ``levels`` places are right then, since every level before the last one fills one.
+    Only edges of concepts that have children lead on. They are written, so that Spark knows if they are few enough to be sent to all
+    tasks: most concepts lie below the same few, and all those would meet in one task.
     """
     spark = edges.sparkSession
-    step = edges.select(F.col("child").alias("__c"), F.col("parent").alias("__p"), F.col("parent_pos").cast("int").alias("__o"))
+    inner = edges.select(F.col("parent").alias("__c")).distinct()
+    step = edges.select(F.col("child").alias("__c"), F.col("parent").alias("__p"), F.col("parent_pos").cast("int").alias("__o")).join(inner, "__c", "left_semi")
+    step = storage.table(spark, step, "inner-edges")
     level = edges.groupBy(F.col("child").alias("id"), F.col("parent").alias("ancestor")).agg(F.min(F.array(F.col("parent_pos").cast("int"))).alias("path"))
     level = storage.table(spark, level.withColumn("depth", F.lit(1)), "closure")
     found, depth = [level], 1
@@ -87,20 +91,44 @@ def set_filter(df: DataFrame, key: str, allowed: DataFrame) -> DataFrame:
     return df.select(key).distinct().join(allowed.select(F.col("id").alias(key)).distinct(), key, "left_semi")
 
 
+#: Tasks that the rows of one concept are dealt to.
+SPREAD = 16
+
+
+def spread_join(df: DataFrame, key: str, ids: DataFrame, by: Column, how: str = "left_semi") -> DataFrame:
+    """``df`` joined with ``ids`` by its key (their ``id``, named __id). A key that most rows have is dealt to ``SPREAD`` tasks by another column, and every id to each of these."""
+    parts = F.broadcast(df.sparkSession.range(SPREAD).select(F.col("id").cast("int").alias("__part")))
+    copies = ids.withColumnRenamed("id", "__id").crossJoin(parts)  # a product, so that Spark doesn't take the copies for as few as the ids
+    joined = df.join(copies, (F.col(key) == F.col("__id")) & (F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int") == F.col("__part")), how)
+    return joined.drop("__part")
+
+
+def prunable(up: DataFrame, allowed: DataFrame, alpha: int = 2) -> DataFrame:
+    """The ids of the concepts that are allowed or have an allowed one among their first ``alpha`` ancestors."""
+    ok = storage.table(up.sparkSession, allowed.select("id").filter("id is not null").distinct(), "allowed")
+    near = up.filter(F.col("bfs_pos") <= alpha).join(ok.withColumnRenamed("id", "__ok"), F.col("ancestor") == F.col("__ok"), "left_semi").select("id")
+    return ok.unionByName(near).distinct()
+
+
 def prune(extractions: DataFrame, up: DataFrame, allowed: DataFrame, edges: DataFrame | None = None, alpha: int = 2) -> DataFrame:
     """Extractions (row_id, concept_id, value) whose concept, or one of its first ``alpha`` ancestors, is allowed.
 
     With ``edges`` (smart pruning), an ancestor goes if a kept concept below it that has children of
-    its own has the same value.
+    its own has the same value. Which concepts can make which go is told before any extraction is looked at: both are kept ones, and both have children.
     """
-    ok = allowed.select(F.col("id").alias("__ok")).distinct()
-    near = up.filter(F.col("bfs_pos") <= alpha).join(ok, F.col("ancestor") == F.col("__ok"), "left_semi").select(F.col("id").alias("__ok"))
-    kept = extractions.join(ok.unionByName(near).distinct(), F.col("concept_id") == F.col("__ok"), "left_semi")
+    ids = prunable(up, allowed, alpha)
     if edges is None:
+        return spread_join(extractions, "concept_id", ids, F.col("row_id"))
+    spark = up.sparkSession
+    ids = storage.table(spark, ids, "kept-ids")
+    kept = spread_join(extractions, "concept_id", ids, F.col("row_id"))
+    inner = storage.table(spark, ids.join(edges.select(F.col("parent").alias("id")).distinct(), "id", "left_semi"), "kept-parents")
+    named = lambda c: inner.select(F.col("id").alias(c))
+    above = up.filter(F.col("ancestor") != F.col("id")).join(named("__low"), F.col("id") == F.col("__low"), "left_semi").join(named("__high"), F.col("ancestor") == F.col("__high"), "left_semi")
+    above = storage.table(spark, above.select("id", "ancestor"), "kept-above")
+    if above.isEmpty():
         return kept
-    inner = edges.select(F.col("parent").alias("__inner")).distinct()
-    lower = kept.join(inner, F.col("concept_id") == F.col("__inner"), "left_semi")
-    gone = lower.join(up, lower["concept_id"] == up["id"]).filter(F.col("ancestor") != F.col("concept_id")).select(F.col("row_id").alias("__r"), F.col("ancestor").alias("__a"), F.col("value").alias("__v")).distinct()
+    gone = spread_join(kept, "concept_id", above, F.col("row_id"), "inner").select(F.col("row_id").alias("__r"), F.col("ancestor").alias("__a"), F.col("value").alias("__v")).distinct()
     return kept.join(gone, (F.col("row_id") == F.col("__r")) & (F.col("concept_id") == F.col("__a")) & F.col("value").eqNullSafe(F.col("__v")), "left_anti")
 
 
