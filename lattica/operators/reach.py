@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..sources import with_pos
-from .ontology import closure
-from .ontology import prune as prune_by_closure
+from .ontology import closure, prunable, spread_join
 
 _HOPS = "array<struct<lo:bigint,hi:bigint>>"
 _RANGES = "array<struct<lo:bigint,hi:bigint,base:bigint,depth:int>>"
@@ -174,21 +173,33 @@ def branch_filter(df: DataFrame, key: str, known: DataFrame, bases: list[str]) -
 
 def prune(extractions: DataFrame, known: DataFrame, allowed: DataFrame, edges: DataFrame, alpha: int = 2, blocks: int = 64) -> DataFrame:
     """Smart pruning, as ``ontology.prune`` does it: the first ``alpha`` ancestors come from a walk of ``alpha`` levels, and an ancestor goes
-    if the next number that a concept with children brings into its row and value lies within its own.
+    if the next number that a concept with children brings into its row and value lies within its own. The same is asked of all kept concepts
+    at once first: rows count only for those that are above another kept one with children, and have children themselves.
 
     Numbers of one row and value are told apart in ``blocks``, so that no task has all of a hot one. An ontology with a cycle is an error.
     """
     if not known.filter(F.exists("hops", lambda h: (h["lo"] >= F.col("lo")) & (h["lo"] <= F.col("hi")))).isEmpty():
         raise ValueError("the ontology has a cycle")
-    kept = prune_by_closure(extractions, closure(edges, alpha), allowed, alpha=alpha)
-    inner = edges.select(F.col("parent").alias("__i")).distinct().withColumn("__inner", F.lit(True))
-    named = kept.filter("row_id is not null").select(F.col("row_id").alias("__r"), F.col("value").alias("__v"), F.col("concept_id").alias("__c")).distinct()
-    placed = named.join(known.select("id", "lo", "hi", "hops"), F.col("__c") == F.col("id")).join(inner, F.col("__c") == F.col("__i"), "left")
+    spark, top = known.sparkSession, known.agg(F.max("hi")).first()[0] or 0
+    ids = storage.table(spark, prunable(closure(edges, alpha), allowed, alpha), "kept-ids")
+    kept = spread_join(extractions, "concept_id", ids, F.col("row_id"))
+    inner = edges.select(F.col("parent").alias("id")).distinct()
+    placed = storage.table(spark, ids.join(inner, "id", "left_semi").join(known.select("id", "lo", "hi", "hops"), "id"), "kept-parents")
+    high = _covering(placed.select(F.lit(0).alias("__r"), F.lit(0).alias("__v"), F.col("id").alias("__c"), "lo", "hi", "hops", F.lit(True).alias("__asked")), top, blocks)
+    placed = storage.table(spark, placed.join(high.select(F.col("__c").alias("id"), F.lit(True).alias("__asked")), "id", "left"), "kept-parents")
+    if placed.filter("__asked").isEmpty():  # no kept concept is above another one with children
+        return kept
+    named = spread_join(kept.filter("row_id is not null"), "concept_id", placed, F.col("row_id"), "inner")
+    gone = _covering(named.select(F.col("row_id").alias("__r"), F.col("value").alias("__v"), F.col("concept_id").alias("__c"), "lo", "hi", "hops", "__asked").distinct(), top, blocks)
+    return kept.join(gone, (F.col("row_id") == F.col("__r")) & F.col("value").eqNullSafe(F.col("__v")) & (F.col("concept_id") == F.col("__c")), "left_anti")
+
+
+def _covering(placed: DataFrame, top: int, blocks: int) -> DataFrame:
+    """__r, __v and __c of the concepts with ``__asked`` that are above another one of the same __r and __v. placed: these and lo, hi and hops; numbers go up to ``top``."""
     # Twice the number for the concept itself, one more for a hop: an ancestor looks from one more than its own on, and so not at itself.
-    points = placed.filter("__inner").select("__r", "__v", F.explode(F.concat(F.array(2 * F.col("lo")), F.transform("hops", lambda h: 2 * h["lo"] + 1))).alias("__at")).distinct()
-    asked = placed.select("__r", "__v", "__c", (2 * F.col("lo") + 1).alias("__at"), (2 * F.col("hi") + 1).alias("__to"))
-    top = known.agg(F.max("hi")).first()[0] or 0
-    rows = points.select("__r", "__v", F.lit(None).cast(known.schema["id"].dataType).alias("__c"), "__at", F.lit(None).cast("long").alias("__to"), F.col("__at").alias("__p")).unionByName(asked.withColumn("__p", F.lit(None).cast("long")))
+    points = placed.select("__r", "__v", F.explode(F.concat(F.array(2 * F.col("lo")), F.transform("hops", lambda h: 2 * h["lo"] + 1))).alias("__at")).distinct()
+    asked = placed.filter("__asked").select("__r", "__v", "__c", (2 * F.col("lo") + 1).alias("__at"), (2 * F.col("hi") + 1).alias("__to"))
+    rows = points.select("__r", "__v", F.lit(None).cast(placed.schema["__c"].dataType).alias("__c"), "__at", F.lit(None).cast("long").alias("__to"), F.col("__at").alias("__p")).unionByName(asked.withColumn("__p", F.lit(None).cast("long")))
     rows = rows.withColumn("__block", F.floor(F.col("__at") / F.lit((2 * top + 2) // blocks + 1)))
     near = Window.partitionBy("__r", "__v", "__block").orderBy(F.desc("__at"), F.col("__p").isNull())
     here = rows.withColumn("__next", F.last("__p", True).over(near.rowsBetween(Window.unboundedPreceding, 0)))
@@ -196,8 +207,7 @@ def prune(extractions: DataFrame, known: DataFrame, allowed: DataFrame, edges: D
     later = firsts.withColumn("__later", F.last("__first", True).over(Window.partitionBy("__r", "__v").orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)))
     later = later.select(F.col("__r").alias("__lr"), F.col("__v").alias("__lv"), F.col("__block").alias("__lb"), "__later")
     met = here.filter("__to is not null").join(later, (F.col("__r") == F.col("__lr")) & F.col("__v").eqNullSafe(F.col("__lv")) & (F.col("__block") == F.col("__lb")), "left")
-    gone = met.filter(F.coalesce("__next", "__later") <= F.col("__to")).select("__r", "__v", "__c")
-    return kept.join(gone, (F.col("row_id") == F.col("__r")) & F.col("value").eqNullSafe(F.col("__v")) & (F.col("concept_id") == F.col("__c")), "left_anti")
+    return met.filter(F.coalesce("__next", "__later") <= F.col("__to")).select("__r", "__v", "__c")
 
 
 def _meetings(pairs: DataFrame, forest: DataFrame) -> DataFrame:
