@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DataType, IntegerType, LongType, ShortType
 
+from .. import storage
 from .corpus import first_k, sections
-from .ontology import branch_filter, labels
+from .ontology import branch_filter, labels, spread_join
 
 # Roots of the branches that are left out.
 EXCLUDED_ROOTS = ("362981000", "444677008", "419891008", "276339004", "106237007", "900000000000441003")
 OWN, ABOVE = 0.75, 0.25
 
 
+def _first(pos: Column, kind: DataType, place: Column) -> Column:
+    """What orders pairs of a position and a place as a struct does; one number for numbers, since Spark sorts all rows for the least struct, and hashes for the least number."""
+    if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        return F.struct(pos, place)
+    return F.coalesce(pos.cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + place.cast("decimal(10,0)")
+
+
+def _counted(mentions: DataFrame, by: list[str]) -> DataFrame:
+    return mentions.groupBy(*by, "concept_id").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("p"))
+
+
 def ancestor_counts(mentions: DataFrame, up: DataFrame, by: list[str]) -> DataFrame:
     """by, concept_id, freq, first_pos: mentions of the ancestors of mentioned concepts, themselves left out.
 
@@ -22,9 +36,9 @@ def ancestor_counts(mentions: DataFrame, up: DataFrame, by: list[str]) -> DataFr
     with the number of distinct concepts, not of mentions. first_pos orders ties: the first mention
     that brings the ancestor, and there the ancestor's place.
     """
-    counted = mentions.groupBy(*by, "concept_id").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("p"))
-    joined = counted.join(up, F.col("concept_id") == F.col("id"))
-    return joined.groupBy(*by, F.col("ancestor").alias("concept_id")).agg(F.sum("n").cast("double").alias("freq"), F.min(F.struct("p", "bfs_pos")).alias("first_pos"))
+    joined = _counted(mentions, by).join(up, F.col("concept_id") == F.col("id"))
+    first = _first(F.col("p"), mentions.schema["_pos"].dataType, F.col("bfs_pos"))
+    return joined.groupBy(*by, F.col("ancestor").alias("concept_id")).agg(F.sum("n").cast("double").alias("freq"), F.min(first).alias("first_pos"))
 
 
 def adjusted(freqs: DataFrame, up: DataFrame) -> DataFrame:
@@ -46,9 +60,19 @@ def domain_frequencies(mentions: DataFrame, up: DataFrame, k: int, roots: list[s
 
 
 def note_concepts(mentions: DataFrame, up: DataFrame, k: int, roots: list[str], by: str = "note_id") -> DataFrame:
-    """Counts outside the excluded branches, adjusted, then cut to the top."""
-    kept = branch_filter(ancestor_counts(mentions, up, [by]), "concept_id", up, roots)
-    return top(adjusted(kept, up), [by], k)
+    """Counts outside the excluded branches, adjusted, then cut to the top.
+
+    Which ancestors are outside is told before mentions meet them, and all that a note's mention brings moves to the note as one row.
+    """
+    spark = up.sparkSession
+    good = branch_filter(up.select(F.col("ancestor").alias("id")).distinct(), "id", up, roots)
+    n = up.join(good, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("__n"))  # what is outside has an ancestor
+    above = spread_join(up, "ancestor", storage.table(spark, n, "outside"), F.col("id"), "inner")
+    above = above.groupBy("id").agg(F.collect_list(F.struct("ancestor", "bfs_pos", "__n")).alias("__above"))
+    met = _counted(mentions, [by]).join(above, F.col("concept_id") == F.col("id")).repartition(by).select(by, "n", "p", F.inline("__above"))
+    first = _first(F.col("p"), mentions.schema["_pos"].dataType, F.col("bfs_pos"))
+    freqs = met.groupBy(by, F.col("ancestor").alias("concept_id")).agg(F.sum("n").cast("double").alias("freq"), F.min(first).alias("first_pos"), F.max("__n").alias("__n"))
+    return top(freqs.withColumn("freq", OWN * F.col("freq") - ABOVE * F.col("__n")).drop("__n"), [by], k)
 
 
 def normalise(freqs: DataFrame, n_domains: int, by: str = "domain") -> DataFrame:

@@ -770,3 +770,41 @@ def test_longest_mentions_and_those_apart(spark, monkeypatch, most):
     assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, M.leftmost_longest(every, ["k"]).collect()))
     assert longest == {(r.k, r.start, r.n) for r in every.groupBy("k", "start").agg(F.max("n_words").alias("n")).collect()}
     assert {(r.k, r.start, r.concept_id) for r in apart.collect()} == {(1, 0, 1), (1, 0, 2), (1, 2, 5), (2, 0, 3), (2, 3, 1), (2, 3, 2), (5, 0, 4), (5, 1, 5)}
+
+
+def _sorts(df):
+    """Whether a plan sorts rows to aggregate them."""
+    return "SortAggregate" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_positions_are_hashed_not_sorted(spark):
+    from lattica.operators import dcf as D
+
+    up = spark.createDataFrame([("a", "t", 1, 1), ("a", "r", 2, 2), ("b", "t", 1, 2), ("b", "s", 1, 1), ("b", "r", 2, 3), ("t", "r", 1, 1), ("s", "r", 1, 1)], "id string, ancestor string, depth int, bfs_pos int")
+    rows = [("x", "a", 5), ("x", "b", -3), ("x", "b", 5), ("y", "a", None), ("y", "b", 1 << 62)]
+    mentions = spark.createDataFrame(rows, "note_id string, concept_id string, _pos long")
+    counts = D.ancestor_counts(mentions, up, ["note_id"])
+    assert not _sorts(counts)
+    # The order is that of pairs of position and place, null positions first.
+    want = sorted({(n, a) for n, c, _ in rows for i, a, _, _ in up.collect() if i == c}, key=lambda k: (k[0], min(((p is not None, p or 0), b) for n, c, p in rows if n == k[0] for i, a, _, b in up.collect() if i == c and a == k[1])))
+    assert [(r.note_id, r.concept_id) for r in counts.orderBy("note_id", "first_pos").collect()] == want
+    best = D.note_concepts(mentions, up, 1, ["s"])
+    assert not _sorts(best)
+    assert sorted((r.note_id, r.concept_id, r.freq) for r in best.collect()) == [("x", "t", 2.0), ("y", "t", 1.25)]
+
+
+def test_a_concept_of_most_rows_is_dealt_to_many_tasks(spark):
+    ids = spark.createDataFrame([("hot",), ("cold",)], "id string")
+    rows = spark.range(20_000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 100 == 0, F.lit("cold")).when(F.col("id") % 7 == 0, F.lit("none")).otherwise(F.lit("hot")).alias("concept_id"))
+    kept = O.spread_join(rows, "concept_id", ids, F.col("row_id"))
+    assert kept.columns == rows.columns and kept.count() == rows.filter("concept_id <> 'none'").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        parts = O.spread_join(rows, "concept_id", ids, F.col("row_id")).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(parts) > 3 and max(r["count"] for r in parts) < 10_000
