@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.text import normalize_answer
 from . import dcf, ontology, pairs, prompts, shards
 
@@ -80,8 +81,8 @@ def by_note(rows: DataFrame, note: str = "note_id") -> DataFrame:
 
 
 def variants(asked: DataFrame, providers: dict[str, Callable[[], shards.Provider]], note: str = "note_id") -> DataFrame:
-    """Extractions of the same prompts by several decoders or configurations: note, config_name, extraction."""
-    out = None
+    """Extractions of the same prompts by several decoders or configurations: note, config_name, extraction. The prompts are made once."""
+    asked, out = storage.table(asked.sparkSession, asked, "asked"), None
     for name, factory in providers.items():
         one = by_note(answered(asked, factory), note).withColumn("config_name", F.lit(name))
         out = one if out is None else out.unionByName(one)
