@@ -63,23 +63,26 @@ def pair_ratio(a: Column, b: Column, both: Column, total: Column) -> Column:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, kind ('abbreviation', 'starter' or 'collocation'), item, n and score, from every row of ``docs``.
 
-    Texts are read twice: for the counts of words, and for those of what follows a possible end.
+    Texts are read twice: for the counts of words, and for those of what follows a possible end. Tokens are counted as they are first,
+    so that the patterns of forms are matched once for each different token.
     """
     spark = docs.sparkSession
     given = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)).alias("w"))
     pairs = given.select("lang", "w", F.posexplode_outer("w").alias("i", "token")).select("lang", "token", F.get("w", F.col("i") + 1).alias("following"))
-    of = form(F.col("token"))
-    formed = lambda rows: rows.select("*", of.alias("f")).filter("f <> ''").select("lang", kind(F.col("f")).alias("word"), F.col("f").endswith(".").alias("period"), "following")
-    read = formed(pairs)
-    counts = storage.table(spark, read.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("period").cast("long")).alias("with_period")), "words")
+    once = lambda c: F.when(F.col("c") > 0, c)  # noqa: E731  a filter by it can't move below the count, to every token
+    of = once(form(F.col("token")))
+    counted = lambda rows, *by: rows.groupBy("lang", "token", *by).agg(F.count(F.lit(1)).alias("c"))
+    formed = lambda rows, *more: rows.select("*", of.alias("f")).filter("f <> ''").select("lang", kind(F.col("f")).alias("word"), F.col("f").endswith(".").alias("period"), "c", *more)
+    read = formed(counted(pairs.filter("token is not null")))
+    counts = storage.table(spark, read.groupBy("lang", "word").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("period"), F.col("c")).otherwise(0)).alias("with_period")), "words")
     total = F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total"), F.sum("with_period").alias("periods")))  # a row for each language
     scored = counts.filter((F.col("with_period") > 0) & F.col("word").rlike(r"\p{L}")).join(total, "lang").filter("periods < total")
     solid = F.length(F.replace("word", F.lit("."))).cast("double")
     score = period_ratio(*map(F.col, ("n", "with_period", "total", "periods"))) * F.exp(-solid) * (F.length("word") - solid + 1) * F.pow(solid, -(F.col("n") - F.col("with_period")).cast("double"))
     short = scored.select("lang", "word", F.col("with_period").alias("n"), score.alias("score")).filter(F.col("score") >= ABBREVIATION)
 
-    ended = formed(pairs.filter(F.col("token").rlike(END) & F.col("following").isNotNull())).withColumn("next", kind(form(F.col("following")))).filter("next <> ''")
-    follows = ended.groupBy("lang", "word", "period", "next").agg(F.count(F.lit(1)).alias("both"))
+    ended = formed(counted(pairs.filter(F.col("token").rlike(END) & F.col("following").isNotNull()), "following"), "following").withColumn("next", once(kind(form(F.col("following"))))).filter("next <> ''")
+    follows = ended.groupBy("lang", "word", "period", "next").agg(F.sum("c").alias("both"))
     follows = storage.table(spark, follows, "followers").join(short.select("lang", "word", F.lit(True).alias("short")), ["lang", "word"], "left").withColumn("short", F.coalesce("short", F.lit(False)) & F.col("period"))
     sure = follows.filter("not short").groupBy("lang", "next").agg(F.sum("both").alias("both"))
     breaks = F.broadcast(sure.groupBy("lang").agg(F.sum("both").alias("a")))
