@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"[a-z0-9]+")
+#: Words of all columns that are scored at once.
+MOST_WORDS = 500_000
 # The suffix rules of Porter's algorithm (1980) by step, longest first where they share an end.
 _STEP_2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
            ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"), ("logi", "log"))
@@ -158,6 +161,17 @@ def _coded(reference: pa.Array, made: pa.Array, stemmed: bool) -> tuple[np.ndarr
     return codes, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
+def _in_pieces(score: Callable[..., pa.Array], *given: pa.Array) -> pa.Array:
+    """``score`` of columns of lists, of runs of rows that have about ``MOST_WORDS`` words or of one row at a time, so that a batch of long texts takes no more memory."""
+    ends = np.cumsum(np.sum([pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in given], axis=0))
+    out, at = [], 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_WORDS, side="right")))
+        out.append(score(*(x.slice(at, to - at) for x in given)))
+        at = to
+    return pa.concat_arrays(out) if out else score(*given)
+
+
 def shared_grams(codes: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For runs of 1 to ``most`` words, by row of ``_coded`` texts: how many both texts share, repeats counted, and how many there are in each text.
 
@@ -224,6 +238,9 @@ def text_scores(reference: Column, made: Column, stemmed: bool = True) -> Column
 
     @F.arrow_udf("struct<rouge1:double,rouge2:double,bleu:double>")
     def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        return _in_pieces(score, a, b, c, d)
+
+    def score(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
         shared, sizes = shared_grams(*_coded(a, b, stemmed), 2)
         f = {f"rouge{n + 1}": _f_scores(shared[n], sizes[n])[2] for n in range(2)}
         return _doubles(f | {"bleu": _bleu(*shared_grams(*_coded(c, d, False), 4))}, a, b)

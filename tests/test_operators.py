@@ -808,3 +808,37 @@ def test_a_concept_of_most_rows_is_dealt_to_many_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(parts) > 3 and max(r["count"] for r in parts) < 10_000
+
+
+def test_scores_of_pieces_of_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    a, b = pa.array([["x", "y"], None, [], ["z"] * 9]), pa.array([["x"], ["y"], ["z"], ["z"]])
+    monkeypatch.setattr(scores, "MOST_WORDS", 3)
+    seen = []
+
+    def size(x, y):
+        seen.append(len(x))
+        return pa.array([len(p or []) + len(q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)])
+
+    assert scores._in_pieces(size, a, b).to_pylist() == [3, 1, 1, 10] and seen == [1, 2, 1]
+    assert scores._in_pieces(size, a.slice(0, 0), b.slice(0, 0)).to_pylist() == []
+
+
+def test_forms_are_matched_once_a_token(spark):
+    from lattica.operators import sentences as S
+
+    docs = spark.createDataFrame([("Dr. Who came. He saw Dr. No. ", "en")] * 50 + [(None, "en")], "text string, lang string")
+    matched = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def form(token):
+        matched.add(1)
+        return token.lower()
+
+    before, S.form = S.form, lambda token: form(token)
+    try:
+        S.learn(docs).collect()
+    finally:
+        S.form = before
+    assert 0 < matched.value < 350  # one at each of 350 tokens before
