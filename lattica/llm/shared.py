@@ -2,48 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import os
-import shutil
-import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import root, table
+from ..storage import posix_folder, put, root, table
 
 __all__ = ["MOST_ROWS", "PLACE", "located", "picked", "give_back", "posix_folder", "put", "release", "renamed", "root", "small_batches", "table", "tidy", "without"]
 
 
-def _drop(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
-
-
-def posix_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for files that workers map into memory.
-
-    The shared folder must be mounted as a file system for that; any other scheme is an error.
-    """
-    at = urlparse(root(spark))
-    if at.scheme not in ("", "file"):
-        raise ValueError(f"memory mapping needs a mounted shared folder, not {at.scheme}://")
-    path = f"{at.path}/{name}-{uuid.uuid4().hex}"
-    os.makedirs(path)
-    atexit.register(_drop, path)
-    return path
-
-
-def put(path: str, data: bytes | memoryview) -> None:
-    """Write a file whole or not at all, so that a task that runs twice does no harm."""
-    part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
-        f.write(data)
-    os.replace(part, path)
-
-
 #: Where a row is: a hash of its file's path, and its place in the file.
 PLACE = ["__file", "__row"]
 #: Rows up to which a set of places is sent to every executor (two integers each); beyond, texts are joined with it by shuffle.

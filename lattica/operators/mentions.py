@@ -1,14 +1,15 @@
 """Mentions of a terminology's terms in texts, by a trie of word hashes that is walked for all words of a batch at once.
 
 Words are runs of letters, marks, digits and underscores of any script, in lower case; what stands between the words of a term
-doesn't matter. The trie is the set of the terms' beginnings, word by word, as one sorted array of chained hashes with a flag for those that are terms: it
-is sent to every task if it has at most ``MOST_PREFIXES`` entries, and in slices by first words, one pass for each, if
-it has more. A place costs a look-up, and another one for each word that a term goes on with there. Mentions are joined with terms by two independent 64-bit hashes.
+doesn't matter. The trie is the set of the terms' beginnings, word by word, as sorted chained hashes with a flag for those that are terms.
+They lie in files in the shared folder, each a range of hashes, which the tasks map into memory: the driver sees one row for each file, and one pass over the texts
+does. Where the folder isn't mounted, the trie is sent to the tasks in slices by first words of about ``MOST_PREFIXES`` entries, one pass for
+each. A place costs a look-up, and another one for each word that a term goes on with there. Mentions are joined with terms by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from .. import storage
 
 WORD = r"[\p{L}\p{M}\p{N}_]"
-#: Entries of 9 bytes in every task.
+#: Entries of 9 bytes in a slice that is sent to every task.
 MOST_PREFIXES = 4_000_000
+#: Entries of 9 bytes in a file.
+IN_FILE = 500_000
 #: Words that a task matches at once; each takes about 150 bytes.
 MOST_WORDS = 500_000
 _CHAINS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
@@ -120,7 +123,9 @@ def spans(df: DataFrame, text: str, hashed: DataFrame, keys: list[str], keep: st
     """
     spark = df.sparkSession
     prefixes = storage.table(spark, _prefixes(hashed), "prefixes")
-    slices = max(1, -(-prefixes.count() // MOST_PREFIXES))
+    n = prefixes.count()
+    mounted = storage.mounted(spark)
+    slices = 1 if mounted else max(1, -(-n // MOST_PREFIXES))
     # Runs of word characters and others take turns, so that lengths give the places of words.
     parts = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"{WORD}+|[^{WORD[1:]}+"), F.lit(0))
     given = df.select(*keys, parts.alias("parts")).filter(F.size("parts") > 0).withColumn("odd", F.when(F.col("parts")[0].rlike(f"^{WORD}"), 0).otherwise(1))
@@ -130,14 +135,87 @@ def spans(df: DataFrame, text: str, hashed: DataFrame, keys: list[str], keep: st
     own_keep = "longest" if keep == "apart" and slices > 1 else keep
     found = None
     for k in range(slices):
-        own = prefixes.filter(F.pmod("first", F.lit(slices)) == k).select("h", "whole").toPandas()  # about MOST_PREFIXES of them
-        order = np.argsort(own["h"].to_numpy().astype(np.int64).view(np.uint64))
-        trie = spark.sparkContext.broadcast((own["h"].to_numpy().astype(np.int64).view(np.uint64)[order], own["whole"].to_numpy().astype(bool)[order]))
+        trie = _filed(prefixes, n) if mounted else _sent(prefixes.filter(F.pmod("first", F.lit(slices)) == k))
         part = given.mapInArrow(_matcher(trie, len(keys), own_keep), f"{kinds}, h1 long, h2 long, {_SPANS}")
         found = part if found is None else found.unionByName(part)
     return leftmost_longest(found, keys) if own_keep != keep else found
 
 
+def _packed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes and their flags."""
+    h, whole = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
+    order = np.argsort(h)
+    return h[order], whole[order].astype(np.uint8)
+
+
+def _kinds(keys: np.ndarray, whole: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Of each of h: 0 if no term begins so, 1 if one does, 2 if it is one."""
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, 1 + whole[at], 0).astype(np.uint8)
+
+
+def _filed(prefixes: DataFrame, n: int) -> Callable[[], Callable | None]:
+    """What gives a task its look-up in files that tasks of their own wrote; nothing if there are no terms."""
+    spark = prefixes.sparkSession
+    folder, files = storage.posix_folder(spark, "trie"), max(1, -(-n // IN_FILE))
+    # Ranges of unsigned hashes, of about the same number of entries each.
+    own = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(files), 32).cast("int")
+
+    def write(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        at = np.concatenate([b.column(2).to_numpy() for b in held])
+        given = pa.Table.from_batches(held).select(["h", "whole"]).combine_chunks()
+        for k in np.unique(at):
+            keys, whole = _packed(given.filter(pa.array(at == k)).combine_chunks().to_batches()[0])
+            storage.put(f"{folder}/{k}", keys.tobytes() + whole.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(keys)], pa.int64())], ["k", "n"])
+
+    sizes = np.zeros(files, np.int64)
+    for r in prefixes.select("h", "whole", own.alias("k")).repartition(files, "k").mapInArrow(write, "k int, n long").collect():  # a row for each file
+        sizes[r.k] = r.n
+
+    def opened():
+        if not sizes.any():
+            return None
+        raw = [np.memmap(f"{folder}/{k}", np.uint8, "r", shape=(9 * size,)) if size else None for k, size in enumerate(sizes.tolist())]
+        maps = [(np.asarray(x[: -len(x) // 9]).view(np.uint64), np.asarray(x[-len(x) // 9 :])) if x is not None else None for x in raw]
+
+        def look(h):
+            distinct, back = np.unique(h, return_inverse=True)  # in order, so that a file is read from its start to its end
+            kinds = np.zeros(len(distinct), np.uint8)
+            cuts = np.searchsorted((distinct >> np.uint64(32)) * np.uint64(files) >> np.uint64(32), np.arange(files + 1).astype(np.uint64))
+            for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                if maps[k]:
+                    kinds[cuts[k] : cuts[k + 1]] = _kinds(*maps[k], distinct[cuts[k] : cuts[k + 1]])
+            return kinds[back]
+
+        return look
+
+    return opened
+
+
+def _sent(prefixes: DataFrame) -> Callable[[], Callable | None]:
+    """What gives a task its look-up in about ``MOST_PREFIXES`` entries, which go through the driver as 9 bytes each."""
+
+    def pack(batches):
+        for batch in batches:
+            keys, whole = _packed(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (keys, whole)], ["h", "whole"])
+
+    rows = prefixes.select("h", "whole").mapInArrow(pack, "h binary, whole binary").collect()
+    keys, whole = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("h", np.uint64), ("whole", np.uint8)))
+    order = np.argsort(keys)
+    trie = prefixes.sparkSession.sparkContext.broadcast((keys[order], whole[order]))
+
+    def opened():
+        keys, whole = trie.value
+        return (lambda h: _kinds(keys, whole, h)) if len(keys) else None
+
+    return opened
+
+
 def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose lists have about ``MOST_WORDS`` items, or one row if that has more."""
     ends = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False))
@@ -157,22 +235,28 @@ def _apart(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return taken
 
 
-def _matcher(trie, n_keys: int, keep: str):
+def _matcher(trie: Callable[[], Callable | None], n_keys: int, keep: str):
     def run(batches):
-        have, whole = trie.value
+        look = trie()
         for given in batches:
-            if len(have):
+            if look:
                 for batch in _pieces(given, n_keys + 2):
-                    yield from matched(batch, have, whole)
+                    yield from matched(batch, look)
 
-    def matched(batch, have, whole):
+    def matched(batch, look):
         w, first = _lists(batch.column(n_keys + 2), np.uint64)
         sizes, part = _lists(batch.column(n_keys + 1), np.int64)
         ends = np.cumsum(sizes)
         row = np.repeat(np.arange(batch.num_rows), np.diff(first))
         before = (ends - sizes)[part[:-1]]
         piece = part[row] + 2 * (np.arange(len(w)) - first[row]) + batch.column(n_keys).to_numpy()[row]  # of each word
-        place = lambda h: np.minimum(np.searchsorted(have, h), len(have) - 1)
+        kinds = np.zeros(0, np.uint8)  # of the runs that go on
+
+        def going(h):
+            nonlocal kinds
+            own = look(h)
+            kinds = own[own > 0]
+            return own > 0
 
         def made(at, n, one, two):
             r, last = row[at], piece[at + n - 1]
@@ -182,8 +266,8 @@ def _matcher(trie, n_keys: int, keep: str):
                 [*batch.schema.names[:n_keys], "h1", "h2", "start", "n_words", "start_char", "end_char"])
 
         size, hashes = (np.zeros(len(w), np.int64), np.zeros((2, len(w)), np.uint64)) if keep != "all" else (None, None)
-        for n, (at, one, two) in enumerate(_walk(w, first, lambda h: have[place(h)] == h), 1):
-            term = whole[place(one)]
+        for n, (at, one, two) in enumerate(_walk(w, first, going), 1):
+            term = kinds > 1
             at, one, two = at[term], one[term], two[term]
             if keep == "all":
                 if len(at):

@@ -81,7 +81,8 @@ def text_mentions(spark, d):
 
 
 def _openings(docs):
-    w = F.regexp_extract_all("text", F.lit(f"{_W}+"), F.lit(0))
+    # Only up to the fourth word: no text is split as a whole.
+    w = F.regexp_extract_all(F.regexp_extract("text", f"^[^{_W[1:]}*+({_W}++[^{_W[1:]}++){{3}}{_W}++", 0), F.lit(f"{_W}+"), F.lit(0))
     at = lambda i: F.get("w", F.lit(i - 1))
     made = F.array(F.concat(F.lit("("), at(1), F.lit(" "), at(2), F.lit(")")), F.concat(F.upper(at(2)), F.lit("-"), at(3), F.lit(", "), at(4)), F.concat(at(1), F.lit(' "'), at(2), F.lit('" '), at(3), F.lit(".")))
     terms = docs.filter("text is not null").select("doc_id", w.alias("w")).filter(F.size("w") >= 4).select("doc_id", F.explode(made).alias("term"))

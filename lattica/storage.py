@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -56,3 +57,34 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
         _made.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mounted(spark: SparkSession) -> bool:
+    """Whether the shared folder is one of a file system, so that workers can map its files into memory."""
+    return urlparse(root(spark)).scheme in ("", "file")
+
+
+def _drop(path: str) -> None:
+    shutil.rmtree(path, ignore_errors=True)
+
+
+def posix_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that workers map into memory.
+
+    The shared folder must be mounted as a file system for that; any other scheme is an error.
+    """
+    at = urlparse(root(spark))
+    if not mounted(spark):
+        raise ValueError(f"memory mapping needs a mounted shared folder, not {at.scheme}://")
+    path = f"{at.path}/{name}-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    atexit.register(_drop, path)
+    return path
+
+
+def put(path: str, data: bytes | memoryview) -> None:
+    """Write a file whole or not at all, so that a task that runs twice does no harm."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(data)
+    os.replace(part, path)

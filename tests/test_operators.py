@@ -772,6 +772,32 @@ def test_longest_mentions_and_those_apart(spark, monkeypatch, most):
     assert {(r.k, r.start, r.concept_id) for r in apart.collect()} == {(1, 0, 1), (1, 0, 2), (1, 2, 5), (2, 0, 3), (2, 3, 1), (2, 3, 2), (5, 0, 4), (5, 1, 5)}
 
 
+@pytest.mark.parametrize("mounted", [True, False])
+def test_trie_of_mentions_leaves_the_driver_alone(spark, monkeypatch, mounted):
+    """Beginnings of terms lie in many files, of which the driver sees a row each, or go through it as packed bytes slice by slice."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from lattica import storage
+    from lattica.operators import mentions as M
+
+    collected, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("a table of beginnings in the driver"))
+    monkeypatch.setattr(DataFrame, "collect", lambda self: collected.append(collect(self)) or collected[-1])
+    monkeypatch.setattr(storage, "mounted", lambda spark: mounted)
+    monkeypatch.setattr(M, "IN_FILE", 100)
+    monkeypatch.setattr(M, "MOST_PREFIXES", 500)
+    rng = random.Random(5)
+    word = lambda: rng.choice(["", "É", "b"]) + rng.choice("abcdefghij") + rng.choice("abcdefghij")
+    terms = sorted({(" ".join(word() for _ in range(rng.randint(1, 4))), i % 31) for i in range(700)})
+    texts = [(i, " - ".join(word() for _ in range(60))) for i in range(40)]
+    df, given = spark.createDataFrame(texts, "k int, t string"), spark.createDataFrame(terms, "term string, concept_id int").repartition(8)
+    got = M.find(df, "t", given, ["k"], "apart")
+    assert collected and all(len(rows) < 30 for rows in collected) and sum(map(len, collected)) >= 3  # over 1,000 beginnings
+    assert sorted(tuple(r) for r in collect(got)) == brute_mentions(texts, terms, True)
+    assert sorted(tuple(r) for r in collect(M.find(df, "t", given, ["k"]))) == brute_mentions(texts, terms, False)
+    assert collect(M.find(df, "t", given.limit(0), ["k"])) == []
+
+
 def _sorts(df):
     """Whether a plan sorts rows to aggregate them."""
     return "SortAggregate" in df._jdf.queryExecution().executedPlan().toString()
