@@ -798,6 +798,19 @@ def test_trie_of_mentions_leaves_the_driver_alone(spark, monkeypatch, mounted):
     assert collect(M.find(df, "t", given.limit(0), ["k"])) == []
 
 
+def test_table_function_gets_mentions_without_a_trie_in_the_driver(spark, small, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from lattica import plans
+    from lattica.operators import mentions as M
+
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("a table of beginnings in the driver"))
+    monkeypatch.setattr(M, "IN_FILE", 50)
+    names = ["doc_id", "concept_id", "term", "start", "n_words", "start_char", "end_char"]
+    got = [sorted(map(tuple, plans.queries()[q](spark, small).select(*names).collect())) for q in ("table_mentions", "text_mentions")]
+    assert got[0] and got[0] == got[1]
+
+
 def _sorts(df):
     """Whether a plan sorts rows to aggregate them."""
     return "SortAggregate" in df._jdf.queryExecution().executedPlan().toString()
